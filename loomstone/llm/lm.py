@@ -23,7 +23,7 @@ import json
 import math
 import os
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -46,7 +46,7 @@ ROWS = "level int, shard int, n long, columns int, payload binary"
 
 @dataclass(frozen=True)
 class Model:
-    """path: folder of arrays; bits: log2 of the number of shards; discounts: of each level from 1, for counts 1, 2 and 3 or more; tokens, types: training tokens and distinct ones; continued: sum of level 1's counts; seen: its N1, N2, N3+."""
+    """path: folder of arrays; bits: log2 of the number of shards; discounts: of each level from 1, for counts 1, 2 and 3 or more; tokens, types: training tokens and distinct ones; continued: sum of level 1's counts; seen: its N1, N2, N3+; word_discounts, words_seen: the same of the words' own counts."""
 
     path: str
     order: int
@@ -56,6 +56,8 @@ class Model:
     types: int
     continued: int
     seen: tuple
+    word_discounts: tuple = (0.5, 1.0, 1.5)
+    words_seen: tuple = (0, 0, 0)
 
 
 def stream(w: tk.Words, hashes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,8 +229,8 @@ def fit(train: DataFrame, order: int = 2, text: str = "text", separators: np.nda
     of = lambda k: [sum(t["of"][i] for t in level(k)) for i in range(4)]
     total = lambda k, what: sum(t[what] for t in level(k))
     words = 0 if order > 1 else 1
-    n1, n2, *_ = of(1)
-    return Model(path, order, bits, tuple(discounts(of(k)) for k in range(1, order + 1)), total(words, "sum"), total(words, "n"), total(1, "sum"), (n1, n2, total(1, "n") - n1 - n2))
+    seen = lambda k: (of(k)[0], of(k)[1], total(k, "n") - sum(of(k)[:2]))
+    return Model(path, order, bits, tuple(discounts(of(k)) for k in range(1, order + 1)), total(words, "sum"), total(words, "n"), total(1, "sum"), seen(1), discounts(of(words)), seen(words))
 
 
 @cache
@@ -309,7 +311,3 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
     kept = docs.select(*(F.col(f"`{c}`") for c in keep), text_bytes(text).alias("__text"))
     out = T.StructType([*(f for f in kept.schema.fields if f.name in keep), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known")), *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score", "perplexity"))])
     return kept.mapInArrow(scorer(model, [*keep], separators), out)
-
-
-def described(model: Model) -> dict:
-    return asdict(model)

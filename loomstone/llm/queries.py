@@ -20,5 +20,32 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, model).select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
 
 
-QUERIES = {"op1_lm_scoring": op1_lm_scoring}
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored; labels of rows whose crc32 modulo 5 is 0 are held out."""
+    from . import toxicity
+    from .shared import fold
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    models = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(fold("doc_id", 5) != 0))
+    return toxicity.scored(docs, models).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "contrast")
+
+
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their fingerprint and near-duplicate component."""
+    from . import simhash
+    from .shared import checkpointed
+
+    prints = checkpointed(simhash.fingerprints(table(spark, sf_dir, "documents")))
+    return simhash.near_duplicates(prints).select("doc_id", simhash.hexed("fp").alias("fingerprint"), "component_id")
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents judged by base rules and an isolation forest."""
+    from . import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judged(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_toxicity": op2_toxicity, "op7_simhash_near_dedup": op7_simhash_near_dedup, "op10_quality_rules": op10_quality_rules}
 SQL: dict[str, str] = {}
