@@ -46,7 +46,7 @@ ROWS = "level int, shard int, n long, columns int, payload binary"
 
 @dataclass(frozen=True)
 class Model:
-    """path: folder of arrays; bits: log2 of the number of shards; discounts: of each level from 1, for counts 1, 2 and 3 or more; tokens, types: training tokens and distinct ones; continued: sum of level 1's counts; seen: its N1, N2, N3+; word_discounts, words_seen: the same of the words' own counts."""
+    """path: folder of arrays; bits: log2 of the number of shards; discounts: of each level from 1, for counts 1, 2 and 3 or more; tokens, types: training tokens and distinct ones; continued: sum of level 1's counts; seen: its N1, N2, N3+."""
 
     path: str
     order: int
@@ -56,8 +56,6 @@ class Model:
     types: int
     continued: int
     seen: tuple
-    word_discounts: tuple = (0.5, 1.0, 1.5)
-    words_seen: tuple = (0, 0, 0)
 
 
 def stream(w: tk.Words, hashes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,6 +125,15 @@ def as_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [()] * 5, kinds)], ["level", "shard", "n", "columns", "payload"])
 
 
+def distinct(s: np.ndarray, at: np.ndarray, row: np.ndarray, order: int) -> np.ndarray:
+    """Indices of the first occurrence of each n-gram in its text."""
+    key = tk.combine(row.astype(U64), s[at])
+    for c in contexts(s, at, order)[-1:]:
+        key = tk.combine(key, c)
+    by = np.argsort(key, kind="stable")
+    return np.sort(by[tk.runs(key[by])])
+
+
 def counter(order: int, bits: int, separators: np.ndarray):
     """For mapInArrow: n-gram counts (level: the order) and word counts (level 0) of the texts, in chunks."""
 
@@ -229,8 +236,8 @@ def fit(train: DataFrame, order: int = 2, text: str = "text", separators: np.nda
     of = lambda k: [sum(t["of"][i] for t in level(k)) for i in range(4)]
     total = lambda k, what: sum(t[what] for t in level(k))
     words = 0 if order > 1 else 1
-    seen = lambda k: (of(k)[0], of(k)[1], total(k, "n") - sum(of(k)[:2]))
-    return Model(path, order, bits, tuple(discounts(of(k)) for k in range(1, order + 1)), total(words, "sum"), total(words, "n"), total(1, "sum"), seen(1), discounts(of(words)), seen(words))
+    n1, n2, *_ = of(1)
+    return Model(path, order, bits, tuple(discounts(of(k)) for k in range(1, order + 1)), total(words, "sum"), total(words, "n"), total(1, "sum"), (n1, n2, total(1, "n") - n1 - n2))
 
 
 @cache

@@ -1,10 +1,13 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Three bigram models are counted in Spark from a bounded sample of labelled
-texts: of class 1, of class 0, and of both.  In either class a bigram backs off
-to the class's words, and these to the continuation counts of both classes
-together, so an expression that one class lacks isn't held against it more than
-its rarity allows.  The difference of the mean log-likelihoods per token (length
+Three trigram models are counted in Spark from a bounded sample of labelled
+texts: of class 1, of class 0, and of both.  Their lower orders are used, which
+count in how many contexts an expression stands, not how often: copied lines
+and repetition weigh nothing.  In either class a bigram backs off to the class's
+words, and these to the words of both classes together.  Class counts are
+discounted by RARE, so an expression with up to three contexts in a class has
+the shared probability there.
+The difference of the mean log-likelihoods per distinct bigram (length
 normalised) becomes a score through a logistic curve fitted on sampled rows
 that the models haven't counted, weighted to the classes' shares in the labels.
 
@@ -28,6 +31,9 @@ from . import tokens as tk
 from .sample import labelled
 from .shared import text_bytes
 
+#: Taken off class counts of 1, 2 and 3 or more.
+RARE = np.array([0.0, 1.0, 2.0, 3.0])
+
 
 @dataclass(frozen=True)
 class Toxicity:
@@ -41,22 +47,23 @@ class Toxicity:
 
 def class_probabilities(m: lm.Model, word: np.ndarray, context: np.ndarray, lower: np.ndarray) -> np.ndarray:
     """Of words after contexts under a class's bigrams, its words, and `lower` below."""
-    d = np.array([0.0, *m.word_discounts])
-    c = lm.found(m, 0, word)
-    p = (np.maximum(c - d[np.minimum(c, 3)], 0) + np.dot(d[1:], m.words_seen) * lower) / max(m.tokens, 1)
-    d = np.array([0.0, *m.discounts[1]])
+    d = RARE
+    c = lm.found(m, 1, word)
+    p = (np.maximum(c - d[np.minimum(c, 3)], 0) + np.dot(d[1:], m.seen) * lower) / max(m.continued, 1)
     c = lm.found(m, 2, lm.keys_of(context, word))
     sums = lm.found(m, 2, context, "contexts", "sums")
     return np.where(sums[:, 0] > 0, (np.maximum(c - d[np.minimum(c, 3)], 0) + sums[:, 1:] @ d[1:] * p) / np.maximum(sums[:, 0], 1), p)
 
 
 def contrast(models: Toxicity, column: pa.Array) -> np.ndarray:
-    """Mean over each text's tokens of log p(token | class 1) - log p(token | class 0)."""
+    """Mean over each text's distinct bigrams of log p(token | class 1) - log p(token | class 0)."""
     n = len(column)
     if None in models.classes:
         return np.zeros(n)
     w = tk.words(column, tk.NOT_ALNUM, lower=True)
     s, at, row = lm.stream(w, w.hashes(), 2)
+    one = lm.distinct(s, at, row, 2)
+    at, row = at[one], row[one]
     total = np.zeros(n)
     for lo in range(0, len(at), lm.CHUNK >> 1):
         here = at[lo : lo + (lm.CHUNK >> 1)]
@@ -67,7 +74,7 @@ def contrast(models: Toxicity, column: pa.Array) -> np.ndarray:
         lower = (np.maximum(c - d[np.minimum(c, 3)], 0) + np.dot(d[1:], m.seen) / (m.types + 1)) / max(m.continued, 1)
         ordinary, toxic = (np.log(class_probabilities(k, word, context, lower)) for k in models.classes)
         total += np.bincount(row[lo : lo + len(here)], toxic - ordinary, n)
-    return total / (w.counts + 1)
+    return total / np.bincount(row, minlength=n)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -97,19 +104,21 @@ def contrasts(models: Toxicity):
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 5000, label: str = "toxic", seed: int = 29) -> Toxicity:
     """Models and curve from at most per_class labelled documents of either class.
 
-    Three quarters of the sample are counted, the rest fit the curve.  Without
+    As many of one class as of the other, equal texts of a class once; three
+    quarters of the sample are counted, the rest fit the curve.  Without
     rows of both classes every score is the share of class 1 in the labels (0.5
     without labels).
     """
-    rows, held = labelled(docs, labels, label, per_class, seed)
-    part = F.xxhash64(F.lit(seed + 1), F.col("doc_id").cast("string")).bitwiseAND(3) > 0
+    rows, held = labelled(docs, labels, label, per_class, seed, even=True)
+    rows = rows.dropDuplicates(["y", "text"])
+    part = F.xxhash64(F.lit(seed + 1), F.col("text")).bitwiseAND(3) > 0
     counted, fitted = rows.filter(part), rows.filter(~part)
     have = {r.y: r["count"] for r in counted.groupBy("y").count().collect()}
     share = held[1] / max(1, held[0] + held[1]) if held[0] + held[1] else 0.5
     flat = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
     if not (have.get(0) and have.get(1)):
         return Toxicity((None, None), None, 0.0, flat)
-    models = Toxicity(tuple(lm.fit(counted.filter(f"y = {k}"), 2, separators=tk.NOT_ALNUM) for k in (0, 1)), lm.fit(counted, 2, separators=tk.NOT_ALNUM), 0.0, flat)
+    models = Toxicity(tuple(lm.fit(counted.filter(f"y = {k}"), 3, separators=tk.NOT_ALNUM) for k in (0, 1)), lm.fit(counted, 3, separators=tk.NOT_ALNUM), 0.0, flat)
     got = sorted(fitted.select("y", "text").mapInArrow(contrasts(models), "y int, x double").collect())
     x, y = np.array([r.x for r in got]), np.array([r.y for r in got])
     if not (0 < y.sum() < len(y)):
@@ -119,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 5000, label: str =
 
 
 def scored(docs: DataFrame, models: Toxicity, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """A row per row of docs: `keep`, contrast (mean log-likelihood difference per token), score (0 to 1), predicted (1 if score >= 0.5).
+    """A row per row of docs: `keep`, contrast (mean log-likelihood difference per distinct bigram), score (0 to 1), predicted (1 if score >= 0.5).
 
     Null and empty texts are scored by their end alone.  Repeated rows get equal
     scores; other columns are not read.
