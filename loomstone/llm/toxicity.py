@@ -1,15 +1,18 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Three trigram models are counted in Spark from a bounded sample of labelled
-texts: of class 1, of class 0, and of both.  Their lower orders are used, which
-count in how many contexts an expression stands, not how often: copied lines
-and repetition weigh nothing.  In either class a bigram backs off to the class's
-words, and these to the words of both classes together.  Class counts are
-discounted by RARE, so an expression with up to three contexts in a class has
-the shared probability there.
-The difference of the mean log-likelihoods per distinct bigram (length
-normalised) becomes a score through a logistic curve fitted on sampled rows
-that the models haven't counted, weighted to the classes' shares in the labels.
+texts: of class 1, of class 0, and of both.  Their lower orders are used, words
+and bigrams, whose continuation counts say in how many contexts an expression
+stands, not how often: copied lines and repetition weigh little.  From an
+expression's count c in a class min(c, CAUTION * sqrt(c)) is taken, and what is
+taken is dealt out by the counts of both classes together: an expression that is
+rare, or about as frequent in either class, says nothing about the class.
+
+A text's contrast is the mean difference of log-likelihoods over its distinct
+bigrams and their last words (length normalised), each brought MARGIN nearer to
+zero, since language and style shift whole texts by less.  A logistic curve,
+fitted on sampled rows that the models haven't counted and weighted to the
+classes' shares in the labels, makes it a score.
 
 Texts are lower-cased A-Z; words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`, then
 one end.  Only text enters a score.
@@ -18,7 +21,7 @@ one end.  Only text enters a score.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,50 +34,59 @@ from . import tokens as tk
 from .sample import labelled
 from .shared import text_bytes
 
-#: Taken off class counts of 1, 2 and 3 or more.
-RARE = np.array([0.0, 1.0, 2.0, 3.0])
+#: Standard deviations that are taken off a class's counts.
+CAUTION = 3.0
+#: Differences of log-likelihoods up to this one count as none.
+MARGIN = 1.0
 
 
 @dataclass(frozen=True)
 class Toxicity:
-    """classes: models of class 0 and class 1 (None if a class has no rows); shared: of both; slope, offset: of the logistic curve."""
+    """classes: models of class 0 and class 1 (empty if one has no rows); shared: of both; totals: of class 0, class 1 and both, by level; kept_back: the share taken off, of class 0 and 1, by level; slope, offset: of the logistic curve."""
 
     classes: tuple
     shared: lm.Model | None
+    totals: tuple
+    kept_back: tuple
     slope: float
     offset: float
 
 
-def class_probabilities(m: lm.Model, word: np.ndarray, context: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Of words after contexts under a class's bigrams, its words, and `lower` below."""
-    d = RARE
-    c = lm.found(m, 1, word)
-    p = (np.maximum(c - d[np.minimum(c, 3)], 0) + np.dot(d[1:], m.seen) * lower) / max(m.continued, 1)
-    c = lm.found(m, 2, lm.keys_of(context, word))
-    sums = lm.found(m, 2, context, "contexts", "sums")
-    return np.where(sums[:, 0] > 0, (np.maximum(c - d[np.minimum(c, 3)], 0) + sums[:, 1:] @ d[1:] * p) / np.maximum(sums[:, 0], 1), p)
+def discount(c: np.ndarray) -> np.ndarray:
+    return np.minimum(c, CAUTION * np.sqrt(c))
+
+
+def sums(m: lm.Model, level: int) -> tuple[float, float]:
+    """A level's counts, and what is taken off them; its arrays are as small as the sample."""
+    have = [x for k in range(1 << m.bits) if (x := lm.mapped(m.path, level, k, "counts")) is not None]
+    return float(sum(x.sum() for x in have)), float(sum(discount(x.astype(float)).sum() for x in have))
+
+
+def differences(models: Toxicity, level: int, keys: np.ndarray) -> np.ndarray:
+    """log p(expression | class 1) - log p(expression | class 0), MARGIN nearer to zero; 0 if neither class has the expression."""
+    one, back = np.unique(keys, return_inverse=True)
+    both = lm.looked_up(models.shared, level, one, "keys", "counts") / models.totals[2][level - 1]
+    p = []
+    for k, m in enumerate(models.classes):
+        c = lm.looked_up(m, level, one, "keys", "counts")
+        p.append((c - discount(c)) / models.totals[k][level - 1] + models.kept_back[k][level - 1] * both)
+    x = np.log(np.where(both > 0, p[1], 1.0) / np.where(both > 0, p[0], 1.0))
+    return (np.sign(x) * np.maximum(np.abs(x) - MARGIN, 0))[back]
 
 
 def contrast(models: Toxicity, column: pa.Array) -> np.ndarray:
-    """Mean over each text's distinct bigrams of log p(token | class 1) - log p(token | class 0)."""
     n = len(column)
-    if None in models.classes:
+    if not models.classes:
         return np.zeros(n)
     w = tk.words(column, tk.NOT_ALNUM, lower=True)
     s, at, row = lm.stream(w, w.hashes(), 2)
     one = lm.distinct(s, at, row, 2)
     at, row = at[one], row[one]
-    total = np.zeros(n)
+    each = np.empty(len(at))
     for lo in range(0, len(at), lm.CHUNK >> 1):
         here = at[lo : lo + (lm.CHUNK >> 1)]
-        word, context = s[here], lm.contexts(s, here, 2)[0]
-        m = models.shared
-        d = np.array([0.0, *m.discounts[0]])
-        c = lm.found(m, 1, word)
-        lower = (np.maximum(c - d[np.minimum(c, 3)], 0) + np.dot(d[1:], m.seen) / (m.types + 1)) / max(m.continued, 1)
-        ordinary, toxic = (np.log(class_probabilities(k, word, context, lower)) for k in models.classes)
-        total += np.bincount(row[lo : lo + len(here)], toxic - ordinary, n)
-    return total / np.bincount(row, minlength=n)
+        each[lo : lo + len(here)] = differences(models, 1, s[here]) + differences(models, 2, lm.keys_of(lm.contexts(s, here, 2)[0], s[here]))
+    return np.bincount(row, each, n) / np.bincount(row, minlength=n)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -117,18 +129,21 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 5000, label: str =
     share = held[1] / max(1, held[0] + held[1]) if held[0] + held[1] else 0.5
     flat = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
     if not (have.get(0) and have.get(1)):
-        return Toxicity((None, None), None, 0.0, flat)
-    models = Toxicity(tuple(lm.fit(counted.filter(f"y = {k}"), 3, separators=tk.NOT_ALNUM) for k in (0, 1)), lm.fit(counted, 3, separators=tk.NOT_ALNUM), 0.0, flat)
+        return Toxicity((), None, (), (), 0.0, flat)
+    *classes, shared = (lm.fit(x, 3, separators=tk.NOT_ALNUM) for x in (counted.filter("y = 0"), counted.filter("y = 1"), counted))
+    found = [[sums(m, level) for level in (1, 2)] for m in (*classes, shared)]
+    models = Toxicity(tuple(classes), shared, tuple(tuple(t for t, _ in f) for f in found), tuple(tuple(d / t for t, d in f) for f in found[:2]), 0.0, flat)
     got = sorted(fitted.select("y", "text").mapInArrow(contrasts(models), "y int, x double").collect())
     x, y = np.array([r.x for r in got]), np.array([r.y for r in got])
     if not (0 < y.sum() < len(y)):
         return models
     weight = np.where(y == 1, held[1] / y.sum(), held[0] / (y == 0).sum()) * len(y) / (held[0] + held[1])
-    return Toxicity(models.classes, models.shared, *logistic(x, y, weight))
+    slope, offset = logistic(x, y, weight)
+    return replace(models, slope=slope, offset=offset)
 
 
 def scored(docs: DataFrame, models: Toxicity, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """A row per row of docs: `keep`, contrast (mean log-likelihood difference per distinct bigram), score (0 to 1), predicted (1 if score >= 0.5).
+    """A row per row of docs: `keep`, contrast, score (0 to 1), predicted (1 if score >= 0.5).
 
     Null and empty texts are scored by their end alone.  Repeated rows get equal
     scores; other columns are not read.
