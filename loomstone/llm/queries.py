@@ -30,6 +30,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, models).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "contrast")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with what a mix of their sources takes of them."""
+    from . import mixing
+
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their fingerprint and near-duplicate component."""
     from . import simhash
@@ -47,5 +54,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_toxicity": op2_toxicity, "op7_simhash_near_dedup": op7_simhash_near_dedup, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_toxicity": op2_toxicity, "op3_mixing": op3_mixing, "op7_simhash_near_dedup": op7_simhash_near_dedup, "op10_quality_rules": op10_quality_rules}
 SQL: dict[str, str] = {}
