@@ -37,6 +37,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages' urls judged by the fixed rules."""
+    from . import urls
+
+    return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"), urls.rules_table(spark)).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their fingerprint and near-duplicate component."""
     from . import simhash
@@ -53,6 +60,14 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back."""
+    from . import warc
+
+    path, manifest = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(path, manifest).drop("url", "payload")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents judged by base rules and an isolation forest."""
     from . import quality
@@ -61,5 +76,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_toxicity": op2_toxicity, "op3_mixing": op3_mixing, "op7_simhash_near_dedup": op7_simhash_near_dedup, "op8_license_scan": op8_license_scan, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_toxicity": op2_toxicity, "op3_mixing": op3_mixing, "op4_url_filters": op4_url_filters, "op7_simhash_near_dedup": op7_simhash_near_dedup, "op8_license_scan": op8_license_scan, "op9_warc": op9_warc, "op10_quality_rules": op10_quality_rules}
 SQL: dict[str, str] = {}
