@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import checkpointed
+from .shared import checkpointed, row_key
 
 SPACES = "\t\n\u000b\f\r"
 
@@ -99,3 +99,17 @@ def per_source(rows: DataFrame, values: DataFrame, few: bool) -> DataFrame:
     """rows with the values of their source; the table of sources is broadcast if it has few rows."""
     v = (F.broadcast(values) if few else values).withColumnRenamed("source", "__source")
     return rows.join(v, rows.source.eqNullSafe(v["__source"])).drop("__source")
+
+
+def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """docs, a row for every time that the mix takes it, with copy (1, 2, ...), in place of a column so named.
+
+    Of rows with equal id and size the first by text take what the mix takes most.
+    A text crosses the network once.
+    """
+    mix = mixed(docs, id=id, text=text, source=source, **how).filter("copies > 0")
+    taken = mix.groupBy(row_key(F.col(f"`{id}`"), F.col("size")).alias("__k")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__copies"))
+    keyed = docs.withColumn("__k", row_key(F.col(f"`{id}`"), n_words(F.col(f"`{text}`"))))
+    nth = F.row_number().over(Window.partitionBy("__k").orderBy(F.xxhash64(F.col(f"`{text}`"))))
+    out = keyed.withColumn("__nth", nth).join(taken, "__k").filter(F.col("__nth") <= F.size("__copies"))
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.element_at("__copies", F.col("__nth"))))).select(*(F.col(f"`{c}`") for c in docs.columns if c != "copy"), "copy")

@@ -51,3 +51,8 @@ def text_bytes(name: str) -> Column:
 def fold(name: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; null ids count as empty text."""
     return F.crc32(F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("")).cast("binary")) % n
+
+
+def row_key(id: Column, number: Column) -> Column:
+    """Text that tells apart rows by id (null is an id of its own) and a whole number; never null, so joins and windows on it share a partitioning."""
+    return F.concat(F.coalesce(F.concat(F.lit("i"), id.cast("string")), F.lit("n")), F.lit(":"), number.cast("string"))

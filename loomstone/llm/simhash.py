@@ -20,13 +20,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from .components import connected
-from .shared import checkpointed, text_bytes
+from .shared import checkpointed, row_key, text_bytes
 from .tokens import U64, combine, runs
 
 RADIUS = 4
@@ -166,7 +166,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, width: int = 2, groups: int =
 
 
 def near_duplicates(prints: DataFrame, id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """Rows of prints (`id`, fp and others) with component_id: the smallest id that links reach, the own one included.
+    """Rows of prints (`id`, fp and others) with component_id, the smallest id that links reach, the own one included, and root, the least fp so reached.
 
     Empty texts have fingerprint 0 and are linked like any other.  Rows with equal
     fingerprints, repeated rows included, share a component.  Null ids are larger
@@ -174,9 +174,20 @@ def near_duplicates(prints: DataFrame, id: str = "doc_id", radius: int = RADIUS)
     """
     nodes = prints.groupBy("fp").agg(F.min(id).alias("__least"))
     roots = connected(links(nodes.select("fp"), radius))
-    nodes = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "__least", F.coalesce("root", "fp").alias("__root"))
-    least = nodes.groupBy("__root").agg(F.min("__least").alias("component_id"))
-    return prints.join(nodes.join(least, "__root").select("fp", "component_id"), "fp")
+    nodes = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "__least", F.coalesce("root", "fp").alias("root"))
+    least = nodes.groupBy("root").agg(F.min("__least").alias("component_id"))
+    return prints.join(nodes.join(least, "root").select("fp", "component_id", "root"), "fp")
+
+
+def one_each(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of docs for each component, unchanged: of the smallest id, of its texts the one with the least hash."""
+    hashed = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
+    prints = checkpointed(fingerprints(hashed, (id, "__h"), text))
+    pick = F.min(F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), F.col("__h").alias("h"))).alias("p")
+    picked = near_duplicates(prints, id).groupBy("root").agg(pick).select(row_key(F.col("p.id"), F.col("p.h")).alias("__k")).distinct()
+    out = hashed.withColumn("__k", row_key(F.col(f"`{id}`"), F.col("__h"))).join(picked, "__k", "left_semi")
+    nth = F.row_number().over(Window.partitionBy("__k").orderBy("__h"))  # rows that repeat whole
+    return out.withColumn("__nth", nth).filter("__nth = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def hexed(fp: str) -> Column:

@@ -159,3 +159,17 @@ def scored(docs: DataFrame, models: Toxicity, keep: tuple[str, ...] = ("doc_id",
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(x), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names)
 
     return rows.mapInArrow(run, T.StructType([*(f for f in rows.schema.fields if f.name in keep), T.StructField("contrast", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+
+
+def kept(docs: DataFrame, models: Toxicity, text: str = "text") -> DataFrame:
+    """The rows of docs that aren't predicted toxic, unchanged, with all their columns."""
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = np.clip(models.offset, -500, 500)
+        for batch in batches:
+            for part in tk.slices(batch, "__text"):
+                keep = models.slope * contrast(models, part.column("__text")) + flat < 0
+                yield part.select(schema.names).filter(pa.array(keep))
+
+    return docs.withColumn("__text", text_bytes(text)).mapInArrow(run, schema)
