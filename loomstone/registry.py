@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .plans import retrieval, stats, texts
+
+QUERIES = retrieval.QUERIES | texts.QUERIES | stats.QUERIES
+SQL = retrieval.SQL | texts.SQL | stats.SQL
 FLAGSHIP = "top01_knn"
