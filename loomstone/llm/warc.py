@@ -1,7 +1,7 @@
 """A deterministic, sharded WARC writer, and its reader.
 
 Records are dealt out by ranges of their id: exact sums of payload bytes over at
-most 65,536 equal ranges of ids decide the shards, so a rerun makes the same
+most 8,192 equal ranges of ids decide the shards, so a rerun makes the same
 files.  A payload crosses the network once; which records revisit which is found
 on digests alone and meets the payloads in the sorted shard.  A shard rolls its
 file once its compressed size reaches `roll`; files are written under temporary
@@ -134,11 +134,11 @@ def write(pages: DataFrame, path: str | None = None, id: str = "page_id", url: s
     rows = pages.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{url}`").cast("string").alias("url"), F.coalesce(F.col(f"`{payload}`").cast("string"), F.lit("")).cast("binary").alias("payload"))
     slim = checkpointed(rows.select("id", F.sha1("payload").alias("own"), F.octet_length("payload").cast("long").alias("size")))
     low, high = slim.agg(F.coalesce(F.min("id"), F.lit(0)), F.coalesce(F.max("id"), F.lit(0))).first()
-    width = (high - low) // 65536 + 1
+    width = (high - low) // 8192 + 1
     bucket = F.coalesce(F.floor((F.col("id") - low) / F.lit(width)), F.lit(-1)).cast("long")
     sums = slim.groupBy(bucket.alias("bucket")).agg(F.sum(F.col("size") + 512).alias("b"))
     before = F.coalesce(F.sum("b").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranges = checkpointed(sums.select("bucket", F.floor(before / F.lit(shard_bytes)).cast("int").alias("shard")))  # 65,537 rows at most
+    ranges = checkpointed(sums.select("bucket", F.floor(before / F.lit(shard_bytes)).cast("int").alias("shard")))  # 8,193 rows at most
     shards = (ranges.agg(F.max("shard")).first()[0] or 0) + 1
 
     firsts = slim.filter(F.col("size") >= least).groupBy("own").agg(F.max("id").alias("first"))
