@@ -2,11 +2,12 @@
 
 Three trigram models are counted in Spark from a bounded sample of labelled
 texts: of class 1, of class 0, and of both.  Their lower orders are used, words
-and bigrams, whose continuation counts say in how many contexts an expression
-stands, not how often: copied lines and repetition weigh little.  From an
-expression's count c in a class min(c, CAUTION * sqrt(c)) is taken, and what is
-taken is dealt out by the counts of both classes together: an expression that is
-rare, or about as frequent in either class, says nothing about the class.
+and and bigrams, whose continuation counts say in how many contexts an expression
+stands, not how often: copied lines and repetition weigh little.  In either
+class an expression backs off to the counts of both classes together.  Where the
+two classes' counts differ by less than CAUTION standard deviations, as those of
+rare expressions must, the shared counts alone speak, and they say nothing about
+the class.
 
 A text's contrast is the mean difference of log-likelihoods over its distinct
 bigrams and their last words (length normalised), each brought MARGIN nearer to
@@ -34,8 +35,8 @@ from . import tokens as tk
 from .sample import labelled
 from .shared import text_bytes
 
-#: Standard deviations that are taken off a class's counts.
-CAUTION = 3.0
+#: Standard deviations (root of the likelihood ratio statistic) by which counts must differ.
+CAUTION = 5.0
 #: Differences of log-likelihoods up to this one count as none.
 MARGIN = 1.0
 
@@ -52,26 +53,35 @@ class Toxicity:
     offset: float
 
 
-def discount(c: np.ndarray) -> np.ndarray:
-    return np.minimum(c, CAUTION * np.sqrt(c))
-
-
 def sums(m: lm.Model, level: int) -> tuple[float, float]:
-    """A level's counts, and what is taken off them; its arrays are as small as the sample."""
+    """A level's counts, and what Kneser-Ney takes off them; its arrays are as small as the sample."""
     have = [x for k in range(1 << m.bits) if (x := lm.mapped(m.path, level, k, "counts")) is not None]
-    return float(sum(x.sum() for x in have)), float(sum(discount(x.astype(float)).sum() for x in have))
+    d = np.array([0.0, *m.discounts[level - 1]])
+    return float(sum(x.sum() for x in have)), float(sum(d[np.minimum(x, 3)].sum() for x in have))
+
+
+def surprise(a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
+    """Standard deviations by which counts a, of a + b, differ from their share."""
+    n = a + b
+    part = lambda x, q: x * np.log(np.maximum(x, 1e-9) / np.maximum(n * q, 1e-9))
+    return np.sqrt(np.maximum(2 * (part(a, share) + part(b, 1 - share)), 0))
 
 
 def differences(models: Toxicity, level: int, keys: np.ndarray) -> np.ndarray:
-    """log p(expression | class 1) - log p(expression | class 0), MARGIN nearer to zero; 0 if neither class has the expression."""
+    """log p(expression | class 1) - log p(expression | class 0), MARGIN nearer to zero; 0 where the classes' counts hardly differ."""
     one, back = np.unique(keys, return_inverse=True)
-    both = lm.looked_up(models.shared, level, one, "keys", "counts") / models.totals[2][level - 1]
+    totals = [t[level - 1] for t in models.totals]
+    counts = [lm.looked_up(m, level, one, "keys", "counts") for m in models.classes]
+    sure = surprise(counts[1].astype(float), counts[0].astype(float), totals[1] / (totals[0] + totals[1])) >= CAUTION
+    both = lm.looked_up(models.shared, level, one[sure], "keys", "counts") / totals[2]
     p = []
-    for k, m in enumerate(models.classes):
-        c = lm.looked_up(m, level, one, "keys", "counts")
-        p.append((c - discount(c)) / models.totals[k][level - 1] + models.kept_back[k][level - 1] * both)
-    x = np.log(np.where(both > 0, p[1], 1.0) / np.where(both > 0, p[0], 1.0))
-    return (np.sign(x) * np.maximum(np.abs(x) - MARGIN, 0))[back]
+    for m, c, total, rest in zip(models.classes, counts, totals, models.kept_back):
+        d = np.array([0.0, *m.discounts[level - 1]])
+        p.append(np.maximum(c[sure] - d[np.minimum(c[sure], 3)], 0) / total + rest[level - 1] * both)
+    x = np.log(p[1] / p[0])
+    out = np.zeros(len(one))
+    out[sure] = np.sign(x) * np.maximum(np.abs(x) - MARGIN, 0)
+    return out[back]
 
 
 def contrast(models: Toxicity, column: pa.Array) -> np.ndarray:
