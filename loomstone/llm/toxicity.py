@@ -126,12 +126,12 @@ def contrasts(models: Toxicity):
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 5000, label: str = "toxic", seed: int = 29) -> Toxicity:
     """Models and curve from at most per_class labelled documents of either class.
 
-    As many of one class as of the other, equal texts of a class once; three
+    Equal texts of a class count once; three
     quarters of the sample are counted, the rest fit the curve.  Without
     rows of both classes every score is the share of class 1 in the labels (0.5
     without labels).
     """
-    rows, held = labelled(docs, labels, label, per_class, seed, even=True)
+    rows, held = labelled(docs, labels, label, per_class, seed)
     rows = rows.dropDuplicates(["y", "text"])
     part = F.xxhash64(F.lit(seed + 1), F.col("text")).bitwiseAND(3) > 0
     counted, fitted = rows.filter(part), rows.filter(~part)
