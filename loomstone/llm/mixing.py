@@ -61,7 +61,8 @@ def mixed(docs: DataFrame, cycle: tuple[float, ...] = (1.0, 2.0, 3.0), epochs: f
     Null sources form one source; a source without words has target 0.  Null texts
     have size 0.  Rows that are equal in id and size are interchangeable; every
     other tie of the seeded order is broken by id and size.  Reruns agree.  No
-    document is taken more than ceil(epochs) times.
+    document is taken more than ceil(epochs) times; documents without words weigh
+    nothing and come along where the order has them before the cut.
     """
     rows = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{source}`").alias("source"), n_words(F.col(f"`{text}`")).alias("size"))
     rows = checkpointed(rows.withColumn("h", F.xxhash64(F.lit(seed), F.col("id").cast("string"), "size")))
