@@ -38,7 +38,7 @@ def cycles(deps: DataFrame, most: int = 50) -> DataFrame:
              UNION ALL SELECT w.start, d.dep, concat(w.path, array(d.dep)), d.dep = w.start
                FROM walk w JOIN {{deps}} d ON d.task = w.last
                WHERE NOT w.closed AND size(w.path) < {most} AND d.dep >= w.start AND (d.dep = w.start OR NOT array_contains(w.path, d.dep)))
-           SELECT start, path FROM walk WHERE closed""",
+           SELECT start, slice(path, 1, size(path) - 1) AS path FROM walk WHERE closed""",
         deps=deps,
     )
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import retrieval, stats, texts
+from .plans import contexts, retrieval, stats, texts
 
-QUERIES = retrieval.QUERIES | texts.QUERIES | stats.QUERIES
-SQL = retrieval.SQL | texts.SQL | stats.SQL
+QUERIES = retrieval.QUERIES | texts.QUERIES | stats.QUERIES | contexts.QUERIES
+SQL = retrieval.SQL | texts.SQL | stats.SQL | contexts.SQL
 FLAGSHIP = "top01_knn"
