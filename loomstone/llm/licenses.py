@@ -91,7 +91,7 @@ def scanned(docs: DataFrame, id: str = "doc_id", text: str = "text", phrases: di
     Texts are lower-cased A-Z; words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`;
     null texts are empty.  labels: base ones, and those of every template that a
     line meets.  score: 1 with a base label, else the largest share of a template
-    that a line passing the filters has, else 0.  Rows with equal id and text are
+    that a line which meets it has, else 0.  Rows with equal id and text are
     judged alike.  Phrases may share words with one another.
     """
     phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
@@ -120,7 +120,7 @@ def scanned(docs: DataFrame, id: str = "doc_id", text: str = "text", phrases: di
     # by the template's rarest word in the block alone; length and position leave enough
     met = met.filter((F.size("words") >= F.col("need")) & (F.size("tokens") - F.col("position") >= F.col("need")) & (F.size(F.array_intersect("words", F.expr("slice(tokens, 1, position)"))) == 0))
     share = met.select("id", "h", "size", "label", "need", F.size("tokens").alias("m"), F.size(F.array_intersect("words", "tokens")).alias("n"))
-    labels = share.groupBy("id", "h", "size").agg(F.collect_set(F.when(F.col("n") >= F.col("need"), F.col("label"))).alias("more"), F.max(F.col("n") / F.col("m")).alias("best"))
+    labels = share.groupBy("id", "h", "size").agg(F.collect_set(F.when(F.col("n") >= F.col("need"), F.col("label"))).alias("more"), F.max(F.when(F.col("n") >= F.col("need"), F.col("n") / F.col("m"))).alias("best"))
 
     b, m = base.alias("b"), labels.alias("m")
     out = b.join(m, F.col("b.id").eqNullSafe(F.col("m.id")) & (F.col("b.h") == F.col("m.h")) & (F.col("b.size") == F.col("m.size")), "left")

@@ -92,4 +92,51 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_toxicity": op2_toxicity, "op3_mixing": op3_mixing, "op4_url_filters": op4_url_filters, "op5_decontamination": op5_decontamination, "op6_line_dedup": op6_line_dedup, "op7_simhash_near_dedup": op7_simhash_near_dedup, "op8_license_scan": op8_license_scan, "op9_warc": op9_warc, "op10_quality_rules": op10_quality_rules}
-SQL: dict[str, str] = {}
+LOWER = "translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def op4_sql() -> str:
+    from .urls import RULES
+
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
+    return f"""WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+ h AS (SELECT page_id, {LOWER.format(t="regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+ r(verdict, rh, rp) AS (VALUES {rules}),
+ m AS (SELECT page_id, host, path, verdict, rh || rp AS rule, row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC, length(rh) DESC) AS n FROM h LEFT JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
+ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE n = 1"""
+
+
+def op8_sql() -> str:
+    import math
+
+    from .licenses import PHRASES, TEMPLATES, THRESHOLD
+
+    words = r"regexp_extract_all({t}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    as_list = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    starts, labels = [], []
+    for phrase, label in PHRASES.items():
+        q = phrase.split()
+        starts.append(f"list_filter(range(0, greatest(len(w) - {len(q) - 1}, 0)), lambda i: w[i + 1:i + {len(q)}] = {as_list(q)})")
+        labels.append(f"CASE WHEN len({starts[-1]}) > 0 THEN '{label}' END")
+    met, shares = [], []
+    for label, text in TEMPLATES:
+        own = sorted(set(text.split()))
+        need = math.ceil(THRESHOLD * len(own) - 1e-9)
+        most = f"list_max(list_transform(lines, lambda l: len(list_intersect(l, {as_list(own)}))))"
+        met.append(f"CASE WHEN {most} >= {need} THEN '{label}' END")
+        shares.append(f"CASE WHEN {most} >= {need} THEN {most} / {len(own)}::DOUBLE ELSE 0 END")
+    joined = lambda parts: f"array_to_string(list_sort(list_distinct(list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL))), ',')"
+    return f"""WITH t AS (SELECT doc_id, {LOWER.format(t="coalesce(text, '')")} AS t FROM documents),
+ w AS (SELECT doc_id, {words.format(t="t")} AS w, list_transform(string_split(t, chr(10)), lambda l: list_distinct({words.format(t="l")})) AS lines FROM t),
+ s AS (SELECT doc_id, w, lines, list_concat({starts[0]}, {", ".join(starts[1:])}) AS places FROM w)
+ SELECT doc_id, len(w) AS n_words, len(places) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word, {joined(labels)} AS base_labels, {joined([*labels, *met])} AS labels,
+  CASE WHEN len(places) > 0 THEN 1.0 ELSE greatest({", ".join(shares)}) END::DOUBLE AS score FROM s"""
+
+
+OP9_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages), f AS (SELECT h, max(page_id) AS first FROM p GROUP BY h)
+ SELECT page_id, strlen(t) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(p.h, (i // 4) * 5 + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+ FROM p JOIN f ON f.h = p.h"""
+
+SQL: dict[str, str] = {"op4_url_filters": op4_sql(), "op8_license_scan": op8_sql(), "op9_warc": OP9_SQL}
