@@ -189,7 +189,7 @@ def leaks(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "te
                     take = pa.array([r for r, *_ in found], pa.int64())
                     yield pa.RecordBatch.from_arrays([part.column("__id").take(take), pa.array([group.ids[k] for _, k, _, _ in found], item_kind), pa.array([s for *_, s, _ in found], pa.float64()), pa.array([w for *_, w in found], pa.int64())], ["__id", "__item", "similarity", "first_word"])
 
-        out = out.union(rows.mapInArrow(run, kinds))
+        out = out.union(rows.mapInArrow(tk.lean(run), kinds))
     return out.withColumnsRenamed({"__id": id, "__item": item})
 
 
@@ -200,10 +200,10 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "it
 
         def run(batches: Iterator[pa.RecordBatch], group: Items = group) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in tk.slices(batch, "__text"):
+                for part in tk.slices(batch, text):
                     keep = np.ones(part.num_rows, bool)
-                    keep[[r for r, *_ in searched(group, part.column("__text"))]] = False
-                    yield part.select(schema.names).filter(pa.array(keep))
+                    keep[[r for r, *_ in searched(group, tk.as_bytes(part.column(text)))]] = False
+                    yield part.filter(pa.array(keep))
 
-        docs = docs.withColumn("__text", text_bytes(text)).mapInArrow(run, schema)
+        docs = docs.mapInArrow(tk.lean(run), schema)
     return docs

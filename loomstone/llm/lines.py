@@ -110,13 +110,13 @@ def recurring(docs: DataFrame, id: str = "doc_id", text: str = "text", per_shard
     """Writes the recurring templates of all documents; the folder, and log2 of the number of shards."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(LAST)).alias("__id"), text_bytes(text).alias("__text"))
-    found = rows.mapInArrow(seen, "key long, id long, needed int").groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"), F.max("needed").alias("needed"))
+    found = rows.mapInArrow(tk.lean(seen), "key long, id long, needed int").groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"), F.max("needed").alias("needed"))
     found = checkpointed(found.filter((F.col("n") >= F.col("needed")) & (F.col("first") != F.col("last"))).select("key", "first"))
     bits = max(0, math.ceil(math.log2(max(1, found.count() / per_shard))))
     path = mounted(scratch(spark, "lines"))
     os.makedirs(path)
     shard = F.shiftrightunsigned("key", 64 - bits).cast("int") if bits else F.lit(0)
-    found.select(shard.alias("shard"), "key", "first").repartitionById(1 << bits, F.col("shard")).mapInArrow(kept_arrays(path), "n long").collect()
+    found.select(shard.alias("shard"), "key", "first").repartitionById(1 << bits, F.col("shard")).mapInArrow(tk.lean(kept_arrays(path)), "n long").collect()
     return path, bits
 
 
@@ -145,13 +145,13 @@ def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     """
     path, bits = recurring(docs, id, text)
     keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(LAST)).alias("__id"), text_bytes(text).alias("__text"))
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(LAST)).alias("__id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tk.slices(batch, "__text"):
+            for part in tk.slices(batch, text):
                 ids = part.column("__id").to_numpy(zero_copy_only=False)
-                row, number, _, keys = templates(part.column("__text"))
+                row, number, _, keys = templates(tk.as_bytes(part.column(text)))
                 gone = (firsts(path, bits, keys) < ids[row][:, None]).any(axis=1) if len(keys) else np.zeros(0, bool)
                 texts = part.column(text)
                 if gone.any():
@@ -166,4 +166,4 @@ def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
                 yield pa.RecordBatch.from_arrays([*k, pa.array(np.bincount(row, minlength=n)), pa.array(np.bincount(row[gone], minlength=n))], [*keep, "n_lines", "n_dropped"])
 
     out = T.StructType([*(docs.schema[c] for c in keep), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(tk.lean(run), out)

@@ -200,6 +200,7 @@ def merger(path: str, order: int, bits: int):
             out += dealt(level - 1, columns[1:], np.ones(len(counts), U64), bits)
         told = {"level": level, "n": len(counts), "sum": int(counts.sum()), "of": [int((counts == k).sum()) for k in (1, 2, 3, 4)]}
         out.append((-1, shard, 0, 0, json.dumps(told).encode()))
+        tk.release()
         return pa.Table.from_batches([as_batch(out)])
 
     return run
@@ -228,7 +229,7 @@ def fit(train: DataFrame, order: int = 2, text: str = "text", separators: np.nda
     bits = min(SLICE_BITS, max(0, math.ceil(math.log2(max(1, size / shard_bytes)))))
     path = mounted(scratch(spark, "lm"))
     os.makedirs(path)
-    rows = texts.mapInArrow(counter(order, bits, separators), ROWS)
+    rows = texts.mapInArrow(tk.lean(counter(order, bits, separators)), ROWS)
     for _ in range(max(1, order)):
         rows = rows.groupBy("level", "shard").applyInArrow(merger(path, order, bits), ROWS)
     told = [json.loads(bytes(r.payload)) for r in rows.filter("level = -1").select("payload").collect()]
@@ -317,4 +318,4 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
     """
     kept = docs.select(*(F.col(f"`{c}`") for c in keep), text_bytes(text).alias("__text"))
     out = T.StructType([*(f for f in kept.schema.fields if f.name in keep), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known")), *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score", "perplexity"))])
-    return kept.mapInArrow(scorer(model, [*keep], separators), out)
+    return kept.mapInArrow(tk.lean(scorer(model, [*keep], separators)), out)

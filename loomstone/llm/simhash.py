@@ -27,7 +27,7 @@ from xxhash import xxh64_intdigest
 
 from .components import connected
 from .shared import checkpointed, row_key, text_bytes
-from .tokens import U64, combine, runs
+from .tokens import U64, combine, lean, runs
 
 RADIUS = 4
 SHINGLE = 4
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str
             fp = np.fromiter((fingerprint(t.as_py()) for t in batch.column("__text")), U64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fp.view(np.int64))], [*keep, "fp"])
 
-    return rows.mapInArrow(run, T.StructType([*(f for f in rows.schema.fields if f.name in keep), T.StructField("fp", T.LongType())]))
+    return rows.mapInArrow(lean(run), T.StructType([*(f for f in rows.schema.fields if f.name in keep), T.StructField("fp", T.LongType())]))
 
 
 def embedded(fp: np.ndarray, width: int) -> np.ndarray:
@@ -152,7 +152,7 @@ def linked(width: int, radius: int):
 
 def links(nodes: DataFrame, radius: int = RADIUS, width: int = 2, groups: int = 6, most: int = 2048) -> DataFrame:
     """Edges (a, b) that connect every pair of distinct fp at `radius` or fewer differing bits, directly or through others so linked."""
-    cell = nodes.select("fp").mapInArrow(cells(masks(width, groups, radius), width), "cell long, fp long")
+    cell = nodes.select("fp").mapInArrow(lean(cells(masks(width, groups, radius), width)), "cell long, fp long")
     cell = checkpointed(cell)
     large = cell.groupBy("cell").count().filter(F.col("count") > most).select("cell", F.ceil(F.col("count") / most).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
@@ -162,7 +162,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, width: int = 2, groups: int =
         .select("cell", "fp", F.explode(F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(pairs)).alias("p"))
         .select("cell", "p.i", "p.j", "fp")
     )
-    return dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(linked(width, radius), "a long, b long")
+    return dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(lean(linked(width, radius)), "a long, b long")
 
 
 def near_duplicates(prints: DataFrame, id: str = "doc_id", radius: int = RADIUS) -> DataFrame:

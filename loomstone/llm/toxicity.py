@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 5000, label: str =
     *classes, shared = (lm.fit(x, 3, separators=tk.NOT_ALNUM) for x in (counted.filter("y = 0"), counted.filter("y = 1"), counted))
     found = [[sums(m, level) for level in (1, 2)] for m in (*classes, shared)]
     models = Toxicity(tuple(classes), shared, tuple(tuple(t for t, _ in f) for f in found), tuple(tuple(d / t for t, d in f) for f in found[:2]), 0.0, flat)
-    got = sorted(fitted.select("y", "text").mapInArrow(contrasts(models), "y int, x double").collect())
+    got = sorted(fitted.select("y", "text").mapInArrow(tk.lean(contrasts(models)), "y int, x double").collect())
     x, y = np.array([r.x for r in got]), np.array([r.y for r in got])
     if not (0 < y.sum() < len(y)):
         return models
@@ -168,7 +168,7 @@ def scored(docs: DataFrame, models: Toxicity, keep: tuple[str, ...] = ("doc_id",
                 s = 1 / (1 + np.exp(-np.clip(models.slope * x + models.offset, -500, 500)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(x), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names)
 
-    return rows.mapInArrow(run, T.StructType([*(f for f in rows.schema.fields if f.name in keep), T.StructField("contrast", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return rows.mapInArrow(tk.lean(run), T.StructType([*(f for f in rows.schema.fields if f.name in keep), T.StructField("contrast", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
 def kept(docs: DataFrame, models: Toxicity, text: str = "text") -> DataFrame:
@@ -178,8 +178,8 @@ def kept(docs: DataFrame, models: Toxicity, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = np.clip(models.offset, -500, 500)
         for batch in batches:
-            for part in tk.slices(batch, "__text"):
-                keep = models.slope * contrast(models, part.column("__text")) + flat < 0
-                yield part.select(schema.names).filter(pa.array(keep))
+            for part in tk.slices(batch, text):
+                keep = models.slope * contrast(models, tk.as_bytes(part.column(text))) + flat < 0
+                yield part.filter(pa.array(keep))
 
-    return docs.withColumn("__text", text_bytes(text)).mapInArrow(run, schema)
+    return docs.mapInArrow(tk.lean(run), schema)

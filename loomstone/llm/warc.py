@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import checkpointed, mounted, scratch
+from .tokens import lean
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -147,7 +148,7 @@ def write(pages: DataFrame, path: str | None = None, id: str = "page_id", url: s
     both = decided.select("id", F.lit(0).alias("kind"), "first", "own", null("string").alias("url"), null("binary").alias("payload")).union(rows.select("id", F.lit(1), null("long"), null("string"), "url", "payload"))
     both = both.withColumn("bucket", bucket).join(F.broadcast(ranges), "bucket").select("shard", "id", "kind", "first", "own", "url", "payload")
     both = both.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "kind")
-    manifest = checkpointed(both.mapInArrow(writer(path, roll, level), "file string, records long, bytes long, sha1 string"))
+    manifest = checkpointed(both.mapInArrow(lean(writer(path, roll, level)), "file string, records long, bytes long, sha1 string"))
     held = f"{path}/.manifest.{os.urandom(6).hex()}"
     with open(held, "w") as f:  # a line per file of about `roll` bytes
         for r in manifest.orderBy("file").toLocalIterator():
@@ -195,7 +196,7 @@ def read(path: str, manifest: DataFrame, payloads: bool = False) -> DataFrame:
 
     kinds = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("refers_to", T.LongType()), T.StructField("url", T.StringType()), T.StructField("payload", T.BinaryType())])
     names = manifest.select("file")
-    return names.repartition(max(1, min(2000, names.count()))).mapInArrow(run, kinds)
+    return names.repartition(max(1, min(2000, names.count()))).mapInArrow(lean(run), kinds)
 
 
 def rows_of(out: list[tuple]) -> pa.RecordBatch:
