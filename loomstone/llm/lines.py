@@ -1,13 +1,15 @@
 """Line dedup with a log-template tree of fixed depth.
 
-A line's path in the tree is its number of words and its first DEPTH words;
+A message is a line, or a sentence of SENTENCE words or more inside a line of
+several.  Its path in the tree is its number of words and its first DEPTH words;
 words with a digit are variable fields and equal one another.  A leaf's
-templates are the rest of the line, whole or with one of PARTS equal stretches
-left open, so lines that vary in one stretch share a template.  Each template is
-a 64-bit key from sums over positions, found without a loop over lines.
+templates are the rest of the message, whole or, for lines, with one of PARTS
+equal stretches left open, so lines that vary in one stretch share a template.
+Each template is a 64-bit key from sums over positions, found without a loop
+over messages.
 
 A template recurs if enough documents have it, the more the shorter it is
-(NEEDED).  All documents but the one with the smallest id lose its lines.
+(NEEDED).  All documents but the one with the smallest id lose its messages.
 
 Counting is a sum per key with partial sums before the shuffle; texts are never
 shuffled.  Recurring keys and their first ids become sorted arrays in the shared
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import math
 import os
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,40 +37,63 @@ U64 = tk.U64
 DEPTH = 3
 PARTS = 4
 GENERAL = 12  # lines with fewer words have no open stretch
-#: Words from which on a line recurs in so many documents.
+SENTENCE = 8  # shorter sentences are no messages
+#: Words from which on a message recurs in so many documents.
 NEEDED = ((50, 2), (8, 3), (1, 10))
 LINE = tk._table("\n")
 DIGIT = tk._table("0123456789")
+STOP = tk._table(".!?")
 FIELD = U64(0xA0761D6478BD642F)
 LAST = (1 << 63) - 1
 
 
-def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every line with a word: its row, its number in the text, its number of words, and its keys [line, 1 + PARTS], 0 where there is none."""
-    w = tk.words(column, lower=True)
-    starts, ends = tk.spans(w.buf, w.bounds, LINE)
-    first, last = np.searchsorted(w.starts, starts), np.searchsorted(w.starts, ends)
-    full = last > first
-    starts, first, last = starts[full], first[full], last[full]
-    row = np.searchsorted(w.bounds, starts, "right") - 1
-    breaks = np.concatenate([[0], np.cumsum(LINE[w.buf])])
-    number = breaks[starts] - breaks[w.bounds[row]]
-    digits = np.concatenate([[0], np.cumsum(DIGIT[w.buf])])
-    h = np.where(digits[w.ends] > digits[w.starts], FIELD, w.hashes())
-    n = last - first
-    at = np.arange(len(h)) - np.repeat(first, n)
-    sums = np.concatenate([np.zeros(1, U64), np.cumsum(tk.combine(h, at.astype(U64)), dtype=U64)])
-    whole = sums[last] - sums[first]
-    keys = np.zeros((len(n), 1 + PARTS), U64)
-    size = n.astype(U64) * U64(PARTS + 1)
-    keys[:, 0] = tk.combine(size, whole)
-    rest = np.maximum(n - DEPTH, 0)
-    for k in range(PARTS):
-        a, b = first + DEPTH + rest * k // PARTS, first + DEPTH + rest * (k + 1) // PARTS
+class Messages:
+    """Messages of a column: row, line (number in the text), n (words), keys [message, 1 + PARTS] (0: none); the first `lines` of them are lines, the others sentences at bytes start to end of their line."""
+
+    def __init__(self, column: pa.Array):
+        w = tk.words(column, lower=True)
+        starts, ends = tk.spans(w.buf, w.bounds, LINE)
+        first, last = np.searchsorted(w.starts, starts), np.searchsorted(w.starts, ends)
+        full = last > first
+        starts, first, last = starts[full], first[full], last[full]
+        row = np.searchsorted(w.bounds, starts, "right") - 1
+        breaks = np.concatenate([[0], np.cumsum(LINE[w.buf])])
+        number = breaks[starts] - breaks[w.bounds[row]]
+        digits = np.concatenate([[0], np.cumsum(DIGIT[w.buf])])
+        h = np.where(digits[w.ends] > digits[w.starts], FIELD, w.hashes())
+        n = last - first
+        self.lines = len(n)
+
+        opens = np.zeros(len(h) + 1, bool)
+        opens[1:-1] = STOP[w.buf[w.ends[:-1] - 1]] if len(h) else False
+        opens[first] = True
+        head = np.flatnonzero(opens[:-1])
+        tail = np.append(head[1:], len(h))
+        of = np.searchsorted(first, head, "right") - 1
+        own = (tail - head >= SENTENCE) & (tail - head < n[of])
+        head, tail, of = head[own], tail[own], of[own]
+        self.row, self.line = np.concatenate([row, row[of]]), np.concatenate([number, number[of]])
+        self.start, self.end = w.starts[head] - starts[of], (w.ends[tail - 1] if len(tail) else tail) - starts[of]
+
+        at = np.arange(len(h)) - np.repeat(first, n)
+        each = np.concatenate([np.zeros(1, U64), np.cumsum(tk.combine(h, at.astype(U64)), dtype=U64)])
+        whole = each[last] - each[first]
+        self.n = np.concatenate([n, tail - head])
+        keys = np.zeros((len(self.n), 1 + PARTS), U64)
+        size = self.n.astype(U64) * U64(PARTS + 1)
+        keys[: self.lines, 0] = tk.combine(size[: self.lines], whole)
+        rest = np.maximum(n - DEPTH, 0)
         open_ = n >= GENERAL
-        own = whole[open_] - (sums[b[open_]] - sums[a[open_]])
-        keys[open_, k + 1] = tk.combine(size[open_] + U64(k + 1), own)
-    return row, number, n, keys
+        for k in range(PARTS):
+            a, b = first + DEPTH + rest * k // PARTS, first + DEPTH + rest * (k + 1) // PARTS
+            keys[: self.lines, k + 1][open_] = tk.combine(size[: self.lines][open_] + U64(k + 1), whole[open_] - (each[b[open_]] - each[a[open_]]))
+        if len(head):  # the same, counted from the sentence's first word
+            m = tail - head
+            at = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+            each = np.concatenate([np.zeros(1, U64), np.cumsum(tk.combine(h[np.repeat(head, m) + at], at.astype(U64)), dtype=U64)])
+            upto = np.cumsum(m)
+            keys[self.lines :, 0] = tk.combine(size[self.lines :], each[upto] - each[upto - m])
+        self.keys = keys
 
 
 def needed(n: np.ndarray) -> np.ndarray:
@@ -82,12 +108,12 @@ def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in tk.slices(batch, "__text"):
             ids = part.column("__id").to_numpy(zero_copy_only=False)
-            row, _, n, keys = templates(part.column("__text"))
-            line, k = np.nonzero(keys)
-            key, of = keys[line, k], row[line]
+            m = Messages(part.column("__text"))
+            message, k = np.nonzero(m.keys)
+            key, of = m.keys[message, k], m.row[message]
             by = np.lexsort((key, of))
             by = by[tk.runs(of[by], key[by])]
-            yield pa.RecordBatch.from_arrays([pa.array(key[by].view(np.int64)), pa.array(ids[of[by]]), pa.array(needed(n[line[by]]))], ["key", "id", "needed"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[by].view(np.int64)), pa.array(ids[of[by]]), pa.array(needed(m.n[message[by]]))], ["key", "id", "needed"])
 
 
 def kept_arrays(path: str):
@@ -135,35 +161,57 @@ def firsts(path: str, bits: int, keys: np.ndarray) -> np.ndarray:
     return out[back].reshape(keys.shape)
 
 
+def without(text: str, lines: set[int], cuts: dict[int, list[tuple[int, int]]]) -> str:
+    """The text without whole lines, and without bytes of others, each with a blank beside them."""
+    out = []
+    for k, line in enumerate(text.split("\n")):
+        if k in lines:
+            continue
+        if k in cuts:
+            data, at, kept = line.encode(), 0, []
+            for a, b in cuts[k]:
+                kept.append(data[at:a])
+                at = b + (data[b : b + 1] == b" ")
+            line = b"".join([*kept, data[at:]]).decode().rstrip(" ") if at >= len(data) else b"".join([*kept, data[at:]]).decode()
+        out.append(line)
+    return "\n".join(out)
+
+
 def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with dropped lines gone from `text`, and n_lines, n_dropped (lines with words) added, in place of columns so named.
+    """docs with dropped messages gone from `text`, and n_lines, n_dropped (lines with words), n_cut (sentences) added, in place of columns so named.
 
     Rows with equal ids count as one document when a template's first one is
-    chosen.  Null ids come after all others and never lose lines to one another.
+    chosen.  Null ids come after all others and never lose messages to one another.
     Null and empty texts stay as they are; lines without words always stay.
     Templates that stand in one id alone never recur.
     """
     path, bits = recurring(docs, id, text)
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    added = ("n_lines", "n_dropped", "n_cut")
+    keep = [c for c in docs.columns if c not in added]
     rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(LAST)).alias("__id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tk.slices(batch, text):
                 ids = part.column("__id").to_numpy(zero_copy_only=False)
-                row, number, _, keys = templates(tk.as_bytes(part.column(text)))
-                gone = (firsts(path, bits, keys) < ids[row][:, None]).any(axis=1) if len(keys) else np.zeros(0, bool)
-                texts = part.column(text)
+                m = Messages(tk.as_bytes(part.column(text)))
+                gone = (firsts(path, bits, m.keys) < ids[m.row][:, None]).any(axis=1) if len(m.n) else np.zeros(0, bool)
+                texts, n = part.column(text), part.num_rows
+                row, sentences = m.row, np.arange(len(m.n)) >= m.lines
                 if gone.any():
                     values = texts.to_pylist()
-                    hit = np.flatnonzero(gone)
-                    cuts = tk.runs(row[hit])
-                    for lo, hi in zip(cuts, [*cuts[1:], len(hit)]):
-                        r, drop = int(row[hit[lo]]), set(number[hit[lo:hi]].tolist())
-                        values[r] = "\n".join(x for k, x in enumerate(values[r].split("\n")) if k not in drop)
+                    drop, cuts = defaultdict(set), defaultdict(lambda: defaultdict(list))
+                    for x in np.flatnonzero(gone).tolist():
+                        r, k = int(row[x]), int(m.line[x])
+                        if x < m.lines:
+                            drop[r].add(k)
+                        elif k not in drop[r]:
+                            cuts[r][k].append((int(m.start[x - m.lines]), int(m.end[x - m.lines])))
+                    for r in drop.keys() | cuts.keys():
+                        values[r] = without(values[r], drop[r], cuts[r])
                     texts = pa.array(values, texts.type)
-                n, k = part.num_rows, [part.column(c) if c != text else texts for c in keep]
-                yield pa.RecordBatch.from_arrays([*k, pa.array(np.bincount(row, minlength=n)), pa.array(np.bincount(row[gone], minlength=n))], [*keep, "n_lines", "n_dropped"])
+                counts = (np.bincount(row[~sentences], minlength=n), np.bincount(row[gone & ~sentences], minlength=n), np.bincount(row[gone & sentences], minlength=n))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) if c != text else texts for c in keep), *map(pa.array, counts)], [*keep, *added])
 
-    out = T.StructType([*(docs.schema[c] for c in keep), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    out = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(c, T.LongType()) for c in added)])
     return rows.mapInArrow(tk.lean(run), out)

@@ -52,11 +52,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with the number of lines they lose, and what is left."""
+    """All documents with the number of lines and sentences they lose, and what is left."""
     from . import lines
 
     out = lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("chars_left"), F.md5(F.col("text").cast("binary")).alias("digest"))
+    return out.select("doc_id", "n_lines", "n_dropped", "n_cut", F.length("text").cast("long").alias("chars_left"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
