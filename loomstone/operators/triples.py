@@ -12,7 +12,7 @@ def json_of(reply: Column) -> Column:
     """A fenced block's content, else from the first bracket to the last of its kind, else the reply."""
     fenced = F.regexp_extract(reply, r"(?s)```(?:json)?\s*(.*?)```", 1)
     bare = F.regexp_extract(reply, r"(?s)(\{.*\}|\[.*\])", 1)
-    return F.trim(F.when(fenced != "", fenced).when(bare != "", bare).otherwise(reply))
+    return F.regexp_replace(F.when(fenced != "", fenced).when(bare != "", bare).otherwise(reply), r"^\s+|\s+$", "")
 
 
 def parsed(replies: DataFrame, id: str, reply: str, least: float = 0.0) -> DataFrame:

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 def newest(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
     """The last n rows of each group: a working memory of capacity n."""
     w = Window.partitionBy(group).orderBy(F.desc(order))
-    return rows.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= n).drop("nth")
+    return rows.withColumn("__nth", F.row_number().over(w)).filter(F.col("__nth") <= n).drop("__nth")
 
 
 def first_n(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
     w = Window.partitionBy(group).orderBy(order)
-    return rows.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= n).drop("nth")
+    return rows.withColumn("__nth", F.row_number().over(w)).filter(F.col("__nth") <= n).drop("__nth")
 
 
 def batches(rows: DataFrame, group: str, order: str, size: int) -> DataFrame:

@@ -251,9 +251,13 @@ def gr03(s, d):
 LEVELS = f"WITH RECURSIVE d AS ({V.DEPS}), t AS ({V.TASKS}), walk(task, level) AS (SELECT task, 0 FROM t UNION ALL SELECT d.task, w.level + 1 FROM walk w JOIN d ON d.dep = w.task), l AS (SELECT task, max(level) AS level FROM walk GROUP BY task)"
 
 
-@add("gr04_cycles", "SELECT a AS start, list_value(a, b, c) AS path FROM (SELECT unnest([0, 3, 6, 9]) AS a) x, (SELECT 0 AS b, 0 AS c) y WHERE false")
+LOOPS = "SELECT task, dep FROM d UNION SELECT 2, 5 UNION SELECT 1, 6 UNION SELECT 7, 7"
+
+
+@add("gr04_cycles", f"WITH RECURSIVE d AS ({V.DEPS}), e AS ({LOOPS}), walk(start, last, path, closed) AS (SELECT dep, dep, [dep], false FROM (SELECT DISTINCT dep FROM e) UNION ALL SELECT w.start, e.dep, list_append(w.path, e.dep), e.dep = w.start FROM walk w JOIN e ON e.task = w.last WHERE NOT w.closed AND e.dep >= w.start AND (e.dep = w.start OR NOT list_contains(w.path, e.dep))) SELECT start, array_to_string(path[1:len(path) - 1], ',') AS path FROM walk WHERE closed")
 def gr04(s, d):
-    return graph.cycles(V.deps(s, d).filter("task <> dep"))
+    e = V.deps(s, d).union(s.createDataFrame([(2, 5), (1, 6), (7, 7)], "task long, dep long")).distinct()
+    return graph.cycles(e).select("start", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
 
 
 @add("gr05_topological_sort", LEVELS + " SELECT task, row_number() OVER (ORDER BY level, task) AS nth FROM l")
