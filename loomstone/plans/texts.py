@@ -94,8 +94,9 @@ def b11(s, d):
 
 def _complexity_sql(q: str) -> str:
     parts = [f"least(len({PLAIN.replace('text', q)}) / 20.0::DOUBLE, 1.0) * 0.15"]
+    plain = f"regexp_replace({q}, '[^\\x00-\\x7F]', '_', 'g')"  # accented letters are parts of words
     for pattern, weight in T.COMPLEXITY.values():
-        parts.append(f"least(len(regexp_extract_all({q}, '(?i){pattern}')) * 0.3::DOUBLE, 1.0) * {weight}")
+        parts.append(f"least(len(regexp_extract_all({plain}, '(?i){pattern}')) * 0.3::DOUBLE, 1.0) * {weight}")
     return f"least({' + '.join(parts)} + CASE WHEN ends_with(trim({q}), '?') THEN 0.7 ELSE 0.3 END * 0.1::DOUBLE, 1.0)"
 
 
