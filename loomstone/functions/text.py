@@ -12,10 +12,18 @@ def strings(values: list[str]) -> Column:
     return F.array(*map(F.lit, values)).cast("array<string>")
 
 
+def raw_identifiers(text: Column) -> Column:
+    """Lower-cased `[a-z_][a-z0-9_]*` tokens."""
+    return F.regexp_extract_all(F.lower(text), F.lit("([a-z_][a-z0-9_]*)"), F.lit(1))
+
+
+def is_term(token: Column) -> Column:
+    """Neither a stop word nor a single character."""
+    return (F.length(token) > 1) & ~token.isin(EMBED_STOP)
+
+
 def identifiers(text: Column) -> Column:
-    """Lower-cased `[a-z_][a-z0-9_]*` tokens without stop words and single characters."""
-    found = F.regexp_extract_all(F.lower(text), F.lit("([a-z_][a-z0-9_]*)"), F.lit(1))
-    return F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(EMBED_STOP))
+    return F.filter(raw_identifiers(text), is_term)
 
 
 def bucket(token: Column, dim: int) -> Column:

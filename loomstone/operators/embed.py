@@ -15,10 +15,13 @@ def _unit(rows: DataFrame, value: Column) -> DataFrame:
 
 
 def hashed_tf(docs: DataFrame, id: str, text: str, dim: int = 384) -> DataFrame:
-    """Term frequencies hashed into `dim` buckets; texts without tokens have no rows (the zero vector)."""
-    tokens = docs.select(F.col(id).alias("id"), T.identifiers(F.col(text)).alias("t")).filter(F.size("t") > 0)
-    counted = tokens.select("id", F.size("t").alias("n"), F.explode("t").alias("token")).groupBy("id", "n", "token").agg(F.count("*").alias("c"))
-    return _unit(counted.withColumn("bucket", T.bucket(F.col("token"), dim)), F.col("c") / F.col("n"))
+    """Term frequencies hashed into `dim` buckets; texts without tokens have no rows (the zero vector).
+
+    The number of a text's tokens divides out in the unit vector, and tokens become
+    buckets before the shuffle, so a text sends `dim` rows at most.
+    """
+    tokens = docs.select(F.col(id).alias("id"), F.explode(T.raw_identifiers(F.col(text))).alias("token")).filter(T.is_term(F.col("token")))
+    return _unit(tokens.select("id", T.bucket(F.col("token"), dim).alias("bucket")), F.lit(1.0))
 
 
 def hashed_grams(docs: DataFrame, id: str, text: str, dim: int = 384, low: int = 1, high: int = 2) -> DataFrame:

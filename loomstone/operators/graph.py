@@ -1,7 +1,9 @@
-"""Task graphs.  tasks: (task, role, state); deps: (task, dep).  Recursion runs as recursive common table expressions."""
+"""Task graphs.  tasks: (task, role, state); deps: (task, dep).  Chains are followed step by step, cycles and paths by recursive common table expressions."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,16 +19,18 @@ def closure(deps: DataFrame) -> DataFrame:
 
 
 def levels(tasks: DataFrame, deps: DataFrame) -> DataFrame:
-    """(task, level): the longest chain of known dependencies below a task; for graphs without cycles."""
-    spark = tasks.sparkSession
-    return spark.sql(
-        """WITH RECURSIVE known AS (SELECT d.task, d.dep FROM {deps} d JOIN {tasks} t ON d.dep = t.task),
-           walk(task, level) AS (
-             SELECT task, 0 FROM {tasks}
-             UNION ALL SELECT k.task, w.level + 1 FROM walk w JOIN known k ON k.dep = w.task)
-           SELECT task, max(level) AS level FROM walk GROUP BY task""",
-        tasks=tasks.select("task"), deps=deps,
-    )
+    """(task, level): the longest chain of known dependencies below a task.  A step per level, each with a task once at most; cycles are an error."""
+    known = deps.join(tasks.select(F.col("task").alias("dep")).distinct(), "dep").select("task", "dep").distinct().checkpoint()
+    now = tasks.select("task").distinct()
+    limit = now.count()
+    steps = [now.withColumn("level", F.lit(0))]
+    while True:
+        now = known.join(now.select(F.col("task").alias("dep")), "dep").select("task").distinct().checkpoint()
+        if now.isEmpty():
+            return reduce(DataFrame.union, steps).groupBy("task").agg(F.max("level").alias("level"))
+        if len(steps) > limit:
+            raise ValueError("the tasks depend on one another in a cycle")
+        steps.append(now.withColumn("level", F.lit(len(steps))))
 
 
 def cycles(deps: DataFrame, most: int = 50) -> DataFrame:
