@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import contexts, more, retrieval, stats, texts
+from .plans import contexts, more, retrieval, stats, streams, texts
 
-QUERIES = retrieval.QUERIES | texts.QUERIES | stats.QUERIES | contexts.QUERIES | more.QUERIES
-SQL = retrieval.SQL | texts.SQL | stats.SQL | contexts.SQL | more.SQL
+QUERIES = retrieval.QUERIES | texts.QUERIES | stats.QUERIES | contexts.QUERIES | more.QUERIES | streams.QUERIES
+SQL = retrieval.SQL | texts.SQL | stats.SQL | contexts.SQL | more.SQL | streams.SQL
 FLAGSHIP = "top01_knn"
