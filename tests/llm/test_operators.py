@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from loomstone.llm import components, decontam, licenses, lines, lm, mixing, quality, simhash, toxicity, urls, warc
+import corpus_pipeline
+from loomstone.llm import components, copies, decontam, licenses, lines, lm, mixing, quality, simhash, toxicity, urls, warc
 from loomstone.llm import tokens as tk
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -415,6 +416,39 @@ def test_simhash_components(spark):
     assert simhash.one_each(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [4, 512])
+def test_near_copies_match_all_pairs(spark, monkeypatch, most):
+    rng = np.random.default_rng(14)
+    vocabulary = [f"v{k}" for k in range(400)]
+    rows = [*ROWS, (50, " ", "a"), (51, "\n", "a"), (52, "one two", "a"), (53, "One\ttwo", "a"), (54, "two one", "a")]
+    for g in range(20):
+        base = rng.choice(vocabulary, 250).tolist()
+        for c in range(8):
+            t = base.copy()
+            for _ in range(c):
+                t[int(rng.integers(0, 250))] = f"edit{int(rng.integers(0, 1000))}"
+            rows.append((100 + g * 10 + c, " ".join(t), "a"))
+
+    def shingled(t):
+        w = WORD.findall(low(t))
+        return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+
+    sets = [shingled(t) for _, t, _ in rows]
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    prints = [plain_print(t or "") for _, t, _ in rows]
+    assert sum((prints[a] ^ prints[b]).bit_count() > 4 for a, b in pairs) > 50
+    least = {}
+    for k, r in roots(range(len(rows)), pairs).items():
+        i = rows[k][0] if rows[k][0] is not None else 1 << 60
+        least[r] = min(least.get(r, 1 << 60), i)
+    docs = docs_of(spark, rows, True)
+    links = copies.links
+    monkeypatch.setattr(copies, "links", lambda texts: links(texts, most))
+    one = corpus_pipeline.without_copies(spark, docs, "")
+    assert one.columns == docs.columns and sorted(r.doc_id if r.doc_id is not None else 1 << 60 for r in one.collect()) == sorted(least.values())
+    assert corpus_pipeline.without_copies(spark, docs.limit(0), "").count() == 0
+
+
 @pytest.mark.parametrize("width, groups, most", [(2, 6, 8), (4, 7, 2048), (3, 5, 16)])
 def test_links_are_whole(spark, width, groups, most):
     rng = np.random.default_rng(5)
