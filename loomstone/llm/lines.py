@@ -8,6 +8,13 @@ equal stretches left open, so lines that vary in one stretch share a template.
 Each template is a 64-bit key from sums over positions, found without a loop
 over messages.
 
+A passage is a run of PASSAGE words or more anywhere in a text, over lines and
+parts of sentences, that stands in two documents.  Of the PASSAGE - GRAM + 1 runs
+of GRAM words in each window of PASSAGE words the one with the least hash is the
+window's anchor, equal wherever the window stands.  Anchors are counted with the
+templates; windows are counted only where their anchor recurs.  All documents
+but the one with the smallest id lose the words of the window.
+
 A template recurs if enough documents have it, the more the shorter it is
 (NEEDED).  All documents but the one with the smallest id lose its messages.
 
@@ -40,6 +47,7 @@ GENERAL = 12  # lines with fewer words have no open stretch
 SENTENCE = 8  # shorter sentences are no messages
 #: Words from which on a message recurs in so many documents.
 NEEDED = ((50, 2), (8, 3), (1, 10))
+PASSAGE, GRAM = 50, 25
 LINE = tk._table("\n")
 DIGIT = tk._table("0123456789")
 STOP = tk._table(".!?")
@@ -60,7 +68,8 @@ class Messages:
         breaks = np.concatenate([[0], np.cumsum(LINE[w.buf])])
         number = breaks[starts] - breaks[w.bounds[row]]
         digits = np.concatenate([[0], np.cumsum(DIGIT[w.buf])])
-        h = np.where(digits[w.ends] > digits[w.starts], FIELD, w.hashes())
+        exact = w.hashes()
+        h = np.where(digits[w.ends] > digits[w.starts], FIELD, exact)
         n = last - first
         self.lines = len(n)
 
@@ -94,6 +103,49 @@ class Messages:
             upto = np.cumsum(m)
             keys[self.lines :, 0] = tk.combine(size[self.lines :], each[upto] - each[upto - m])
         self.keys = keys
+        self.words, self.exact, self.starts, self.first, self.last = w, exact, starts, first, last
+
+    def parts(self, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Line, first word and end of the runs of words in `gone` within lines."""
+        line = np.repeat(np.arange(self.lines), self.last - self.first)
+        at = np.flatnonzero(gone)
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1] + 1) | (line[at[1:]] != line[at[:-1]])
+        head = np.flatnonzero(new)
+        return line[at[head]], at[head], at[np.append(head[1:], len(at)) - 1] + 1 if len(at) else at
+
+
+class Windows:
+    """Windows of PASSAGE words within a row: start (first word), and head, the first window of each run of windows of a row with one anchor; anchor (a run's)."""
+
+    def __init__(self, words: tk.Words, exact: np.ndarray):
+        self.exact, row = exact, words.row
+        self.start = np.flatnonzero(row[: max(0, len(row) - PASSAGE + 1)] == row[PASSAGE - 1 :])
+        self.head, self.anchor = np.zeros(0, np.int64), np.zeros(0, U64)
+        if len(self.start):
+            least = grams(exact, GRAM)
+            wide, size = PASSAGE - GRAM + 1, 1
+            while 2 * size <= wide:
+                least, size = np.minimum(least[:-size], least[size:]), 2 * size
+            least = np.minimum(least[: len(least) - (wide - size)], least[wide - size :])[self.start]
+            self.head = tk.runs(row[self.start], least)
+            self.anchor = tk.combine(least[self.head], np.full(len(self.head), GRAM, U64))
+        self.row = row[self.start[self.head]]
+
+    def recurring(self, path: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """First words and keys of the windows whose anchor recurs."""
+        if not len(self.start):
+            return self.start, self.anchor
+        at = self.start[np.repeat(firsts(path, bits, self.anchor) < LAST, np.diff(self.head, append=len(self.start)))]
+        return at, tk.combine(grams(self.exact, PASSAGE)[at], np.full(len(at), PASSAGE, U64)) if len(at) else np.zeros(0, U64)
+
+
+def grams(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k words."""
+    n = max(0, len(h) - k + 1)
+    power, inverse = tk._powers(len(h) + 1)
+    sums = np.concatenate([np.zeros(1, U64), np.cumsum(h * power[: len(h)], dtype=U64)])
+    return tk.mix((sums[k : k + n] - sums[:n]) * inverse[:n])
 
 
 def needed(n: np.ndarray) -> np.ndarray:
@@ -104,7 +156,7 @@ def needed(n: np.ndarray) -> np.ndarray:
 
 
 def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (key, id, needed) for each template of each document."""
+    """A row (key, id, needed) for each template and each anchor of each document."""
     for batch in batches:
         for part in tk.slices(batch, "__text"):
             ids = part.column("__id").to_numpy(zero_copy_only=False)
@@ -113,7 +165,29 @@ def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, of = m.keys[message, k], m.row[message]
             by = np.lexsort((key, of))
             by = by[tk.runs(of[by], key[by])]
-            yield pa.RecordBatch.from_arrays([pa.array(key[by].view(np.int64)), pa.array(ids[of[by]]), pa.array(needed(m.n[message[by]]))], ["key", "id", "needed"])
+            w = Windows(m.words, m.exact)  # a repeated anchor does no harm: it needs two ids
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([key[by], w.anchor]).view(np.int64)),
+                    pa.array(np.concatenate([ids[of[by]], ids[w.row]])),
+                    pa.array(np.concatenate([needed(m.n[message[by]]), np.full(len(w.row), 2, np.int32)])),
+                ],
+                ["key", "id", "needed"],
+            )
+
+
+def shared_windows(path: str, bits: int):
+    """For mapInArrow: a row (key, id, needed) for each window of each document whose anchor recurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tk.slices(batch, "__text"):
+                ids = part.column("__id").to_numpy(zero_copy_only=False)
+                w = tk.words(part.column("__text"), lower=True)
+                start, key = Windows(w, w.hashes()).recurring(path, bits)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[w.row[start]]), pa.array(np.full(len(key), 2, np.int32))], ["key", "id", "needed"])
+
+    return run
 
 
 def kept_arrays(path: str):
@@ -132,14 +206,12 @@ def kept_arrays(path: str):
     return run
 
 
-def recurring(docs: DataFrame, id: str = "doc_id", text: str = "text", per_shard: int = 1 << 20) -> tuple[str, int]:
-    """Writes the recurring templates of all documents; the folder, and log2 of the number of shards."""
-    spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(LAST)).alias("__id"), text_bytes(text).alias("__text"))
-    found = rows.mapInArrow(tk.lean(seen), "key long, id long, needed int").groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"), F.max("needed").alias("needed"))
+def recurring(keys: DataFrame, per_shard: int = 1 << 20) -> tuple[str, int]:
+    """Writes the keys that recur of rows (key, id, needed); the folder, and log2 of the number of shards."""
+    found = keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"), F.max("needed").alias("needed"))
     found = checkpointed(found.filter((F.col("n") >= F.col("needed")) & (F.col("first") != F.col("last"))).select("key", "first"))
     bits = max(0, math.ceil(math.log2(max(1, found.count() / per_shard))))
-    path = mounted(scratch(spark, "lines"))
+    path = mounted(scratch(keys.sparkSession, "lines"))
     os.makedirs(path)
     shard = F.shiftrightunsigned("key", 64 - bits).cast("int") if bits else F.lit(0)
     found.select(shard.alias("shard"), "key", "first").repartitionById(1 << bits, F.col("shard")).mapInArrow(tk.lean(kept_arrays(path)), "n long").collect()
@@ -169,27 +241,38 @@ def without(text: str, lines: set[int], cuts: dict[int, list[tuple[int, int]]])
             continue
         if k in cuts:
             data, at, kept = line.encode(), 0, []
-            for a, b in cuts[k]:
+            for a, b in sorted(cuts[k]):
                 kept.append(data[at:a])
-                at = b + (data[b : b + 1] == b" ")
+                at = max(at, b + (data[b : b + 1] == b" "))
             line = b"".join([*kept, data[at:]]).decode().rstrip(" ") if at >= len(data) else b"".join([*kept, data[at:]]).decode()
         out.append(line)
     return "\n".join(out)
 
 
 def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with dropped messages gone from `text`, and n_lines, n_dropped (lines with words), n_cut (sentences) added, in place of columns so named.
+    """docs with dropped messages gone from `text`, and n_lines, n_dropped (lines with words), n_cut (sentences, and parts of passages in a line) added, in place of columns so named.
 
     Rows with equal ids count as one document when a template's first one is
     chosen.  Null ids come after all others and never lose messages to one another.
     Null and empty texts stay as they are; lines without words always stay.
     Templates that stand in one id alone never recur.
     """
-    path, bits = recurring(docs, id, text)
+    own = docs.select(F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(LAST)).alias("__id"), text_bytes(text).alias("__text"))
+    kind = "key long, id long, needed int"
+    path, bits = recurring(own.mapInArrow(tk.lean(seen), kind))
+    passages, passage_bits = recurring(own.mapInArrow(tk.lean(shared_windows(path, bits)), kind))
     added = ("n_lines", "n_dropped", "n_cut")
     keep = [c for c in docs.columns if c not in added]
     rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(LAST)).alias("__id"))
 
+    def repeated(m: Messages, ids: np.ndarray) -> np.ndarray:
+        """Words in windows that an earlier document has."""
+        start, key = Windows(m.words, m.exact).recurring(path, bits)
+        start = start[firsts(passages, passage_bits, key) < ids[m.words.row[start]]]
+        n = len(m.words.row) + 1
+        edge = np.bincount(start, minlength=n) - np.bincount(start + PASSAGE, minlength=n)
+        return np.cumsum(edge[:-1]) > 0
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tk.slices(batch, text):
@@ -198,7 +281,12 @@ def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
                 gone = (firsts(path, bits, m.keys) < ids[m.row][:, None]).any(axis=1) if len(m.n) else np.zeros(0, bool)
                 texts, n = part.column(text), part.num_rows
                 row, sentences = m.row, np.arange(len(m.n)) >= m.lines
-                if gone.any():
+                line, a, b = m.parts(repeated(m, ids))
+                full = b - a == (m.last - m.first)[line]
+                gone[line[full]] = True
+                cut = ~full & ~gone[line]
+                line, a, b = line[cut], a[cut], b[cut]
+                if gone.any() or len(line):
                     values = texts.to_pylist()
                     drop, cuts = defaultdict(set), defaultdict(lambda: defaultdict(list))
                     for x in np.flatnonzero(gone).tolist():
@@ -207,10 +295,12 @@ def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
                             drop[r].add(k)
                         elif k not in drop[r]:
                             cuts[r][k].append((int(m.start[x - m.lines]), int(m.end[x - m.lines])))
+                    for r, k, x, y in zip(row[line].tolist(), m.line[line].tolist(), (m.words.starts[a] - m.starts[line]).tolist(), (m.words.ends[b - 1] - m.starts[line]).tolist()):
+                        cuts[r][k].append((x, y))
                     for r in drop.keys() | cuts.keys():
                         values[r] = without(values[r], drop[r], cuts[r])
                     texts = pa.array(values, texts.type)
-                counts = (np.bincount(row[~sentences], minlength=n), np.bincount(row[gone & ~sentences], minlength=n), np.bincount(row[gone & sentences], minlength=n))
+                counts = (np.bincount(row[~sentences], minlength=n), np.bincount(row[gone & ~sentences], minlength=n), np.bincount(row[gone & sentences], minlength=n) + np.bincount(row[line], minlength=n))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) if c != text else texts for c in keep), *map(pa.array, counts)], [*keep, *added])
 
     out = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(c, T.LongType()) for c in added)])

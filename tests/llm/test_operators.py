@@ -363,6 +363,34 @@ def test_line_dedup_matches_a_plain_tree(spark):
     assert lines.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_passages_of_two_documents_go(spark):
+    rng = np.random.default_rng(15)
+    word = ("".join(x) for x in itertools.product("abcdefghij", repeat=4))
+    fresh = lambda n: [next(word) for _ in range(n)]
+    short = [w + "." if k % 5 == 4 else w for k, w in enumerate(fresh(60))]  # sentences of 5 words
+    plain, lines_, below = fresh(50), fresh(66), fresh(49)
+    texts = []
+    for k in range(8):
+        own = fresh(30) + (short if k in (1, 4) else []) + fresh(9) + (plain if k in (2, 3, 6) else []) + fresh(12) + (below if k in (0, 5) else []) + fresh(7)
+        text = " ".join(own)
+        if k in (4, 7):
+            text += "\n" + "\n".join(" ".join(lines_[a : a + 6]) for a in range(0, 66, 6)) + "\n" + " ".join(fresh(20))
+        texts.append(text)
+    order = rng.permutation(8).tolist()
+    got = {r.doc_id: r.text for r in lines.deduplicated(docs_of(spark, [(k, texts[k], "a") for k in order])).collect()}
+    seen = set()
+    for k in range(8):
+        w = texts[k].split()
+        gone = np.zeros(len(w), bool)
+        mine = {tuple(w[a : a + 50]): a for a in range(len(w) - 49)}
+        for run, a in mine.items():
+            if run in seen:
+                gone[a : a + 50] = True
+        seen |= mine.keys()
+        assert got[k].split() == [x for x, g in zip(w, gone) if not g]
+        assert gone.sum() == {4: 60, 3: 50, 6: 50, 7: 66}.get(k, 0)
+
+
 # 7: near-duplicates
 
 
