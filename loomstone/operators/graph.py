@@ -1,4 +1,4 @@
-"""Task graphs.  tasks: (task, role, state); deps: (task, dep).  Chains are followed step by step, cycles and paths by recursive common table expressions."""
+"""Task graphs.  tasks: (task, role, state); deps: (task, dep).  Chains and cycles are followed step by step, paths by recursive common table expressions."""
 
 from __future__ import annotations
 
@@ -33,18 +33,19 @@ def levels(tasks: DataFrame, deps: DataFrame) -> DataFrame:
         steps.append(now.withColumn("level", F.lit(len(steps))))
 
 
-def cycles(deps: DataFrame, most: int = 50) -> DataFrame:
-    """(start, path): simple cycles, each once, beginning with its least task; chains of up to `most` tasks are followed."""
-    spark = deps.sparkSession
-    return spark.sql(
-        f"""WITH RECURSIVE walk(start, last, path, closed) AS (
-             SELECT dep, dep, array(dep), false FROM (SELECT DISTINCT dep FROM {{deps}})
-             UNION ALL SELECT w.start, d.dep, concat(w.path, array(d.dep)), d.dep = w.start
-               FROM walk w JOIN {{deps}} d ON d.task = w.last
-               WHERE NOT w.closed AND size(w.path) < {most} AND d.dep >= w.start AND (d.dep = w.start OR NOT array_contains(w.path, d.dep)))
-           SELECT start, slice(path, 1, size(path) - 1) AS path FROM walk WHERE closed""",
-        deps=deps,
-    )
+def cycles(deps: DataFrame) -> DataFrame:
+    """(start, path): simple cycles of any length, each once, beginning with its least task."""
+    edge = deps.select("task", "dep").distinct().checkpoint()
+    now = edge.select(F.col("dep").alias("start"), F.col("dep").alias("last"), F.array("dep").alias("path")).distinct()
+    found = [now.limit(0).select("start", "path")]
+    while True:
+        step = now.join(edge, F.col("last") == F.col("task")).filter((F.col("dep") == F.col("start")) | ((F.col("dep") > F.col("start")) & ~F.array_contains("path", F.col("dep")))).checkpoint()
+        closed = step.filter("dep = start").select("start", "path")
+        if not closed.isEmpty():
+            found.append(closed)
+        now = step.filter("dep > start").select("start", F.col("dep").alias("last"), F.concat("path", F.array("dep")).alias("path"))
+        if now.isEmpty():
+            return reduce(DataFrame.union, found)
 
 
 def ready(tasks: DataFrame, deps: DataFrame) -> DataFrame:
