@@ -1,6 +1,14 @@
 """Queries and operators on inputs beyond the bounds that they once had."""
 
 from loomstone.operators import graph
+from loomstone.plans import more
+
+
+def test_line_numbers_of_long_documents(spark, tmp_path):
+    texts = ["\n".join(f"line {k}" for k in range(n)) for n in (1, 398, 399, 400, 1000)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = more.win09(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.line_no, r.line) for r in got) == [(i, k + 1, x) for i, t in enumerate(texts) for k, x in enumerate(t.split("\n"))]
 
 
 def test_cycles_of_any_length(spark):
