@@ -172,7 +172,9 @@ def scored(docs: DataFrame, models: Toxicity, keep: tuple[str, ...] = ("doc_id",
 
 
 def kept(docs: DataFrame, models: Toxicity, text: str = "text") -> DataFrame:
-    """The rows of docs that aren't predicted toxic, unchanged, with all their columns."""
+    """The rows of docs that aren't predicted toxic, unchanged, with all their columns; all of them without models, when no labels of both classes tell them apart."""
+    if models.shared is None:
+        return docs
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

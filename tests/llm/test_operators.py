@@ -155,6 +155,12 @@ def test_toxicity_without_labels(spark):
     assert toxicity.kept(docs, one).count() == len(ROWS)
 
 
+def test_toxicity_keeps_all_without_labels(spark):
+    docs = docs_of(spark, ROWS, True)
+    for labels in ([], [(1, 1)]):
+        assert toxicity.kept(docs, toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))).count() == len(ROWS)
+
+
 # 3: mixing
 
 
