@@ -29,6 +29,7 @@ import math
 import os
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens as tk
-from .lm import mapped, save
+from .lm import by_shard, section, Sections
 from .shared import checkpointed, mounted, scratch, text_bytes
 
 U64 = tk.U64
@@ -132,11 +133,11 @@ class Windows:
             self.anchor = tk.combine(least[self.head], np.full(len(self.head), GRAM, U64))
         self.row = row[self.start[self.head]]
 
-    def recurring(self, path: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    def recurring(self, anchors: Recurring) -> tuple[np.ndarray, np.ndarray]:
         """First words and keys of the windows whose anchor recurs."""
         if not len(self.start):
             return self.start, self.anchor
-        at = self.start[np.repeat(firsts(path, bits, self.anchor) < LAST, np.diff(self.head, append=len(self.start)))]
+        at = self.start[np.repeat(firsts(anchors, self.anchor) < LAST, np.diff(self.head, append=len(self.start)))]
         return at, tk.combine(grams(self.exact, PASSAGE)[at], np.full(len(at), PASSAGE, U64)) if len(at) else np.zeros(0, U64)
 
 
@@ -176,7 +177,7 @@ def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def shared_windows(path: str, bits: int):
+def shared_windows(anchors: Recurring):
     """For mapInArrow: a row (key, id, needed) for each window of each document whose anchor recurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,52 +185,78 @@ def shared_windows(path: str, bits: int):
             for part in tk.slices(batch, "__text"):
                 ids = part.column("__id").to_numpy(zero_copy_only=False)
                 w = tk.words(part.column("__text"), lower=True)
-                start, key = Windows(w, w.hashes()).recurring(path, bits)
+                start, key = Windows(w, w.hashes()).recurring(anchors)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[w.row[start]]), pa.array(np.full(len(key), 2, np.int32))], ["key", "id", "needed"])
 
     return run
 
 
-def kept_arrays(path: str):
-    """For mapInArrow over a shard's rows (shard, key, first), sorted by unsigned key."""
+RECURRING = ((np.uint64, 1), (np.int64, 1))
+
+
+def kept_arrays(path: str, inner: int):
+    """For mapInArrow over a file's rows (file, shard, key, first) sorted by shard: writes the shards' keys and first ids, sorted by unsigned key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
-        if got:
-            shard, key, first = (np.concatenate(c) for c in zip(*got))
+        out, held, n = None, [], 0
+
+        def put() -> None:
+            file, shard, key, first = (np.concatenate(c) for c in zip(*held))
+            nonlocal out, n
+            out = out or Sections(path, 0, int(file[0]), 1 << inner)
             key = key.view(U64)
             by = np.argsort(key)
-            save(path, f"0-{shard[0]}-keys", key[by])
-            save(path, f"0-{shard[0]}-first", first[by])
-            yield pa.RecordBatch.from_arrays([pa.array([len(key)])], ["n"])
+            out.put(int(shard[0]) & ((1 << inner) - 1), [key[by], first[by]])
+            n += len(key)
+
+        for b in batches:
+            columns = [c.to_numpy() for c in b.columns]
+            cuts = tk.runs(columns[1]).tolist()
+            for lo, hi in zip(cuts, [*cuts[1:], b.num_rows]):
+                if held and held[0][1][0] != columns[1][lo]:
+                    put()
+                    held = []
+                held.append([c[lo:hi] for c in columns])
+        if held:
+            put()
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
 
     return run
 
 
-def recurring(keys: DataFrame, per_shard: int = 1 << 20) -> tuple[str, int]:
-    """Writes the keys that recur of rows (key, id, needed); the folder, and log2 of the number of shards."""
+@dataclass(frozen=True)
+class Recurring:
+    """path: folder of the sorted arrays of keys with their first ids; bits, file_bits: log2 of the numbers of shards and files."""
+
+    path: str
+    bits: int
+    file_bits: int
+
+
+def recurring(keys: DataFrame, per_shard: int = 1 << 20) -> Recurring:
+    """The keys that recur of rows (key, id, needed)."""
     found = keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"), F.max("needed").alias("needed"))
     found = checkpointed(found.filter((F.col("n") >= F.col("needed")) & (F.col("first") != F.col("last"))).select("key", "first"))
     bits = max(0, math.ceil(math.log2(max(1, found.count() / per_shard))))
+    file_bits = min(bits, 12)
     path = mounted(scratch(keys.sparkSession, "lines"))
     os.makedirs(path)
-    shard = F.shiftrightunsigned("key", 64 - bits).cast("int") if bits else F.lit(0)
-    found.select(shard.alias("shard"), "key", "first").repartitionById(1 << bits, F.col("shard")).mapInArrow(tk.lean(kept_arrays(path)), "n long").collect()
-    return path, bits
+    high = lambda b: F.shiftrightunsigned("key", 64 - b).cast("int") if b else F.lit(0)
+    rows = found.select(high(file_bits).alias("file"), high(bits).alias("shard"), "key", "first")
+    rows.repartitionById(1 << file_bits, F.col("file")).sortWithinPartitions("shard").mapInArrow(tk.lean(kept_arrays(path, bits - file_bits)), "n long").collect()  # a row per file
+    return Recurring(path, bits, file_bits)
 
 
-def firsts(path: str, bits: int, keys: np.ndarray) -> np.ndarray:
-    """First ids of recurring keys; LAST + nothing else for those that don't recur."""
+def firsts(r: Recurring, keys: np.ndarray) -> np.ndarray:
+    """First ids of recurring keys; LAST for those that don't recur."""
     one, back = np.unique(keys, return_inverse=True)
     out = np.full(len(one), LAST)
-    cuts = np.searchsorted(one, np.arange(1, 1 << bits, dtype=U64) << U64(64 - bits)) if bits else []
-    lo = 0
-    for shard, hi in enumerate([*cuts, len(one)]):
-        if hi > lo and (have := mapped(path, 0, shard, "keys")) is not None:
-            at = np.minimum(np.searchsorted(have, one[lo:hi]), len(have) - 1)
-            hit = have[at] == one[lo:hi]
-            out[lo:hi][hit] = mapped(path, 0, shard, "first")[at[hit]]
-        lo = hi
+    for file, shard, lo, hi in by_shard(one, r.bits, r.file_bits):
+        if (have := section(r.path, 0, file, shard, RECURRING)) is not None:
+            at = np.minimum(np.searchsorted(have[0], one[lo:hi]), len(have[0]) - 1)
+            hit = np.flatnonzero(have[0][at] == one[lo:hi])
+            out[lo + hit] = have[1][at[hit]]
     return out[back].reshape(keys.shape)
 
 
@@ -259,16 +286,16 @@ def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     """
     own = docs.select(F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(LAST)).alias("__id"), text_bytes(text).alias("__text"))
     kind = "key long, id long, needed int"
-    path, bits = recurring(own.mapInArrow(tk.lean(seen), kind))
-    passages, passage_bits = recurring(own.mapInArrow(tk.lean(shared_windows(path, bits)), kind))
+    templates = recurring(own.mapInArrow(tk.lean(seen), kind))
+    passages = recurring(own.mapInArrow(tk.lean(shared_windows(templates)), kind))
     added = ("n_lines", "n_dropped", "n_cut")
     keep = [c for c in docs.columns if c not in added]
     rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(LAST)).alias("__id"))
 
     def repeated(m: Messages, ids: np.ndarray) -> np.ndarray:
         """Words in windows that an earlier document has."""
-        start, key = Windows(m.words, m.exact).recurring(path, bits)
-        start = start[firsts(passages, passage_bits, key) < ids[m.words.row[start]]]
+        start, key = Windows(m.words, m.exact).recurring(templates)
+        start = start[firsts(passages, key) < ids[m.words.row[start]]]
         n = len(m.words.row) + 1
         edge = np.bincount(start, minlength=n) - np.bincount(start + PASSAGE, minlength=n)
         return np.cumsum(edge[:-1]) > 0
@@ -278,7 +305,7 @@ def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
             for part in tk.slices(batch, text):
                 ids = part.column("__id").to_numpy(zero_copy_only=False)
                 m = Messages(tk.as_bytes(part.column(text)))
-                gone = (firsts(path, bits, m.keys) < ids[m.row][:, None]).any(axis=1) if len(m.n) else np.zeros(0, bool)
+                gone = (firsts(templates, m.keys) < ids[m.row][:, None]).any(axis=1) if len(m.n) else np.zeros(0, bool)
                 texts, n = part.column(text), part.num_rows
                 row, sentences = m.row, np.arange(len(m.n)) >= m.lines
                 line, a, b = m.parts(repeated(m, ids))

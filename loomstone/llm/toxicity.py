@@ -1,19 +1,21 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Three trigram models are counted in Spark from a bounded sample of labelled
-texts: of class 1, of class 0, and of both.  Their lower orders are used, words
-and and bigrams, whose continuation counts say in how many contexts an expression
-stands, not how often: copied lines and repetition weigh little.  In either
-class an expression backs off to the counts of both classes together.  Where the
-two classes' counts differ by less than CAUTION standard deviations, as those of
-rare expressions must, the shared counts alone speak, and they say nothing about
-the class.
-
-A text's contrast is the mean difference of log-likelihoods over its distinct
-bigrams and their last words (length normalised), each brought MARGIN nearer to
-zero, since language and style shift whole texts by less.  A logistic curve,
-fitted on sampled rows that the models haven't counted and weighted to the
-classes' shares in the labels, makes it a score.
+Three trigram models with one vocabulary are counted in Spark from a bounded
+sample of labelled texts: of class 1 (toxic), of class 0 (ordinary), and of both.
+p(word | two words before, class) is the class's interpolated modified
+Kneser-Ney probability, whose words back off to the shared model's words.
+
+Rare expressions are smoothed through the shared counts whole: where neither the
+word nor the bigram that it ends differs between the classes, by CAUTION standard
+deviations and a factor of exp(MARGIN) in how many contexts it stands in, both
+classes take the shared model's probability.  Language, style and chance then say
+nothing about the class.
+
+A text's contrast is its log-likelihood under class 1 less that under class 0, a
+token (length normalised); tokens on which both take the shared model add
+nothing to the difference and aren't looked up further.  A logistic curve of the
+contrast, fitted on sampled rows that the models haven't counted and weighted to
+the classes' shares in the labels, makes it a score.
 
 Texts are lower-cased A-Z; words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`, then
 one end.  Only text enters a score.
@@ -35,29 +37,23 @@ from . import tokens as tk
 from .sample import labelled
 from .shared import text_bytes
 
+ORDER = 3
 #: Standard deviations (root of the likelihood ratio statistic) by which counts must differ.
-CAUTION = 5.0
-#: Differences of log-likelihoods up to this one count as none.
+CAUTION = 4.0
+#: And the least difference of the logarithms of an expression's shares in the classes.
 MARGIN = 1.0
 
 
 @dataclass(frozen=True)
 class Toxicity:
-    """classes: models of class 0 and class 1 (empty if one has no rows); shared: of both; totals: of class 0, class 1 and both, by level; kept_back: the share taken off, of class 0 and 1, by level; slope, offset: of the logistic curve."""
+    """classes: models of class 0 and class 1 (empty if one has no rows); shared: of both; slope, offset: of the logistic curve; caution, margin: as CAUTION and MARGIN."""
 
     classes: tuple
     shared: lm.Model | None
-    totals: tuple
-    kept_back: tuple
     slope: float
     offset: float
-
-
-def sums(m: lm.Model, level: int) -> tuple[float, float]:
-    """A level's counts, and what Kneser-Ney takes off them; its arrays are as small as the sample."""
-    have = [x for k in range(1 << m.bits) if (x := lm.mapped(m.path, level, k, "counts")) is not None]
-    d = np.array([0.0, *m.discounts[level - 1]])
-    return float(sum(x.sum() for x in have)), float(sum(d[np.minimum(x, 3)].sum() for x in have))
+    caution: float = CAUTION
+    margin: float = MARGIN
 
 
 def surprise(a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
@@ -67,36 +63,32 @@ def surprise(a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
     return np.sqrt(np.maximum(2 * (part(a, share) + part(b, 1 - share)), 0))
 
 
-def differences(models: Toxicity, level: int, keys: np.ndarray) -> np.ndarray:
-    """log p(expression | class 1) - log p(expression | class 0), MARGIN nearer to zero; 0 where the classes' counts hardly differ."""
+def differing(models: Toxicity, level: int, keys: np.ndarray) -> np.ndarray:
+    """Whether the classes' counts of these n-grams differ enough to be told apart."""
     one, back = np.unique(keys, return_inverse=True)
-    totals = [t[level - 1] for t in models.totals]
-    counts = [lm.looked_up(m, level, one, "keys", "counts") for m in models.classes]
-    sure = surprise(counts[1].astype(float), counts[0].astype(float), totals[1] / (totals[0] + totals[1])) >= CAUTION
-    both = lm.looked_up(models.shared, level, one[sure], "keys", "counts") / totals[2]
-    p = []
-    for m, c, total, rest in zip(models.classes, counts, totals, models.kept_back):
-        d = np.array([0.0, *m.discounts[level - 1]])
-        p.append(np.maximum(c[sure] - d[np.minimum(c[sure], 3)], 0) / total + rest[level - 1] * both)
-    x = np.log(p[1] / p[0])
-    out = np.zeros(len(one))
-    out[sure] = np.sign(x) * np.maximum(np.abs(x) - MARGIN, 0)
-    return out[back]
+    a, b = (lm.looked_up(m, level, one).astype(float) for m in models.classes)
+    x, y = (m.totals[level - 1] for m in models.classes)
+    apart = np.abs(np.log((b + 0.5) / (y + 1)) - np.log((a + 0.5) / (x + 1)))
+    return ((surprise(b, a, y / (x + y)) >= models.caution) & (apart >= models.margin))[back]
 
 
 def contrast(models: Toxicity, column: pa.Array) -> np.ndarray:
+    """Log-likelihood under class 1 less that under class 0, a token."""
     n = len(column)
     if not models.classes:
         return np.zeros(n)
     w = tk.words(column, tk.NOT_ALNUM, lower=True)
-    s, at, row = lm.stream(w, w.hashes(), 2)
-    one = lm.distinct(s, at, row, 2)
-    at, row = at[one], row[one]
-    each = np.empty(len(at))
+    s, at, row = lm.stream(w, w.hashes(), ORDER)
+    s = lm.numbered(models.shared.vocabulary, s)[0]
+    total = np.zeros(n)
     for lo in range(0, len(at), lm.CHUNK >> 1):
-        here = at[lo : lo + (lm.CHUNK >> 1)]
-        each[lo : lo + len(here)] = differences(models, 1, s[here]) + differences(models, 2, lm.keys_of(lm.contexts(s, here, 2)[0], s[here]))
-    return np.bincount(row, each, n) / np.bincount(row, minlength=n)
+        here, r = at[lo : lo + (lm.CHUNK >> 1)], row[lo : lo + (lm.CHUNK >> 1)]
+        own = differing(models, 1, lm.ngram_keys([s[here]])[0]) | differing(models, 2, lm.ngram_keys([s[here - 1], s[here]])[0])
+        here, r = here[own], r[own]
+        base = lm.probabilities(models.shared, s, here, 1)
+        p, q = (np.log(lm.probabilities(m, s, here, base=base)) for m in models.classes)
+        total += np.bincount(r, q - p, n)
+    return total / (w.counts + 1)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -123,7 +115,7 @@ def contrasts(models: Toxicity):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 5000, label: str = "toxic", seed: int = 29) -> Toxicity:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 5000, label: str = "toxic", seed: int = 29, caution: float = CAUTION, margin: float = MARGIN) -> Toxicity:
     """Models and curve from at most per_class labelled documents of either class.
 
     Equal texts of a class count once; three
@@ -139,10 +131,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 5000, label: str =
     share = held[1] / max(1, held[0] + held[1]) if held[0] + held[1] else 0.5
     flat = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
     if not (have.get(0) and have.get(1)):
-        return Toxicity((), None, (), (), 0.0, flat)
-    *classes, shared = (lm.fit(x, 3, separators=tk.NOT_ALNUM) for x in (counted.filter("y = 0"), counted.filter("y = 1"), counted))
-    found = [[sums(m, level) for level in (1, 2)] for m in (*classes, shared)]
-    models = Toxicity(tuple(classes), shared, tuple(tuple(t for t, _ in f) for f in found), tuple(tuple(d / t for t, d in f) for f in found[:2]), 0.0, flat)
+        return Toxicity((), None, 0.0, flat)
+    words = lm.vocabulary(counted, separators=tk.NOT_ALNUM)
+    *classes, shared = (lm.fit(x, ORDER, separators=tk.NOT_ALNUM, words=words) for x in (counted.filter("y = 0"), counted.filter("y = 1"), counted))
+    models = Toxicity(tuple(classes), shared, 0.0, flat, caution, margin)
     got = sorted(fitted.select("y", "text").mapInArrow(tk.lean(contrasts(models)), "y int, x double").collect())
     x, y = np.array([r.x for r in got]), np.array([r.y for r in got])
     if not (0 < y.sum() < len(y)):

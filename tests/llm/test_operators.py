@@ -2,7 +2,11 @@
 
 import itertools
 import math
+import os
+import pickle
 import re
+import subprocess
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -59,12 +63,12 @@ def test_slices_keep_every_row():
 # 1: language model
 
 
-def kneser_ney(texts, order):
-    """A plain model: token -> probability after a context."""
+def kneser_ney(texts, order, rx=WORD, base=None):
+    """A plain model: token -> probability after a context; word counts; n-gram counts.  base: the distribution below the words."""
     counts = [Counter() for _ in range(order + 1)]
     raw = Counter()
     for t in texts:
-        s = ["<s>"] * (order - 1) + WORD.findall(low(t)) + ["</s>"]
+        s = ["<s>"] * (order - 1) + rx.findall(low(t)) + ["</s>"]
         raw.update(s[order - 1 :])
         for i in range(order - 1, len(s)):
             counts[order][tuple(s[i - order + 1 : i + 1])] += 1
@@ -78,13 +82,13 @@ def kneser_ney(texts, order):
         n = len(context) + 1
         own = {g: c for g, c in counts[n].items() if g[:-1] == context}
         total = sum(own.values())
-        below = 1 / (vocabulary + 1) if n == 1 else p(word, context[1:])
+        below = p(word, context[1:]) if n > 1 else base(word) if base else 1 / (vocabulary + 1)
         if not total:
             return below
         c = own.get((*context, word), 0)
         return (max(c - d[n][min(c, 3)], 0) + sum(d[n][min(x, 3)] for x in own.values()) * below) / total
 
-    return p, raw
+    return p, raw, counts
 
 
 @pytest.mark.parametrize("order", [1, 2, 3])
@@ -92,7 +96,7 @@ def test_lm_matches_a_plain_model(spark, order):
     train, test = ROWS[:6], ROWS
     model = lm.fit(docs_of(spark, train, True), order, shard_bytes=4000)
     got = {(r.doc_id, i): r for i, r in enumerate(lm.score(docs_of(spark, test, True), model).collect())}
-    p, raw = kneser_ney([t for _, t, _ in train], order)
+    p, raw, _ = kneser_ney([t for _, t, _ in train], order)
     n, v = sum(raw.values()), len(raw)
     assert (model.tokens, model.types) == (n, v)
     want = defaultdict(list)
@@ -111,12 +115,49 @@ def test_lm_matches_a_plain_model(spark, order):
     assert sum(p(w, ("<s>",) * (order - 1)) for w in words) == pytest.approx(1)
 
 
+def test_lm_of_many_files_needs_few_descriptors(spark, tmp_path):
+    train = docs_of(spark, [(i, " ".join(f"w{(i * 37 + k * k) % 911}" for k in range(60)), "a") for i in range(400)])
+    model = lm.fit(train, shard_bytes=200)
+    assert model.bits >= 9 and len([f for f in os.listdir(model.path) if f.startswith("3-") and not f.endswith(".index")]) > 256
+    texts = [r.text for r in train.orderBy("doc_id").limit(40).collect()]
+    (tmp_path / "model").write_bytes(pickle.dumps((model, texts)))
+    code = """
+import pickle, resource, sys, pyarrow as pa
+resource.setrlimit(resource.RLIMIT_NOFILE, (256, 256))
+from loomstone.llm import lm, tokens as tk
+model, texts = pickle.load(open(sys.argv[1], "rb"))
+batch = pa.RecordBatch.from_arrays([pa.array([t.encode() for t in texts])], ["__text"])
+print([s for b in lm.scorer(model, [], tk.SPACE)(iter([batch])) for s in b.column("score").to_pylist()])
+"""
+    got = subprocess.run([sys.executable, "-c", code, str(tmp_path / "model")], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(lm.__file__)) + "/..")
+    assert got.returncode == 0, got.stderr
+    want = [r.score for r in lm.score(train.filter("doc_id < 40"), lm.fit(train)).orderBy("doc_id").collect()]
+    assert eval(got.stdout) == pytest.approx(want, rel=1e-9)
+
+
+def test_lm_shards_within_files(spark, monkeypatch):
+    train = docs_of(spark, [(i, " ".join(f"w{(i * 37 + k * k) % 911}" for k in range(60)), "a") for i in range(100)])
+    want = sorted(r.score for r in lm.score(train, lm.fit(train)).collect())
+    monkeypatch.setattr(lm, "FILE_BITS", 2)
+    model = lm.fit(train, shard_bytes=500)
+    assert model.file_bits == 2 < model.bits
+    assert sorted(r.score for r in lm.score(train, model).collect()) == pytest.approx(want, rel=1e-9)
+
+
+def test_large_counts_and_equal_leading_bits():
+    small, where, large = lm.fewer(np.array([1, 254, 255, 7, 1 << 40], np.uint64))
+    assert lm.values_at(np.arange(5), small, where, large).tolist() == [1, 254, 255, 7, 1 << 40]
+    keys = np.array([5 << 24, 6 << 24, (1 << 32) + (5 << 24), 9 << 32], np.uint64)
+    high, low_ = lm.cut_keys(keys, 0)
+    assert lm.places(high, low_, np.append(keys, np.array([7 << 24, 1 << 63], np.uint64)), 0).tolist() == [0, 1, 2, 3, -1, -1]
+
+
 def test_lm_without_rows(spark):
     empty = docs_of(spark, ROWS).limit(0)
     model = lm.fit(empty)
     assert (model.tokens, model.types) == (0, 0)
     assert lm.score(empty, model).count() == 0
-    assert lm.score(docs_of(spark, ROWS[:2]), model).select("score").first()[0] == pytest.approx(0)  # the unknown word alone
+    assert lm.score(docs_of(spark, ROWS[:2]), model).select("score").first()[0] == pytest.approx(0)
 
 
 # 2: toxicity
@@ -147,6 +188,36 @@ def test_toxicity_finds_marked_texts(spark):
     assert kept.columns == docs.columns and kept.count() == sum(not r.predicted for r in got)
 
 
+def test_toxicity_matches_plain_likelihoods(spark):
+    rng = np.random.default_rng(5)
+    classes = [[" ".join(rng.choice([*[f"w{k}" for k in range(12)], *(["vile", "You vile"] if y else ["kind"])], 15)) for _ in range(30)] for y in (0, 1)]
+    tables = [docs_of(spark, [(i, t, "a") for i, t in enumerate(texts)]) for texts in classes]
+    both = tables[0].union(tables[1])
+    words = lm.vocabulary(both, separators=tk.NOT_ALNUM)
+    models = toxicity.Toxicity(tuple(lm.fit(x, separators=tk.NOT_ALNUM, words=words) for x in tables), lm.fit(both, separators=tk.NOT_ALNUM, words=words), 1.0, 0.0, 2.5, 0.7)
+    ps, _, _ = kneser_ney(classes[0] + classes[1], 3, ALNUM)
+    own = [kneser_ney(texts, 3, ALNUM, lambda w: ps(w, ())) for texts in classes]
+
+    def apart(gram):
+        n = len(gram)
+        a, b = (c[n][gram] for _, _, c in own)
+        x, y = (sum(c[n].values()) for _, _, c in own)
+        part = lambda k, q: k * math.log(k / ((a + b) * q)) if k else 0
+        return math.sqrt(2 * (part(b, y / (x + y)) + part(a, x / (x + y)))) >= 2.5 and abs(math.log((b + 0.5) / (y + 1)) - math.log((a + 0.5) / (x + 1))) >= 0.7
+
+    texts, shared, apart_ = [*classes[0][:3], *classes[1][:3], "Vile never seen, you kind w1", "", None], 0, 0
+    for t, got in zip(texts, toxicity.contrast(models, pa.array([(t or "").encode() for t in texts]))):
+        s = ["<s>", "<s>", *ALNUM.findall(low(t)), "</s>"]
+        total = [0.0, 0.0]
+        for k in range(2, len(s)):
+            told = apart((s[k],)) or apart((s[k - 1], s[k]))
+            shared, apart_ = shared + (not told), apart_ + told
+            for y in (0, 1):
+                total[y] += math.log((own[y][0] if told else ps)(s[k], (s[k - 2], s[k - 1])))
+        assert got == pytest.approx((total[1] - total[0]) / (len(s) - 2), abs=1e-9)
+    assert shared and apart_
+
+
 def test_toxicity_without_labels(spark):
     docs = docs_of(spark, ROWS, True)
     models = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
