@@ -12,9 +12,9 @@ arrays to the file (temporary name, then rename, so a lost or repeated task does
 no harm), and passes the distinct n-grams on as continuation counts of the next
 lower order.  Only a few numbers per file reach the driver.
 
-Arrays: of a key the leading 40 bits that its shard leaves open; of counts one
-byte, with a table of the larger ones.  A key that was never counted is taken for
-one that was with a probability of the shard's entries over 2 ** 40.
+Arrays: keys lie in buckets of about ten by their leading bits, and the next 32
+are kept; counts are one byte, with a table of the larger ones.  A key that was
+never counted is taken for one that was with a probability of some 3 in a billion.
 
 Scoring: workers map the files into memory, without holding descriptors, and look
 sorted keys up; nothing is broadcast but paths and discounts.
@@ -91,14 +91,6 @@ class Model:
 # --- files of sorted arrays, a section for each shard
 
 
-def fewer(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows as bytes; places and values of the rows that have more than 254 anywhere, whose bytes are 255."""
-    large = np.flatnonzero(values > 254 if values.ndim == 1 else (values > 254).any(axis=1))
-    small = values.astype(np.uint8)
-    small[large] = 255
-    return small, large.astype(np.uint32), values[large].astype(np.int64)
-
-
 class Sections:
     """Writes a file of sections: the arrays of a shard one after the other; the index of places comes with it."""
 
@@ -154,43 +146,82 @@ def section(path: str, level: int, file: int, shard: int, kinds: tuple) -> list[
     return out
 
 
-#: Arrays of a section: leading bits of keys, counts with the places and values of large ones; the same of contexts.
-KEYS = ((np.uint32, 1), (np.uint8, 1))
+#: Arrays of a section: where buckets of keys begin, keys, counts with the places and values of large ones; the same of contexts.
+KEYS = ((np.uint32, 1), (np.uint32, 1))
 COUNTS = ((np.uint8, 1), (np.uint32, 1), (np.int64, 1))
-SUMS = ((np.uint8, 4), (np.uint32, 1), (np.int64, 4))
+SUMS = ((np.uint8, 1), (np.uint32, 1), (np.int64, 4))
 ENTRY = (*KEYS, *COUNTS)
-NGRAMS = (*ENTRY, *KEYS, *SUMS)  # ten arrays
-WORDS = ((np.uint64, 1), (np.int64, 1), (np.int64, 1))
+NGRAMS = (*ENTRY, *KEYS, *SUMS)
+#: Of words: hashes, counts as above, ranks.
+WORDS = ((np.uint64, 1), *COUNTS, (np.uint32, 1))
 
 
-def cut_keys(keys: np.ndarray, bits: int) -> list[np.ndarray]:
-    """The 40 bits after the first `bits`, as 32 and 8."""
+def bucketed(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Of ascending keys, which agree in the first `bits`: the next bits, about log2 of a tenth of the keys, give a bucket; the next 32 are kept."""
     rest = keys << U64(bits)
-    return [(rest >> U64(32)).astype(np.uint32), (rest >> U64(24)).astype(np.uint8)]
-
-
-def places(high: np.ndarray, low: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
-    """Where the keys stand; -1 for those that don't."""
-    a, b = cut_keys(keys, bits)
-    at = np.searchsorted(high, a)
-    out = np.full(len(keys), -1)
-    todo = np.arange(len(keys))
-    while len(todo):  # equal leading bits are rare; a round for each further one
-        todo = todo[at[todo] < len(high)]
-        todo = todo[high[at[todo]] == a[todo]]
-        hit = low[at[todo]] == b[todo]
-        out[todo[hit]] = at[todo[hit]]
-        todo = todo[~hit]
-        at[todo] += 1
-    return out
+    k = max(0, len(keys).bit_length() - 4)
+    buckets = (rest >> U64(64 - k)).astype(np.int64) if k else np.zeros(len(keys), np.int64)
+    first = np.zeros((1 << k) + 1, np.uint32)
+    np.cumsum(np.bincount(buckets, minlength=1 << k), out=first[1:])
+    return [first, ((rest << U64(k)) >> U64(32)).astype(np.uint32)]
+
+
+def places(first: np.ndarray, kept: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    """Where the keys stand; -1 for those that don't.  A binary search in all buckets at once."""
+    rest = keys << U64(bits)
+    k = (len(first) - 1).bit_length() - 1
+    bucket = (rest >> U64(64 - k)).astype(np.int64) if k else np.zeros(len(keys), np.int64)
+    own = ((rest << U64(k)) >> U64(32)).astype(np.uint32)
+    low, end = first[bucket].astype(np.int64), first[bucket + 1].astype(np.int64)
+    high = end
+    for _ in range(int((end - low).max(initial=0)).bit_length()):
+        middle = (low + high) >> 1
+        less = (kept[np.minimum(middle, len(kept) - 1)] < own) & (low < high)
+        low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
+    return np.where((low < end) & (kept[np.minimum(low, len(kept) - 1)] == own), low, -1)
+
+
+def fewer(counts: np.ndarray) -> list[np.ndarray]:
+    """Counts as bytes; places and values of those above 254, whose bytes are 255."""
+    large = np.flatnonzero(counts > 254)
+    small = counts.astype(np.uint8)
+    small[large] = 255
+    return [small, large.astype(np.uint32), counts[large].astype(np.int64)]
 
 
 def values_at(at: np.ndarray, small: np.ndarray, where: np.ndarray, large: np.ndarray) -> np.ndarray:
     out = small[at].astype(np.int64)
-    if len(where):
-        k = np.minimum(np.searchsorted(where, at), len(where) - 1)
-        hit = where[k] == at
-        out[hit] = large[k[hit]]
+    hit = np.flatnonzero(out == 255)
+    out[hit] = large[np.searchsorted(where, at[hit])]
+    return out
+
+
+def _codes() -> np.ndarray:
+    """Sum of all counts and numbers of counts 1, 2 and 3 or more, by code: few small counts, then few with one of 3 to 8."""
+    code = np.arange(160)
+    n1, n2 = np.where(code < 64, code & 15, code - 64 & 7), np.where(code < 64, code >> 4, code - 64 >> 3 & 1)
+    rest = np.where(code < 64, 0, 3 + (code - 64 >> 4))
+    return np.stack([n1 + 2 * n2 + rest, n1, n2, rest > 0], axis=1)
+
+
+CODES = _codes()
+
+
+def coded(sums: np.ndarray) -> list[np.ndarray]:
+    """Rows like those of CODES as bytes; places and values of other rows, whose bytes are 255."""
+    total, n1, n2, n3 = sums.T
+    rest = total - n1 - 2 * n2
+    low, one = (n1 < 16) & (n2 < 4) & (n3 == 0), (n1 < 8) & (n2 < 2) & (n3 == 1) & (rest < 9)
+    code = np.where(low, n1 + 16 * n2, np.where(one, 64 + n1 + 8 * n2 + 16 * (rest - 3), 255)).astype(np.uint8)
+    large = np.flatnonzero(code == 255)
+    return [code, large.astype(np.uint32), sums[large].astype(np.int64)]
+
+
+def sums_at(at: np.ndarray, code: np.ndarray, where: np.ndarray, large: np.ndarray) -> np.ndarray:
+    own = code[at]
+    out = CODES[np.minimum(own, len(CODES) - 1)]
+    hit = np.flatnonzero(own == 255)
+    out[hit] = large[np.searchsorted(where, at[hit])]
     return out
 
 
@@ -209,36 +240,40 @@ def looked_up(m: Model, level: int, keys: np.ndarray, sums: bool = False) -> np.
     for file, shard, lo, hi in by_shard(keys, m.bits, m.file_bits):
         if (have := section(m.path, level, file, shard, NGRAMS if level > 1 else ENTRY)) is None:
             continue
-        high, low, small, where, large = have[5:] if sums else have[:5]
-        at = places(high, low, keys[lo:hi], m.bits)
+        first, kept, *values = have[5:] if sums else have[:5]
+        at = places(first, kept, keys[lo:hi], m.bits)
         hit = np.flatnonzero(at >= 0)
-        got = values_at(at[hit], small, where, large)
-        out[lo + hit] = got @ TOTALS if sums else got
+        out[lo + hit] = (sums_at if sums else values_at)(at[hit], *values)
     return out
 
 
-#: Kept of a context: the numbers of counts 1, 2 and 3 or more, and the sum of the last ones; from these the sum of all and the numbers.
-TOTALS = np.array([[1, 1, 0, 0], [2, 0, 1, 0], [0, 0, 0, 1], [1, 0, 0, 0]])
-
-
 def found(m: Model, level: int, sought: np.ndarray, sums: bool = False) -> np.ndarray:
-    one, back = np.unique(sought, return_inverse=True)
-    return looked_up(m, level, one, sums)[back]
+    """As looked_up, of keys in any order."""
+    by = np.argsort(sought)
+    out = np.empty((len(sought), 4) if sums else len(sought), np.int64)
+    out[by] = looked_up(m, level, sought[by], sums)
+    return out
 
 
 def numbered(v: Vocabulary, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers and counts of words by hash; UNKNOWN and 0 for those that were never counted, NO_WORD for the padding."""
-    one, back = np.unique(hashes, return_inverse=True)
+    by = np.argsort(hashes)
+    ordered = hashes[by]
+    starts = tk.runs(ordered)
+    one = ordered[starts]
     ids, counts = np.full(len(one), UNKNOWN), np.zeros(len(one), np.int64)
     for file, shard, lo, hi in by_shard(one, v.bits, v.file_bits):
         if (have := section(v.path, 0, file, shard, WORDS)) is not None:
-            keys, n, rank = have
+            keys, *values, rank = have
             at = np.minimum(np.searchsorted(keys, one[lo:hi]), len(keys) - 1)
             hit = np.flatnonzero(keys[at] == one[lo:hi])
-            counts[lo + hit] = n[at[hit]]
-            ids[lo + hit] = (first_numbers(v.path)[file, sizes(n[at[hit]])] + rank[at[hit]]).astype(U64)
+            counts[lo + hit] = n = values_at(at[hit], *values)
+            ids[lo + hit] = (first_numbers(v.path)[file, sizes(n)] + rank[at[hit]]).astype(U64)
     ids[one == PAD] = NO_WORD
-    return ids[back], counts[back]
+    each = np.diff(starts, append=len(by))
+    out = np.empty(len(by), U64), np.empty(len(by), np.int64)
+    out[0][by], out[1][by] = np.repeat(ids, each), np.repeat(counts, each)
+    return out
 
 
 def sizes(counts: np.ndarray) -> np.ndarray:
@@ -295,9 +330,11 @@ def ngram_keys(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray | None
 
 
 def packed(columns: list[np.ndarray], counts: np.ndarray) -> bytes:
-    """Columns by byte plane, compressed; numbers of frequent words have zeros in most planes."""
+    """Columns by byte plane, compressed: numbers of frequent words have zeros in most planes, and the first column ascends and is kept as differences."""
+    by = np.argsort(columns[0])
+    first, *others = (c[by] for c in columns)
     planes, width = [], []
-    for x in [*columns, counts.astype(U64)]:
+    for x in [np.diff(first, prepend=U64(0)), *others, counts[by].astype(U64)]:
         k = max(1, (int(x.max()).bit_length() + 7) // 8)
         width.append(k)
         planes.append(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :k].T).tobytes())
@@ -316,7 +353,7 @@ def unpacked(payload: bytes) -> list[np.ndarray]:
         wide[:, :k] = x[at : at + k * n].reshape(k, n).T
         out.append(wide.view(U64).ravel())
         at += k * n
-    return out
+    return [np.cumsum(out[0], dtype=U64), *out[1:]]
 
 
 def dealt(columns: list[np.ndarray], counts: np.ndarray | None, bits: int, file_bits: int, keys: np.ndarray | None = None) -> Iterator[tuple]:
@@ -324,7 +361,7 @@ def dealt(columns: list[np.ndarray], counts: np.ndarray | None, bits: int, file_
     if not len(columns[0]):
         return
     keys = ngram_keys(columns)[0] if keys is None else keys
-    by = np.argsort(keys, kind="stable")
+    by = np.argsort(keys)
     keys = keys[by]
     starts = tk.runs(keys)
     counts = np.diff(starts, append=len(by)).astype(U64) if counts is None else np.add.reduceat(counts[by], starts)
@@ -400,7 +437,7 @@ def summed(payloads: list[bytes], keys_from) -> tuple[np.ndarray, np.ndarray | N
     """Keys (ascending), contexts, columns and counts of a shard's blocks."""
     *columns, counts = [np.concatenate(c) for c in zip(*(unpacked(p) for p in payloads))]
     keys, context = keys_from(columns)
-    by = np.argsort(keys, kind="stable")
+    by = np.argsort(keys)
     keys = keys[by]
     starts = tk.runs(keys)
     first = by[starts]
@@ -422,7 +459,7 @@ def word_merger(path: str, inner: int):
             rank[by] = np.arange(len(by)) - np.repeat(starts, np.diff(starts, append=len(by))) + of[size[by]]
             of += np.bincount(size, minlength=64)
             tokens += int(counts.sum())
-            out.put(shard & ((1 << inner) - 1), [keys, counts.astype(np.int64), rank])
+            out.put(shard & ((1 << inner) - 1), [keys, *fewer(counts), rank.astype(np.uint32)])
         if out:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([of.tolist()], pa.list_(pa.int64())), pa.array([tokens])], ["file", "sizes", "tokens"])
@@ -443,16 +480,16 @@ def merger(path: str, level: int, bits: int, file_bits: int):
             keys, context, columns, counts = summed(payloads, ngram_keys)
             del payloads
             out = out or Sections(path, level, file, 1 << inner)
-            arrays = [*cut_keys(keys, bits), *fewer(counts)]
+            arrays = [*bucketed(keys, bits), *fewer(counts)]
             del keys
             n, total = n + len(counts), total + int(counts.sum())
             of += np.bincount(np.minimum(counts, 5).astype(int), minlength=6)[1:5]
             if context is not None:
-                by = np.argsort(context, kind="stable")
+                by = np.argsort(context)
                 context, c = context[by], counts[by].astype(np.int64)
                 first = tk.runs(context)
-                kept = np.stack([np.add.reduceat(x, first) for x in (c == 1, c == 2, c > 2, c * (c > 2))], axis=1)
-                arrays += [*cut_keys(context[first], bits), *fewer(kept)]
+                kept = np.stack([np.add.reduceat(x.astype(np.int64), first) for x in (c, c == 1, c == 2, c > 2)], axis=1)
+                arrays += [*bucketed(context[first], bits), *coded(kept)]
                 del context, c, by, kept
                 if rows := [*dealt(columns[1:], np.ones(len(counts), U64), bits, file_bits)]:
                     yield as_batch(rows)
@@ -552,7 +589,7 @@ def probabilities(m: Model, s: np.ndarray, at: np.ndarray, order: int | None = N
 def scorer(m: Model, columns: list[str], separators: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tk.slices(batch, "__text"):
+            for part in tk.slices(batch, "__text", 4 << 20):
                 w = tk.words(part.column("__text"), separators, lower=True)
                 n = part.num_rows
                 s, at, row = stream(w, w.hashes(), m.order)

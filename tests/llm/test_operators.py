@@ -117,8 +117,8 @@ def test_lm_matches_a_plain_model(spark, order):
 
 def test_lm_of_many_files_needs_few_descriptors(spark, tmp_path):
     train = docs_of(spark, [(i, " ".join(f"w{(i * 37 + k * k) % 911}" for k in range(60)), "a") for i in range(400)])
-    model = lm.fit(train, shard_bytes=200)
-    assert model.bits >= 9 and len([f for f in os.listdir(model.path) if f.startswith("3-") and not f.endswith(".index")]) > 256
+    model = lm.fit(train, shard_bytes=800)
+    assert len([f for p in (model.path, model.vocabulary.path) for f in os.listdir(p) if not f.endswith((".index", ".npy"))]) == 512
     texts = [r.text for r in train.orderBy("doc_id").limit(40).collect()]
     (tmp_path / "model").write_bytes(pickle.dumps((model, texts)))
     code = """
@@ -144,12 +144,18 @@ def test_lm_shards_within_files(spark, monkeypatch):
     assert sorted(r.score for r in lm.score(train, model).collect()) == pytest.approx(want, rel=1e-9)
 
 
-def test_large_counts_and_equal_leading_bits():
-    small, where, large = lm.fewer(np.array([1, 254, 255, 7, 1 << 40], np.uint64))
-    assert lm.values_at(np.arange(5), small, where, large).tolist() == [1, 254, 255, 7, 1 << 40]
-    keys = np.array([5 << 24, 6 << 24, (1 << 32) + (5 << 24), 9 << 32], np.uint64)
-    high, low_ = lm.cut_keys(keys, 0)
-    assert lm.places(high, low_, np.append(keys, np.array([7 << 24, 1 << 63], np.uint64)), 0).tolist() == [0, 1, 2, 3, -1, -1]
+def test_arrays_of_counts_and_keys():
+    counts = np.array([1, 254, 255, 7, 1 << 40], np.uint64)
+    assert lm.values_at(np.arange(5), *lm.fewer(counts)).tolist() == counts.tolist()
+    sums = np.array([(a + 2 * b + max(r, 3 * c), a, b, c) for a in (0, 1, 7, 8, 15, 16) for b in (0, 1, 2, 3, 4) for c in (0, 1, 2) for r in ((0,) if not c else (3, 8, 9, 900))])
+    assert lm.sums_at(np.arange(len(sums)), *lm.coded(sums)).tolist() == sums.tolist()
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 15, 16, 1000):
+        keys = np.unique(rng.integers(0, 1 << 63, n, np.uint64) >> np.uint64(9))  # agree in the first 10 bits
+        absent = np.setdiff1d(rng.integers(0, 1 << 63, 500, np.uint64) >> np.uint64(9), keys)
+        arrays = lm.bucketed(keys, 10)
+        assert lm.places(*arrays, keys, 10).tolist() == [*range(len(keys))]
+        assert (lm.places(*arrays, absent, 10) == -1).all()
 
 
 def test_lm_without_rows(spark):
