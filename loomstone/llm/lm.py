@@ -172,13 +172,12 @@ def places(first: np.ndarray, kept: np.ndarray, keys: np.ndarray, bits: int) ->
     k = (len(first) - 1).bit_length() - 1
     bucket = (rest >> U64(64 - k)).astype(np.int64) if k else np.zeros(len(keys), np.int64)
     own = ((rest << U64(k)) >> U64(32)).astype(np.uint32)
-    low, end = first[bucket].astype(np.int64), first[bucket + 1].astype(np.int64)
-    high = end
-    for _ in range(int((end - low).max(initial=0)).bit_length()):
-        middle = (low + high) >> 1
-        less = (kept[np.minimum(middle, len(kept) - 1)] < own) & (low < high)
-        low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
-    return np.where((low < end) & (kept[np.minimum(low, len(kept) - 1)] == own), low, -1)
+    low, end = first[bucket].astype(np.int32), first[bucket + 1].astype(np.int32)
+    for step in (1 << j for j in range(int((end - low).max(initial=0)).bit_length() - 1, -1, -1)):
+        further = low + np.int32(step)
+        further -= np.int32(step) * ((further > end) | (kept.take(further - 1, mode="clip") >= own))
+        low = further
+    return np.where((low < end) & (kept.take(low, mode="clip") == own), low, -1)
 
 
 def fewer(counts: np.ndarray) -> list[np.ndarray]:
@@ -226,7 +225,7 @@ def sums_at(at: np.ndarray, code: np.ndarray, where: np.ndarray, large: np.ndarr
 
 
 def by_shard(keys: np.ndarray, bits: int, file_bits: int) -> Iterator[tuple[int, int, int, int]]:
-    """(file, shard in the file, low, high) of runs of ascending keys."""
+    """(file, shard in the file, low, high) of the runs of keys whose shards ascend."""
     shards = (keys >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
     cuts = tk.runs(shards)
     inner = bits - file_bits
@@ -235,7 +234,7 @@ def by_shard(keys: np.ndarray, bits: int, file_bits: int) -> Iterator[tuple[int,
 
 
 def looked_up(m: Model, level: int, keys: np.ndarray, sums: bool = False) -> np.ndarray:
-    """Counts of the keys, which ascend; zeros where a key is absent.  sums: of contexts, the sum and the numbers of counts 1, 2 and 3 or more."""
+    """Counts of the keys, whose shards ascend; zeros where a key is absent.  sums: of contexts, the sum and the numbers of counts 1, 2 and 3 or more."""
     out = np.zeros((len(keys), 4) if sums else len(keys), np.int64)
     for file, shard, lo, hi in by_shard(keys, m.bits, m.file_bits):
         if (have := section(m.path, level, file, shard, NGRAMS if level > 1 else ENTRY)) is None:
@@ -579,9 +578,11 @@ def probabilities(m: Model, s: np.ndarray, at: np.ndarray, order: int | None = N
     for k in range(2, (order or m.order) + 1):
         keys, context = ngram_keys([s[at - j] for j in range(k - 1, -1, -1)])
         d = np.array([0.0, *m.discounts[k - 1]])
-        sums = found(m, k, context, sums=True)
-        some = np.flatnonzero(sums[:, 0])
-        c, sums = found(m, k, keys[some]), sums[some]
+        by = np.argsort(keys)  # shards of contexts ascend with it
+        sums = looked_up(m, k, context[by], sums=True)
+        seen = np.flatnonzero(sums[:, 0])
+        some, sums = by[seen], sums[seen]
+        c = looked_up(m, k, keys[some])
         p[some] = (np.maximum(c - d[np.minimum(c, 3)], 0) + sums[:, 1:] @ d[1:] * p[some]) / sums[:, 0]
     return p
 

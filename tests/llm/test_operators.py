@@ -117,7 +117,7 @@ def test_lm_matches_a_plain_model(spark, order):
 
 def test_lm_of_many_files_needs_few_descriptors(spark, tmp_path):
     train = docs_of(spark, [(i, " ".join(f"w{(i * 37 + k * k) % 911}" for k in range(60)), "a") for i in range(400)])
-    model = lm.fit(train, shard_bytes=800)
+    model = lm.fit(train, shard_bytes=1600)
     assert len([f for p in (model.path, model.vocabulary.path) for f in os.listdir(p) if not f.endswith((".index", ".npy"))]) == 512
     texts = [r.text for r in train.orderBy("doc_id").limit(40).collect()]
     (tmp_path / "model").write_bytes(pickle.dumps((model, texts)))
