@@ -9,15 +9,19 @@ from .shared import checkpointed
 
 
 def _large(e: DataFrame) -> DataFrame:
-    """Every node hangs its larger neighbours on the least of its neighbours and itself."""
+    """Every node hangs its larger neighbours on the least of its neighbours and itself.
+
+    The least ones are written first: the join then reads two tables, and Spark can
+    split the edges of a node that very many have.
+    """
     both = e.union(e.select("b", "a"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
     return both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").filter("a != b").distinct()
 
 
 def _small(e: DataFrame) -> DataFrame:
     """Every node hangs its smaller neighbours and itself on the least of them; edges have a < b."""
-    least = e.groupBy("b").agg(F.min("a").alias("m"))
+    least = checkpointed(e.groupBy("b").agg(F.min("a").alias("m")))
     moved = e.join(least, "b").select(F.col("m").alias("a"), F.col("a").alias("b")).filter("a != b")
     return moved.union(least.select("m", "b")).distinct()
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import checkpointed, row_key
+from .shared import checkpointed, row_key, running
 
 SPACES = "\t\n\u000b\f\r"
 
@@ -31,41 +31,41 @@ def n_words(text: Column) -> Column:
 
 def by_cycle(sources: DataFrame, cycle: tuple[float, ...]) -> DataFrame:
     """Adds w: the weights of `cycle` in turn, in order of the source by code point, null last.  A row per source."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    return sources.withColumn("w", F.element_at(F.array(*map(F.lit, cycle)), (F.pmod(F.row_number().over(order) - 1, F.lit(len(cycle))) + 1).cast("int")).cast("double"))
+    numbered = running(sources, [F.col("source").asc_nulls_last()], {"nth": F.lit(1)})
+    return numbered.withColumn("w", F.element_at(F.array(*map(F.lit, cycle)), (F.pmod(F.col("nth") - 1, F.lit(len(cycle))) + 1).cast("int")).cast("double")).drop("nth")
 
 
 def water_filled(sources: DataFrame, epochs: float) -> DataFrame:
     """sources (source, source_size, w) with target.
 
-    A round's level is what is left per unit of weight; sources that it would put
-    above their cap are clamped, and the next level is higher.  Ends when none is.
+    The level is what is left per unit of weight once the sources that it would put
+    above their cap are clamped.  Clamping goes in the order of cap over weight, and
+    each clamped source raises the level, so running sums of caps and weights in that
+    order give the level before each source, and the first source whose cap lies
+    above its level ends the clamping: one sort instead of a job a round.
     """
     cap = F.col("source_size") * F.lit(float(epochs))
-    whole = sources.agg(F.sum("source_size")).first()[0] or 0
-    level, clamped = 0.0, -1
-    while True:
-        full = cap <= F.col("w") * F.lit(level) if clamped >= 0 else F.lit(False)
-        n, taken, weight = sources.agg(F.count_if(full), F.coalesce(F.sum(F.when(full, cap)), F.lit(0.0)), F.coalesce(F.sum(F.when(~full, F.col("w"))), F.lit(0.0))).first()
-        if n == clamped or not weight:
-            level = level if weight else float("inf")
-            break
-        clamped, level = n, (whole - taken) / weight
-    share = F.lit(float(level)) * F.col("w")
-    return sources.withColumn("target", F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.least(cap, share)) if level != float("inf") else cap)
+    whole, weight = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0.0))).first()
+    at = running(sources.withColumns({"cap": cap, "ratio": cap / F.col("w")}), [F.col("ratio"), F.col("source").asc_nulls_last()], {"caps": F.col("cap"), "weights": F.col("w")})
+    level = (F.lit(float(whole)) - F.col("caps") + F.col("cap")) / (F.lit(float(weight)) - F.col("weights") + F.col("w"))
+    open_ = at.withColumn("level", level).filter(F.col("ratio") > F.col("level"))
+    found = open_.agg(F.min(F.struct("ratio", "level"))).first()[0]
+    target = cap if found is None else F.least(cap, F.lit(float(found["level"])) * F.col("w"))
+    return sources.withColumn("target", F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(target))
 
 
 def mixed(docs: DataFrame, cycle: tuple[float, ...] = (1.0, 2.0, 3.0), epochs: float = 3.0, seed: int = 7, id: str = "doc_id", text: str = "text", source: str = "source", per_block: int = 4096) -> DataFrame:
     """A row per row of docs: id, source, size (words), source_size, target, copies, taken (copies * size).
 
-    Null sources form one source; a source without words has target 0.  Null texts
-    have size 0.  Rows that are equal in id and size are interchangeable; every
+    Null sources form one source; a source without words has target 0 and gives nothing.  Null texts
+    have size 0.  Rows that are equal in id, text and source are interchangeable; every
     other tie of the seeded order is broken by id and size.  Reruns agree.  No
     document is taken more than ceil(epochs) times; documents without words weigh
-    nothing and come along where the order has them before the cut.
+    nothing: they are taken as often as their source is whole, and once more where
+    the order has them before the cut.  h: the seeded hash of id, text and source.
     """
-    rows = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{source}`").alias("source"), n_words(F.col(f"`{text}`")).alias("size"))
-    rows = checkpointed(rows.withColumn("h", F.xxhash64(F.lit(seed), F.col("id").cast("string"), "size")))
+    rows = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{source}`").alias("source"), n_words(F.col(f"`{text}`")).alias("size"), seeded(seed, id, text, source).alias("h"))
+    rows = checkpointed(rows)
     sizes = checkpointed(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
     goals = water_filled(by_cycle(sizes, cycle), epochs)
     goals = goals.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
@@ -84,7 +84,7 @@ def mixed(docs: DataFrame, cycle: tuple[float, ...] = (1.0, 2.0, 3.0), epochs: f
     at = at.join(b, F.col("x.source").eqNullSafe(F.col("b.source")) & (F.col("x.block") == F.col("b.block"))).select("x.*", (F.col("run") + F.col("before")).alias("upto"))
     at = checkpointed(at.drop("run"))
     # whole documents up to the cut, then the one that comes nearest to what is missing
-    first = F.col("upto") <= F.col("rest")
+    first = (F.col("rest") > 0) & (F.col("upto") <= F.col("rest"))
     rest = goals.select("source", "source_size", "target", "whole", "rest")
     got = per_source(at, rest, few).groupBy("source").agg(F.coalesce(F.sum(F.when(first, F.col("size"))), F.lit(0)).alias("got"))
     rest = checkpointed(rest.alias("r").join(got.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source"))).select("r.*", (F.col("rest") - F.col("got")).alias("gap")))
@@ -93,7 +93,12 @@ def mixed(docs: DataFrame, cycle: tuple[float, ...] = (1.0, 2.0, 3.0), epochs: f
     rest = rest.alias("r").join(last.alias("l"), F.col("r.source").eqNullSafe(F.col("l.source")), "left").select("r.*", "last")
     chosen = F.coalesce((F.col("block") == F.col("last.block")) & (F.col("nth") == F.col("last.nth")), F.lit(False))
     copies = F.col("whole") + F.when(first | chosen, 1).otherwise(0)
-    return per_source(at, rest, few).select(F.col("id").alias(id), F.col("source").alias(source), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return per_source(at, rest, few).select(F.col("id").alias(id), F.col("source").alias(source), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "h")
+
+
+def seeded(seed: int, id: str, text: str, source: str) -> Column:
+    """A null takes part as text that no id and no source is likely to be: hashes skip nulls."""
+    return F.xxhash64(F.lit(seed), *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0null")) for c in (id, text, source)))
 
 
 def per_source(rows: DataFrame, values: DataFrame, few: bool) -> DataFrame:
@@ -102,15 +107,18 @@ def per_source(rows: DataFrame, values: DataFrame, few: bool) -> DataFrame:
     return rows.join(v, rows.source.eqNullSafe(v["__source"])).drop("__source")
 
 
-def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, **how) -> DataFrame:
     """docs, a row for every time that the mix takes it, with copy (1, 2, ...), in place of a column so named.
 
-    Of rows with equal id and size the first by text take what the mix takes most.
-    A text crosses the network once.
+    Rows with equal id, text and source share what the mix takes of them.  A text crosses the
+    network once.
     """
-    mix = mixed(docs, id=id, text=text, source=source, **how).filter("copies > 0")
-    taken = mix.groupBy(row_key(F.col(f"`{id}`"), F.col("size")).alias("__k")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__copies"))
-    keyed = docs.withColumn("__k", row_key(F.col(f"`{id}`"), n_words(F.col(f"`{text}`"))))
-    nth = F.row_number().over(Window.partitionBy("__k").orderBy(F.xxhash64(F.col(f"`{text}`"))))
-    out = keyed.withColumn("__nth", nth).join(taken, "__k").filter(F.col("__nth") <= F.size("__copies"))
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.element_at("__copies", F.col("__nth"))))).select(*(F.col(f"`{c}`") for c in docs.columns if c != "copy"), "copy")
+    mix = mixed(docs, id=id, text=text, source=source, seed=seed, **how).filter("copies > 0")
+    key = lambda h: row_key(F.col(f"`{id}`"), h)
+    # a source takes a document as often as it is whole, or once more: two numbers and how many rows have the larger one
+    most = mix.groupBy(key(F.col("h")).alias("__k"), "copies").count().groupBy("__k").agg(F.max(F.struct("copies", "count")).alias("m"), F.min("copies").alias("__less"), F.sum("count").alias("__n"))
+    taken = most.select("__k", F.col("m.copies").alias("__most"), F.col("m.count").alias("__many"), "__less", "__n")
+    nth = F.row_number().over(Window.partitionBy("__k").orderBy(F.lit(0)))
+    out = docs.withColumn("__k", key(seeded(seed, id, text, source))).withColumn("__nth", nth).join(taken, "__k").filter(F.col("__nth") <= F.col("__n"))
+    copies = F.when(F.col("__nth") <= F.col("__many"), F.col("__most")).otherwise(F.col("__less"))
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*(F.col(f"`{c}`") for c in docs.columns if c != "copy"), "copy")

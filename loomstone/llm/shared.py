@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from urllib.parse import unquote, urlparse
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -24,9 +24,30 @@ def shared_root(spark: SparkSession) -> str:
     return found
 
 
+_MADE: dict[str, list[str]] = {}
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_root(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A new path below the shared folder; cleaned() removes it."""
+    path = f"{shared_root(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever Spark's file systems have it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def cleaned(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
+    """Deletes what scratch() named for this application: models, recurring lines, archives.  For use once results that need them are written."""
+    made = _MADE.pop(spark.sparkContext.applicationId, [])
+    for path in made:
+        if path in keep:
+            _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+        else:
+            removed(spark, path)
 
 
 def mounted(path: str) -> str:
@@ -56,3 +77,19 @@ def fold(name: str, n: int) -> Column:
 def row_key(id: Column, number: Column) -> Column:
     """Text that tells apart rows by id (null is an id of its own) and a whole number; never null, so joins and windows on it share a partitioning."""
     return F.concat(F.coalesce(F.concat(F.lit("i"), id.cast("string")), F.lit("n")), F.lit(":"), number.cast("string"))
+
+
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """df with running sums, the own row included, in a total order of its rows.
+
+    Rows are sorted by ranges; sums of the ranges, as many rows as there are
+    partitions, are added up first, so no task reads more than a range.  The result
+    doesn't depend on where the ranges end.
+    """
+    ranges = checkpointed(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    each = ranges.groupBy("__p").agg(*(F.sum(c).alias(f"__{n}") for n, c in sums.items()))
+    upto = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    before = each.select("__p", *(F.coalesce(F.sum(f"__{n}").over(upto), F.lit(0)).alias(f"__{n}") for n in sums))
+    inside = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranges.select("*", *(F.sum(c).over(inside).alias(n) for n, c in sums.items())).join(F.broadcast(before), "__p")
+    return out.select(*(F.col(f"`{c}`") for c in df.columns), *((F.col(n) + F.col(f"__{n}")).alias(n) for n in sums))

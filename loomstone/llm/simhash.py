@@ -6,7 +6,8 @@ in which two sorted words differ is the Manhattan distance of their bit counts.
 It never exceeds the Hamming distance.  The segments form groups; at a distance
 of `radius` at most, all but `radius` groups have equal counts, so fingerprints
 meet in a grid cell for some choice of the other groups.  Inside a cell the
-Manhattan distance is tested first and the Hamming distance after it.
+Manhattan distance is tested first and the Hamming distance after it.  The more
+fingerprints there are, the more groups and the smaller cells (fitting).
 
 Equal fingerprints are one node.  A cell with more than `most` nodes is cut into
 blocks, and every pair of blocks is a task of its own: nothing is capped.  From
@@ -15,6 +16,7 @@ a cell only a spanning forest of its links goes on, never all pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -150,11 +152,28 @@ def linked(width: int, radius: int):
     return run
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, width: int = 2, groups: int = 6, most: int = 2048) -> DataFrame:
-    """Edges (a, b) that connect every pair of distinct fp at `radius` or fewer differing bits, directly or through others so linked."""
+def fitting(n: int, radius: int = RADIUS, width: int = 2) -> int:
+    """The number of groups for n fingerprints: the fewest cells and, of evenly spread fingerprints, compared pairs together.
+
+    Both numbers of a choice of g - radius groups out of g: a cell for each choice,
+    and the pairs whose segments there have equal counts by chance.
+    """
+    segments = -(-64 // width)
+    counts = [math.comb(width, k) / 2**width for k in range(width + 1)]
+    equal = sum(c * c for c in counts)
+
+    def work(g: int) -> float:
+        return math.comb(g, radius) * (n + n * n / 2 * equal ** (segments * (g - radius) / g))
+
+    return min(range(radius + 2, segments + 1), key=work)
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, width: int = 2, groups: int | None = None, most: int = 2048) -> DataFrame:
+    """Edges (a, b) that connect every pair of distinct fp at `radius` or fewer differing bits, directly or through others so linked.  groups: else fitting the number of nodes."""
+    groups = groups or fitting(nodes.count(), radius, width)
     cell = nodes.select("fp").mapInArrow(lean(cells(masks(width, groups, radius), width)), "cell long, fp long")
     cell = checkpointed(cell)
-    large = cell.groupBy("cell").count().filter(F.col("count") > most).select("cell", F.ceil(F.col("count") / most).cast("int").alias("blocks"))
+    large = checkpointed(cell.groupBy("cell").count().filter(F.col("count") > most).select("cell", F.ceil(F.col("count") / most).cast("int").alias("blocks")))
     block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda d: F.struct(F.least(block, d).alias("i"), F.greatest(block, d).alias("j")))
     dealt = (
@@ -172,11 +191,12 @@ def near_duplicates(prints: DataFrame, id: str = "doc_id", radius: int = RADIUS)
     fingerprints, repeated rows included, share a component.  Null ids are larger
     than any other; a component of null ids alone has a null id.
     """
-    nodes = prints.groupBy("fp").agg(F.min(id).alias("__least"))
+    nodes = checkpointed(prints.groupBy("fp").agg(F.min(id).alias("__least")))
     roots = connected(links(nodes.select("fp"), radius))
-    nodes = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "__least", F.coalesce("root", "fp").alias("root"))
-    least = nodes.groupBy("root").agg(F.min("__least").alias("component_id"))
-    return prints.join(nodes.join(least, "root").select("fp", "component_id", "root"), "fp")
+    # tables that are joined are written first, so that Spark can split what very many rows have: a root, a fingerprint
+    nodes = checkpointed(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "__least", F.coalesce("root", "fp").alias("root")))
+    least = checkpointed(nodes.groupBy("root").agg(F.min("__least").alias("component_id")))
+    return prints.join(checkpointed(nodes.join(least, "root").select("fp", "component_id", "root")), "fp")
 
 
 def one_each(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

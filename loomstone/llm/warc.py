@@ -1,12 +1,15 @@
 """A deterministic, sharded WARC writer, and its reader.
 
-Records are dealt out by ranges of their id: exact sums of payload bytes over at
-most 8,192 equal ranges of ids decide the shards, so a rerun makes the same
-files.  A payload crosses the network once; which records revisit which is found
-on digests alone and meets the payloads in the sorted shard.  A shard rolls its
-file once its compressed size reaches `roll`; files are written under temporary
-names and renamed when whole, and the manifest, renamed last, names the files
-that count.  Every record is a gzip member of its own with fresh headers.
+Records are sorted by id and payload digest, and cut into shards of about equal
+bytes: exact running sums of bytes in that order, taken on ids and digests alone,
+give the key with which each shard begins, so a rerun makes the same shards however
+rows are partitioned and however ids are spread.  A payload crosses the network
+once; which records revisit which is found on digests and meets the payloads in
+the sorted shard, whose order is total but for rows that repeat whole, so files
+are the same byte for byte.  A shard rolls its file once its compressed size
+reaches `roll`; files are written under temporary names and renamed when whole, and
+the manifest, renamed last, names the files that count.  Every record is a gzip
+member of its own with fresh headers.
 """
 
 from __future__ import annotations
@@ -17,14 +20,15 @@ import hashlib
 import json
 import os
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import checkpointed, mounted, scratch
+from .shared import checkpointed, mounted, running, scratch
 from .tokens import lean
 
 DATE = "2024-01-01T00:00:00Z"
@@ -90,7 +94,7 @@ class Files:
 
 
 def writer(path: str, roll: int, level: int):
-    """For mapInArrow over rows sorted by shard, id and kind (decisions before payloads)."""
+    """For mapInArrow over rows sorted by shard, id, kind (decisions before payloads), digest and url."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, now, page, firsts = None, None, None, {}
@@ -120,34 +124,55 @@ def manifest_rows(done: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done) if done else [()] * 4, kinds)], ["file", "records", "bytes", "sha1"])
 
 
-def write(pages: DataFrame, path: str | None = None, id: str = "page_id", url: str = "url", payload: str = "html", least: int = 0, shard_bytes: int = 16 << 20, roll: int = 8 << 20, level: int = 6) -> tuple[str, DataFrame]:
+def starts(keys: DataFrame, shard_bytes: int, most_shards: int) -> list[tuple]:
+    """The keys (id is known, id, digest) with which shards begin, of rows (id, own, bytes): at most most_shards + 1."""
+    order = [F.col("id").asc_nulls_first(), F.col("own")]
+    each = checkpointed(keys.groupBy("id", "own").agg(F.sum("bytes").alias("bytes")))
+    total = each.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    size = max(shard_bytes, -(-total // most_shards))
+    shard = F.floor((F.col("upto") - F.col("bytes")) / F.lit(size))
+    first = running(each, order, {"upto": F.col("bytes")}).groupBy(shard.alias("shard")).agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "own")).alias("k"))
+    return sorted((r.k.known, r.k.id or 0, r.k.own) for r in first.collect())
+
+
+def dealt(bounds: list[tuple]):
+    """For mapInArrow: adds the shard of rows (id, own, ...) in front."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shard = [bisect_right(bounds, (i is not None, i or 0, own)) - 1 for i, own in zip(b.column("id").to_pylist(), b.column("own").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), *b.columns], ["shard", *b.schema.names])
+
+    return run
+
+
+def write(pages: DataFrame, path: str | None = None, id: str = "page_id", url: str = "url", payload: str = "html", least: int = 0, shard_bytes: int = 16 << 20, roll: int = 8 << 20, level: int = 6, most_shards: int = 1 << 16) -> tuple[str, DataFrame]:
     """Writes a record per row; returns the folder and the manifest (file, records, bytes, sha1).
 
     Of rows with equal payloads of at least `least` bytes those with the largest id
     are responses, the others revisit it.  Null payloads are empty, null ids are
     smaller than any other and have an empty page id; a repeated row is a record
-    of its own.  The folder must be mounted where executors run; without a path
-    one is made in the shared folder.
+    of its own.  Beyond most_shards * shard_bytes shards are larger, as many.  The
+    folder must be mounted where executors run; without a path one is made in the
+    shared folder.
     """
     spark = pages.sparkSession
     path = mounted(path or scratch(spark, "warc"))
     os.makedirs(path, exist_ok=True)
     rows = pages.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{url}`").cast("string").alias("url"), F.coalesce(F.col(f"`{payload}`").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    slim = checkpointed(rows.select("id", F.sha1("payload").alias("own"), F.octet_length("payload").cast("long").alias("size")))
-    low, high = slim.agg(F.coalesce(F.min("id"), F.lit(0)), F.coalesce(F.max("id"), F.lit(0))).first()
-    width = (high - low) // 8192 + 1
-    bucket = F.coalesce(F.floor((F.col("id") - low) / F.lit(width)), F.lit(-1)).cast("long")
-    sums = slim.groupBy(bucket.alias("bucket")).agg(F.sum(F.col("size") + 512).alias("b"))
-    before = F.coalesce(F.sum("b").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranges = checkpointed(sums.select("bucket", F.floor(before / F.lit(shard_bytes)).cast("int").alias("shard")))  # 8,193 rows at most
-    shards = (ranges.agg(F.max("shard")).first()[0] or 0) + 1
-
-    firsts = slim.filter(F.col("size") >= least).groupBy("own").agg(F.max("id").alias("first"))
-    decided = slim.join(firsts, "own").filter(~F.col("id").eqNullSafe(F.col("first"))).select("id", "first", "own").distinct()
+    rows = rows.select("id", F.sha1("payload").alias("own"), "url", "payload")
+    slim = checkpointed(rows.select("id", "own", F.octet_length("payload").cast("long").alias("size")))
+    bounds = starts(slim.select("id", "own", (F.col("size") + 512).alias("bytes")), shard_bytes, most_shards)
+
+    # written apart, so that a digest which many rows have can be split in the join
+    firsts = checkpointed(slim.filter(F.col("size") >= least).groupBy("own").agg(F.max("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    decided = slim.join(firsts, "own").filter(~F.col("id").eqNullSafe(F.col("first"))).select("id", "own", "first").distinct()
     null = lambda t: F.lit(None).cast(t)
-    both = decided.select("id", F.lit(0).alias("kind"), "first", "own", null("string").alias("url"), null("binary").alias("payload")).union(rows.select("id", F.lit(1), null("long"), null("string"), "url", "payload"))
-    both = both.withColumn("bucket", bucket).join(F.broadcast(ranges), "bucket").select("shard", "id", "kind", "first", "own", "url", "payload")
-    both = both.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "kind")
+    kinds = "shard int, id long, own string, kind int, first long, url string, payload binary"
+    both = rows.select("id", "own", F.lit(1).alias("kind"), null("long").alias("first"), "url", "payload").union(decided.select("id", "own", F.lit(0), "first", null("string"), null("binary")))
+    both = both.mapInArrow(lean(dealt(bounds)), kinds).select("shard", "id", "kind", "first", "own", "url", "payload")
+    order = ["shard", F.col("id").asc_nulls_first(), "kind", "own", F.col("url").asc_nulls_first()]
+    both = both.repartitionById(max(1, len(bounds)), F.col("shard")).sortWithinPartitions(*order)
     manifest = checkpointed(both.mapInArrow(lean(writer(path, roll, level)), "file string, records long, bytes long, sha1 string"))
     held = f"{path}/.manifest.{os.urandom(6).hex()}"
     with open(held, "w") as f:  # a line per file of about `roll` bytes

@@ -268,7 +268,7 @@ def test_mixing_meets_targets(spark):
         sizes[r.source] += r.size
         taken[r.source] += r.taken
         largest[r.source] = max(largest[r.source], r.size)
-        assert r.taken <= 3 * r.size and r.taken == r.copies * r.size
+        assert r.taken <= 3 * r.size and r.taken == r.copies * r.size and r.copies <= 3
     want = targets(sizes, (1, 2, 3), 3)
     for r in got:
         assert r.target == pytest.approx(want[r.source]) and r.source_size == sizes[r.source]
@@ -276,7 +276,20 @@ def test_mixing_meets_targets(spark):
         assert abs(taken[s] - want[s]) <= max(largest[s] / 2, 1e-6)
     repeated = mixing.repeated(docs, per_block=50)
     assert Counter(r.doc_id for r in repeated.collect()) == Counter({k: v for k, v in Counter(itertools.chain(*([r.doc_id] * r.copies for r in got))).items()})
-    assert mixing.mixed(docs.limit(0)).count() == 0 and mixing.repeated(docs.filter("text is null")).count() == 1
+    assert mixing.mixed(docs.limit(0)).count() == 0 and mixing.repeated(docs.filter("text is null")).count() == 0
+
+
+def test_mixing_of_many_sources_and_capped_ones(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, " ".join(["w"] * (0 if k % 9 == 0 else int(rng.integers(1, 40)) ** 2 // 20)), f"s{int(rng.integers(0, 30)) ** 2 % 200}") for k in range(500)]
+    for epochs in (3.0, 1.5, 0.5):
+        got = mixing.mixed(docs_of(spark, rows), epochs=epochs, per_block=10).collect()
+        sizes = Counter()
+        for r in got:
+            sizes[r.source] += r.size
+        want = targets(sizes, (1, 2, 3), epochs)
+        assert all(r.target == pytest.approx(want[r.source]) and r.copies <= math.ceil(epochs) for r in got)
+        assert any(want[s] == epochs * sizes[s] for s in sizes if sizes[s])
 
 
 def test_word_count(spark):
@@ -576,6 +589,21 @@ def test_links_are_whole(spark, width, groups, most):
     assert {n: got.get(n, n) for n in signed} == want
 
 
+def test_compared_pairs_grow_little_faster_than_fingerprints():
+    rng = np.random.default_rng(3)
+    pairs = {}
+    for n in (20_000, 80_000, 320_000):
+        fp = rng.integers(0, 2**63, n).astype(np.uint64) << np.uint64(1) | rng.integers(0, 2, n).astype(np.uint64)
+        e = simhash.embedded(fp, 2)
+        pairs[n] = 0
+        for m in simhash.masks(2, simhash.fitting(n), 4):
+            x = np.sort(e & np.uint64(m))
+            c = np.diff(tk.runs(x), append=n)
+            pairs[n] += int((c * (c - 1) // 2).sum())
+    assert pairs[320_000] <= pairs[20_000] * 16**1.3
+    assert simhash.fitting(10**9) > simhash.fitting(10**6) > simhash.fitting(1000)
+
+
 def test_popcounts_bound_hamming():
     rng = np.random.default_rng(6)
     x, y = (rng.integers(0, 2**63, 5000).astype(np.uint64) for _ in range(2))
@@ -649,14 +677,30 @@ def test_warc_round_trip(spark, tmp_path, least):
     files = {r.file: (r.records, r.bytes, r.sha1) for r in manifest.collect()}
     assert len(files) > 3 and sum(n for n, *_ in files.values()) == len(rows)
     again = warc.write(pages.repartition(5), str(tmp_path / "b"), least=least, shard_bytes=8000, roll=2000)[1]
-    if least == 0:
-        assert {r.file for r in again.collect()} == files.keys()
-    unique = pages.dropDuplicates(["page_id"]).filter("page_id is not null")
-    a, b = (warc.write(x, str(tmp_path / n), least=least, shard_bytes=8000, roll=2000)[1] for x, n in ((unique, "c"), (unique.repartition(6), "d")))
-    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert {r.file: (r.records, r.bytes, r.sha1) for r in again.collect()} == files
+    for name in files:
+        assert (tmp_path / "a" / name).read_bytes() == (tmp_path / "b" / name).read_bytes()
     assert warc.read(*warc.write(pages.limit(0), str(tmp_path / "e"))).count() == 0
 
 
+def test_warc_shards_follow_bytes_not_ids(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    text = lambda: "".join(map(chr, rng.integers(97, 123, 400)))
+    html = [text() for _ in range(300)]
+
+    def shards(ids, name):
+        pages = spark.createDataFrame([(i, f"u{k}", html[k]) for k, i in enumerate(ids)], "page_id long, url string, html string")
+        path, manifest = warc.write(pages, str(tmp_path / name), shard_bytes=9000)
+        assert sorted(r.page_id for r in warc.read(path, manifest).collect()) == sorted(ids)
+        return len({r.file.rpartition("-")[0] for r in manifest.collect()})
+
+    n = shards(range(300), "even")
+    assert n > 20
+    hashed = rng.integers(-(2**63), 2**63 - 1, 300).tolist()
+    for ids, name in (([*range(299), 1 << 60], "outlier"), (hashed, "hashed"), ([-9 * 10**18, 9 * 10**18, *range(298)], "wide"), ([7] * 150 + [*range(100, 250)], "repeated")):
+        assert n <= 2 * shards(ids, name) <= 4 * n
+
+
 # 10: quality
 
 
