@@ -109,28 +109,24 @@ def op4_sql() -> str:
 def op8_sql() -> str:
     import math
 
-    from .licenses import PHRASES, TEMPLATES, THRESHOLD
+    from .licenses import PHRASES, SLACK, TEMPLATES, THRESHOLD
 
-    words = r"regexp_extract_all({t}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     as_list = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
     starts, labels = [], []
     for phrase, label in PHRASES.items():
         q = phrase.split()
         starts.append(f"list_filter(range(0, greatest(len(w) - {len(q) - 1}, 0)), lambda i: w[i + 1:i + {len(q)}] = {as_list(q)})")
         labels.append(f"CASE WHEN len({starts[-1]}) > 0 THEN '{label}' END")
-    met, shares = [], []
-    for label, text in TEMPLATES:
-        own = sorted(set(text.split()))
-        need = math.ceil(THRESHOLD * len(own) - 1e-9)
-        most = f"list_max(list_transform(lines, lambda l: len(list_intersect(l, {as_list(own)}))))"
-        met.append(f"CASE WHEN {most} >= {need} THEN '{label}' END")
-        shares.append(f"CASE WHEN {most} >= {need} THEN {most} / {len(own)}::DOUBLE ELSE 0 END")
-    joined = lambda parts: f"array_to_string(list_sort(list_distinct(list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL))), ',')"
-    return f"""WITH t AS (SELECT doc_id, {LOWER.format(t="coalesce(text, '')")} AS t FROM documents),
- w AS (SELECT doc_id, {words.format(t="t")} AS w, list_transform(string_split(t, chr(10)), lambda l: list_distinct({words.format(t="l")})) AS lines FROM t),
- s AS (SELECT doc_id, w, lines, list_concat({starts[0]}, {", ".join(starts[1:])}) AS places FROM w)
- SELECT doc_id, len(w) AS n_words, len(places) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word, {joined(labels)} AS base_labels, {joined([*labels, *met])} AS labels,
-  CASE WHEN len(places) > 0 THEN 1.0 ELSE greatest({", ".join(shares)}) END::DOUBLE AS score FROM s"""
+    tokens = ", ".join(f"({k}, '{label}', '{w}', {len(own)}, {math.ceil(THRESHOLD * len(own) - 1e-9)}, {math.ceil(SLACK * len(text.split()))})" for k, (label, text) in enumerate(TEMPLATES) for own in [sorted(set(text.split()))] for w in own)
+    joined = lambda x: f"array_to_string(list_sort(list_distinct(list_filter({x}, lambda x: x IS NOT NULL))), ',')"
+    return f"""WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER.format(t="coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+ t(k, label, token, m, need, width) AS (VALUES {tokens}),
+ x AS (SELECT r, unnest(w) AS token, generate_subscripts(w, 1) AS p FROM w),
+ n AS (SELECT r, label, m, need, count(DISTINCT x.token) OVER (PARTITION BY r, k ORDER BY p RANGE BETWEEN CURRENT ROW AND width - 1 FOLLOWING) AS n FROM x JOIN t ON x.token = t.token),
+ met AS (SELECT r, list(DISTINCT label) AS more, max(n / m::DOUBLE) AS best FROM n WHERE n >= need GROUP BY r),
+ s AS (SELECT r, doc_id, w, list_concat({starts[0]}, {", ".join(starts[1:])}) AS places FROM w)
+ SELECT doc_id, len(w) AS n_words, len(places) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word, {joined(f"[{', '.join(labels)}]")} AS base_labels, {joined(f"list_concat([{', '.join(labels)}], coalesce(more, []))")} AS labels,
+  CASE WHEN len(places) > 0 THEN 1.0 ELSE coalesce(best, 0) END::DOUBLE AS score FROM s LEFT JOIN met USING (r)"""
 
 
 OP9_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages), f AS (SELECT h, max(page_id) AS first FROM p GROUP BY h)

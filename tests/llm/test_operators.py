@@ -7,6 +7,7 @@ import pickle
 import re
 import subprocess
 import sys
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -625,10 +626,11 @@ def test_components_of_a_long_chain(spark):
 def test_licenses_match_all_pairs(spark):
     mit = licenses.TEMPLATES[0][1]
     rows = ROWS + [
-        (20, "Released under the MIT License. Cc by-nc, cc by nc cc by nc 4.0!", "a"), (21, mit.upper() + "\nmore", "a"), (22, mit.replace("granted ", "").replace("obtaining", "getting"), "a"), (23, " ".join(mit.split()[:15]), "a"),
+        (20, "Released under the MIT License. Cc by-nc, cc by nc cc by nc 4.0!", "a"), (21, mit.upper() + "\nmore", "a"), (22, "x y " * 90 + mit.replace("obtaining", "getting") + " z" * 50, "a"), (27, "/*\n * " + "\n * ".join(textwrap.wrap(mit, 60)) + "\n */\n", "a"), (28, " filler".join(mit.split()), "a"), (29, (mit + " ") * 30, "a"), (30, "under the mit license under the mit license under the mit license", "a"), (23, " ".join(mit.split()[:15]), "a"),
         (24, "Licensed under the Apache License, Version 2.0.\nCC BY NC", "a"), (24, "Licensed under the Apache License, Version 2.0.\nCC BY NC", "a"), (25, "This work is licensed\nunder the gnu general public license version 3", "b"), (26, "apache license version 20", "b"),
     ]
     got = licenses.scanned(docs_of(spark, rows, True)).collect()
+    score = []
 
     def one(t):
         t = low(t)
@@ -640,17 +642,22 @@ def test_licenses_match_all_pairs(spark):
             starts += at
             own |= {label} if at else set()
         more = set(own)
-        for line in t.split("\n"):
-            have = set(ALNUM.findall(line))
-            for label, text in licenses.TEMPLATES:
-                words = set(text.split())
-                if len(words & have) >= math.ceil(0.9 * len(words) - 1e-9):
-                    more.add(label)
+        for label, text in licenses.TEMPLATES:
+            words, width = set(text.split()), math.ceil(1.25 * len(text.split()))
+            most = max(len(words & set(w[k : k + width])) for k in range(max(1, len(w))))
+            if most >= math.ceil(0.95 * len(words) - 1e-9):
+                more.add(label)
+                best = max(best, most / len(words))
+        score.append(1.0 if starts else best)
         return len(w), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(own)), ",".join(sorted(more))
 
     assert Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) for r in got) == Counter((i, *one(t)) for i, t, _ in rows)
-    assert all(0 <= r.score <= 1 and (r.score == 1 or not r.n_base) for r in got)
-    assert {r.labels for r in got if r.doc_id == 22} == {"mit"} and {r.labels for r in got if r.doc_id == 23} == {""}
+    assert sorted(r.score for r in got) == pytest.approx(sorted(score))
+    assert [{r.labels for r in got if r.doc_id == i} for i in (22, 23, 27, 28)] == [{"mit"}, {""}, {"mit"}, {""}]
+    themselves = licenses.scanned(docs_of(spark, [(k, text, "a") for k, (_, text) in enumerate(licenses.TEMPLATES)])).collect()
+    assert all(r.labels == licenses.TEMPLATES[r.doc_id][0] for r in themselves)
+    overlapping = licenses.scanned(docs_of(spark, [(1, "a b a b a (x) a.b", "a")]), phrases={"a b a": "l"}, templates=[]).first()
+    assert (overlapping.n_base, overlapping.first_word, overlapping.last_word) == (2, 0, 2)
     assert licenses.scanned(docs_of(spark, rows).limit(0)).count() == 0
     assert {r.labels for r in licenses.scanned(docs_of(spark, rows), phrases={}, templates=[]).collect()} == {""}
 
