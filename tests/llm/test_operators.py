@@ -590,19 +590,18 @@ def test_links_are_whole(spark, width, groups, most):
     assert {n: got.get(n, n) for n in signed} == want
 
 
-def test_compared_pairs_grow_little_faster_than_fingerprints():
+def test_groups_keep_compared_pairs_below_the_square():
     rng = np.random.default_rng(3)
-    pairs = {}
-    for n in (20_000, 80_000, 320_000):
-        fp = rng.integers(0, 2**63, n).astype(np.uint64) << np.uint64(1) | rng.integers(0, 2, n).astype(np.uint64)
-        e = simhash.embedded(fp, 2)
-        pairs[n] = 0
-        for m in simhash.masks(2, simhash.fitting(n), 4):
-            x = np.sort(e & np.uint64(m))
-            c = np.diff(tk.runs(x), append=n)
-            pairs[n] += int((c * (c - 1) // 2).sum())
-    assert pairs[320_000] <= pairs[20_000] * 16**1.3
-    assert simhash.fitting(10**9) > simhash.fitting(10**6) > simhash.fitting(1000)
+    for n, groups in ((40_000, 6), (40_000, 7)):
+        e = simhash.embedded(rng.integers(0, 2**64, n, np.uint64), 2)
+        pairs = 0
+        for m in simhash.masks(2, groups, 4):
+            c = np.diff(tk.runs(np.sort(e & np.uint64(m))), append=n)
+            pairs += int((c * (c - 1) // 2).sum())
+        assert pairs == pytest.approx(simhash.chance_pairs(n, groups), rel=0.2)
+    of = lambda n: simhash.chance_pairs(n, simhash.fitting(n))
+    assert of(10**10) <= of(10**8) * 100**1.3 and of(10**9) <= of(10**7) * 100**1.3
+    assert simhash.fitting(10**10) > simhash.fitting(10**9) > simhash.fitting(10**6)
 
 
 def test_popcounts_bound_hamming():
