@@ -1,26 +1,31 @@
 """Line dedup with a log-template tree of fixed depth.
 
-A message is a line, or a sentence of SENTENCE words or more inside a line of
-several.  Its path in the tree is its number of words and its first DEPTH words;
+A message is a line, or a sentence of `sentence` words or more inside a line of
+several.  Its path in the tree is its number of words and its first `depth` words;
 words with a digit are variable fields and equal one another.  A leaf's
-templates are the rest of the message, whole or, for lines, with one of PARTS
-equal stretches left open, so lines that vary in one stretch share a template.
-Each template is a 64-bit key from sums over positions, found without a loop
-over messages.
-
-A passage is a run of PASSAGE words or more anywhere in a text, over lines and
-parts of sentences, that stands in two documents.  Of the PASSAGE - GRAM + 1 runs
-of GRAM words in each window of PASSAGE words the one with the least hash is the
-window's anchor, equal wherever the window stands.  Anchors are counted with the
-templates; windows are counted only where their anchor recurs.  All documents
-but the one with the smallest id lose the words of the window.
+templates are the rest of the message, whole or, for lines of `general` words or
+more, with one of `parts` equal stretches (an even number) open, so lines that vary in one stretch
+(in short lines: in one word) share a template.  Each template is a 64-bit key
+from sums over positions, found without a loop over messages.
+
+A passage is a run of `passage` words or more anywhere in a text, over lines and
+parts of sentences, that stands in two documents.  Of the runs of `gram` words in
+each window of `passage` words the one with the least hash is the window's anchor,
+equal wherever the window stands.  All documents but the one with the smallest id
+lose the words of the window.
+
+Two passes count, a third one cuts.  The first counts whole messages, and what a
+recurring open template or passage must share: either half of a line (an open
+stretch lies in one half, so the other is whole), and anchors.  The second counts
+open templates of lines with a recurring half and windows with a recurring anchor:
+few, since most text is new.
 
 A template recurs if enough documents have it, the more the shorter it is
-(NEEDED).  All documents but the one with the smallest id lose its messages.
+(`needed`).  All documents but the one with the smallest id lose its messages.
 
 Counting is a sum per key with partial sums before the shuffle; texts are never
 shuffled.  Recurring keys and their first ids become sorted arrays in the shared
-folder, which the second pass maps into memory.
+folder, which the next pass maps into memory.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,13 +47,6 @@ from .lm import by_shard, section, Sections
 from .shared import checkpointed, mounted, scratch, text_bytes
 
 U64 = tk.U64
-DEPTH = 3
-PARTS = 4
-GENERAL = 12  # lines with fewer words have no open stretch
-SENTENCE = 8  # shorter sentences are no messages
-#: Words from which on a message recurs in so many documents.
-NEEDED = ((50, 2), (8, 3), (1, 10))
-PASSAGE, GRAM = 50, 25
 LINE = tk._table("\n")
 DIGIT = tk._table("0123456789")
 STOP = tk._table(".!?")
@@ -56,23 +54,57 @@ FIELD = U64(0xA0761D6478BD642F)
 LAST = (1 << 63) - 1
 
 
+@dataclass(frozen=True)
+class Rules:
+    """depth: leading words that are never open; parts: stretches of which one may be open; general: words of a line from which on one may; sentence: words of a sentence in a line from which on it is a message; needed: words of a message from which on so many documents must have it, the longest first; passage, gram: words of a window, and of its anchor.
+
+    Lower `needed` takes more of what recurs by chance: at (8, 3) and (1, 10) a heading
+    stays in up to nine documents, a sentence of a few words in two.
+    """
+
+    depth: int = 1
+    parts: int = 4
+    general: int = 4
+    sentence: int = 8
+    needed: tuple = ((50, 2), (8, 3), (1, 10))
+    passage: int = 50
+    gram: int = 10
+
+    def documents(self, n: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(n), np.int32)
+        for words, documents in reversed(self.needed):
+            out[n >= words] = documents
+        return out
+
+
 class Messages:
-    """Messages of a column: row, line (number in the text), n (words), keys [message, 1 + PARTS] (0: none); the first `lines` of them are lines, the others sentences at bytes start to end of their line."""
+    """Messages of a column.  Of lines: row, line (number in the text), n (words), whole (key), halves [line, 2], and keys of open templates on demand; of sentences: of (their line), start and end (bytes in the line), key, size (words)."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, rules: Rules):
         w = tk.words(column, lower=True)
         starts, ends = tk.spans(w.buf, w.bounds, LINE)
         first, last = np.searchsorted(w.starts, starts), np.searchsorted(w.starts, ends)
         full = last > first
         starts, first, last = starts[full], first[full], last[full]
-        row = np.searchsorted(w.bounds, starts, "right") - 1
-        breaks = np.concatenate([[0], np.cumsum(LINE[w.buf])])
-        number = breaks[starts] - breaks[w.bounds[row]]
-        digits = np.concatenate([[0], np.cumsum(DIGIT[w.buf])])
-        exact = w.hashes()
-        h = np.where(digits[w.ends] > digits[w.starts], FIELD, exact)
-        n = last - first
-        self.lines = len(n)
+        self.row = np.searchsorted(w.bounds, starts, "right") - 1
+        breaks = np.zeros(len(w.buf) + 1, np.int32)
+        np.cumsum(LINE[w.buf], dtype=np.int32, out=breaks[1:])
+        self.line = breaks[starts] - breaks[w.bounds[self.row]]
+        digits = np.zeros(len(w.buf) + 1, np.int32)
+        np.cumsum(DIGIT[w.buf], dtype=np.int32, out=digits[1:])
+        self.exact = w.hashes()
+        h = np.where(digits[w.ends] > digits[w.starts], FIELD, self.exact)
+        self.n = n = last - first
+        self.words, self.starts, self.first, self.last, self.rules = w, starts, first, last, rules
+
+        each = np.zeros(len(h) + 1, U64)
+        np.cumsum(tk.combine(h, (np.arange(len(h)) - np.repeat(first, n)).astype(U64)), dtype=U64, out=each[1:])
+        self.each, self.sum = each, each[last] - each[first]
+        middle = first + np.minimum(rules.depth + np.maximum(n - rules.depth, 0) // 2, n)
+        self.label = n.astype(U64) * U64(rules.parts + 3)
+        self.whole = tk.combine(self.label, self.sum)
+        sides = each[middle] - each[first], each[last] - each[middle]
+        self.halves = np.stack([tk.combine(self.label + U64(rules.parts + 1 + k), x) for k, x in enumerate(sides)], axis=1) if len(n) else np.zeros((0, 2), U64)
 
         opens = np.zeros(len(h) + 1, bool)
         opens[1:-1] = STOP[w.buf[w.ends[:-1] - 1]] if len(h) else False
@@ -80,35 +112,31 @@ class Messages:
         head = np.flatnonzero(opens[:-1])
         tail = np.append(head[1:], len(h))
         of = np.searchsorted(first, head, "right") - 1
-        own = (tail - head >= SENTENCE) & (tail - head < n[of])
-        head, tail, of = head[own], tail[own], of[own]
-        self.row, self.line = np.concatenate([row, row[of]]), np.concatenate([number, number[of]])
-        self.start, self.end = w.starts[head] - starts[of], (w.ends[tail - 1] if len(tail) else tail) - starts[of]
-
-        at = np.arange(len(h)) - np.repeat(first, n)
-        each = np.concatenate([np.zeros(1, U64), np.cumsum(tk.combine(h, at.astype(U64)), dtype=U64)])
-        whole = each[last] - each[first]
-        self.n = np.concatenate([n, tail - head])
-        keys = np.zeros((len(self.n), 1 + PARTS), U64)
-        size = self.n.astype(U64) * U64(PARTS + 1)
-        keys[: self.lines, 0] = tk.combine(size[: self.lines], whole)
-        rest = np.maximum(n - DEPTH, 0)
-        open_ = n >= GENERAL
-        for k in range(PARTS):
-            a, b = first + DEPTH + rest * k // PARTS, first + DEPTH + rest * (k + 1) // PARTS
-            keys[: self.lines, k + 1][open_] = tk.combine(size[: self.lines][open_] + U64(k + 1), whole[open_] - (each[b[open_]] - each[a[open_]]))
-        if len(head):  # the same, counted from the sentence's first word
-            m = tail - head
-            at = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-            each = np.concatenate([np.zeros(1, U64), np.cumsum(tk.combine(h[np.repeat(head, m) + at], at.astype(U64)), dtype=U64)])
-            upto = np.cumsum(m)
-            keys[self.lines :, 0] = tk.combine(size[self.lines :], each[upto] - each[upto - m])
-        self.keys = keys
-        self.words, self.exact, self.starts, self.first, self.last = w, exact, starts, first, last
+        own = (tail - head >= rules.sentence) & (tail - head < n[of])
+        head, tail, self.of = head[own], tail[own], of[own]
+        self.size = m = tail - head
+        self.start, self.end = w.starts[head] - starts[self.of], (w.ends[tail - 1] if len(tail) else tail) - starts[self.of]
+        upto = np.cumsum(m)
+        at = np.arange(upto[-1] if len(m) else 0) - np.repeat(upto - m, m)  # counted from the sentence's first word
+        sums = np.zeros(len(at) + 1, U64)
+        np.cumsum(tk.combine(h[np.repeat(head, m) + at], at.astype(U64)), dtype=U64, out=sums[1:])
+        self.key = tk.combine(m.astype(U64) * U64(rules.parts + 3), sums[upto] - sums[upto - m])
+
+    def templates(self, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lines and keys of their templates with an open stretch in one half where the other half is in `seen` [line, 2]."""
+        r, lines, keys = self.rules, [], []
+        rest = np.maximum(self.n - r.depth, 0)
+        for k in range(r.parts):
+            at = np.flatnonzero((self.n >= r.general) & seen[:, 0 if 2 * k >= r.parts else 1])
+            a, b = ((self.first + r.depth + rest * j // r.parts)[at] for j in (k, k + 1))
+            at, a, b = at[a < b], a[a < b], b[a < b]
+            lines.append(at)
+            keys.append(tk.combine(self.label[at] + U64(k + 1), self.sum[at] - (self.each[b] - self.each[a])))
+        return np.concatenate(lines), np.concatenate(keys)
 
     def parts(self, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Line, first word and end of the runs of words in `gone` within lines."""
-        line = np.repeat(np.arange(self.lines), self.last - self.first)
+        line = np.repeat(np.arange(len(self.n)), self.n)
         at = np.flatnonzero(gone)
         new = np.ones(len(at), bool)
         new[1:] = (at[1:] != at[:-1] + 1) | (line[at[1:]] != line[at[:-1]])
@@ -117,28 +145,28 @@ class Messages:
 
 
 class Windows:
-    """Windows of PASSAGE words within a row: start (first word), and head, the first window of each run of windows of a row with one anchor; anchor (a run's)."""
+    """Windows of words within a row: start (first word), and head, the first window of each run of windows of a row with one anchor; anchor (a run's)."""
 
-    def __init__(self, words: tk.Words, exact: np.ndarray):
-        self.exact, row = exact, words.row
-        self.start = np.flatnonzero(row[: max(0, len(row) - PASSAGE + 1)] == row[PASSAGE - 1 :])
+    def __init__(self, words: tk.Words, exact: np.ndarray, rules: Rules):
+        self.exact, self.rules, row, passage = exact, rules, words.row, rules.passage
+        self.start = np.flatnonzero(row[: max(0, len(row) - passage + 1)] == row[passage - 1 :])
         self.head, self.anchor = np.zeros(0, np.int64), np.zeros(0, U64)
         if len(self.start):
-            least = grams(exact, GRAM)
-            wide, size = PASSAGE - GRAM + 1, 1
+            least = grams(exact, rules.gram)
+            wide, size = passage - rules.gram + 1, 1
             while 2 * size <= wide:
                 least, size = np.minimum(least[:-size], least[size:]), 2 * size
             least = np.minimum(least[: len(least) - (wide - size)], least[wide - size :])[self.start]
             self.head = tk.runs(row[self.start], least)
-            self.anchor = tk.combine(least[self.head], np.full(len(self.head), GRAM, U64))
+            self.anchor = tk.combine(least[self.head], np.full(len(self.head), rules.gram, U64))
         self.row = row[self.start[self.head]]
 
-    def recurring(self, anchors: Recurring) -> tuple[np.ndarray, np.ndarray]:
+    def recurring(self, shared: Recurring) -> tuple[np.ndarray, np.ndarray]:
         """First words and keys of the windows whose anchor recurs."""
         if not len(self.start):
             return self.start, self.anchor
-        at = self.start[np.repeat(firsts(anchors, self.anchor) < LAST, np.diff(self.head, append=len(self.start)))]
-        return at, tk.combine(grams(self.exact, PASSAGE)[at], np.full(len(at), PASSAGE, U64)) if len(at) else np.zeros(0, U64)
+        at = self.start[np.repeat(firsts(shared, self.anchor) < LAST, np.diff(self.head, append=len(self.start)))]
+        return at, tk.combine(grams(self.exact, self.rules.passage)[at], np.full(len(at), self.rules.passage, U64)) if len(at) else np.zeros(0, U64)
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
@@ -149,44 +177,47 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return tk.mix((sums[k : k + n] - sums[:n]) * inverse[:n])
 
 
-def needed(n: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(n), np.int32)
-    for words, documents in reversed(NEEDED):
-        out[n >= words] = documents
-    return out
-
-
-def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (key, id, needed) for each template and each anchor of each document."""
-    for batch in batches:
-        for part in tk.slices(batch, "__text"):
-            ids = part.column("__id").to_numpy(zero_copy_only=False)
-            m = Messages(part.column("__text"))
-            message, k = np.nonzero(m.keys)
-            key, of = m.keys[message, k], m.row[message]
-            by = np.lexsort((key, of))
-            by = by[tk.runs(of[by], key[by])]
-            w = Windows(m.words, m.exact)  # a repeated anchor does no harm: it needs two ids
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([key[by], w.anchor]).view(np.int64)),
-                    pa.array(np.concatenate([ids[of[by]], ids[w.row]])),
-                    pa.array(np.concatenate([needed(m.n[message[by]]), np.full(len(w.row), 2, np.int32)])),
-                ],
-                ["key", "id", "needed"],
-            )
-
-
-def shared_windows(anchors: Recurring):
-    """For mapInArrow: a row (key, id, needed) for each window of each document whose anchor recurs."""
+def once(row: np.ndarray, key: np.ndarray, needed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal keys of a row once."""
+    by = np.lexsort((key, row))
+    by = by[tk.runs(row[by], key[by])]
+    return row[by], key[by], needed[by]
+
+
+def keyed(ids: np.ndarray, *found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    row, key, needed = (np.concatenate(x) for x in zip(*found))
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[row]), pa.array(needed.astype(np.int32))], ["key", "id", "needed"])
+
+
+def seen(rules: Rules):
+    """For mapInArrow: a row (key, id, needed) for each whole message, half of a line and anchor of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tk.slices(batch, "__text"):
+                ids = part.column("__id").to_numpy(zero_copy_only=False)
+                m = Messages(part.column("__text"), rules)
+                w = Windows(m.words, m.exact, rules)  # a repeated anchor does no harm: it needs two ids
+                needed = rules.documents(m.n)
+                some = m.n >= rules.general
+                row, halves = m.row[some], m.halves[some]
+                messages = once(np.concatenate([m.row, row, row, m.row[m.of]]), np.concatenate([m.whole, halves[:, 0], halves[:, 1], m.key]), np.concatenate([needed, needed[some], needed[some], rules.documents(m.size)]))
+                yield keyed(ids, messages, (w.row, w.anchor, np.full(len(w.row), 2)))
+
+    return run
+
+
+def shared_windows(shared: Recurring, rules: Rules):
+    """For mapInArrow: a row (key, id, needed) for each open template of lines with a recurring half, and each window whose anchor recurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tk.slices(batch, "__text"):
                 ids = part.column("__id").to_numpy(zero_copy_only=False)
-                w = tk.words(part.column("__text"), lower=True)
-                start, key = Windows(w, w.hashes()).recurring(anchors)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[w.row[start]]), pa.array(np.full(len(key), 2, np.int32))], ["key", "id", "needed"])
+                m = Messages(part.column("__text"), rules)
+                line, key = m.templates(firsts(shared, m.halves) < LAST)
+                start, window = Windows(m.words, m.exact, rules).recurring(shared)
+                yield keyed(ids, once(m.row[line], key, rules.documents(m.n[line])), (m.words.row[start], window, np.full(len(start), 2)))
 
     return run
 
@@ -250,14 +281,15 @@ def recurring(keys: DataFrame, per_shard: int = 1 << 20) -> Recurring:
 
 def firsts(r: Recurring, keys: np.ndarray) -> np.ndarray:
     """First ids of recurring keys; LAST for those that don't recur."""
-    one, back = np.unique(keys, return_inverse=True)
-    out = np.full(len(one), LAST)
-    for file, shard, lo, hi in by_shard(one, r.bits, r.file_bits):
+    by = np.argsort(keys, axis=None)
+    ordered = keys.ravel()[by]
+    out = np.full(len(ordered), LAST)
+    for file, shard, lo, hi in by_shard(ordered, r.bits, r.file_bits):
         if (have := section(r.path, 0, file, shard, RECURRING)) is not None:
-            at = np.minimum(np.searchsorted(have[0], one[lo:hi]), len(have[0]) - 1)
-            hit = np.flatnonzero(have[0][at] == one[lo:hi])
-            out[lo + hit] = have[1][at[hit]]
-    return out[back].reshape(keys.shape)
+            at = np.minimum(np.searchsorted(have[0], ordered[lo:hi]), len(have[0]) - 1)
+            hit = np.flatnonzero(have[0][at] == ordered[lo:hi])
+            out[by[lo + hit]] = have[1][at[hit]]
+    return out.reshape(keys.shape)
 
 
 def without(text: str, lines: set[int], cuts: dict[int, list[tuple[int, int]]]) -> str:
@@ -276,58 +308,73 @@ def without(text: str, lines: set[int], cuts: dict[int, list[tuple[int, int]]])
     return "\n".join(out)
 
 
-def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def numbered(id: str, kind: T.DataType) -> Column:
+    """A row's id as a long, null last; ids that aren't whole numbers stand in the order of their hash."""
+    whole = isinstance(kind, T.IntegralType)
+    return F.coalesce(F.col(f"`{id}`").cast("long") if whole else F.when(F.col(f"`{id}`").isNotNull(), F.xxhash64(F.col(f"`{id}`"))), F.lit(LAST))
+
+
+def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", rules: Rules = Rules()) -> DataFrame:
     """docs with dropped messages gone from `text`, and n_lines, n_dropped (lines with words), n_cut (sentences, and parts of passages in a line) added, in place of columns so named.
 
-    Rows with equal ids count as one document when a template's first one is
-    chosen.  Null ids come after all others and never lose messages to one another.
-    Null and empty texts stay as they are; lines without words always stay.
-    Templates that stand in one id alone never recur.
+    Rows with equal ids are one document.  Null ids come after all others, are one
+    document and never lose messages to one another.  Ids that aren't whole numbers
+    are ordered by a hash.  Null and empty texts stay as they are; lines without
+    words always stay.  Templates that stand in one id alone never recur.
     """
-    own = docs.select(F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(LAST)).alias("__id"), text_bytes(text).alias("__text"))
+    number = numbered(id, docs.schema[id].dataType)
+    own = docs.select(number.alias("__id"), text_bytes(text).alias("__text"))
     kind = "key long, id long, needed int"
-    templates = recurring(own.mapInArrow(tk.lean(seen), kind))
-    passages = recurring(own.mapInArrow(tk.lean(shared_windows(templates)), kind))
+    parted = own.groupBy("__id").count().filter("count > 1").limit(1).count() > 0
+
+    def counted(keys: DataFrame) -> Recurring:
+        return recurring(keys.groupBy("key", "id").agg(F.max("needed").alias("needed")) if parted else keys)
+
+    shared = counted(own.mapInArrow(tk.lean(seen(rules)), kind))
+    whole = counted(own.mapInArrow(tk.lean(shared_windows(shared, rules)), kind))
     added = ("n_lines", "n_dropped", "n_cut")
     keep = [c for c in docs.columns if c not in added]
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(LAST)).alias("__id"))
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep), number.alias("__id"))
 
     def repeated(m: Messages, ids: np.ndarray) -> np.ndarray:
         """Words in windows that an earlier document has."""
-        start, key = Windows(m.words, m.exact).recurring(templates)
-        start = start[firsts(passages, key) < ids[m.words.row[start]]]
+        start, key = Windows(m.words, m.exact, rules).recurring(shared)
+        start = start[firsts(whole, key) < ids[m.words.row[start]]]
         n = len(m.words.row) + 1
-        edge = np.bincount(start, minlength=n) - np.bincount(start + PASSAGE, minlength=n)
+        edge = np.bincount(start, minlength=n) - np.bincount(start + rules.passage, minlength=n)
         return np.cumsum(edge[:-1]) > 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tk.slices(batch, text):
                 ids = part.column("__id").to_numpy(zero_copy_only=False)
-                m = Messages(tk.as_bytes(part.column(text)))
-                gone = (firsts(templates, m.keys) < ids[m.row][:, None]).any(axis=1) if len(m.n) else np.zeros(0, bool)
-                texts, n = part.column(text), part.num_rows
-                row, sentences = m.row, np.arange(len(m.n)) >= m.lines
+                m = Messages(tk.as_bytes(part.column(text)), rules)
+                line, key = m.templates(firsts(shared, m.halves) < LAST)
+                gone = firsts(shared, m.whole) < ids[m.row]
+                gone[line[firsts(whole, key) < ids[m.row[line]]]] = True
                 line, a, b = m.parts(repeated(m, ids))
-                full = b - a == (m.last - m.first)[line]
+                full = b - a == m.n[line]
                 gone[line[full]] = True
                 cut = ~full & ~gone[line]
                 line, a, b = line[cut], a[cut], b[cut]
-                if gone.any() or len(line):
-                    values = texts.to_pylist()
+                sentence = np.flatnonzero(firsts(shared, m.key) < ids[m.row[m.of]])
+                texts, n = part.column(text), part.num_rows
+                if gone.any() or len(line) or len(sentence):
                     drop, cuts = defaultdict(set), defaultdict(lambda: defaultdict(list))
-                    for x in np.flatnonzero(gone).tolist():
-                        r, k = int(row[x]), int(m.line[x])
-                        if x < m.lines:
-                            drop[r].add(k)
-                        elif k not in drop[r]:
-                            cuts[r][k].append((int(m.start[x - m.lines]), int(m.end[x - m.lines])))
-                    for r, k, x, y in zip(row[line].tolist(), m.line[line].tolist(), (m.words.starts[a] - m.starts[line]).tolist(), (m.words.ends[b - 1] - m.starts[line]).tolist()):
+                    for r, k in zip(m.row[gone].tolist(), m.line[gone].tolist()):
+                        drop[r].add(k)
+                    within = sentence[~gone[m.of[sentence]]]
+                    of = np.concatenate([m.of[within], line])
+                    low = np.concatenate([m.start[within], m.words.starts[a] - m.starts[line]])
+                    high = np.concatenate([m.end[within], m.words.ends[b - 1] - m.starts[line]])
+                    for r, k, x, y in zip(m.row[of].tolist(), m.line[of].tolist(), low.tolist(), high.tolist()):
                         cuts[r][k].append((x, y))
+                    values = texts.to_pylist()
                     for r in drop.keys() | cuts.keys():
                         values[r] = without(values[r], drop[r], cuts[r])
                     texts = pa.array(values, texts.type)
-                counts = (np.bincount(row[~sentences], minlength=n), np.bincount(row[gone & ~sentences], minlength=n), np.bincount(row[gone & sentences], minlength=n) + np.bincount(row[line], minlength=n))
+                each = lambda x: np.bincount(x, minlength=n)  # noqa: B023, E731
+                counts = each(m.row), each(m.row[gone]), each(m.row[m.of[sentence]]) + each(m.row[line])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) if c != text else texts for c in keep), *map(pa.array, counts)], [*keep, *added])
 
     out = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(c, T.LongType()) for c in added)])
