@@ -11,14 +11,15 @@ from sums over positions, found without a loop over messages.
 A passage is a run of `passage` words or more anywhere in a text, over lines and
 parts of sentences, that stands in two documents.  Of the runs of `gram` words in
 each window of `passage` words the one with the least hash is the window's anchor,
-equal wherever the window stands.  All documents but the one with the smallest id
-lose the words of the window.
+equal wherever the window stands; a run is what adjoining windows with one anchor
+span.  All documents but the one with the smallest id lose the words of the window.
 
 Two passes count, a third one cuts.  The first counts whole messages, and what a
 recurring open template or passage must share: either half of a line (an open
-stretch lies in one half, so the other is whole), and anchors.  The second counts
-open templates of lines with a recurring half and windows with a recurring anchor:
-few, since most text is new.
+stretch lies in one half, so the other is whole), anchors and runs.  The second
+counts open templates of lines with a recurring half, and windows with a recurring
+anchor, unless an earlier document has the whole run: that one counts them.  They
+are few, since most text is new or copied whole.
 
 A template recurs if enough documents have it, the more the shorter it is
 (`needed`).  All documents but the one with the smallest id lose its messages.
@@ -82,29 +83,28 @@ class Messages:
 
     def __init__(self, column: pa.Array, rules: Rules):
         w = tk.words(column, lower=True)
-        starts, ends = tk.spans(w.buf, w.bounds, LINE)
-        first, last = np.searchsorted(w.starts, starts), np.searchsorted(w.starts, ends)
-        full = last > first
-        starts, first, last = starts[full], first[full], last[full]
-        self.row = np.searchsorted(w.bounds, starts, "right") - 1
-        breaks = np.zeros(len(w.buf) + 1, np.int32)
-        np.cumsum(LINE[w.buf], dtype=np.int32, out=breaks[1:])
-        self.line = breaks[starts] - breaks[w.bounds[self.row]]
-        digits = np.zeros(len(w.buf) + 1, np.int32)
-        np.cumsum(DIGIT[w.buf], dtype=np.int32, out=digits[1:])
-        self.exact = w.hashes()
-        h = np.where(digits[w.ends] > digits[w.starts], FIELD, self.exact)
+        self.words, self.rules, self.exact = w, rules, w.hashes()
+        breaks = np.flatnonzero(LINE[w.buf])
+        before = np.searchsorted(breaks, w.starts)
+        self.first = first = tk.runs(w.row, before)
+        self.last = last = np.append(first[1:], len(w.row)) if len(first) else first
         self.n = n = last - first
-        self.words, self.starts, self.first, self.last, self.rules = w, starts, first, last, rules
-
-        each = np.zeros(len(h) + 1, U64)
-        np.cumsum(tk.combine(h, (np.arange(len(h)) - np.repeat(first, n)).astype(U64)), dtype=U64, out=each[1:])
-        self.each, self.sum = each, each[last] - each[first]
+        self.row, before = w.row[first], before[first]
+        self.line = before - np.searchsorted(breaks, w.bounds[self.row])
+        self.starts = np.maximum(w.bounds[self.row], np.append(breaks, 0)[before - 1] + 1) if len(breaks) else w.bounds[self.row]
+        self.starts[before == 0] = w.bounds[self.row][before == 0]
+
+        h = self.exact
+        if len(digits := np.flatnonzero(DIGIT[w.buf])):
+            h = h.copy()
+            h[np.searchsorted(w.starts, digits, "right") - 1] = FIELD
+        self.sums, self.inverse = summed(h)
+        self.sum = self.sums[last] - self.sums[first]
         middle = first + np.minimum(rules.depth + np.maximum(n - rules.depth, 0) // 2, n)
         self.label = n.astype(U64) * U64(rules.parts + 3)
-        self.whole = tk.combine(self.label, self.sum)
-        sides = each[middle] - each[first], each[last] - each[middle]
-        self.halves = np.stack([tk.combine(self.label + U64(rules.parts + 1 + k), x) for k, x in enumerate(sides)], axis=1) if len(n) else np.zeros((0, 2), U64)
+        self.whole = tk.combine(self.label, self.sum * self.inverse[first])
+        sides = self.sums[middle] - self.sums[first], self.sums[last] - self.sums[middle]
+        self.halves = np.stack([tk.combine(self.label + U64(rules.parts + 1 + k), x * self.inverse[first]) for k, x in enumerate(sides)], axis=1)
 
         opens = np.zeros(len(h) + 1, bool)
         opens[1:-1] = STOP[w.buf[w.ends[:-1] - 1]] if len(h) else False
@@ -114,13 +114,9 @@ class Messages:
         of = np.searchsorted(first, head, "right") - 1
         own = (tail - head >= rules.sentence) & (tail - head < n[of])
         head, tail, self.of = head[own], tail[own], of[own]
-        self.size = m = tail - head
-        self.start, self.end = w.starts[head] - starts[self.of], (w.ends[tail - 1] if len(tail) else tail) - starts[self.of]
-        upto = np.cumsum(m)
-        at = np.arange(upto[-1] if len(m) else 0) - np.repeat(upto - m, m)  # counted from the sentence's first word
-        sums = np.zeros(len(at) + 1, U64)
-        np.cumsum(tk.combine(h[np.repeat(head, m) + at], at.astype(U64)), dtype=U64, out=sums[1:])
-        self.key = tk.combine(m.astype(U64) * U64(rules.parts + 3), sums[upto] - sums[upto - m])
+        self.size = tail - head
+        self.start, self.end = w.starts[head] - self.starts[self.of], (w.ends[tail - 1] if len(tail) else tail) - self.starts[self.of]
+        self.key = tk.combine(self.size.astype(U64) * U64(rules.parts + 3), (self.sums[tail] - self.sums[head]) * self.inverse[head])
 
     def templates(self, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lines and keys of their templates with an open stretch in one half where the other half is in `seen` [line, 2]."""
@@ -131,7 +127,7 @@ class Messages:
             a, b = ((self.first + r.depth + rest * j // r.parts)[at] for j in (k, k + 1))
             at, a, b = at[a < b], a[a < b], b[a < b]
             lines.append(at)
-            keys.append(tk.combine(self.label[at] + U64(k + 1), self.sum[at] - (self.each[b] - self.each[a])))
+            keys.append(tk.combine(self.label[at] + U64(k + 1), (self.sum[at] - (self.sums[b] - self.sums[a])) * self.inverse[self.first[at]]))
         return np.concatenate(lines), np.concatenate(keys)
 
     def parts(self, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,36 +141,48 @@ class Messages:
 
 
 class Windows:
-    """Windows of words within a row: start (first word), and head, the first window of each run of windows of a row with one anchor; anchor (a run's)."""
+    """Windows of words within a row, in runs of windows of a row that have one anchor.  start: first words of the windows; head: each run's first window; anchor, run: keys of a run's anchor and of all its words; row: its row."""
 
     def __init__(self, words: tk.Words, exact: np.ndarray, rules: Rules):
-        self.exact, self.rules, row, passage = exact, rules, words.row, rules.passage
+        self.rules, row, passage = rules, words.row, rules.passage
         self.start = np.flatnonzero(row[: max(0, len(row) - passage + 1)] == row[passage - 1 :])
-        self.head, self.anchor = np.zeros(0, np.int64), np.zeros(0, U64)
+        self.head, self.anchor, self.run = np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, U64)
         if len(self.start):
-            least = grams(exact, rules.gram)
+            self.sums, self.inverse = summed(exact)
+            least = self.grams(np.arange(len(exact) - rules.gram + 1), rules.gram)
             wide, size = passage - rules.gram + 1, 1
             while 2 * size <= wide:
                 least, size = np.minimum(least[:-size], least[size:]), 2 * size
             least = np.minimum(least[: len(least) - (wide - size)], least[wide - size :])[self.start]
             self.head = tk.runs(row[self.start], least)
+            size = np.diff(self.head, append=len(self.start))
             self.anchor = tk.combine(least[self.head], np.full(len(self.head), rules.gram, U64))
+            self.run = tk.combine(self.grams(self.start[self.head], size + passage - 1), size.astype(U64) + U64(passage))
         self.row = row[self.start[self.head]]
 
-    def recurring(self, shared: Recurring) -> tuple[np.ndarray, np.ndarray]:
-        """First words and keys of the windows whose anchor recurs."""
-        if not len(self.start):
-            return self.start, self.anchor
-        at = self.start[np.repeat(firsts(shared, self.anchor) < LAST, np.diff(self.head, append=len(self.start)))]
-        return at, tk.combine(grams(self.exact, self.rules.passage)[at], np.full(len(at), self.rules.passage, U64)) if len(at) else np.zeros(0, U64)
+    def grams(self, at: np.ndarray, size: int | np.ndarray) -> np.ndarray:
+        """Hashes of the runs of so many words that begin at these."""
+        return tk.mix((self.sums[at + size] - self.sums[at]) * self.inverse[at])
+
+    def of(self, runs: np.ndarray) -> np.ndarray:
+        """First words of the windows of runs that are set."""
+        return self.start[np.repeat(runs, np.diff(self.head, append=len(self.start)))]
+
+    def keys(self, at: np.ndarray) -> np.ndarray:
+        return tk.combine(self.grams(at, self.rules.passage), np.full(len(at), self.rules.passage, U64)) if len(at) else np.zeros(0, U64)
+
+    def told(self, shared: Recurring, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First words of the windows of runs that an earlier document has whole, and of those whose windows must be counted one by one: the anchor recurs, and no earlier document has the run."""
+        whole = firsts(shared, self.run) < ids[self.row]
+        return self.of(whole), self.of(~whole & (firsts(shared, self.anchor) < LAST))
 
 
-def grams(h: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of k words."""
-    n = max(0, len(h) - k + 1)
+def summed(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of hashes times powers by position, and the inverse powers: a run's difference of sums times the inverse at its start depends on its words alone."""
     power, inverse = tk._powers(len(h) + 1)
-    sums = np.concatenate([np.zeros(1, U64), np.cumsum(h * power[: len(h)], dtype=U64)])
-    return tk.mix((sums[k : k + n] - sums[:n]) * inverse[:n])
+    sums = np.zeros(len(h) + 1, U64)
+    np.cumsum(h * power[: len(h)], dtype=U64, out=sums[1:])
+    return sums, inverse
 
 
 def once(row: np.ndarray, key: np.ndarray, needed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,12 +205,13 @@ def seen(rules: Rules):
             for part in tk.slices(batch, "__text"):
                 ids = part.column("__id").to_numpy(zero_copy_only=False)
                 m = Messages(part.column("__text"), rules)
-                w = Windows(m.words, m.exact, rules)  # a repeated anchor does no harm: it needs two ids
+                w = Windows(m.words, m.exact, rules)  # a repeated run does no harm: it needs two ids
                 needed = rules.documents(m.n)
                 some = m.n >= rules.general
                 row, halves = m.row[some], m.halves[some]
                 messages = once(np.concatenate([m.row, row, row, m.row[m.of]]), np.concatenate([m.whole, halves[:, 0], halves[:, 1], m.key]), np.concatenate([needed, needed[some], needed[some], rules.documents(m.size)]))
-                yield keyed(ids, messages, (w.row, w.anchor, np.full(len(w.row), 2)))
+                two = np.full(len(w.row), 2)
+                yield keyed(ids, messages, (w.row, w.anchor, two), (w.row, w.run, two))
 
     return run
 
@@ -216,8 +225,9 @@ def shared_windows(shared: Recurring, rules: Rules):
                 ids = part.column("__id").to_numpy(zero_copy_only=False)
                 m = Messages(part.column("__text"), rules)
                 line, key = m.templates(firsts(shared, m.halves) < LAST)
-                start, window = Windows(m.words, m.exact, rules).recurring(shared)
-                yield keyed(ids, once(m.row[line], key, rules.documents(m.n[line])), (m.words.row[start], window, np.full(len(start), 2)))
+                w = Windows(m.words, m.exact, rules)
+                start = w.told(shared, ids)[1]
+                yield keyed(ids, once(m.row[line], key, rules.documents(m.n[line])), (m.words.row[start], w.keys(start), np.full(len(start), 2)))
 
     return run
 
@@ -338,8 +348,9 @@ def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", rules:
 
     def repeated(m: Messages, ids: np.ndarray) -> np.ndarray:
         """Words in windows that an earlier document has."""
-        start, key = Windows(m.words, m.exact, rules).recurring(shared)
-        start = start[firsts(whole, key) < ids[m.words.row[start]]]
+        w = Windows(m.words, m.exact, rules)
+        gone, start = w.told(shared, ids)
+        start = np.concatenate([gone, start[firsts(whole, w.keys(start)) < ids[m.words.row[start]]]])
         n = len(m.words.row) + 1
         edge = np.bincount(start, minlength=n) - np.bincount(start + rules.passage, minlength=n)
         return np.cumsum(edge[:-1]) > 0
