@@ -95,7 +95,7 @@ class Sections:
     """Writes a file of sections: the arrays of a shard one after the other; the index of places comes with it."""
 
     def __init__(self, path: str, level: int, file: int, shards: int):
-        self.at, self.index = f"{path}/{level}-{file}", np.zeros((shards, 2 * 10), np.int64)
+        self.at, self.index = f"{path}/{level}-{file}", np.zeros((shards, 2 * 12), np.int64)
         self.held = f"{self.at}.{os.getpid()}-{os.urandom(6).hex()}"
         self.out = open(self.held, "wb")
 

@@ -40,13 +40,16 @@ def removed(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def cleaned(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
-    """Deletes what scratch() named for this application: models, recurring lines, archives.  For use once results that need them are written."""
-    made = _MADE.pop(spark.sparkContext.applicationId, [])
-    for path in made:
-        if path in keep:
-            _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
-        else:
+def made(spark: SparkSession) -> list[str]:
+    """What scratch() named for this application and cleaned() hasn't removed: models, recurring lines, archives."""
+    return list(_MADE.get(spark.sparkContext.applicationId, []))
+
+
+def cleaned(spark: SparkSession, keep: list[str]) -> None:
+    """Deletes what scratch() named for this application, but for `keep`.  For use once results that need it are written: keep what was made before them."""
+    for path in made(spark):
+        if path not in keep:
+            _MADE[spark.sparkContext.applicationId].remove(path)
             removed(spark, path)
 
 

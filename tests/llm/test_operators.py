@@ -372,21 +372,48 @@ def test_leaks_match_all_windows(spark):
     assert decontam.leaks(docs.limit(0), table).count() == 0 and decontam.clean(docs, table.limit(0)).count() == len(rows)
 
 
-def test_index_finds_all_within_the_radius():
+def test_blocks_hold_all_within_the_radius():
     rng = np.random.default_rng(3)
-    items = decontam.indexed([*range(40)], [" ".join(f"t{x}" for x in rng.integers(0, 99, 20)).encode() for _ in range(40)])
-    own, index = items.by_size[20]
-    for _ in range(200):
-        k = rng.integers(0, 40)
-        flip = sum(1 << int(b) for b in rng.choice(64, rng.integers(0, decontam.RADIUS + 1), replace=False))
-        p = int(items.prints[own[k]]) ^ flip
-        assert any(index[b][p >> 8 * b & 255][k] for b in range(8))
+    for _ in range(2000):
+        p = int(rng.integers(0, 2**63))
+        q = p ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, decontam.RADIUS + 1), replace=False))
+        assert any(decontam.NEAR[p >> 8 * b & 255, q >> 8 * b & 255] for b in range(8))
+
+
+def test_similar_windows_lie_within_the_radius():
+    """Windows whose shingles have a similarity of 0.8 or more: how far their fingerprints are apart."""
+    rng = np.random.default_rng(11)
+    far = []
+    for _ in range(300):
+        h = rng.integers(0, 2**64, 60, np.uint64)
+        n, edits = int(rng.integers(25, 61)), int(rng.integers(0, 3))
+        x, y = h[:n], h[:n].copy()
+        y[rng.choice(n, edits, replace=False)] = rng.integers(0, 2**64, edits, np.uint64)
+        if decontam.weighted(decontam.shingled(x, 5), decontam.shingled(y, 5)) >= 0.8:
+            far.append(int(np.bitwise_count(decontam.printed(decontam.signs(x).sum(axis=0, keepdims=True)) ^ decontam.printed(decontam.signs(y).sum(axis=0, keepdims=True)))[0]))
+    assert len(far) > 100 and max(far) <= decontam.RADIUS
+
+
+def test_items_in_files(spark):
+    table = spark.createDataFrame([(k, f"alpha{k} beta gamma delta eps zeta eta") for k in range(20)], "item_id int, text string")
+    path, n = decontam.written(table, "item_id", "text", 300)
+    assert n > 3 and sorted(i for k in range(n) for i in decontam.opened(path, k).ids) == [*range(20)]
 
 
-def test_items_in_groups(spark):
-    table = spark.createDataFrame([(k, f"alpha{k} beta gamma delta eps zeta eta") for k in range(20)], "item_id int, text string")
-    assert sum(len(g.ids) for g in decontam.groups(table, "item_id", "text", 300)) == 20
-    assert len([*decontam.groups(table, "item_id", "text", 300)]) > 3
+def test_long_texts_and_repeated_items():
+    rng = np.random.default_rng(12)
+    item = [f"i{x}" for x in rng.integers(0, 10**6, 800)]
+    items = decontam.Items(decontam.indexed([7], [" ".join(item).encode()]))
+    assert sum(a.nbytes for a in (items.h, items.first, items.prints, items.keys, items.starts, items.of)) < 30 * 800
+
+    def held(text):
+        w = tk.words(pa.array([text.encode()]), tk.NOT_ALNUM, lower=True)
+        return decontam.searched(items, w, w.hashes())
+
+    assert held(" ".join(["x"] * 7 + item * 20)) == [(0, 0, 1.0, 7)]
+    filler = [f"f{k % 1000}" for k in range(300_000)]
+    assert held(" ".join([*filler, *item, *filler])) == [(0, 0, 1.0, 300_000)]
+    assert held(" ".join([*filler, *item[:500], *filler])) == []
 
 
 # 6: line dedup

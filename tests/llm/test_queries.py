@@ -1,9 +1,11 @@
 """The registered queries on whole small tables: SQL where there is some, else held-out accuracy and whole row counts."""
 
+import os
+
 import pytest
 
 import corpus_pipeline
-from loomstone.llm import queries
+from loomstone.llm import queries, shared
 
 from ..oracle import connection, same
 
@@ -42,3 +44,18 @@ def test_pipeline_stages_shrink_documents(spark):
     for empty in (spark.read.parquet(f"{SF}/documents.parquet").limit(0),):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, empty, SF).count() == 0
+
+
+def test_pipeline_with_empty_side_tables(spark, tmp_path):
+    """Without labels nothing is toxic, without items nothing leaks; only copies and repeated lines go."""
+    for name in ("documents", "labels", "benchmark"):
+        df = spark.read.parquet(f"{SF}/{name}.parquet")
+        (df if name == "documents" else df.limit(0)).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.without_toxic(spark, docs, str(tmp_path)).count() == docs.count()
+    assert corpus_pipeline.without_leaks(spark, docs, str(tmp_path)).count() == docs.count()
+    (docs.limit(1).select("doc_id").selectExpr("doc_id", "1 as toxic", "1 as quality")).write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.without_toxic(spark, docs, str(tmp_path)).count() == docs.count()
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == [*docs.columns, "copy"] and got.count() > 0
+    assert set(shared.made(spark)) <= {p for p in shared.made(spark) if os.path.exists(p.removeprefix("file:"))}
