@@ -54,6 +54,18 @@ def hybrid(vectors: DataFrame, query_vector: list[float], texts: DataFrame, quer
     return search.merged([(near, weights[0]), (words, weights[1])], k)
 
 
+def long_term(rows: DataFrame, query: str = "", k: int = 10, query_vector: list[float] | None = None) -> DataFrame:
+    """From long-term memory: the nearest vectors if there is a query vector, else most shared words first."""
+    return search.knn(rows, query_vector, k) if query_vector is not None else search.overlap_search(rows, query, k)
+
+
+def answer_context(results: DataFrame, cut: int = 500) -> DataFrame:
+    """(context, sources) of results (id, score, source, content), the best first: what a language model is shown, and the distinct sources in order.  Results are a top-k, so they are one row."""
+    best = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("o"), "id", "source", F.left("content", F.lit(cut)).alias("c"))))
+    lines = F.transform("r", lambda x, k: F.concat(F.lit("["), (k + 1).cast("string"), F.lit("] Source: "), x["source"], F.lit("\nContent: "), x["c"], F.lit("...\n")))
+    return results.agg(best.alias("r")).select(F.array_join(lines, "\n").alias("context"), F.array_join(F.array_sort(F.array_distinct(F.transform("r", lambda x: x["source"]))), ",").alias("sources"))
+
+
 def mapped_texts(rows: DataFrame, id: str, text: str, client: Callable[[], Callable[[list[str]], list]], kind: str) -> DataFrame:
     """(id, value): texts through an external service in batches.  `client` is made once per task and takes a list of texts."""
     from pyspark.sql.pandas.types import to_arrow_type

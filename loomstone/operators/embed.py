@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as K
 
 from ..functions import text as T
+from ..functions.words import EMBED_STOP
+
+IDENTIFIER = re.compile("[a-z_][a-z0-9_]*")
 
 
 def _unit(rows: DataFrame, value: Column) -> DataFrame:
@@ -14,14 +26,31 @@ def _unit(rows: DataFrame, value: Column) -> DataFrame:
     return rows.groupBy("id", "bucket").agg(F.sum(value).alias("v")).withColumn("n", F.sqrt(F.sum(F.col("v") * F.col("v")).over(own))).filter("v <> 0").select("id", "bucket", (F.col("v") / F.col("n")).alias("value"))
 
 
-def hashed_tf(docs: DataFrame, id: str, text: str, dim: int = 384) -> DataFrame:
+def hashed_tf(docs: DataFrame, id: str, text: str, dim: int = 384, remembered: int = 1 << 18) -> DataFrame:
     """Term frequencies hashed into `dim` buckets; texts without tokens have no rows (the zero vector).
 
-    The number of a text's tokens divides out in the unit vector, and tokens become
-    buckets before the shuffle, so a text sends `dim` rows at most.
+    A text's buckets depend on that text alone, so nothing is shuffled: texts are read
+    in Arrow batches, and md5 is taken once for each of the last `remembered` tokens.
+    The number of a text's tokens divides out in the unit vector.
     """
-    tokens = docs.select(F.col(id).alias("id"), F.explode(T.raw_identifiers(F.col(text))).alias("token")).filter(T.is_term(F.col("token")))
-    return _unit(tokens.select("id", T.bucket(F.col("token"), dim).alias("bucket")), F.lit(1.0))
+    rows = docs.select(F.col(id).alias("id"), F.coalesce(F.lower(F.col(text)), F.lit("")).alias("text"))
+    stop = frozenset(EMBED_STOP)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket = lru_cache(remembered)(lambda token: int.from_bytes(hashlib.md5(token.encode()).digest()) % dim)
+        for b in batches:
+            at, buckets, values = [], [np.zeros(0, np.int64)], [np.zeros(0)]
+            for k, t in enumerate(b.column("text").to_pylist()):
+                counts = Counter(IDENTIFIER.findall(t))
+                own = [(bucket(x), n) for x, n in counts.items() if len(x) > 1 and x not in stop]
+                if own:
+                    v = np.bincount([x for x, _ in own], [n for _, n in own], dim)
+                    buckets.append(np.flatnonzero(v))
+                    values.append(v[buckets[-1]] / np.sqrt((v * v).sum()))
+                    at += [k] * len(buckets[-1])
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at, pa.int64())), pa.array(np.concatenate(buckets)), pa.array(np.concatenate(values))], ["id", "bucket", "value"])
+
+    return rows.mapInArrow(run, K.StructType([rows.schema["id"], K.StructField("bucket", K.LongType()), K.StructField("value", K.DoubleType())]))
 
 
 def hashed_grams(docs: DataFrame, id: str, text: str, dim: int = 384, low: int = 1, high: int = 2) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import numbered
+
 KS = (1, 3, 5, 10)
 
 
@@ -58,7 +60,9 @@ def macro(metrics: DataFrame, *by: str) -> DataFrame:
 
 
 def latency(samples: DataFrame, group: str, value: str) -> DataFrame:
-    """p50, p95 and p99 by index into the sorted values (p99: the greatest of under 100), mean, least and greatest."""
-    s, n = F.sort_array(F.collect_list(value)), F.count(value)
-    at = lambda p: s[(n * p).cast("int")]
-    return samples.groupBy(group).agg(n.alias("runs"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.when(n >= 100, at(0.99)).otherwise(F.max(value)).alias("p99"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("greatest"))
+    """p50, p95 and p99 by index into the sorted values (p99: the greatest of under 100), mean, least and greatest.  Samples are numbered over all groups, so no group is one task or one list."""
+    ranked = numbered(samples.filter(F.col(value).isNotNull()).select(group, value), "nth", F.col(group), F.col(value))
+    whole = ranked.groupBy(group).agg(F.count("*").alias("runs"), F.min("nth").alias("start"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("greatest"))
+    at = lambda p: F.max(F.when(F.col("nth") - F.col("start") == F.floor(F.col("runs") * p), F.col(value)))
+    picked = ranked.join(whole.select(group, "start", "runs"), group).groupBy(group).agg(at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    return whole.join(picked, group).select(group, "runs", "p50", "p95", F.when(F.col("runs") >= 100, F.col("p99")).otherwise(F.col("greatest")).alias("p99"), "mean", "least", "greatest")

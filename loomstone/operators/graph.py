@@ -7,25 +7,37 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import held
+from .windows import numbered
+
 
 def closure(deps: DataFrame) -> DataFrame:
-    """Distinct (task, dep) with all direct and indirect dependencies; cycles end as pairs repeat."""
-    reached = deps.select("task", "dep").distinct()
+    """Distinct (task, dep) with all direct and indirect dependencies; cycles end as pairs repeat.
+
+    A step follows only the pairs that the step before found.
+    """
+    edge = held(deps.select("task", "dep").distinct())
+    fresh, steps = edge, [edge]
     while True:
-        more = reached.alias("a").join(deps.alias("b"), F.col("a.dep") == F.col("b.task")).select("a.task", "b.dep").union(reached).distinct().checkpoint()
-        if more.count() == reached.count():
-            return more
-        reached = more
+        more = fresh.alias("a").join(edge.alias("b"), F.col("a.dep") == F.col("b.task")).select("a.task", "b.dep").distinct()
+        for known in steps:
+            more = more.join(known, ["task", "dep"], "left_anti")
+        fresh = held(more)
+        if fresh.isEmpty():
+            return reduce(DataFrame.union, steps)
+        steps.append(fresh)
+        if len(steps) > 8:  # fewer tables to compare with
+            steps = [held(reduce(DataFrame.union, steps))]
 
 
 def levels(tasks: DataFrame, deps: DataFrame) -> DataFrame:
     """(task, level): the longest chain of known dependencies below a task.  A step per level, each with a task once at most; cycles are an error."""
-    known = deps.join(tasks.select(F.col("task").alias("dep")).distinct(), "dep").select("task", "dep").distinct().checkpoint()
+    known = held(deps.join(tasks.select(F.col("task").alias("dep")).distinct(), "dep").select("task", "dep").distinct())
     now = tasks.select("task").distinct()
     limit = now.count()
     steps = [now.withColumn("level", F.lit(0))]
     while True:
-        now = known.join(now.select(F.col("task").alias("dep")), "dep").select("task").distinct().checkpoint()
+        now = held(known.join(now.select(F.col("task").alias("dep")), "dep").select("task").distinct())
         if now.isEmpty():
             return reduce(DataFrame.union, steps).groupBy("task").agg(F.max("level").alias("level"))
         if len(steps) > limit:
@@ -35,11 +47,11 @@ def levels(tasks: DataFrame, deps: DataFrame) -> DataFrame:
 
 def cycles(deps: DataFrame) -> DataFrame:
     """(start, path): simple cycles of any length, each once, beginning with its least task."""
-    edge = deps.select("task", "dep").distinct().checkpoint()
+    edge = held(deps.select("task", "dep").distinct())
     now = edge.select(F.col("dep").alias("start"), F.col("dep").alias("last"), F.array("dep").alias("path")).distinct()
     found = [now.limit(0).select("start", "path")]
     while True:
-        step = now.join(edge, F.col("last") == F.col("task")).filter((F.col("dep") == F.col("start")) | ((F.col("dep") > F.col("start")) & ~F.array_contains("path", F.col("dep")))).checkpoint()
+        step = held(now.join(edge, F.col("last") == F.col("task")).filter((F.col("dep") == F.col("start")) | ((F.col("dep") > F.col("start")) & ~F.array_contains("path", F.col("dep")))))
         closed = step.filter("dep = start").select("start", "path")
         if not closed.isEmpty():
             found.append(closed)
@@ -57,7 +69,7 @@ def ready(tasks: DataFrame, deps: DataFrame) -> DataFrame:
 
 def critical_path(tasks: DataFrame, deps: DataFrame) -> DataFrame:
     """(task, nth) of a longest chain; in ties the least task at each step from the end."""
-    level = levels(tasks, deps).checkpoint()
+    level = held(levels(tasks, deps))
     edges = deps.join(level.select(F.col("task").alias("dep"), F.col("level").alias("below")), "dep").join(level, "task").filter("below = level - 1")
     last = level.orderBy(F.desc("level"), "task").limit(1).select("task", "level")
     step = edges.groupBy("task").agg(F.min("dep").alias("dep"))
@@ -67,8 +79,34 @@ def critical_path(tasks: DataFrame, deps: DataFrame) -> DataFrame:
     )
 
 
-def scheduled(tasks: DataFrame, deps: DataFrame, capacity: dict[str, int], default: int = 1) -> list[list]:
-    """Phases under a limit of tasks per role; driver-side, for plans of a few thousand tasks.  Stops where no progress is possible."""
+def sorted_topologically(tasks: DataFrame, deps: DataFrame) -> DataFrame:
+    """(task, nth): by level, then by task; cycles are an error."""
+    return numbered(levels(tasks, deps), "nth", F.col("level"), F.col("task")).select("task", "nth")
+
+
+def unlocked(tasks: DataFrame, deps: DataFrame, completed: DataFrame) -> DataFrame:
+    """Pending tasks that depend on a task of `completed` (task) and whose dependencies are all completed."""
+    return ready(tasks, deps).join(deps.join(completed.select(F.col("task").alias("dep")), "dep").select("task").distinct(), "task", "left_semi")
+
+
+def schedule(tasks: DataFrame, deps: DataFrame, minutes: int = 2) -> DataFrame:
+    """(phase, n, minutes): the phases of a plan with an estimate of `minutes` a task; cycles are an error."""
+    return levels(tasks, deps).groupBy(F.col("level").alias("phase")).agg(F.count("*").alias("n"), (F.count("*") * minutes).alias("minutes"))
+
+
+def suggestions(tasks: DataFrame, deps: DataFrame, most: int = 2) -> DataFrame:
+    """(type, phase, role, n): increase_parallelism if there are more phases than half the tasks; agent_scaling for a role with more than `most` tasks in a phase."""
+    own = held(levels(tasks, deps).join(tasks, "task").select("task", "level", "role"))
+    null = lambda t: F.lit(None).cast(t)
+    deep = own.agg(F.count_distinct("level").alias("n"), F.count("*").alias("tasks")).filter("n > tasks / 2").select(F.lit("increase_parallelism").alias("type"), null("int").alias("phase"), null("string").alias("role"), "n")
+    many = own.groupBy("level", "role").agg(F.count("*").alias("n")).filter(F.col("n") > most).select(F.lit("agent_scaling"), "level", "role", "n")
+    return deep.union(many)
+
+
+def scheduled(tasks: DataFrame, deps: DataFrame, capacity: dict[str, int], default: int = 1, most: int = 100_000) -> list[list]:
+    """Phases under a limit of tasks per role.  Each choice depends on the one before, so the driver walks the plan, of at most `most` tasks and dependencies; a larger one is an error.  Stops where no progress is possible."""
+    if tasks.count() > most or deps.count() > most:
+        raise ValueError(f"more than {most} tasks or dependencies")
     role = {r.task: r.role for r in tasks.select("task", "role").collect()}
     needs: dict = {t: set() for t in role}
     for r in deps.collect():

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import scoring as S
-from ..functions import text as T
+from ..functions import text as X
+from .windows import numbered
 
 
 def knn(rows: DataFrame, query: list[float], k: int = 5, id: str = "id", vector: str = "vector", where: Column | None = None) -> DataFrame:
@@ -18,12 +24,52 @@ def knn(rows: DataFrame, query: list[float], k: int = 5, id: str = "id", vector:
     return rows.withColumn("distance", S.squared_distance(F.col(vector), q)).withColumn("score", S.similarity(F.col("distance"))).orderBy("distance", id).limit(k)
 
 
-def knn_batch(rows: DataFrame, queries: DataFrame, k: int = 5, id: str = "id", vector: str = "vector") -> DataFrame:
-    """k nearest rows for every query (query_id, query_vector): a stated query set against all rows; partial top-k before the shuffle."""
-    pairs = rows.select(F.col(id).alias("id"), F.col(vector).alias("v")).join(F.broadcast(queries)) if queries.count() <= 1000 else rows.select(F.col(id).alias("id"), F.col(vector).alias("v")).join(queries)
-    scored = pairs.select("query_id", "id", S.squared_distance(F.col("v"), F.col("query_vector")).alias("distance"))
+def _block(rows: DataFrame, ids: list, vectors: np.ndarray, k: int, kind: T.DataType) -> DataFrame:
+    """k nearest rows for each of a block of queries, of every partition: (query_id, id, distance)."""
+    squares = (vectors**2).sum(axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[tuple[np.ndarray, list]] = [(np.zeros(0), []) for _ in ids]
+        for b in batches:
+            own, v = b.column("id").to_pylist(), np.array(b.column("v").to_pylist(), float).reshape(b.num_rows, -1)
+            if not b.num_rows:
+                continue
+            rough = squares[:, None] + (v**2).sum(axis=1)[None, :] - 2 * vectors @ v.T
+            near = np.argpartition(rough, min(4 * k, b.num_rows) - 1, axis=1)[:, : 4 * k] if b.num_rows > 4 * k else np.tile(np.arange(b.num_rows), (len(ids), 1))
+            for q, at in enumerate(near):
+                # rounding may shuffle what is as near as the last one: take those too
+                if b.num_rows > len(at):
+                    at = np.flatnonzero(rough[q] <= rough[q][at].max() + 1e-9 * max(1.0, squares[q]))
+                exact = ((v[at] - vectors[q]) ** 2).sum(axis=1)
+                d, i = np.concatenate([best[q][0], exact]), [*best[q][1], *(own[x] for x in at.tolist())]
+                order = sorted(range(len(i)), key=lambda x: (d[x], i[x]))[:k]  # noqa: B023
+                best[q] = d[order], [i[x] for x in order]
+        rows_ = [(ids[q], i, float(d)) for q, (ds, own) in enumerate(best) for d, i in zip(ds, own)]
+        kinds = (to_arrow_type(kind), to_arrow_type(own_kind), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows_) if rows_ else [()] * 3, kinds)], ["query_id", "id", "distance"])
+
+    own_kind = rows.schema["id"].dataType
+    return rows.mapInArrow(run, T.StructType([T.StructField("query_id", kind), T.StructField("id", own_kind), T.StructField("distance", T.DoubleType())]))
+
+
+def knn_batch(rows: DataFrame, queries: DataFrame, k: int = 5, id: str = "id", vector: str = "vector", block: int = 4096) -> DataFrame:
+    """k nearest rows for every query (query_id, query_vector), ties by id: a stated query set against all rows, in blocks.
+
+    A pass over the rows takes at most `block` queries, the only ones that the driver
+    and a worker hold; each partition keeps k rows a query, so k rows a partition and
+    query are shuffled.  Null vectors are near nothing.
+    """
+    own = rows.filter(F.col(vector).isNotNull()).select(F.col(id).alias("id"), F.col(vector).alias("v"))
+    asked = numbered(queries.filter(F.col("query_vector").isNotNull()), "__n", F.col("query_id"))
+    kind = queries.schema["query_id"].dataType
+    parts = []
+    for lo in range(0, asked.count(), block):
+        got = asked.filter((F.col("__n") > lo) & (F.col("__n") <= lo + block)).select("query_id", "query_vector").collect()
+        parts.append(_block(own, [r.query_id for r in got], np.array([r.query_vector for r in got], float), k, kind))
+    if not parts:
+        return rows.sparkSession.createDataFrame([], T.StructType([T.StructField("query_id", kind), T.StructField("id", own.schema["id"].dataType), T.StructField("distance", T.DoubleType()), T.StructField("rank", T.IntegerType())]))
     order = Window.partitionBy("query_id").orderBy("distance", "id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return reduce(DataFrame.union, parts).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def filtered_knn(rows: DataFrame, query: list[float], where: Column, k: int = 5, faithful: bool = False, id: str = "id", vector: str = "vector") -> DataFrame:
@@ -41,7 +87,7 @@ def symbol(rows: DataFrame, name: str, order: list[Column]) -> DataFrame:
 def overlap(text: Column, query: str) -> Column:
     """Number of distinct words, between white space, that text and query share."""
     words = sorted(set(query.lower().split()))
-    return F.size(F.array_intersect(T.plain_words(text), T.strings(words)))
+    return F.size(F.array_intersect(X.plain_words(text), X.strings(words)))
 
 
 def overlap_search(rows: DataFrame, query: str, k: int = 10, id: str = "id", text: str = "content", keep_zero: bool = False) -> DataFrame:

@@ -11,7 +11,8 @@ from ..functions import text as T
 
 def keyword_counts(docs: DataFrame, id: str, text: str) -> DataFrame:
     """(id, word, n): technical terms count three times."""
-    words = docs.select(F.col(id).alias("id"), F.explode(T.keyword_words(F.col(text))).alias("word"))
+    # dealt out by id once: counting and ranking then need no further shuffle
+    words = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).repartition("id").select("id", F.explode(T.keyword_words(F.col("text"))).alias("word"))
     return words.groupBy("id", "word").agg(F.sum(T.keyword_weight(F.col("word"))).alias("n"))
 
 
@@ -46,9 +47,15 @@ def similar(left: DataFrame, right: DataFrame, least: float = 0.3) -> DataFrame:
     return found.filter(F.col("jaccard") > least)
 
 
+def fingerprints(rows: DataFrame, id: str, text: str) -> DataFrame:
+    """(id, hash): of each text's MinHash signature."""
+    signature = T.minhash(T.shingles(F.col(text)))
+    return rows.select(F.col(id).alias("id"), F.left(F.sha2(F.array_join(signature, ",").cast("binary"), 256), F.lit(16)).alias("hash"))
+
+
 def duplicates(new: DataFrame, known: DataFrame, threshold: float = 0.8, least: float = 0.3, most: int = 5) -> DataFrame:
-    """(a, b, jaccard, rank, is_duplicate): the `most` similar known ids of each new one; is_duplicate holds for the new one as a whole."""
-    pairs = similar(new, known, least)
+    """(a, b, jaccard, rank, is_duplicate): the `most` similar known ids of each new one but itself; is_duplicate holds for the new one as a whole."""
+    pairs = similar(new, known, least).filter("a <> b")
     w = Window.partitionBy("a")
     ranked = pairs.withColumn("rank", F.row_number().over(w.orderBy(F.desc("jaccard"), "b"))).withColumn("is_duplicate", F.max("jaccard").over(w) >= threshold)
     return ranked.filter(F.col("rank") <= most)

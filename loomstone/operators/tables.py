@@ -38,27 +38,80 @@ def replaced(chunks: DataFrame, fresh: DataFrame, gone: DataFrame, path: str = "
     return chunks.join(out, path, "left_anti").unionByName(fresh)
 
 
+class NoSnapshot(FileNotFoundError):
+    """Nothing was written below a root yet."""
+
+
+def _files(spark: SparkSession, root: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path(root).getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the pointers below root, which ascend."""
+    fs, path = _files(spark, root)
+    if not fs.exists(path(root)):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(path(root))]
+    return sorted(int(n.removeprefix("current-")) for n in names if n.startswith("current-"))
+
+
 def write_snapshot(rows: DataFrame, root: str, partition_by: list[str] | None = None) -> str:
-    """Writes a new snapshot below root and then points to it; readers see the old or the new one whole."""
-    name = f"{root.rstrip('/')}/snapshot-{uuid.uuid4().hex}"
-    rows.write.partitionBy(*(partition_by or [])).parquet(name)
-    spark = rows.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(root).getFileSystem(conf)
-    held = path(f"{root.rstrip('/')}/.current-{uuid.uuid4().hex}")
+    """Writes a new snapshot below root and then a pointer to it with the next number; readers see the old or the new one whole.
+
+    Nothing is deleted or replaced, so at no time is there no pointer.  Of two
+    writers that take the same number one fails.  forget_snapshots() removes old ones.
+    """
+    root = root.rstrip("/")
+    spark, name = rows.sparkSession, f"snapshot-{uuid.uuid4().hex}"
+    rows.write.partitionBy(*(partition_by or [])).parquet(f"{root}/{name}")
+    fs, path = _files(spark, root)
+    at = path(f"{root}/current-{max(_versions(spark, root), default=0) + 1:012d}")
+    held = path(f"{root}/.{uuid.uuid4().hex}")
     out = fs.create(held, True)
     out.write(bytearray(json.dumps({"snapshot": name}).encode()))
     out.close()
-    current = path(f"{root.rstrip('/')}/CURRENT")
-    fs.delete(current, False)
-    fs.rename(held, current)
-    return name
+    if fs.exists(at) or not fs.rename(held, at):
+        raise RuntimeError(f"{at.toString()} was written meanwhile")
+    return f"{root}/{name}"
 
 
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    line = spark.read.text(f"{root.rstrip('/')}/CURRENT").first()[0]
-    return spark.read.parquet(json.loads(line)["snapshot"])
+    """The last snapshot below root; NoSnapshot before the first."""
+    root = root.rstrip("/")
+    versions = _versions(spark, root)
+    if not versions:
+        raise NoSnapshot(root)
+    line = spark.read.text(f"{root}/current-{versions[-1]:012d}").first()[0]
+    return spark.read.parquet(f"{root}/{json.loads(line)['snapshot']}")
+
+
+def load_or_new(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """The last snapshot, or an empty table of this schema."""
+    try:
+        return read_snapshot(spark, root)
+    except NoSnapshot:
+        return spark.createDataFrame([], schema)
+
+
+def forget_snapshots(spark: SparkSession, root: str, keep: int = 2) -> None:
+    """Deletes all but the last `keep` snapshots, pointers first; a reader of an older one fails."""
+    root = root.rstrip("/")
+    fs, path = _files(spark, root)
+    for n in _versions(spark, root)[:-keep]:
+        at = f"{root}/current-{n:012d}"
+        name = json.loads(spark.read.text(at).first()[0])["snapshot"]
+        fs.delete(path(at), False)
+        fs.delete(path(f"{root}/{name}"), True)
+
+
+def as_json(state: DataFrame) -> DataFrame:
+    """(json): a state table as one JSON object per row; from_json() with its schema brings it back."""
+    return state.select(F.to_json(F.struct(*state.columns)).alias("json"))
+
+
+def of_json(rows: DataFrame, schema: str) -> DataFrame:
+    return rows.select(F.from_json("json", schema).alias("r")).select("r.*")
 
 
 def condition_on(column: str, value) -> Column:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from . import tables
+
 # Default policies.
 POLICIES = {
-    "destructive": [{"field": "action", "operator": "contains", "value": "delete"}, {"field": "action", "operator": "contains", "value": "drop"}],
-    "high_cost": [{"field": "cost", "operator": "greater_than", "value": 100}],
-    "many_errors": [{"field": "errors", "operator": "greater_than", "value": 3}],
+    "destructive_ops": [{"field": "operation_type", "operator": "equals", "value": "delete"}, {"field": "operation_type", "operator": "equals", "value": "drop"}],
+    "expensive_ops": [{"field": "estimated_cost", "operator": "greater_than", "value": 100}],
+    "error_escalation": [{"field": "error_count", "operator": "greater_than", "value": 3}],
 }
 
 
@@ -63,3 +66,36 @@ def time_left(created: Column, as_of: Column, seconds: int = 300) -> Column:
 def enriched(rows: DataFrame, project: str) -> DataFrame:
     """Rows for the global store: source "global:project:source"."""
     return rows.withColumn("project_name", F.lit(project)).withColumn("source", F.concat(F.lit(f"global:{project}:"), "source"))
+
+
+def recent_text(memories: DataFrame, working: int = 5, previous: int = 3, short: int = 50, group: str = "session_id", order: str = "nth", id: str = "id", content: str = "content") -> DataFrame:
+    """(group, text): the last `working` rows, the newest first, then `previous` of the `short` rows before them, those that say "recent" first, cut to 300 characters."""
+    age = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(order)))
+    own = memories.withColumn("age", age).filter(F.col("age") <= working + short).withColumn("now", F.col("age") <= working)
+    said = F.size(F.array_intersect(T.plain_words(F.col(content)), T.strings(["recent"])))
+    at = F.row_number().over(Window.partitionBy(group, "now").orderBy(F.when(F.col("now"), F.col("age")).otherwise(-said), id))
+    line = F.when(F.col("now"), F.concat(F.lit("[Current] "), content)).otherwise(F.concat(F.lit("[Previous] "), F.left(content, F.lit(300)), F.lit("...")))
+    rows = own.withColumn("at", at).filter(F.col("now") | (F.col("at") <= previous)).select(group, (~F.col("now")).alias("later"), "at", line.alias("line"))
+    lines = lambda later: F.transform(F.array_sort(F.collect_list(F.when(F.col("later") == later, F.struct("at", "line")))), lambda x: x["line"])
+    joined = F.concat(lines(F.lit(False)), F.array(F.lit("\n--- Recent History ---\n")), lines(F.lit(True)))
+    return rows.groupBy(group).agg(F.array_join(joined, "\n\n").alias("text"))
+
+
+def tier_sizes(n: Column, working: int = 10, batch: int = 5, short: int = 50, share: float = 0.3) -> dict[str, Column]:
+    """Rows of each tier after n items: what falls out of working memory waits for a whole batch; short-term memory sends its oldest share on whenever it is full."""
+    out = F.greatest(n - working, F.lit(0)).cast("long")
+    batches = F.floor(out / batch)
+    moved = int(short * share)
+    long = F.when(batches >= short, (F.floor((batches - short) / moved) + 1) * moved).otherwise(0).cast("long")
+    return {"working": F.least(n, F.lit(working)).cast("long"), "waiting": out % batch, "short_term": (batches - long).cast("long"), "long_term": long}
+
+
+def maintained(spark: SparkSession, root: str, created: str, importance: str, now: Column, days: int = 30, least: float = 0.7) -> str:
+    """A new snapshot of the table below `root` without what is older than `days` and not important."""
+    keep = (F.col(created) > now - F.make_interval(days=F.lit(days))) | (F.col(importance) > least)
+    return tables.write_snapshot(tables.read_snapshot(spark, root).filter(keep), root)
+
+
+def captured(rows: DataFrame, kind: str, source: str, context: str | None = None) -> DataFrame:
+    """Rows (content) of an agent's output as memories of a kind: source, memory_type, and the context of a thought."""
+    return rows.withColumns({"source": F.lit(source), "memory_type": F.lit(kind), "context": F.lit(context).cast("string")})

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .shared import held
 
 
 def newest(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
@@ -30,10 +36,27 @@ def oldest_share(rows: DataFrame, group: str, order: str, ratio: float) -> DataF
     return rows.withColumn("flush", F.row_number().over(w.orderBy(order)) <= F.floor(F.count("*").over(w) * ratio))
 
 
-def until_known(rows: DataFrame, known: str, *order: Column) -> DataFrame:
-    """Rows before the first known one in the given order."""
-    w = Window.partitionBy(F.lit(1)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("met", F.max(F.col(known).cast("int")).over(w)).filter("met = 0").drop("met")
+def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
+    """Adds a number from 1 in a total order: rows are sorted by ranges, and the sizes of the ranges before, as many rows as there are partitions, are added."""
+    ranges = held(rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    upto = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranges.groupBy("__p").agg(F.count("*").alias("n")).select("__p", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("__before"))
+    nth = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
+    return ranges.withColumn("__nth", nth).join(F.broadcast(before), "__p").withColumn(name, F.col("__nth") + F.col("__before")).drop("__p", "__nth", "__before")
+
+
+def until_known(rows: DataFrame, known: str, *order: str, descending: tuple[str, ...] = ()) -> DataFrame:
+    """Rows before the first known one in the order of these columns: its place is one aggregate, and the others are compared with it."""
+    if not order:
+        raise ValueError("an order is needed")
+    best = [F.col(c) for c in order]
+    first = rows.filter(F.col(known)).orderBy(*(F.desc(c) if c in descending else F.asc(c) for c in order)).limit(1).select(*(c.alias(f"__{n}") for c, n in zip(best, order)))
+    before, same = F.lit(False), F.lit(True)
+    for c in order:
+        mine, its = F.col(c), F.col(f"__{c}")
+        before = before | (same & ((mine > its) if c in descending else (mine < its)))
+        same = same & (mine == its)
+    return rows.join(F.broadcast(first), how="left", on=F.lit(True)).filter(F.col(f"__{order[0]}").isNull() | before).drop(*(f"__{c}" for c in order))
 
 
 def within_budget(rows: DataFrame, group: str, size: Column, budget: int, *order: Column) -> DataFrame:
@@ -45,28 +68,35 @@ def within_budget(rows: DataFrame, group: str, size: Column, budget: int, *order
 def anchored_windows(rows: DataFrame, group: str, stamp: str, id: str, hours: float) -> DataFrame:
     """window: 0, 1, ... per group; a window opens at a row more than `hours` after the first row of the one before.
 
-    A fold over a group's sorted stamps; a group is one array, as the windows of a
-    group depend on one another.
+    Where a window opens depends on the one before, so a group's sorted rows are
+    walked in one stream of Arrow batches; of a group only the open window is held.
     """
     span = int(hours * 3600 * 1_000_000)
-    sorted_ = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(stamp).cast("timestamp")).alias("t"), F.col(id).alias("id"))))
-    start = F.expr(f"named_struct('w', 0, 't', cast(null as bigint), 'out', cast(array() as array<struct<id:{dict(rows.dtypes)[id]},w:int>>))")
+    own = rows.select(F.col(group).alias("g"), F.unix_micros(F.col(stamp).cast("timestamp")).alias("t"), F.col(id).alias("id"))
 
-    def step(a: Column, x: Column) -> Column:
-        new = a["t"].isNotNull() & (x["t"] - a["t"] > span)
-        w = F.when(new, a["w"] + 1).otherwise(a["w"])
-        t = F.when(new | a["t"].isNull(), x["t"]).otherwise(a["t"])
-        return F.struct(w.alias("w"), t.alias("t"), F.concat(a["out"], F.array(F.struct(x["id"].alias("id"), w.alias("w")))).alias("out"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, start, window = object(), 0, 0
+        for b in batches:
+            out = []
+            for g, t in zip(b.column("g").to_pylist(), b.column("t").to_pylist()):
+                if g != now:
+                    now, start, window = g, t, 0
+                elif t is not None and (start is None or t - start > span):
+                    start, window = t, window + (start is not None)
+                out.append(window)
+            yield pa.RecordBatch.from_arrays([b.column("g"), b.column("id"), pa.array(out, pa.int32())], [group, id, "window"])
 
-    folded = rows.groupBy(group).agg(F.aggregate(sorted_, start, step)["out"].alias("out"))
-    return folded.select(group, F.explode("out").alias("o")).select(group, F.col("o.id").alias(id), F.col("o.w").alias("window"))
+    kinds = T.StructType([T.StructField(group, rows.schema[group].dataType), T.StructField(id, rows.schema[id].dataType), T.StructField("window", T.IntegerType())])
+    return own.repartition("g").sortWithinPartitions("g", "t", "id").mapInArrow(run, kinds)
 
 
 def consolidated(rows: DataFrame, keys: list[str], content: str, importance: str, kind: str, id: str, order: str, least: int = 4) -> DataFrame:
     """Groups of at least `least` rows merged: count, greatest importance, the kind of the most important, ids, the first five contents cut to 200."""
-    one = F.struct(F.col(order).alias("o"), F.col(id).alias("id"), F.col(content).alias("c"))
-    got = rows.groupBy(*keys).agg(F.count("*").alias("merged_count"), F.max(importance).alias("importance"), F.max_by(kind, F.struct(F.col(importance), -F.col(id))).alias("kind"), F.array_sort(F.collect_list(one)).alias("all"))
-    lines = F.transform(F.slice("all", 1, 5), lambda x: F.concat(F.lit("- "), F.left(x["c"], F.lit(200))))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(order, id))
+    one = F.struct(F.col(order).alias("o"), F.col(id).alias("id"))
+    first = F.when(F.col("__nth") <= 5, F.struct("__nth", F.left(F.col(content), F.lit(200)).alias("c")))
+    got = rows.withColumn("__nth", nth).groupBy(*keys).agg(F.count("*").alias("merged_count"), F.max(importance).alias("importance"), F.max_by(kind, F.struct(F.col(importance), -F.col(id))).alias("kind"), F.array_sort(F.collect_list(one)).alias("all"), F.array_sort(F.collect_list(first)).alias("first"))
+    lines = F.transform("first", lambda x: F.concat(F.lit("- "), x["c"]))
     text = F.concat(F.lit("Consolidated memory ("), F.col("merged_count").cast("string"), F.lit(" items):\n"), F.array_join(lines, "\n"))
     return got.filter(F.col("merged_count") >= least).select(*keys, "merged_count", "importance", "kind", F.transform("all", lambda x: x["id"]).alias("ids"), text.alias("content"))
 
@@ -95,3 +125,13 @@ def flops_ratio(length: Column, size: int, overlap: int) -> Column:
     """Cost of full attention over that of segments; 1 for nothing."""
     own = segment_count(length, size, overlap) * (size * size)
     return F.when(own > 0, length.cast("double") * length / own).otherwise(1.0)
+
+
+def injected(segments: DataFrame, id: str, memory: int) -> DataFrame:
+    """Adds input: a segment's tokens after the last `memory` tokens of what came before it, which its predecessors carried on."""
+    w = Window.partitionBy(id).orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.col("end_pos") - F.col("start_pos")  # without padding
+    ends = F.slice("tokens", F.greatest(size - memory + 1, F.lit(1)), F.least(size, F.lit(memory)))
+    carried = F.flatten(F.collect_list(ends).over(w.rowsBetween(-memory, -1)))  # a segment has a token at least
+    last = F.slice(carried, F.greatest(F.size(carried) - memory + 1, F.lit(1)), F.lit(memory))
+    return segments.withColumn("input", F.concat(last, F.col("tokens")))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import composite, search
 from . import views as V
-from .retrieval import WORDS, _query, _vectors
+from .retrieval import DIST, Q0, WORDS, _query, _vectors
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -53,14 +53,22 @@ def top10(s, d):
     return composite.context_text(_tiered(s, d), 500, F.col("source_rank"), F.col("id"))
 
 
-@add("cq06_hybrid_query")
+HYBRID = f"""WITH n AS (SELECT vec_id AS id, (1 - {DIST} / 2) * 0.7 AS score, 0 AS part FROM embeddings e, {Q0} ORDER BY {DIST}, vec_id LIMIT 20), w AS (SELECT doc_id AS id, 0.5 * 0.3::DOUBLE AS score, 1 AS part FROM (SELECT doc_id, text AS content FROM documents) WHERE {HITS} > 0 ORDER BY {HITS} DESC, doc_id LIMIT 20)
+ SELECT id, round(u.score, 6) AS score, part FROM (SELECT * FROM n UNION ALL SELECT * FROM w) u QUALIFY row_number() OVER (PARTITION BY id ORDER BY u.score DESC, part) = 1 ORDER BY u.score DESC, id LIMIT 10"""
+
+
+@add("cq06_hybrid_query", HYBRID)
 def cq06(s, d):
     texts = V.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     return composite.hybrid(_vectors(s, d), _query(s, d), texts, ASK).select("id", F.round("score", 6).alias("score"), "part")
 
 
-@add("cq07_rag_query", None)
+NEAR1 = DIST.replace("q.v", "z.v")
+
+
+@add("cq07_rag_query", f"""WITH n AS (SELECT vec_id AS id, 1 - {NEAR1} / 2 AS score FROM embeddings e, (SELECT embedding AS v FROM embeddings WHERE vec_id = 1) z ORDER BY {NEAR1}, vec_id LIMIT 5), r AS (SELECT n.id, n.score, source, text, row_number() OVER (ORDER BY n.score DESC, n.id) AS k FROM n JOIN documents ON doc_id = n.id)
+ SELECT array_to_string(list('[' || k || '] Source: ' || source || chr(10) || 'Content: ' || left(text, 500) || '...' || chr(10) ORDER BY k), chr(10)) AS context, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources FROM r""")
 def cq07(s, d):
-    near = search.knn(_vectors(s, d), _query(s, d, 1), 5).select("id", F.round("score", 6).alias("score"))
-    docs = V.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.left("text", F.lit(500)).alias("content"))
-    return near.join(docs, "id")
+    near = search.knn(_vectors(s, d), _query(s, d, 1), 5).select("id", "score")
+    docs = V.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "source")
+    return composite.answer_context(near.join(docs, "id"))

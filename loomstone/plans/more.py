@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions import text as T
-from ..operators import chunks, evaluate, graph, search, sessions, tables, triples, upkeep, windows
+from ..operators import chunks, composite, evaluate, graph, search, sessions, tables, triples, upkeep, windows
+from ..operators.shared import folder
 from ..sources import code, files, git
 from . import views as V
-from .retrieval import DIST, Q0, _query, _vectors
+from .retrieval import DIST, Q0, WORDS, _query, _vectors, keywords_sql
 from .stats import LEVELS, LIST, WALK, WINDOWS
-from .texts import SHINGLES
+from .texts import SHINGLES, SIG
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -94,10 +93,10 @@ def b19(s, d):
     return V.table(s, d, "events").select("event_id", triples.json_of(reply).alias("body"))
 
 
-@add("src08_code_section", f"SELECT path, 'class C' || k || '(Base):' || chr(10) || '    async def m(self):' || chr(10) || '        await h(self)' AS section FROM ({PY}) WHERE k < 20")
+@add("src08_code_section", f"SELECT path, 'class C' || k || '(Base):' || chr(10) || '    async def m(self):' || chr(10) || '        await h(self)' AS section FROM ({PY})")
 def src08(s, d):
     cut = F.udf(lambda text, name: git.section(text, cls=name), "string")
-    own = _code_files(s, d).withColumn("k", F.regexp_extract("path", r"p(\d+)", 1)).filter("cast(k as long) < 20")
+    own = _code_files(s, d).withColumn("k", F.regexp_extract("path", r"p(\d+)", 1))
     return own.select("path", cut("content", F.concat(F.lit("C"), "k")).alias("section"))
 
 
@@ -193,7 +192,7 @@ def win08(s, d):
     return upkeep.merged_windows(own, "session_id", "window").select("id", "merge")
 
 
-@add("win09_line_numbers", "SELECT doc_id, i AS line_no, string_split(text, chr(10))[i] AS line FROM documents, (SELECT unnest(range(1, 400)) AS i) WHERE i <= len(string_split(text, chr(10)))")
+@add("win09_line_numbers", "SELECT doc_id, generate_subscripts(l, 1) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)")
 def win09(s, d):
     return V.table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line")).select("doc_id", (F.col("k") + 1).cast("long").alias("line_no"), "line")
 
@@ -263,10 +262,76 @@ def rm14(s, d):
     return windows.batches(V.entries(s, d), "session_id", "id", 5).filter("not complete").groupBy("session_id").agg(F.count("*").alias("waiting"))
 
 
-@add("rm16_recent_text", f"SELECT session_id, array_to_string(list(left(content, 300) ORDER BY nth DESC), chr(10)) AS text FROM (SELECT * FROM ({V.MEMORIES}) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY nth DESC) <= 5) GROUP BY session_id")
+@add("rm01_generic_memory", f"SELECT memory_type, source, count(*) AS n FROM (SELECT memory_type, 'chat' AS source FROM ({V.MEMORIES}) UNION ALL SELECT 'generic', source FROM documents) GROUP BY ALL")
+def rm01(s, d):
+    own = V.memories(s, d).select("id", "content", "memory_type", F.lit("chat").alias("source"))
+    new = V.table(s, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"), F.lit("generic").alias("memory_type"), "source")
+    return tables.appended(own, new).groupBy("memory_type", "source").agg(F.count("*").alias("n"))
+
+
+@add("rm02_repo_and_index_stats", f"SELECT (SELECT count(*) FROM ({V.COMMITS})) AS commits, (SELECT count(DISTINCT author) FROM ({V.COMMITS})) AS authors, (SELECT count(DISTINCT path) FROM ({V.FILES})) AS files, (SELECT count(*) FROM ({V.SYMBOLS})) AS symbols, (SELECT max(strftime(stamp, '%Y-%m-%d')) FROM ({V.COMMITS})) AS last")
+def rm02(s, d):
+    c = V.commits(s, d).agg(F.count("*").alias("commits"), F.count_distinct("author").alias("authors"), F.max(F.date_format("stamp", "yyyy-MM-dd")).alias("last"))
+    f = V.commit_files(s, d).agg(F.count_distinct("path").alias("files"))
+    return c.join(F.broadcast(f), F.lit(True)).join(F.broadcast(V.symbols(s, d).agg(F.count("*").alias("symbols"))), F.lit(True)).select("commits", "authors", "files", "symbols", "last")  # one row each
+
+
+@add("rm12_index_state", "SELECT l_partkey AS path, max(l_linenumber) AS version, CAST(sum(l_quantity) AS DOUBLE) AS size FROM lineitem GROUP BY 1")
+def rm12(s, d):
+    """Nothing yet, then rows as JSON and back."""
+    kinds = "path long, version int, size double"
+    rows = V.table(s, d, "lineitem").groupBy(F.col("l_partkey").alias("path")).agg(F.max("l_linenumber").cast("int").alias("version"), F.sum("l_quantity").cast("double").alias("size"))
+    at = folder(s, "state")
+    state = tables.load_or_new(s, at, kinds)
+    tables.write_snapshot(tables.as_json(state.union(rows)), at)
+    return tables.of_json(tables.load_or_new(s, at, "json string"), kinds)
+
+
+LATE = f"CAST(len(list_intersect({WORDS}, ['the', 'in', 'of', 'that'])) AS INT)"
+
+
+@add("rm15_long_term_keywords", f"SELECT id, {LATE} AS overlap FROM ({V.MEMORIES}) WHERE memory_type = 'user' AND {LATE} > 0 ORDER BY {LATE} DESC, id LIMIT 10")
+def rm15(s, d):
+    return composite.long_term(V.memories(s, d).filter("memory_type = 'user'"), "the in of that").select("id", "overlap")
+
+
+@add("rm15_long_term_vectors", f"SELECT vec_id AS id, round(1 - {DIST} / 2, 6) AS score FROM embeddings e, {Q0} ORDER BY {DIST}, vec_id LIMIT 10")
+def rm15_vectors(s, d):
+    return composite.long_term(_vectors(s, d), query_vector=_query(s, d)).select("id", _r("score"))
+
+
+@add("rm16_recent_text", f"""WITH m AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY nth DESC) AS age FROM ({V.MEMORIES})),
+ p AS (SELECT *, CAST(len(list_intersect({WORDS}, ['recent'])) AS INT) AS o FROM m WHERE age > 2 AND age <= 52),
+ x AS (SELECT session_id, 0 AS later, age AS pos, '[Current] ' || content AS line FROM m WHERE age <= 2 UNION ALL SELECT session_id, 1, 0, chr(10) || '--- Recent History ---' || chr(10) FROM m WHERE age = 1
+  UNION ALL SELECT session_id, 2, row_number() OVER (PARTITION BY session_id ORDER BY o DESC, id) AS pos, '[Previous] ' || left(content, 300) || '...' FROM p QUALIFY pos <= 3)
+ SELECT session_id, array_to_string(list(line ORDER BY later, pos), chr(10) || chr(10)) AS text FROM x GROUP BY session_id""")
 def rm16(s, d):
-    own = windows.newest(V.memories(s, d), "session_id", "nth", 5)
-    return own.groupBy("session_id").agg(F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("nth", F.left("content", F.lit(300)).alias("t"))))), lambda x: x["t"]), "\n").alias("text"))
+    return upkeep.recent_text(V.memories(s, d), working=2)
+
+
+@add("rm17_tier_sizes", f"""WITH n AS (SELECT session_id, count(*) AS n FROM ({V.ENTRIES}) GROUP BY 1), b AS (SELECT *, greatest(n - 2, 0) // 2 AS batches FROM n), m AS (SELECT *, CASE WHEN batches >= 4 THEN ((batches - 4) // 2 + 1) * 2 ELSE 0 END AS moved FROM b)
+ SELECT session_id, least(n, 2) AS working, greatest(n - 2, 0) % 2 AS waiting, batches - moved AS short_term, moved AS long_term FROM m""")
+def rm17(s, d):
+    n = V.entries(s, d).groupBy("session_id").agg(F.count("*").alias("n"))
+    return n.select("session_id", *(c.alias(k) for k, c in upkeep.tier_sizes(F.col("n"), 2, 2, 4, 0.5).items()))
+
+
+@add("rm21_injected_segments", "WITH t AS (SELECT item_id AS id, range(0, length(text)) AS t FROM benchmark), x AS (SELECT id, t, unnest(range(0, len(t), 192)) AS p FROM t) SELECT id, p // 192 AS segment, list_concat(CASE WHEN p > 0 THEN t[greatest(least(p + 64, len(t)) - 16, 0) + 1:least(p + 64, len(t))] ELSE [] END, list_concat(t[p + 1:p + 256], list_transform(range(0, greatest(p + 256 - len(t), 0)), lambda i: 0))) AS input FROM x")
+def rm21(s, d):
+    tokens = V.table(s, d, "benchmark").select(F.col("item_id").alias("id"), F.when(F.length("text") > 0, F.sequence(F.lit(0).cast("long"), F.length("text").cast("long") - 1)).otherwise(F.array().cast("array<bigint>")).alias("tokens"))
+    return windows.injected(windows.segments(tokens, "id", "tokens", 256, 64), "id", 16).select("id", F.col("segment").cast("long").alias("segment"), "input")
+
+
+@add("rm25_captured_output", f"SELECT id, 'agent' AS source, 'thought' AS memory_type, 'planning' AS context FROM ({V.MEMORIES})")
+def rm25(s, d):
+    return upkeep.captured(V.memories(s, d).select("id", "content"), "thought", "agent", "planning").select("id", "source", "memory_type", "context")
+
+
+@add("rm37_fingerprint_stats", f"WITH {SIG}, h AS (SELECT item_id, left(sha256(array_to_string(sig, ',')), 16) AS hash FROM sig) SELECT count(DISTINCT hash) AS fingerprints, (SELECT count(DISTINCT word) FROM ({keywords_sql('benchmark', 'item_id')})) AS keywords FROM h")
+def rm37(s, d):
+    own = sessions.fingerprints(V.table(s, d, "benchmark"), "item_id", "text")
+    kept = tables.upserted(own.limit(0), own, ["hash"], "id")
+    return kept.agg(F.count("*").alias("fingerprints")).join(F.broadcast(sessions.keywords(V.table(s, d, "benchmark"), "item_id", "text").agg(F.count_distinct("word").alias("keywords"))), F.lit(True))
 
 
 @add("rm18_success_rate", "SELECT c_custkey AS id, round(CASE WHEN count(event_id) = 0 THEN 0.5 ELSE count(*) FILTER (event_type <> 'error') / count(event_id)::DOUBLE END, 6)::DOUBLE AS rate FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY 1")
@@ -319,11 +384,14 @@ def rm35(s, d):
     return V.entries(s, d).filter("session_id = 8 and memory_type = 'error'").orderBy(F.desc("created_at")).limit(20).select("id", "memory_type")
 
 
-@add("rm36_default_policies", "SELECT o_orderkey, o_totalprice > 100000 OR o_orderkey % 10 > 3 AS stopped FROM orders")
+KINDS = "(['read', 'delete', 'write', 'drop', 'undelete', 'DROP'])[CAST(o_orderkey % 6 AS INT) + 1]"
+
+
+@add("rm36_default_policies", f"SELECT o_orderkey, {KINDS} AS operation_type, {KINDS} IN ('delete', 'drop') AS destructive_ops, o_totalprice / 1000 > 100 AS expensive_ops, o_orderkey % 5 > 3 AS error_escalation FROM orders")
 def rm36(s, d):
-    rows = V.table(s, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("action"), (F.col("o_totalprice") / 1000).alias("cost"), (F.col("o_orderkey") % 10).alias("errors"))
-    any_ = reduce(lambda a, b: a | b, map(search.any_condition, upkeep.POLICIES.values()))
-    return rows.select("o_orderkey", any_.alias("stopped"))
+    kind = F.element_at(F.array(*map(F.lit, ("read", "delete", "write", "drop", "undelete", "DROP"))), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    rows = V.table(s, d, "orders").select("o_orderkey", kind.alias("operation_type"), (F.col("o_totalprice") / 1000).alias("estimated_cost"), (F.col("o_orderkey") % 5).alias("error_count"))
+    return rows.select("o_orderkey", "operation_type", *(search.any_condition(c).alias(n) for n, c in upkeep.POLICIES.items()))
 
 
 @add("rm38_mark_explored", "SELECT user_id AS session_id, event_type AS explorer, max(event_id) AS version FROM events GROUP BY 1, 2")

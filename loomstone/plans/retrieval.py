@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import search, sessions, tables, windows
+from ..operators.shared import held
 from . import views as V
 
 QUERIES: dict = {}
@@ -58,9 +59,9 @@ def flt04(s, d):
     return search.filtered_knn(_vectors(s, d), _query(s, d), F.col("label").isin(0, 1, 2), 10).select("id", "label", _r("distance"))
 
 
-@add("join09_knn_batch", "WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id < 8), p AS (SELECT query_id, e.vec_id AS id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: pow(e.embedding[i]::DOUBLE - q.v[i]::DOUBLE, 2))) AS distance FROM embeddings e, q) SELECT query_id, id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY p.distance, id) AS rank FROM p QUALIFY rank <= 5")
+@add("join09_knn_batch", "WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0), p AS (SELECT query_id, e.vec_id AS id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: pow(e.embedding[i]::DOUBLE - q.v[i]::DOUBLE, 2))) AS distance FROM embeddings e, q) SELECT query_id, id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY p.distance, id) AS rank FROM p QUALIFY rank <= 5")
 def join09(s, d):
-    q = _vectors(s, d).filter("id < 8").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    q = _vectors(s, d).filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
     return search.knn_batch(_vectors(s, d), q).select("query_id", "id", _r("distance"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -192,7 +193,7 @@ PAIRS = f"WITH k AS ({keywords_sql('conversations', 'conv_id * 1000 + turn')}),
 
 def _turn_keywords(s, d):
     t = V.table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return sessions.keywords(t, "id", "text").select("id", "word").checkpoint()
+    return sessions.keywords(t, "id", "text").select("id", "word").transform(held)
 
 
 @add("join05_keyword_jaccard", PAIRS + " SELECT a, b, round(jaccard, 6) AS jaccard FROM j WHERE j.jaccard > 0.3")
@@ -201,7 +202,7 @@ def join05(s, d):
     return sessions.similar(k, k).select("a", "b", _r("jaccard"))
 
 
-@add("cq04_duplicate_check", PAIRS.replace("a.id < b.id", "a.id % 20 = 0 AND b.id % 20 <> 0") + " SELECT a, b, round(jaccard, 6) AS jaccard, row_number() OVER (PARTITION BY a ORDER BY j.jaccard DESC, b) AS rank, max(j.jaccard) OVER (PARTITION BY a) >= 0.8 AS is_duplicate FROM j WHERE j.jaccard > 0.3 QUALIFY rank <= 5")
+@add("cq04_duplicate_check", PAIRS.replace("a.id < b.id", "a.id % 20 = 0 AND b.id <> a.id") + " SELECT a, b, round(jaccard, 6) AS jaccard, row_number() OVER (PARTITION BY a ORDER BY j.jaccard DESC, b) AS rank, max(j.jaccard) OVER (PARTITION BY a) >= 0.8 AS is_duplicate FROM j WHERE j.jaccard > 0.3 QUALIFY rank <= 5")
 def cq04(s, d):
     k = _turn_keywords(s, d)
-    return sessions.duplicates(k.filter("id % 20 = 0"), k.filter("id % 20 <> 0")).select("a", "b", _r("jaccard"), F.col("rank").cast("long").alias("rank"), "is_duplicate")
+    return sessions.duplicates(k.filter("id % 20 = 0"), k).select("a", "b", _r("jaccard"), F.col("rank").cast("long").alias("rank"), "is_duplicate")

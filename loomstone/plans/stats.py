@@ -43,8 +43,9 @@ def agg01(s, d):
 @add("agg02_repo_stats", f"WITH last AS (SELECT * FROM ({V.COMMITS}) ORDER BY stamp DESC, hash LIMIT 1000), t AS (SELECT count(*) AS total FROM ({V.COMMITS})) SELECT author, count(*) AS n, any_value(total) AS total FROM last, t GROUP BY author ORDER BY n DESC, author LIMIT 5")
 def agg02(s, d):
     c = V.commits(s, d)
-    total = c.count()
-    return c.orderBy(F.desc("stamp"), "hash").limit(1000).groupBy("author").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "author").limit(5).withColumn("total", F.lit(total).cast("long"))
+    total = V.table(s, d, "orders").join(V.table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").agg(F.count("*").alias("total"))
+    top = c.orderBy(F.desc("stamp"), "hash").limit(1000).groupBy("author").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "author").limit(5)
+    return top.join(F.broadcast(total), F.lit(True))
 
 
 @add("agg03_file_summary", f"SELECT path, count(*) FILTER (symbol_type = 'small') AS small, count(*) FILTER (symbol_type = 'economy') AS economy, array_to_string(list(name ORDER BY name, id), ',') AS names FROM ({V.SYMBOLS}) GROUP BY path")
@@ -155,7 +156,7 @@ def win03(s, d):
 
 @add("win04_until_indexed", f"WITH c AS (SELECT *, hash % 97 = 5 AS known FROM ({V.COMMITS})) SELECT hash FROM (SELECT hash, max(known::INT) OVER (ORDER BY stamp DESC, hash ROWS UNBOUNDED PRECEDING) AS met FROM c) WHERE met = 0")
 def win04(s, d):
-    return windows.until_known(V.commits(s, d).withColumn("known", F.col("hash") % 97 == 5), "known", F.desc("stamp"), F.col("hash")).select("hash")
+    return windows.until_known(V.commits(s, d).withColumn("known", F.col("hash") % 97 == 5), "known", "stamp", "hash", descending=("stamp",)).select("hash")
 
 
 @add("win05_working_memory", f"SELECT id, session_id FROM ({V.ENTRIES}) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY id DESC) <= 10")
@@ -248,7 +249,7 @@ def gr03(s, d):
     return graph.ready(V.tasks(s, d), V.deps(s, d))
 
 
-LEVELS = f"WITH RECURSIVE d AS ({V.DEPS}), t AS ({V.TASKS}), walk(task, level) AS (SELECT task, 0 FROM t UNION ALL SELECT d.task, w.level + 1 FROM walk w JOIN d ON d.dep = w.task), l AS (SELECT task, max(level) AS level FROM walk GROUP BY task)"
+LEVELS = f"WITH RECURSIVE d AS ({V.DEPS}), t AS ({V.TASKS}), walk(task, level) AS (SELECT task, 0 FROM t UNION SELECT d.task, w.level + 1 FROM walk w JOIN d ON d.dep = w.task), l AS (SELECT task, max(level) AS level FROM walk GROUP BY task)"
 
 
 LOOPS = "SELECT task, dep FROM d UNION SELECT 2, 5 UNION SELECT 1, 6 UNION SELECT 7, 7"
@@ -262,9 +263,7 @@ def gr04(s, d):
 
 @add("gr05_topological_sort", LEVELS + " SELECT task, row_number() OVER (ORDER BY level, task) AS nth FROM l")
 def gr05(s, d):
-    from pyspark.sql import Window
-
-    return graph.levels(V.tasks(s, d), V.deps(s, d)).select("task", F.row_number().over(Window.orderBy("level", "task")).cast("long").alias("nth"))
+    return graph.sorted_topologically(V.tasks(s, d), V.deps(s, d)).select("task", F.col("nth").cast("long").alias("nth"))
 
 
 @add("gr06_phases", LEVELS + " SELECT level, count(*) AS n, array_to_string(list(task ORDER BY task), ',') AS tasks FROM l GROUP BY level")
@@ -288,10 +287,26 @@ def gr09(s, d):
     return V.deps(s, d).groupBy(F.col("dep").alias("task")).agg(F.count("*").alias("dependents")).filter("dependents > 3")
 
 
-@add("gr10_suggestions", LEVELS + " SELECT level, role, count(*) AS n FROM l JOIN t ON t.task = l.task GROUP BY level, role HAVING count(*) > 2")
+@add("gr10_suggestions", LEVELS + " SELECT 'agent_scaling' AS type, level AS phase, role, count(*) AS n FROM l JOIN t ON t.task = l.task GROUP BY level, role HAVING count(*) > 2 UNION ALL SELECT 'increase_parallelism', NULL, NULL, count(DISTINCT level) FROM l HAVING count(DISTINCT level) > count(*) / 2")
 def gr10(s, d):
-    t = V.tasks(s, d)
-    return graph.levels(t, V.deps(s, d)).join(t, "task").groupBy("level", "role").agg(F.count("*").alias("n")).filter("n > 2")
+    return graph.suggestions(V.tasks(s, d), V.deps(s, d))
+
+
+@add("gr10_deep_plan", "SELECT 'increase_parallelism' AS type, NULL::INT AS phase, NULL::VARCHAR AS role, count(*) AS n FROM nation")
+def gr10_deep(s, d):
+    """A chain: each nation waits for the one before."""
+    t = V.table(s, d, "nation").select(F.col("n_nationkey").alias("task"), F.lit("role").alias("role"))
+    return graph.suggestions(t, t.filter("task > 0").select("task", (F.col("task") - 1).alias("dep")))
+
+
+@add("rm28_unlocked", f"WITH d AS ({V.DEPS}), t AS ({V.TASKS}) SELECT task FROM t WHERE state = 'pending' AND EXISTS (SELECT 1 FROM d WHERE d.task = t.task AND d.dep IN (2, 3)) AND NOT EXISTS (SELECT 1 FROM d WHERE d.task = t.task AND d.dep NOT IN (SELECT task FROM t WHERE state = 'completed'))")
+def rm28(s, d):
+    return graph.unlocked(V.tasks(s, d), V.deps(s, d), s.createDataFrame([(2,), (3,)], "task long")).select("task")
+
+
+@add("rm33_schedule", LEVELS + " SELECT level AS phase, count(*) AS n, count(*) * 2 AS minutes FROM l GROUP BY level")
+def rm33(s, d):
+    return graph.schedule(V.tasks(s, d), V.deps(s, d))
 
 
 @add("gr11_duration", f"SELECT role, count(*) * 2 AS minutes FROM ({V.TASKS}) GROUP BY role")
@@ -341,10 +356,10 @@ def snk06(s, d):
     return tables.upserted(e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1"), ["user_id", "event_type"], "event_id")
 
 
-@add("snk09_append", f"SELECT id, memory_type FROM ({V.ENTRIES}) WHERE id < 100 UNION ALL SELECT id, memory_type FROM ({V.ENTRIES}) WHERE id >= 900")
+@add("snk09_append", f"SELECT id, memory_type FROM ({V.ENTRIES}) WHERE id < 500 UNION ALL SELECT id, memory_type FROM ({V.ENTRIES}) WHERE id >= 500")
 def snk09(s, d):
     e = V.entries(s, d).select("id", "memory_type")
-    return tables.appended(e.filter("id < 100"), e.filter("id >= 900"))
+    return tables.appended(e.filter("id < 500"), e.filter("id >= 500"))
 
 
 STAMP = "CASE WHEN conv_id % 5 = 0 THEN NULL WHEN conv_id % 5 = 1 THEN 'no time' WHEN conv_id % 5 = 2 THEN '2024-01-1' || (conv_id % 10) || 'T00:00:00Z' ELSE '2024-01-1' || (conv_id % 10) || 'T06:00:00' END"

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import tables
+from ..operators import tables, upkeep
+from ..operators.shared import folder
 from ..streaming import cascade, changes
 from . import views as V
 
@@ -26,12 +24,6 @@ def add(name: str, sql: str | None = None):
     return keep
 
 
-def folder(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that all executors share; where none is set, on this machine alone."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomstone-")
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def turns(spark: SparkSession, d: str) -> DataFrame:
     """Conversation turns as a stream."""
     path = f"{d}/conversations.parquet"
@@ -39,10 +31,10 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("conv_id").alias("session_id"), F.concat_ws(":", "conv_id", "turn").alias("id"), F.col("text").alias("content"), F.col("turn").alias("nth"))
 
 
-@add("st09_memory_cascade", f"WITH m AS (SELECT session_id, id, content, row_number() OVER (PARTITION BY session_id ORDER BY nth) - 1 AS k, count(*) OVER (PARTITION BY session_id) AS n FROM ({V.MEMORIES})), e AS (SELECT *, k // 2 AS b FROM m WHERE k < n - 2) SELECT session_id, 'short_term' AS layer, array_to_string(list(id ORDER BY k), ',') AS ids, array_to_string(list(left(content, 40) ORDER BY k), chr(10)) AS heads FROM e GROUP BY session_id, b HAVING count(*) = 2")
+@add("st09_memory_cascade", f"WITH m AS (SELECT session_id, id, content, row_number() OVER (PARTITION BY session_id ORDER BY nth) - 1 AS k, count(*) OVER (PARTITION BY session_id) AS n FROM ({V.MEMORIES})), e AS (SELECT *, k // 2 AS b FROM m WHERE k < n - 2) SELECT session_id, 'short_term' AS layer, array_to_string(list(id ORDER BY k), ',') AS ids, CASE WHEN length(array_to_string(list(content ORDER BY k), chr(10))) > 2000 THEN left(array_to_string(list(content ORDER BY k), chr(10)), 2000) || '...' ELSE array_to_string(list(content ORDER BY k), chr(10)) END AS heads FROM e GROUP BY session_id, b HAVING count(*) = 2")
 def st09(s, d):
     at = folder(s, "cascade")
-    out = cascade.cascade(turns(s, d).withColumn("content", F.left("content", F.lit(40))), cascade.Limits(working=2, batch=2))
+    out = cascade.cascade(turns(s, d), cascade.Limits(working=2, batch=2))
     out.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return s.read.schema(cascade.OUT).parquet(f"{at}/rows").select("session_id", "layer", F.array_join("ids", ",").alias("ids"), F.col("content").alias("heads"))
 
@@ -95,3 +87,25 @@ def cq08(s, d):
     own = V.commit_files(s, d).filter(F.startswith("path", F.lit("src/m3/"))).select("hash", "path").join(V.commits(s, d), "hash")
     last = Window.partitionBy("path").orderBy(F.desc("stamp"), "hash")
     return own.withColumn("k", F.row_number().over(last)).filter("k <= 2").select("path", "hash", "message")
+
+
+@add("st10_maintenance", f"SELECT id, memory_type FROM ({V.ENTRIES}) WHERE created_at > TIMESTAMP '2024-02-13 00:00:00' - INTERVAL 30 DAY OR importance > 0.7")
+def st10(s, d):
+    """One run of the hourly job."""
+    at = folder(s, "maintenance")
+    tables.write_snapshot(V.entries(s, d), at)
+    upkeep.maintained(s, at, "created_at", "importance", F.lit("2024-02-13 00:00:00").cast("timestamp"))
+    return tables.read_snapshot(s, at).select("id", "memory_type")
+
+
+@add("st11_consolidation_trigger", "SELECT unnest(range(1, count(*) // 100 + 1)) AS hundreds FROM events")
+def st11(s, d):
+    """The numbers of adds, in hundreds, at which consolidation runs: batches of the stream hold fewer than 100 rows."""
+    at, seen = folder(s, "adds"), []
+    rows = V.table(s, d, "events").select("event_id")
+    n = rows.count()
+    rows.repartition(max(1, n // 60 + 1)).write.parquet(f"{at}/rows")
+    stream = s.readStream.schema("event_id long").option("maxFilesPerTrigger", max(1, n // 60 // 12)).parquet(f"{at}/rows")
+    changes.consolidating(stream, f"{at}/state", f"{at}/checkpoint", lambda k: seen.append(k)).awaitTermination()
+    last = max(seen, default=0)
+    return s.range(1, last + 1).select(F.col("id").alias("hundreds"))

@@ -8,7 +8,7 @@ from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import chunks, embed, windows
 from . import views as V
-from .retrieval import sql_list
+from .retrieval import KEYWORDS, TECH, sql_list
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -41,7 +41,7 @@ def b02(s, d):
     return embed.hashed_grams(V.table(s, d, "benchmark"), "item_id", "text").select("id", F.col("bucket").cast("int").alias("bucket"), _r("value"))
 
 
-@add("agg06_weighted_keywords")
+@add("agg06_weighted_keywords", f"SELECT id, word, CAST(sum({TECH}) AS BIGINT) AS n FROM (SELECT doc_id AS id, unnest({KEYWORDS}) AS word FROM documents) GROUP BY id, word")
 def agg06(s, d):
     from ..operators.sessions import keyword_counts
 

@@ -60,19 +60,20 @@ SYMBOLS = "SELECT p_partkey AS id, replace(p_name, ' ', '.') AS name, lower(p_ty
 def tasks(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers as tasks: task, role, state."""
     state = F.when(F.col("s_suppkey") < 4, "completed").when(F.col("s_suppkey") % 5 == 4, "failed").otherwise("pending")
-    return table(spark, d, "supplier").filter("s_suppkey < 60").select(F.col("s_suppkey").alias("task"), F.concat(F.lit("role"), F.col("s_nationkey") % 3).alias("role"), state.alias("state"))
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("task"), F.concat(F.lit("role"), F.col("s_nationkey") % 3).alias("role"), state.alias("state"))
 
 
-TASKS = "SELECT s_suppkey AS task, 'role' || (s_nationkey % 3) AS role, CASE WHEN s_suppkey < 4 THEN 'completed' WHEN s_suppkey % 5 = 4 THEN 'failed' ELSE 'pending' END AS state FROM supplier WHERE s_suppkey < 60"
+TASKS = "SELECT s_suppkey AS task, 'role' || (s_nationkey % 3) AS role, CASE WHEN s_suppkey < 4 THEN 'completed' WHEN s_suppkey % 5 = 4 THEN 'failed' ELSE 'pending' END AS state FROM supplier"
 
 
 def deps(spark: SparkSession, d: str) -> DataFrame:
-    """A task depends on its half and, every third, on the one three before."""
+    """A task depends on its half, and on its third and its fifth where they are whole."""
     t = tasks(spark, d).filter("task > 0").select("task")
-    return t.select("task", F.floor(F.col("task") / 2).cast("long").alias("dep")).union(t.filter("task % 3 = 0 AND task > 3").select("task", F.col("task") - 3)).distinct()
+    part = lambda k: t.filter(F.col("task") % k == 0).select("task", F.floor(F.col("task") / k).cast("long").alias("dep"))
+    return t.select("task", F.floor(F.col("task") / 2).cast("long").alias("dep")).union(part(3)).union(part(5)).distinct()
 
 
-DEPS = "SELECT DISTINCT task, dep FROM (SELECT s_suppkey AS task, s_suppkey // 2 AS dep FROM supplier WHERE s_suppkey > 0 AND s_suppkey < 60 UNION ALL SELECT s_suppkey, s_suppkey - 3 FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey > 3 AND s_suppkey < 60)"
+DEPS = "SELECT DISTINCT task, dep FROM (SELECT s_suppkey AS task, s_suppkey // 2 AS dep FROM supplier WHERE s_suppkey > 0 UNION ALL SELECT s_suppkey, s_suppkey // 3 FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey > 0 UNION ALL SELECT s_suppkey, s_suppkey // 5 FROM supplier WHERE s_suppkey % 5 = 0 AND s_suppkey > 0)"
 
 
 def runs(spark: SparkSession, d: str) -> DataFrame:

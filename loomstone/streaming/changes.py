@@ -21,18 +21,31 @@ def file_stream(spark: SparkSession, root: str, includes: tuple[str, ...] = ("*"
     return rows.filter(wanted).select("path", "mtime", F.md5("content").alias("hash"), source.kind_of(F.col("path")).alias("kind"), F.decode("content", "UTF-8").alias("content"))
 
 
-def indexed(stream: DataFrame, state: str, checkpoint: str, index: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """Keeps the file state (path, mtime, hash) in snapshots below `state`; `index` gets what is new or has changed, once per batch id."""
+STATE = "path string, mtime timestamp, hash string"
+
+
+def present(spark: SparkSession, root: str) -> DataFrame:
+    """(path): the files that are there now; contents are not read."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return raw.select(F.regexp_replace("path", "^file:/*", "/").alias("path"))
+
+
+def indexed(stream: DataFrame, state: str, checkpoint: str, index: Callable[[DataFrame, int], None], root: str | None = None, forget: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+    """Keeps the file state (path, mtime, hash) in snapshots below `state`; `index` gets what is new or has changed, once per batch id.
+
+    root: where the files lie; paths of the state that are no longer there leave it
+    with the next batch, and `forget` gets them.
+    """
     spark = stream.sparkSession
 
     def batch(rows: DataFrame, number: int) -> None:
         scan = rows.groupBy("path").agg(F.max_by(F.struct("mtime", "hash", "kind", "content"), "mtime").alias("r")).select("path", "r.*").persist()
-        try:
-            known = tables.read_snapshot(spark, state)
-        except Exception as e:  # no snapshot yet
-            if "CURRENT" not in str(e):
-                raise
-            known = spark.createDataFrame([], "path string, mtime timestamp, hash string")
+        known = tables.load_or_new(spark, state, STATE)
+        if root is not None:
+            there = present(spark, root)
+            if forget is not None:
+                forget(known.select("path").join(there, "path", "left_anti"), number)
+            known = known.join(there, "path", "left_semi")
         changed = tables.file_changes(known, scan).filter("status in ('new', 'changed')").select("path")
         index(scan.join(changed, "path", "left_semi"), number)
         now = known.join(scan.select("path"), "path", "left_anti").unionByName(scan.select("path", "mtime", "hash"))
@@ -61,3 +74,26 @@ def stored_then_published(stream: DataFrame, table: str, topics: str, checkpoint
 def windowed_counts(stream: DataFrame, stamp: str, by: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts per tumbling window with a watermark; an extension for event tables."""
     return stream.withWatermark(stamp, late).groupBy(F.window(stamp, window), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), by, "n")
+
+
+def every(spark: SparkSession, job: Callable[[int], None], minutes: float = 60.0) -> StreamingQuery:
+    """Runs `job` now and then every so many minutes, until the query is stopped: upkeep such as retention or flushing."""
+    ticks = spark.readStream.format("rate").load()
+    return ticks.writeStream.foreachBatch(lambda _, number: job(number)).trigger(processingTime=f"{max(1, int(minutes * 60))} seconds").start()
+
+
+def consolidating(stream: DataFrame, state: str, checkpoint: str, job: Callable[[int], None], adds: int = 100) -> StreamingQuery:
+    """Counts added rows over batches in snapshots below `state`, and runs `job` with the number of full hundreds (`adds`) whenever a batch completes one; a batch that runs again counts once."""
+    spark = stream.sparkSession
+
+    def batch(rows: DataFrame, number: int) -> None:
+        held = tables.load_or_new(spark, state, "batch long, total long").orderBy(F.desc("batch")).first()
+        if held is not None and held.batch >= number:
+            return
+        before = held.total if held is not None else 0
+        total = before + rows.count()
+        if total // adds > before // adds:
+            job(total // adds)
+        tables.write_snapshot(spark.createDataFrame([(number, total)], "batch long, total long"), state)
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
