@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import spread
+
 SIZE, OVERLAP = 512, 50
 STOPS = ".!?:\n"
 CODE = re.compile(r"(?:^|\n)((?:class|def|function)\s+\w+)")
@@ -70,7 +72,7 @@ def pieces(text: str | None, kind: str | None, size: int = SIZE, overlap: int =
 
 def chunked(docs: DataFrame, id: str, text: str, kind: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """Rows (id, chunk_index, text, kind, head) of all documents; empty and null texts have none."""
-    rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"), F.col(kind).cast("string").alias("kind"))
+    rows = spread(docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"), F.col(kind).cast("string").alias("kind")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "chunk_index", "text", "kind", "head"]

@@ -16,6 +16,7 @@ from pyspark.sql import types as K
 
 from ..functions import text as T
 from ..functions.words import EMBED_STOP
+from .shared import spread
 
 IDENTIFIER = re.compile("[a-z_][a-z0-9_]*")
 
@@ -34,7 +35,7 @@ def hashed_tf(docs: DataFrame, id: str, text: str, dim: int = 384, remembered: i
     The number of a text's tokens divides out in the unit vector.
     """
     rows = docs.select(F.col(id).alias("id"), F.coalesce(F.lower(F.col(text)), F.lit("")).alias("text"))
-    stop = frozenset(EMBED_STOP)
+    rows, stop = spread(rows), frozenset(EMBED_STOP)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = lru_cache(remembered)(lambda token: int.from_bytes(hashlib.md5(token.encode()).digest()) % dim)

@@ -32,3 +32,11 @@ def held(df: DataFrame) -> DataFrame:
     """The rows, written to that folder; what comes after doesn't depend on earlier stages."""
     shared_root(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table that one task would read, dealt out to all cores for work that takes long for its bytes; a larger table as it is."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    one = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(spark.sparkContext.defaultParallelism) if size <= one else df
