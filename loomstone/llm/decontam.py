@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..operators.shared import spread
 from . import tokens as tk
 from .lm import Sections, section
 from .shared import checkpointed, mounted, running, scratch, text_bytes
@@ -250,7 +251,7 @@ def leaks(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "te
                         ids, take = group.ids, pa.array([r for r, *_ in got], pa.int64())
                         yield pa.RecordBatch.from_arrays([part.column("__id").take(take), pa.array([ids[k] for _, k, _, _ in got], item_kind), pa.array([s for *_, s, _ in got], pa.float64()), pa.array([w for *_, w in got], pa.int64())], ["__id", "__item", "similarity", "first_word"])
 
-    return rows.mapInArrow(tk.lean(run), kinds).withColumnsRenamed({"__id": id, "__item": item})
+    return spread(rows).mapInArrow(tk.lean(run), kinds).withColumnsRenamed({"__id": id, "__item": item})
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -265,4 +266,4 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "it
                     keep[[r for r, *_ in got]] = False
                 yield part.filter(pa.array(keep))
 
-    return docs.mapInArrow(tk.lean(run), docs.schema)
+    return spread(docs).mapInArrow(tk.lean(run), docs.schema)

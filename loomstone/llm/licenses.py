@@ -22,6 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.shared import spread
 from .shared import checkpointed
 
 # Phrases, and opening sentences of public licenses, with their labels.
@@ -104,7 +105,7 @@ def scanned(docs: DataFrame, id: str = "doc_id", text: str = "text", phrases: di
     are judged alike.  Phrases may share words with one another, and with themselves.
     """
     phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
-    rows = docs.select(F.col(f"`{id}`").alias("id"), lowered(text).alias("text"))
+    rows = spread(docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))).select("id", lowered("text").alias("text"))
     key = [F.xxhash64("text").alias("h"), F.octet_length("text").alias("size")]
     vocabulary = F.array(*map(F.lit, sorted({w for _, t in templates for w in t.split()}))).cast("array<string>")
     words = rows.select("id", *key, words_of(F.col("text")).alias("words"))

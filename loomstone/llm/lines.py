@@ -43,6 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.shared import spread
 from . import tokens as tk
 from .lm import by_shard, section, Sections
 from .shared import checkpointed, mounted, scratch, text_bytes
@@ -333,7 +334,7 @@ def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", rules:
     words always stay.  Templates that stand in one id alone never recur.
     """
     number = numbered(id, docs.schema[id].dataType)
-    own = docs.select(number.alias("__id"), text_bytes(text).alias("__text"))
+    own = spread(docs).select(number.alias("__id"), text_bytes(text).alias("__text"))
     kind = "key long, id long, needed int"
     parted = own.groupBy("__id").count().filter("count > 1").limit(1).count() > 0
 
@@ -344,7 +345,7 @@ def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", rules:
     whole = counted(own.mapInArrow(tk.lean(shared_windows(shared, rules)), kind))
     added = ("n_lines", "n_dropped", "n_cut")
     keep = [c for c in docs.columns if c not in added]
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), number.alias("__id"))
+    rows = spread(docs).select(*(F.col(f"`{c}`") for c in keep), number.alias("__id"))
 
     def repeated(m: Messages, ids: np.ndarray) -> np.ndarray:
         """Words in windows that an earlier document has."""

@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.shared import spread
 from . import tokens as tk
 from .shared import mounted, scratch, text_bytes
 
@@ -525,7 +526,7 @@ def cut(texts: DataFrame, shard_bytes: int) -> tuple[int, int]:
 
 def vocabulary(train: DataFrame, text: str = "text", separators: np.ndarray = tk.SPACE, shard_bytes: int = SHARD_BYTES) -> Vocabulary:
     """The words of all rows of `train`, counted and numbered."""
-    texts = train.select(text_bytes(text).alias("text"))
+    texts = spread(train.select(text_bytes(text).alias("text")))
     bits, file_bits = cut(texts, shard_bytes)
     path = mounted(scratch(train.sparkSession, "words"))
     os.makedirs(path)
@@ -551,7 +552,7 @@ def fit(train: DataFrame, order: int = 3, text: str = "text", separators: np.nda
     its own is counted.
     """
     words = words or vocabulary(train, text, separators, shard_bytes)
-    texts = train.select(text_bytes(text).alias("text"))
+    texts = spread(train.select(text_bytes(text).alias("text")))
     bits, file_bits = (words.bits, words.file_bits)
     path = mounted(scratch(train.sparkSession, "lm"))
     os.makedirs(path)
@@ -616,4 +617,4 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
     """
     kept = docs.select(*(F.col(f"`{c}`") for c in keep), text_bytes(text).alias("__text"))
     out = T.StructType([*(f for f in kept.schema.fields if f.name in keep), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known")), *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score", "perplexity"))])
-    return kept.mapInArrow(tk.lean(scorer(model, [*keep], separators)), out)
+    return spread(kept).mapInArrow(tk.lean(scorer(model, [*keep], separators)), out)

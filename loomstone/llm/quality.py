@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.shared import spread
 from . import tokens as tk
 from .sample import labelled
 from .shared import text_bytes
@@ -193,23 +194,27 @@ def features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in tk.slices(batch, "text"):
             counts, x = statistics(part.column("text"))
-            yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(failing(counts)), pa.array(x.tolist(), pa.list_(pa.float64()))], ["y", "failed", "x"])
+            yield pa.RecordBatch.from_arrays([part.column("y"), part.column("grown"), pa.array(failing(counts)), pa.array(x.tolist(), pa.list_(pa.float64()))], ["y", "grown", "failed", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 5000, trees: int = 100, points: int = 256, most_lost: float = 0.002, share: float = 0.05, seed: int = 17) -> Forest:
-    """A forest grown on the sampled rows of label 1 (all, if there are none) and a background, calibrated on the sampled rows that pass the base rules.
+    """A forest grown on half of the sampled rows of label 1 (of all, if there are none) and a background, calibrated on the other half, as far as they pass the base rules.
 
-    per_class: at most so many labelled documents of either label are read for it;
+    A half without rows is stood in for by the whole.  per_class: at most so many labelled documents of either label are read for it;
     their statistics, a few numbers each, are what the driver gets.  Without any
     such row the forest is empty and finds nothing anomalous.
     """
     rows, _ = labelled(docs, labels, "quality", per_class, seed)
-    got = rows.select("y", "text").mapInArrow(tk.lean(features_of), "y int, failed boolean, x array<double>").filter("not failed").collect()
-    got.sort(key=lambda r: (r.y, r.x))
+    half = F.xxhash64(F.lit(seed + 1), F.col("doc_id").cast("string")).bitwiseAND(1) == 0
+    got = rows.select("y", "text", half.alias("grown")).mapInArrow(tk.lean(features_of), "y int, grown boolean, failed boolean, x array<double>").filter("not failed").collect()
+    got.sort(key=lambda r: (r.y, r.grown, r.x))
     if not got:
         return grow(np.zeros((0, 1)))
-    x, y = np.array([r.x for r in got]), np.array([r.y for r in got], int)
-    return calibrated(grow(with_background(x[y == 1] if (y == 1).any() else x, x, share, seed), trees, points, seed), x, y, most_lost)
+    x, y, grown = np.array([r.x for r in got]), np.array([r.y for r in got], int), np.array([r.grown for r in got])
+    good = y == 1 if (y == 1).any() else np.ones(len(y), bool)
+    own = good & grown if (good & grown).any() else good
+    rest = ~grown if (~grown & (y == 1)).any() else np.ones(len(y), bool)
+    return calibrated(grow(with_background(x[own], x[grown] if grown.any() else x, share, seed), trees, points, seed), x[rest], y[rest], most_lost)
 
 
 def judged(docs: DataFrame, forest: Forest, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -219,7 +224,7 @@ def judged(docs: DataFrame, forest: Forest, keep: tuple[str, ...] = ("doc_id",),
     and empty texts fail.  kept: neither base_failed nor anomalous.  Repeated rows
     are judged alike; other columns are not read.
     """
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), text_bytes(text).alias("__text"))
+    rows = spread(docs.select(*(F.col(f"`{c}`") for c in keep), text_bytes(text).alias("__text")))
     names = [*keep, *COUNTS, "base_failed", "anomaly", "kept"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

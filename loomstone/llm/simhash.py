@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
+from ..operators.shared import spread
 from .components import connected
 from .shared import checkpointed, row_key, text_bytes
 from .tokens import U64, combine, lean, runs
@@ -58,7 +59,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """`keep` and fp (long, the fingerprint's 64 bits) of every row; null texts are empty."""
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), text_bytes(text).alias("__text"))
+    rows = spread(docs.select(*(F.col(f"`{c}`") for c in keep), text_bytes(text).alias("__text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

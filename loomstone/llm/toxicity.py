@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.shared import spread
 from . import lm
 from . import tokens as tk
 from .sample import labelled
@@ -150,7 +151,7 @@ def scored(docs: DataFrame, models: Toxicity, keep: tuple[str, ...] = ("doc_id",
     Null and empty texts are scored by their end alone.  Repeated rows get equal
     scores; other columns are not read.
     """
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), text_bytes(text).alias("__text"))
+    rows = spread(docs.select(*(F.col(f"`{c}`") for c in keep), text_bytes(text).alias("__text")))
     names = [*keep, "contrast", "score", "predicted"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,4 +177,4 @@ def kept(docs: DataFrame, models: Toxicity, text: str = "text") -> DataFrame:
                 keep = models.slope * contrast(models, tk.as_bytes(part.column(text))) + flat < 0
                 yield part.filter(pa.array(keep))
 
-    return docs.mapInArrow(tk.lean(run), schema)
+    return spread(docs).mapInArrow(tk.lean(run), schema)

@@ -755,6 +755,31 @@ def plain_counts(t):
     return len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t or ""), dup, len(cover)
 
 
+def test_forest_paths_match_a_plain_walk():
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(300, 3)), 1)
+    forest = quality.grow(x, trees=20, points=64, seed=3)
+    points = np.concatenate([x[:40], [[9.0, -9.0, 0.0], [0.0, 0.0, 0.0]]])
+
+    def depth(t, node, p):
+        f = forest.feature[t, node]
+        if f < 0:
+            return forest.path[t, node]
+        return depth(t, forest.left[t, node] + (p[f] >= forest.split[t, node]), p)
+
+    def norm(n):
+        return 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else float(n == 2)
+
+    want = [2 ** (-sum(depth(t, 0, p) for t in range(20)) / (20 * norm(64))) for p in points]
+    assert forest.scores(points) == pytest.approx(want)
+    assert forest.scores(points)[-2] > np.quantile(forest.scores(x), 0.99)
+    again = quality.grow(x, trees=20, points=64, seed=3)
+    assert (again.scores(points) == forest.scores(points)).all()
+    y = np.r_[np.ones(200, int), np.zeros(100, int)]
+    lost = quality.calibrated(forest, x, y, 0.05)
+    assert (lost.scores(x[:200]) >= lost.threshold).sum() <= 10
+
+
 def test_quality_counts_and_verdicts(spark):
     rng = np.random.default_rng(7)
     good = [(100 + i, " ".join("abcdefghij"[: int(rng.integers(2, 9))] + chr(97 + int(rng.integers(0, 26))) for _ in range(int(rng.integers(20, 200)))), "a") for i in range(300)]
