@@ -44,7 +44,7 @@ ROWS = [
 
 
 def test_words_and_hashes_match_python():
-    texts = [(t or "").encode() for _, t, _ in ROWS] + [b"a" * 3_000_000, b"A b\rC\nd"]
+    texts = [(t or "").encode() for _, t, _ in ROWS] + [b"a" * 3_000_000, b"A b\rC\nd", *(b"abcdefghijklmnopqrstuvwxyz"[:k] for k in range(1, 27)), b"x" * 511, b"x" * 512, b"x" * 520]
     for separators, rx in ((tk.SPACE, rb"[^\x20\x09-\x0D]+"), (tk.NOT_ALNUM, rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")):
         w = tk.words(pa.array(texts, pa.binary()), separators, lower=True)
         got = [[bytes(w.buf[a:b]) for a, b in zip(w.starts[lo:hi], w.ends[lo:hi])] for lo, hi in zip(w.first, w.first[1:])]
