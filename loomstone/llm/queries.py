@@ -98,7 +98,14 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_toxicity": op2_toxicity, "op3_mixing": op3_mixing, "op4_url_filters": op4_url_filters, "op5_decontamination": op5_decontamination, "op6_line_dedup": op6_line_dedup, "op7_simhash_near_dedup": op7_simhash_near_dedup, "op8_license_scan": op8_license_scan, "op9_warc": op9_warc, "op10_quality_rules": op10_quality_rules, "op12_spelling_variants": op12_spelling_variants}
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first phrases of each language of all documents."""
+    from . import phrases
+
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_toxicity": op2_toxicity, "op3_mixing": op3_mixing, "op4_url_filters": op4_url_filters, "op5_decontamination": op5_decontamination, "op6_line_dedup": op6_line_dedup, "op7_simhash_near_dedup": op7_simhash_near_dedup, "op8_license_scan": op8_license_scan, "op9_warc": op9_warc, "op10_quality_rules": op10_quality_rules, "op12_spelling_variants": op12_spelling_variants, "op13_phrase_collocations": op13_phrase_collocations}
 LOWER = "translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -142,4 +149,21 @@ OP9_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(h
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
  FROM p JOIN f ON f.h = p.h"""
 
-SQL: dict[str, str] = {"op4_url_filters": op4_sql(), "op8_license_scan": op8_sql(), "op9_warc": OP9_SQL}
+def op13_sql() -> str:
+    return f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWER.format(t="coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+ w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+ n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+ g AS (SELECT lang, unnest(flatten(list_transform([1, 2, 3, 4], lambda k: list_transform(range(1, greatest(len(w) - k + 2, 1)), lambda i: {{'k': k, 'phrase': array_to_string(w[i:i + k - 1], ' ')}})))) AS g FROM w),
+ c AS (SELECT lang, g.k AS k, g.phrase AS phrase, count(*) AS a, string_split(g.phrase, ' ') AS v FROM g GROUP BY ALL HAVING count(*) >= 30),
+ cuts AS (SELECT lang, k, phrase, a, v, unnest(range(1, k)) AS cut FROM c WHERE k > 1),
+ s AS (SELECT x.lang, x.k, x.phrase, x.a, x.v, x.cut, l.a AS l, r.a AS r, CAST((2000000::HUGEINT * x.a) // (l.a + r.a) AS BIGINT) AS score
+  FROM cuts x JOIN c l ON l.lang = x.lang AND l.phrase = array_to_string(x.v[1:x.cut], ' ') JOIN c r ON r.lang = x.lang AND r.phrase = array_to_string(x.v[x.cut + 1:], ' ')),
+ best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ spots AS (SELECT lang, a, v, k, unnest(flatten(list_transform(range(2, k), lambda m: list_transform(range(1, k - m + 2), lambda i: [i, m])))) AS s FROM best WHERE k > 2),
+ inside AS (SELECT lang, array_to_string(v[s[1]:s[1] + s[2] - 1], ' ') AS phrase, max(a) AS f FROM spots GROUP BY ALL),
+ kept AS (SELECT b.* FROM best b LEFT JOIN inside i USING (lang, phrase) WHERE i.f IS NULL OR 100 * i.f::HUGEINT < 80 * b.a::HUGEINT),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+ SELECT lang, rank, phrase, a, l, r, n.n AS n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
+
+
+SQL: dict[str, str] = {"op4_url_filters": op4_sql(), "op8_license_scan": op8_sql(), "op9_warc": OP9_SQL, "op13_phrase_collocations": op13_sql()}

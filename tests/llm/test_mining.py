@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from loomstone.llm import spelling
+from loomstone.llm import phrases, spelling
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -85,3 +85,76 @@ def test_variants_of_nothing(spark):
 def test_chains_of_forms_are_followed_to_their_end(spark):
     forms = spark.createDataFrame([(k, k + 1 if k < 63 else None) for k in range(64)], "id long, form long")
     assert {(r.id, r.root) for r in spelling.rooted(forms).collect()} == {(k, 63) for k in range(64)}
+
+
+# 13: phrases
+
+
+def plain_collocations(rows, least, top):
+    f, total = defaultdict(Counter), Counter()
+    for _, t, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\n-\r]", low(t)):
+            w = re.findall("[^ \t]+", piece)
+            total[lang] += len(w)
+            for k in range(1, 5):
+                f[lang].update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    out = []
+    for lang, own in f.items():
+        found = {}
+        for p, a in own.items():
+            if len(p) > 1 and a >= least:
+                score, k = min((2000000 * a // (own[p[:k]] + own[p[k:]]), k) for k in range(1, len(p)))
+                found[p] = (score, a, own[p[:k]], own[p[k:]])
+        covered = {q for p in found for n in range(2, len(p)) for i in range(len(p) - n + 1) for q in [p[i : i + n]] if 100 * found[p][1] >= 80 * found[q][1]}
+        best = sorted((-s, -a, " ".join(p).encode(), " ".join(p), l, r) for p, (s, a, l, r) in found.items() if p not in covered)[:top]
+        out += [(lang, i, p, -a, l, r, total[lang], -s) for i, (s, a, _, p, l, r) in enumerate(best, 1)]
+    return sorted(out, key=str)
+
+
+def phrase_rows(seed, n=300):
+    rng = random.Random(seed)
+    vocabulary = ["The", "cat", "sat", "été", "\U0001f600", "a\u00a0b", "x-1", "no", "of", "in"] + [f"w{k}" for k in range(400)]
+    fixed = ["the cat sat on", "new york city hall", "à la carte", "of the"]
+    rows = [(1, None, "en"), (2, "", None), (3, " \t .,;:!?\n\x0b\x0c\r", "en"), (4, "lone", "zz"), (5, "The cat\tsat  on. The cat", "und"), (6, "a b a b a b a b a b " * 2000, "en")]
+    for i in range(n):
+        bits = [rng.choice(fixed) if rng.random() < 0.2 else rng.choice(vocabulary) for _ in range(rng.randint(1, 60))]
+        rows.append((i, "".join(b + rng.choice([" ", " ", "  ", "\t", " \t ", ". ", ",", "\n", "\r\n", "! "]) for b in bits), rng.choice(["en", "en", "en", "de", None])))
+    return rows + rows[:30]
+
+
+PHRASE = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+@pytest.mark.parametrize("least,top,bits", [(3, 50, None), (2, 100000, 16), (5, 7, 21)])
+def test_phrases_match_plain_counts(spark, least, top, bits):
+    rows = phrase_rows(least)
+    got = tuples(phrases.collocations(docs_of(spark, rows, least == 3), least=least, top=top, bits=bits), *PHRASE)
+    want = plain_collocations(rows, least, top)
+    assert got == want and len(want) > 10
+
+
+def test_phrases_of_few_texts(spark):
+    assert phrases.collocations(docs_of(spark, [])).count() == 0
+    assert phrases.collocations(docs_of(spark, [(1, None, None), (2, "one two", "en")])).count() == 0
+
+
+def test_a_wide_sketch_drops_rare_runs_and_a_narrow_one_loses_none(spark):
+    """Runs that reach the exact count: nearly only the frequent ones by a wide sketch, more by a narrow one, every frequent one by both."""
+    rows = phrase_rows(7, 2000)
+    docs = docs_of(spark, rows).repartition(6)
+    reached, real = {}, phrases._surviving
+    for bits in (16, 24):
+        out = phrases.frequencies(docs, least=20, bits=bits)
+        reached[bits] = {(r.lang, r.phrase): r.n for r in out.filter("k > 0").collect()}
+        path = phrases.mounted(phrases.scratch(spark, "x")).rsplit("/", 1)[0]
+    assert reached[16] == reached[24] and len(reached[16]) > 400
+    import glob
+    import os
+
+    narrow, wide = sorted(glob.glob(f"{path}/sketch-*"), key=os.path.getmtime)[-2:]
+    passed = {}
+    for bits, at in ((16, narrow), (24, wide)):
+        rows_ = docs.select(F.coalesce("lang", F.lit("und")).cast("binary").alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+        passed[bits] = rows_.mapInArrow(real(at, bits), phrases.COUNTS).filter("k > 0").select("lang", "phrase").distinct().count()
+    assert len(reached[24]) <= passed[24] <= 1.01 * len(reached[24]) < passed[16]
