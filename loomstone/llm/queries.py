@@ -91,6 +91,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their base spans and those that contexts reveal."""
+    from . import pii
+
+    out = pii.extracted(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    each = [F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]  # noqa: B023
+    return out.select("doc_id", *each, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), (F.size("spans") - F.size(base)).cast("long").alias("n_found"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All words of all documents with their variants."""
     from . import spelling
@@ -105,7 +116,7 @@ def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_toxicity": op2_toxicity, "op3_mixing": op3_mixing, "op4_url_filters": op4_url_filters, "op5_decontamination": op5_decontamination, "op6_line_dedup": op6_line_dedup, "op7_simhash_near_dedup": op7_simhash_near_dedup, "op8_license_scan": op8_license_scan, "op9_warc": op9_warc, "op10_quality_rules": op10_quality_rules, "op12_spelling_variants": op12_spelling_variants, "op13_phrase_collocations": op13_phrase_collocations}
+QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_toxicity": op2_toxicity, "op3_mixing": op3_mixing, "op4_url_filters": op4_url_filters, "op5_decontamination": op5_decontamination, "op6_line_dedup": op6_line_dedup, "op7_simhash_near_dedup": op7_simhash_near_dedup, "op8_license_scan": op8_license_scan, "op9_warc": op9_warc, "op10_quality_rules": op10_quality_rules, "op11_pii": op11_pii, "op12_spelling_variants": op12_spelling_variants, "op13_phrase_collocations": op13_phrase_collocations}
 LOWER = "translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 

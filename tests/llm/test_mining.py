@@ -1,14 +1,16 @@
 """Personal data, spelling variants and phrases against brute-force versions on small hostile tables."""
 
+import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from loomstone.llm import phrases, spelling
+from loomstone.llm import phrases, pii, queries, spelling
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -22,6 +24,105 @@ def docs_of(spark, rows, extra=False):
     return df.withColumns({c: F.lit(1) for c in ("id", "n", "word", "root", "score", "a", "f1", "phrase", "kind", "h")}) if extra else df
 
 
+# 11: personal data
+
+PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def sound(kind, s):
+    d = [int(c) for c in s if c in "0123456789"]
+    if kind == "ip":
+        return all(int(x) <= 255 for x in s.split("."))
+    if kind == "card":
+        return 13 <= len(d) <= 19 and sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(d[::-1])) % 10 == 0
+    return kind == "email" or 9 <= len(d) <= 15
+
+
+def plain_spans(t):
+    return [(k, m.start(), m.end()) for k, rx in PLAIN.items() for m in re.finditer(rx, t or "") if sound(k, m[0])]
+
+
+def private_texts(seed):
+    rng = random.Random(seed)
+    bits = ["a@b.c", "@", ".", "x.y@", "é@b.co", "1.2.3.4", "300.1.1.1", "0001.02.3.255", ".5", "4111 1111 1111 1111", "4111-1111-1111-1112", "+49 (0) 171-555.1234", "+", "-", " ", "\n", "12", "a_b%+", "\U0001f600", "à", "::1", "fe80::1", "(", ")", "+1", "0" * 400, "9 9"]
+    return ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(600)]
+
+
+def test_base_spans_are_those_of_the_plain_patterns():
+    for t in private_texts(1) + ["a@b.c@d.e@f.g", "1.2.3.4.5.6.7.8", "1" * 300 + ".1.1.1"]:
+        raw = t.encode()
+        at = lambda k: len(raw[:k].decode())  # noqa: B023, E731
+        assert [(pii.KINDS[k], at(s), at(e)) for k, s, e in pii.base_spans(raw)] == plain_spans(t), t
+
+
+def test_places_are_apart_from_base_spans_and_one_another():
+    for t in private_texts(2):
+        base = pii.base_spans(t.encode())
+        own = pii.places(t.encode(), base)
+        for i, (_, s, e) in enumerate(own):
+            assert s < e and all(e <= a or s >= b for _, a, b in base + [x for j, x in enumerate(own) if j != i])
+
+
+def test_long_texts_take_time_by_their_length():
+    for t in (b"a" * 2_000_000, b"1" * 2_000_000, b"1." * 1_000_000, b"a@" * 1_000_000, b"+1" * 1_000_000, b"+1" + b" " * 2_000_000, b":" * 2_000_000, b"1 " * 1_000_000, b" (at) " * 300_000, b"a@b." * 500_000):
+        began = time.time()
+        pii.places(t, pii.base_spans(t))
+        assert time.time() - began < 15
+
+
+def private_rows():
+    rng = random.Random(5)
+    noise = lambda n: " ".join(rng.choice("the of and meeting value was is in 12 2024 3456789 plan note".split()) for _ in range(n))
+    rows = [(None, None, None), (1, "", "en"), (2, " \n", "en"), (3, "x" * 100_000 + " a@b.cc", "en")]
+    for k in range(40):
+        rows.append((10 + k, f"{noise(20)} mail me at user{k}@mail{k}.org please {noise(9)}\nphone: +49 171 555 {1000 + k} home {noise(5)} client ip= 10.0.{k}.7, {noise(4)}", "en"))
+    rows += [(60, f"{noise(8)} mail me at jane (at) example (dot) org please {noise(3)}", "en"), (61, f"{noise(4)} phone: 0171-555-8899 home", "en"), (62, "We mail me at john@localhost please", "en"), (63, f"{noise(3)} client ip= fe80::1:2:3, {noise(3)}", "en")]
+    rows += [(70 + k, noise(60), "en") for k in range(40)]
+    return rows + rows[4:8]
+
+
+def revealed(df):
+    return {(r.doc_id, s.kind, s.start, s.end) for r in df.collect() for s in r.spans if not s.base}
+
+
+def test_contexts_reveal_identifiers_that_no_pattern_finds(spark):
+    rows = private_rows()
+    docs = docs_of(spark, rows, True).repartition(5)
+    out = pii.extracted(docs).collect()
+    assert len(out) == len(rows)
+    assert sorted(((r.doc_id, sorted((s.kind, s.start, s.end) for s in r.spans if s.base)) for r in out), key=str) == sorted(((i, sorted(plain_spans(t))) for i, t, _ in rows), key=str)
+    text = {i: t for i, t, _ in rows}
+    got = {(r.doc_id, s.kind, text[r.doc_id][s.start : s.end]) for r in out for s in r.spans if not s.base}
+    assert got == {(60, "email", "jane (at) example (dot) org"), (61, "phone", "0171-555-8899"), (62, "email", "john@localhost"), (63, "ip", "fe80::1:2:3")}
+    shown = {r.doc_id: r.text for r in pii.redacted(docs).collect()}
+    assert "mail me at [email] please" in shown[60] and "phone: [phone]" in shown[61] and shown[1] == "" and shown[None] is None and shown[70] == text[70]
+
+
+def test_new_instances_make_further_patterns(spark):
+    """Numbers found beside a learned context stand beside another, which then reveals more."""
+    rows = [(k, f"call desk +49 171 555 {1000 + k} today", "en") for k in range(9)]
+    rows += [(20 + k, f"call desk 0171 555 {2000 + k} now", "en") for k in range(4)] + [(30 + k, f"reach us 0171 555 {2000 + k} ok", "en") for k in range(4)] + [(40, "reach us 0171 555 7777 ok", "en")]
+    docs = docs_of(spark, rows)
+    assert {i for i, *_ in revealed(pii.extracted(docs, rounds=1))} == {20, 21, 22, 23}
+    assert {i for i, *_ in revealed(pii.extracted(docs, rounds=3))} == {20, 21, 22, 23, 30, 31, 32, 33, 40}
+
+
+def test_private_data_of_nothing(spark):
+    assert pii.extracted(docs_of(spark, [])).count() == 0
+    assert [r.spans for r in pii.extracted(docs_of(spark, [(1, None, None), (1, None, None)])).collect()] == [[], []]
+
+
+def test_private_query(spark):
+    sf = "/root/testdata/sf0.001"
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        own = plain_spans(r.text)
+        digest = ",".join(f"{k}:{s}:{e}" for k, s, e in own)
+        want[r.doc_id] = (*(sum(k == x for k, _, _ in own) for x in pii.KINDS), hashlib.sha256(digest.encode()).hexdigest())
+    got = queries.op11_pii(spark, sf).collect()
+    assert {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in got} == want and len(got) == len(want)
+
+
 # 12: spelling variants
 
 
