@@ -3,15 +3,18 @@
 Texts are lower-cased A-Z and cut into pieces at `[.,;:!?\\x0A-\\x0D]`, pieces into
 words `[^\\x20\\x09]+`.  Everything is counted per language (null: `und`).
 
-Sketch: a first pass hashes the runs of one to four words of each piece; a run has a
-cell in each of two rows of counters.  Tasks count cells in bounded chunks; the
+Sketches: a pass hashes the runs of one and two words of each piece; a run has a
+cell in each of three rows of counters.  Tasks count cells in bounded chunks; the
 counts of a stretch of cells meet in one task, are added up and leave one bit a
 cell: whether it has reached the least frequency.  A cell's sum is never less than
 the frequency of a run in it, so no frequent run is lost whatever the rows' width.
+A second pass sketches in the same way the runs of three and four words all of whose
+pairs survive the first.
 
-Exact counts: a second pass maps the bits into memory and keeps the runs both of
-whose cells have their bit and whose shorter parts survive too.  Those are counted
-in numpy, a bounded number at a time, then by Spark as text.
+Exact counts: a third pass maps the bits into memory and keeps the runs all of
+whose cells have their bit and whose shorter parts survive too.  A task counts those
+by hash, a bounded number at a time, and deals out their texts and counts in blocks
+by the hash; the blocks of a stretch of hashes meet in one task and are added up by text.
 
 The width grows with the text, a cell for some 16 bytes, up to 2 ** MOST_BITS; beyond, the
 sketch lets more runs through to the exact pass, and the result is the same.
@@ -25,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,11 +40,14 @@ from .shared import checkpointed, mounted, scratch, text_bytes
 U64 = tk.U64
 LONGEST = 4
 LEAST, TOP, SCALE, COVERED = 30, 2000, 2_000_000, 80
-ROWS = 2
+ROWS = 3
+#: Numbers of words of the runs in each sketch.
+LEVELS = ((1, 2), (3, 4))
 CELL_BYTES = 16
 LEAST_BITS, MOST_BITS = 16, 36
 SHARD_BITS = 20
 CHUNK = 1 << 22
+MOST_BLOCKS = 12
 SLICE = 2 << 20
 #: Cut a piece, and cut words in a piece.
 PIECE = np.zeros(256, bool)
@@ -73,12 +80,33 @@ def _runs(part: pa.RecordBatch) -> tuple[tk.Words, list[np.ndarray], list[np.nda
 
 
 def _cells(h: np.ndarray, bits: int) -> list[np.ndarray]:
-    """The cell in each row: leading and, mixed anew, other bits."""
+    """The cell in each row: leading bits of the hash and of others made of it."""
     kind = np.uint32 if bits <= 32 else U64
-    return [(h >> U64(64 - bits)).astype(kind), (tk.mix(h + U64(1)) >> U64(64 - bits)).astype(kind)]
+    return [((tk.mix(h + U64(row)) if row else h) >> U64(64 - bits)).astype(kind) for row in range(ROWS)]
 
 
-def _sketching(bits: int, least: int):
+def _bits_of(path: str, level: int) -> list[np.ndarray]:
+    return [mapped_bytes(f"{path}/{level}-{row}") for row in range(ROWS)]
+
+
+def _alive(h: np.ndarray, rows: list[np.ndarray], bits: int) -> np.ndarray:
+    """Whether all cells of a run have their bit."""
+    out = np.ones(len(h), bool)
+    for cells, held in zip(_cells(h, bits), rows):
+        out &= (held[cells >> cells.dtype.type(3)] >> (cells & cells.dtype.type(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
+    return out
+
+
+def _beside(lives: np.ndarray, k: int) -> np.ndarray:
+    """Whether the k runs that begin at a word and those after it all live."""
+    out = lives.copy()
+    for j in range(1, k):
+        out[: len(out) - j] &= lives[j:]
+        out[max(0, len(out) - j) :] = False
+    return out
+
+
+def _sketching(path: str, level: int, bits: int, least: int):
     """For mapInArrow: counts of cells up to `least`, in chunks, cut into shards."""
 
     def dealt(hashes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -98,11 +126,16 @@ def _sketching(bits: int, least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
+        pairs = _bits_of(path, 0) if level else []
         for batch in batches:
             for part in tk.slices(batch, "text", SLICE):
                 _, hashes, whole = _runs(part)
-                held += [h[inside] for h, inside in zip(hashes, whole)]
-                n += sum(map(len, held[-LONGEST:]))
+                if level:
+                    lives = whole[1].copy()
+                    lives[lives] = _alive(hashes[1][lives], pairs, bits)
+                    whole = [inside & _beside(lives, k) if k else inside for k, inside in enumerate(whole)]
+                held += [hashes[k - 1][whole[k - 1]] for k in LEVELS[level]]
+                n += sum(map(len, held[-len(LEVELS[level]) :]))
                 if n >= CHUNK:
                     yield from dealt(held)
                     held, n = [], 0
@@ -112,12 +145,12 @@ def _sketching(bits: int, least: int):
     return run
 
 
-def _merging(path: str, bits: int, least: int):
+def _merging(path: str, level: int, bits: int, least: int):
     """For mapInArrow over rows sorted by shard: adds up each shard's counts, one block at a time, and writes a bit for each cell that has reached `least`.  A task that runs again writes the same bits."""
 
     def write(shard: int, sums: np.ndarray) -> None:
         row, own = shard >> (bits - LEAST_BITS), shard & ((1 << (bits - LEAST_BITS)) - 1)
-        with open(f"{path}/{row}", "r+b") as f:
+        with open(f"{path}/{level}-{row}", "r+b") as f:
             f.seek(own << (SHARD_BITS - 3))
             f.write(np.packbits(sums >= least, bitorder="little")[: 1 << (bits - 3)].tobytes())
 
@@ -140,25 +173,66 @@ def _merging(path: str, bits: int, least: int):
     return run
 
 
-def _surviving(path: str, bits: int):
-    """For mapInArrow: counts of the runs that survive the sketch, and of all words of a language (k = 0)."""
+RUNS = pa.schema([("lang", pa.binary()), ("phrase", pa.binary()), ("k", pa.int32()), ("n", pa.int64())])
+
+
+def _sealed(runs: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, RUNS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(runs)
+    return out.getvalue().to_pybytes()
+
+
+def _added(parts: list[pa.Table]) -> pa.Table:
+    """Equal runs of tables added up."""
+    sums = pa.concat_tables(parts).combine_chunks().group_by(["lang", "phrase", "k"], use_threads=False).aggregate([("n", "sum")])
+    return sums.rename_columns({"n_sum": "n"}).select(RUNS.names)
+
 
-    def alive(h: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-        out = np.ones(len(h), bool)
-        for cells, held in zip(_cells(h, bits), rows):
-            out &= (held[cells >> cells.dtype.type(3)] >> (cells & cells.dtype.type(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
-        return out
+def _adding(least: int):
+    """For mapInArrow over blocks sorted by shard: runs with at least `least` occurrences, and numbers of words (k = 0).  Blocks are added up as soon as they hold CHUNK // 4 runs."""
+
+    def done(parts: list[pa.Table]) -> list[pa.RecordBatch]:
+        out = _added(parts)
+        return out.filter((pc.field("k") == 0) | (pc.field("n") >= least)).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, size = None, [RUNS.empty_table()], 0
+        for b in batches:
+            for shard, payload in zip(*(c.to_pylist() for c in b.columns)):
+                if shard != now:
+                    yield from done(parts)
+                    now, parts, size = shard, [RUNS.empty_table()], 0
+                parts.append(pa.ipc.open_stream(payload).read_all())
+                size += parts[-1].num_rows
+                if size >= CHUNK // 4:
+                    parts, size = [_added(parts)], 0
+        yield from done(parts)
+
+    return run
+
+
+def _surviving(path: str, bits: int):
+    """For mapInArrow: blocks of the runs that survive the sketches, and of all words of a language (k = 0), with their counts."""
+    inner = min(MOST_BLOCKS, max(0, bits - SHARD_BITS + 2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [mapped_bytes(f"{path}/{r}") for r in range(ROWS)]
+        rows = [held for level, ks in enumerate(LEVELS) for held in [_bits_of(path, level)] * len(ks)]
         known, counts = np.zeros(0, U64), np.zeros(0, np.int64)
         texts: list[pa.RecordBatch] = []  # of the known runs, in the order of `seen`
         seen: list[np.ndarray] = []
+        totals = RUNS.empty_table()
 
         def flushed() -> Iterator[pa.RecordBatch]:
             nonlocal known, counts, texts, seen
-            for h, b in zip(seen, texts):
-                yield b.append_column("n", pa.array(counts[np.searchsorted(known, h)]))
+            if seen:
+                h = np.concatenate(seen)
+                runs = pa.Table.from_batches(texts).append_column("n", pa.array(counts[np.searchsorted(known, h)])).combine_chunks()
+                shard = (h >> U64(64 - inner)).astype(np.int64) if inner else np.zeros(len(h), np.int64)
+                by = np.argsort(shard, kind="stable")
+                runs, cuts = runs.take(pa.array(by)), tk.runs(shard[by])
+                ends = [*cuts[1:].tolist(), len(by)]
+                yield pa.RecordBatch.from_arrays([pa.array(shard[by][cuts]), pa.array([_sealed(runs.slice(lo, hi - lo)) for lo, hi in zip(cuts.tolist(), ends)], pa.binary())], ["shard", "payload"])
             known, counts, texts, seen = np.zeros(0, U64), np.zeros(0, np.int64), [], []
 
         for batch in batches:
@@ -175,7 +249,7 @@ def _surviving(path: str, bits: int):
                     if k > 1:
                         here[:-1] &= lives[:-1] & lives[1:]
                     where = np.flatnonzero(here)
-                    where = where[alive(h[where], rows)]
+                    where = where[_alive(h[where], rows[k - 1], bits)]
                     lives = np.zeros(len(h), bool)
                     lives[where] = True
                     own, first, n = np.unique(h[where], return_index=True, return_counts=True)
@@ -190,10 +264,11 @@ def _surviving(path: str, bits: int):
                         merged = np.concatenate([known, own[fresh]])
                         by = np.argsort(merged, kind="stable")
                         known, counts = merged[by], np.concatenate([counts, n[fresh]])[by]
-                yield _totals(part, w)
+                totals = _added([totals, _totals(part, w)])
                 if len(known) >= CHUNK // 4:
                     yield from flushed()
         yield from flushed()
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([_sealed(totals)], pa.binary())], ["shard", "payload"])
 
     return run
 
@@ -207,11 +282,11 @@ def _cut(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
-def _totals(part: pa.RecordBatch, w: tk.Words) -> pa.RecordBatch:
+def _totals(part: pa.RecordBatch, w: tk.Words) -> pa.Table:
     """Numbers of words by language."""
     langs = part.column("lang").dictionary_encode()
     n = np.bincount(langs.indices.to_numpy(zero_copy_only=False), w.counts, len(langs.dictionary)).astype(np.int64)
-    return pa.RecordBatch.from_arrays([langs.dictionary, pa.array([b""] * len(n), pa.binary()), pa.array(np.zeros(len(n), np.int32)), pa.array(n)], ["lang", "phrase", "k", "n"])
+    return pa.table([langs.dictionary, pa.array([b""] * len(n), pa.binary()), pa.array(np.zeros(len(n), np.int32)), pa.array(n)], schema=RUNS)
 
 
 def frequencies(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, bits: int | None = None) -> DataFrame:
@@ -225,13 +300,14 @@ def frequencies(docs: DataFrame, text: str = "text", lang: str = "lang", least:
         bits = min(MOST_BITS, max(LEAST_BITS, (size // CELL_BYTES).bit_length()))
     path = mounted(scratch(docs.sparkSession, "sketch"))
     os.makedirs(path)
-    for r in range(ROWS):  # sparse: cells that nothing is in
-        with open(f"{path}/{r}", "wb") as f:
-            f.truncate(1 << (bits - 3))
-    blocks = rows.mapInArrow(tk.lean(_sketching(bits, least)), BLOCK)
-    blocks.repartition(F.col("shard")).sortWithinPartitions("shard").mapInArrow(tk.lean(_merging(path, bits, least)), "shards long").agg(F.sum("shards")).collect()
-    counted = rows.mapInArrow(tk.lean(_surviving(path, bits)), COUNTS).groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"))
-    return checkpointed(counted.filter((F.col("k") == 0) | (F.col("n") >= least)).select(F.col("lang").cast("string").alias("lang"), F.col("phrase").cast("string").alias("phrase"), "k", "n"))
+    for level in range(len(LEVELS)):
+        for r in range(ROWS):  # sparse: cells that nothing is in
+            with open(f"{path}/{level}-{r}", "wb") as f:
+                f.truncate(1 << (bits - 3))
+        blocks = rows.mapInArrow(tk.lean(_sketching(path, level, bits, least)), BLOCK)
+        blocks.repartition(F.col("shard")).sortWithinPartitions("shard").mapInArrow(tk.lean(_merging(path, level, bits, least)), "shards long").agg(F.sum("shards")).collect()
+    blocks = rows.mapInArrow(tk.lean(_surviving(path, bits)), BLOCK).repartition(F.col("shard")).sortWithinPartitions("shard")
+    return checkpointed(blocks.mapInArrow(tk.lean(_adding(least)), COUNTS).select(F.col("lang").cast("string").alias("lang"), F.col("phrase").cast("string").alias("phrase"), "k", "n"))
 
 
 def _words(phrase: Column, first: Column, number: Column) -> Column:
