@@ -135,3 +135,19 @@ def injected(segments: DataFrame, id: str, memory: int) -> DataFrame:
     carried = F.flatten(F.collect_list(ends).over(w.rowsBetween(-memory, -1)))  # a segment has a token at least
     last = F.slice(carried, F.greatest(F.size(carried) - memory + 1, F.lit(1)), F.lit(memory))
     return segments.withColumn("input", F.concat(last, F.col("tokens")))
+
+
+def curriculum(rows: DataFrame, length: str, stages: int = 5, first: int = 512, segment: int = 512, most: int = 2048, rates: tuple[float, float] = (1e-4, 1e-5)) -> DataFrame:
+    """(stage, length, segment, rate, n): lengths that grow from `first` to the longest row's by one factor, segments that double every other stage, a rate that falls evenly; n rows are first trained on in that stage.
+
+    Rows find their stage by the lengths, which are a literal array: one pass for the longest, one for the counts.
+    """
+    longest = max(first, rows.agg(F.max(length)).first()[0] or 0)
+    steps = max(1, stages - 1)
+    lengths = [int(first * (longest / first) ** (i / steps) + 1e-6) for i in range(stages)]
+    at = F.size(F.filter(F.array(*map(F.lit, lengths)), lambda x: x < F.col(length)))
+    counts = rows.filter(F.col(length).isNotNull()).groupBy(at.cast("long").alias("stage")).agg(F.count("*").alias("n"))
+    plan = rows.sparkSession.range(stages).select(F.col("id").alias("stage"), F.element_at(F.array(*map(F.lit, lengths)), (F.col("id") + 1).cast("int")).cast("long").alias("length"))
+    i = F.col("stage")
+    plan = plan.withColumns({"segment": F.least(segment * F.pow(F.lit(2), F.floor(i / 2)).cast("int"), F.lit(most)), "rate": F.round(rates[0] * (1 - i / steps) + rates[1] * (i / steps), 9)})
+    return plan.join(F.broadcast(counts), "stage", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import tables, upkeep
 from ..operators.shared import folder
-from ..streaming import cascade, changes
+from ..streaming import bus, cascade, changes, expiry
 from . import views as V
 
 QUERIES: dict = {}
@@ -53,6 +53,65 @@ def st06(s, d):
     return s.read.json(f"{at}/topics/batch=*/session_id=4").select("id", "content")
 
 
+def _events(spark: SparkSession, d: str, part: int) -> DataFrame:
+    """Half of the turns as a stream of events, a user's as conversation, others as output."""
+    path = f"{d}/conversations.parquet"
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{d}/conversations.parque[t]").filter(F.col("turn") % 2 == part)
+    own = rows.select(F.col("conv_id").alias("session_id"), F.concat_ws(":", "conv_id", "turn").alias("id"), F.col("text").alias("content"), "role")
+    return bus.captured(own, "output", "agent").withColumn("event_type", F.when(F.split_part("id", F.lit(":"), F.lit(2)).cast("int") % 2 == 0, "conversation").otherwise("output"))
+
+
+def _log(spark: SparkSession, d: str, part: int, at: str) -> None:
+    bus.published(_events(spark, d, part), f"{at}/log", f"publisher {part}", f"{at}/publisher-{part}").awaitTermination()
+
+
+@add("st06_subscriptions", f"SELECT subscriber, id, content FROM ({V.MEMORIES}), (VALUES ('early'), ('late')) s(subscriber) WHERE session_id = 4")
+def st06_subscriptions(s, d):
+    """Two subscribers of a session: one is there before the second half is published and starts again after it, one comes late."""
+    at = folder(s, "bus")
+
+    def listen(who: str) -> None:
+        handler = lambda rows, n: rows.write.mode("overwrite").parquet(f"{at}/seen/subscriber={who}/batch={n}")
+        bus.subscribed(s, f"{at}/log", "4", {None: [handler]}, f"{at}/{who}").awaitTermination()
+
+    _log(s, d, 0, at)
+    listen("early")
+    _log(s, d, 1, at)
+    for who in ("early", "late", "early", "late"):
+        listen(who)
+    return s.read.parquet(f"{at}/seen").select("subscriber", "id", "content")
+
+
+@add("rm25_watch_queue", f"SELECT session_id::VARCHAR AS session_id, CASE WHEN nth % 2 = 0 THEN 'conversation' ELSE 'output' END AS event_type, count(*) AS n, min(content) AS least FROM ({V.MEMORIES}) GROUP BY ALL")
+def rm25_watch(s, d):
+    """What a watcher of all sessions finds in its queue, by session and type."""
+    at = folder(s, "watch")
+    for part in (0, 1):
+        _log(s, d, part, at)
+        bus.watched(s, f"{at}/log", None, f"{at}/queue", f"{at}/watcher").awaitTermination()
+    return s.read.parquet(f"{at}/queue").groupBy("session_id", "event_type").agg(F.count("*").alias("n"), F.min("content").alias("least"))
+
+
+@add(
+    "st12_expiry_timers",
+    """WITH c AS (SELECT event_id, user_id, ts, CASE WHEN event_type = 'purchase' THEN 120 ELSE 300 END AS most, event_type = 'purchase' AS auto, CASE WHEN event_id % 3 = 0 THEN user_id % 600 END AS wait FROM events WHERE event_type IN ('error', 'purchase')),
+ w AS (SELECT epoch_us(max(ts + to_seconds(coalesce(wait, 0)))) - 600000000 AS mark FROM c)
+ SELECT event_id::VARCHAR AS id, user_id::VARCHAR AS session_id, CASE WHEN wait <= most THEN 'rejected' WHEN auto THEN 'approved' ELSE 'expired' END AS status, CASE WHEN wait <= most THEN 'ann' ELSE 'system' END AS who, epoch_us(ts) + least(coalesce(wait, most), most) * 1000000 AS micros
+ FROM c, w WHERE wait IS NOT NULL OR epoch_us(ts) + most * 1000000 < mark""",
+)
+def st12_timers(s, d):
+    """Errors and purchases wait for people; every third is resolved after user_id % 600 seconds, purchases approve themselves after 120, what is left expires after 300."""
+    at = folder(s, "interventions")
+    e = V.table(s, d, "events").filter("event_type in ('error', 'purchase')").select(F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("session_id"), F.col("ts").cast("timestamp").alias("at"), (F.col("user_id") % 600).alias("wait"), (F.col("event_id") % 3 == 0).alias("seen"), F.when(F.col("event_type") == "purchase", 120.0).alias("auto_approve_after"))
+    none = F.lit(None).cast("string")
+    made = e.select("id", "session_id", F.lit("created").alias("what"), "at", none.alias("status"), none.alias("by"), "auto_approve_after")
+    done = e.filter("seen").select("id", "session_id", F.lit("resolved").alias("what"), (F.col("at") + F.make_interval(secs=F.col("wait"))).alias("at"), F.lit("rejected").alias("status"), F.lit("ann").alias("by"), F.lit(None).cast("double").alias("auto_approve_after"))
+    made.union(done).write.parquet(f"{at}/events")
+    out = expiry.outcomes(s.readStream.schema(expiry.EVENT).parquet(f"{at}/events"), "10 minutes")
+    out.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(expiry.OUT).parquet(f"{at}/rows").select("id", "session_id", "status", F.col("by").alias("who"), F.unix_micros("at").alias("micros"))
+
+
 @add("snk05_snapshot", f"SELECT id, memory_type FROM ({V.ENTRIES}) WHERE id % 2 = 0")
 def snk05(s, d):
     at = folder(s, "snapshot")
@@ -100,12 +159,12 @@ def st10(s, d):
 
 @add("st11_consolidation_trigger", "SELECT unnest(range(1, count(*) // 100 + 1)) AS hundreds FROM events")
 def st11(s, d):
-    """The numbers of adds, in hundreds, at which consolidation runs: batches of the stream hold fewer than 100 rows."""
-    at, seen = folder(s, "adds"), []
+    """The numbers of adds, in hundreds, for which consolidation has run: each run writes its own."""
+    at = folder(s, "adds")
     rows = V.table(s, d, "events").select("event_id")
     n = rows.count()
     rows.repartition(max(1, n // 60 + 1)).write.parquet(f"{at}/rows")
     stream = s.readStream.schema("event_id long").option("maxFilesPerTrigger", max(1, n // 60 // 12)).parquet(f"{at}/rows")
-    changes.consolidating(stream, f"{at}/state", f"{at}/checkpoint", lambda k: seen.append(k)).awaitTermination()
-    last = max(seen, default=0)
-    return s.range(1, last + 1).select(F.col("id").alias("hundreds"))
+    run = lambda k: s.range(k, k + 1).withColumnRenamed("id", "hundreds").coalesce(1).write.mode("overwrite").parquet(f"{at}/runs/run={k}")
+    changes.consolidating(stream, f"{at}/state", f"{at}/checkpoint", run).awaitTermination()
+    return s.read.schema("hundreds long").parquet(f"{at}/runs/*")

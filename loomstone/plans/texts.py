@@ -222,11 +222,9 @@ def win12(s, d):
     return windows.joined_segments(windows.segments(_tokens(s, d), "doc_id", "tokens", 16, 4), "doc_id", 4).select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
 
-@add("sc08_curriculum", "SELECT i AS stage, CAST(floor(512 * pow(8.0, i) + 1e-9) AS BIGINT) AS length, least(512 * CAST(pow(2, i // 2) AS INT), 2048) AS segment, round(1e-4 * (1 - i / 4.0::DOUBLE) + 1e-5 * (i / 4.0::DOUBLE), 9)::DOUBLE AS rate FROM (SELECT unnest(range(0, 5)) AS i)")
+@add("sc08_curriculum", "WITH m AS (SELECT greatest(max(n_chars), 512) AS longest FROM documents), s AS (SELECT i AS stage, CAST(floor(512 * pow(longest / 512::DOUBLE, i / 4::DOUBLE) + 1e-6) AS BIGINT) AS length, least(512 * CAST(pow(2, i // 2) AS INT), 2048) AS segment, round(1e-4 * (1 - i / 4.0::DOUBLE) + 1e-5 * (i / 4.0::DOUBLE), 9)::DOUBLE AS rate FROM m, (SELECT unnest(range(0, 5)) AS i)), b AS (SELECT *, coalesce(lag(length) OVER (ORDER BY stage), -1) AS below FROM s) SELECT stage, length, segment, rate, count(n_chars) AS n FROM b LEFT JOIN documents ON n_chars > below AND n_chars <= length GROUP BY ALL")
 def sc08(s, d):
-    i = F.col("stage")
-    length = F.floor(512 * F.pow(F.lit((2097152 / 512) ** 0.25), i) + 1e-9)
-    return s.range(5).select(F.col("id").alias("stage")).select("stage", length.alias("length"), F.least(512 * F.pow(F.lit(2), F.floor(i / 2)).cast("int"), F.lit(2048)).alias("segment"), F.round(1e-4 * (1 - i / 4) + 1e-5 * (i / 4), 9).alias("rate"))
+    return windows.curriculum(V.table(s, d, "documents"), "n_chars", 5)
 
 
 @add("sc09_adaptive_segment", "SELECT doc_id, CAST(CASE WHEN n_chars < 2048 THEN 512 WHEN n_chars < 8192 THEN 1024 WHEN n_chars < 32768 THEN 1536 ELSE 2048 END AS INT) AS size FROM documents")

@@ -83,7 +83,12 @@ def every(spark: SparkSession, job: Callable[[int], None], minutes: float = 60.0
 
 
 def consolidating(stream: DataFrame, state: str, checkpoint: str, job: Callable[[int], None], adds: int = 100) -> StreamingQuery:
-    """Counts added rows over batches in snapshots below `state`, and runs `job` with the number of full hundreds (`adds`) whenever a batch completes one; a batch that runs again counts once."""
+    """Counts added rows over batches in snapshots below `state`, and runs `job` for every full hundred (`adds`) that a batch completes, with its number.
+
+    A batch that runs again counts once.  State is written after the jobs, so jobs of
+    a batch that was cut off run again with the same numbers: what a job writes
+    below its number is there once.
+    """
     spark = stream.sparkSession
 
     def batch(rows: DataFrame, number: int) -> None:
@@ -92,8 +97,8 @@ def consolidating(stream: DataFrame, state: str, checkpoint: str, job: Callable[
             return
         before = held.total if held is not None else 0
         total = before + rows.count()
-        if total // adds > before // adds:
-            job(total // adds)
+        for number_of in range(before // adds + 1, total // adds + 1):
+            job(number_of)
         tables.write_snapshot(spark.createDataFrame([(number, total)], "batch long, total long"), state)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
