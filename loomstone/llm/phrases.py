@@ -46,9 +46,9 @@ LEVELS = ((1, 2), (3, 4))
 CELL_BYTES = 16
 LEAST_BITS, MOST_BITS = 16, 36
 SHARD_BITS = 20
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 MOST_BLOCKS = 12
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Cut a piece, and cut words in a piece.
 PIECE = np.zeros(256, bool)
 PIECE[[*b".,;:!?\n\v\f\r"]] = True
@@ -190,7 +190,7 @@ def _added(parts: list[pa.Table]) -> pa.Table:
 
 
 def _adding(least: int):
-    """For mapInArrow over blocks sorted by shard: runs with at least `least` occurrences, and numbers of words (k = 0).  Blocks are added up as soon as they hold CHUNK // 4 runs."""
+    """For mapInArrow over blocks sorted by shard: runs with at least `least` occurrences, and numbers of words (k = 0).  Blocks are added up as soon as they hold CHUNK // 2 runs."""
 
     def done(parts: list[pa.Table]) -> list[pa.RecordBatch]:
         out = _added(parts)
@@ -205,7 +205,7 @@ def _adding(least: int):
                     now, parts, size = shard, [RUNS.empty_table()], 0
                 parts.append(pa.ipc.open_stream(payload).read_all())
                 size += parts[-1].num_rows
-                if size >= CHUNK // 4:
+                if size >= CHUNK // 2:
                     parts, size = [_added(parts)], 0
         yield from done(parts)
 
@@ -265,7 +265,7 @@ def _surviving(path: str, bits: int):
                         by = np.argsort(merged, kind="stable")
                         known, counts = merged[by], np.concatenate([counts, n[fresh]])[by]
                 totals = _added([totals, _totals(part, w)])
-                if len(known) >= CHUNK // 4:
+                if len(known) >= CHUNK // 2:
                     yield from flushed()
         yield from flushed()
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([_sealed(totals)], pa.binary())], ["shard", "payload"])
@@ -346,7 +346,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     are no rows; other columns are not read.
     """
     counts = frequencies(docs, text, lang, least, bits)
-    found = checkpointed(kept(checkpointed(scored(counts))))
+    found = kept(checkpointed(scored(counts)))
     order = [F.desc("score"), F.desc("a"), F.col("phrase")]
     nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     some = found.withColumn("__part", F.pmod(F.xxhash64("phrase"), F.lit(64))).withColumn("__nth", nth("lang", "__part")).filter(F.col("__nth") <= top)
