@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import search, sessions, tables, windows
-from ..operators.shared import held
+from ..operators import postings, search, sessions, tables, vectors, windows
+from ..operators.shared import folder, held
 from . import views as V
 
 QUERIES: dict = {}
@@ -65,6 +65,32 @@ def join09(s, d):
     return search.knn_batch(_vectors(s, d), q).select("query_id", "id", _r("distance"), F.col("rank").cast("long").alias("rank"))
 
 
+def _index(s, d):
+    return vectors.build(_vectors(s, d), folder(s, "ivf"))
+
+
+def _asked(s, d):
+    return _vectors(s, d).filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+
+
+@add("top01_index_exact", SQL["join09_knn_batch"].replace("rank <= 5", "rank <= 10"))
+def top01_index(s, d):
+    """Through the index: cells that can't hold one of the nearest aren't read."""
+    return vectors.search(s, _index(s, d), _asked(s, d), 10).select("query_id", "id", _r("distance"), F.col("rank").cast("long").alias("rank"))
+
+
+@add("flt03_index_filtered", SQL["join09_knn_batch"].replace("FROM embeddings e, q)", "FROM embeddings e, q WHERE e.label IN (0, 1, 2))"))
+def flt03_index(s, d):
+    return vectors.search(s, _index(s, d), _asked(s, d), 5, where=F.col("label").isin(0, 1, 2)).select("query_id", "id", _r("distance"), F.col("rank").cast("long").alias("rank"))
+
+
+@add("top01_index_recall", "SELECT count(*) AS queries, true AS reached FROM embeddings WHERE vec_id % 20 = 0")
+def top01_recall(s, d):
+    """Whether the fewest probed cells that measuring finds reach a recall of 0.9 against exact search."""
+    _, share = vectors.tuned(s, _index(s, d), _asked(s, d), 10)
+    return _asked(s, d).agg(F.count("*").alias("queries"), F.lit(share >= 0.9).alias("reached"))
+
+
 @add("flt02_session_scan", f"SELECT id, content, memory_type FROM ({V.MEMORIES}) WHERE session_id = 3 AND memory_type = 'user' ORDER BY id LIMIT 100")
 def flt02(s, d):
     return V.memories(s, d).filter(tables.condition_on("session_id", 3) & tables.condition_on("memory_type", "user")).orderBy("id").limit(100).select("id", "content", "memory_type")
@@ -150,6 +176,16 @@ def top08(s, d):
     return search.overlap_search(V.memories(s, d), "The in OF that", 10).select("id", "overlap")
 
 
+HITS_OF = f"len(list_intersect({WORDS}, {WORDS.replace('content', 'query')}))"
+
+
+@add("top08_overlap_batch", f"WITH q AS (SELECT item_id AS query_id, text AS query FROM benchmark), m AS (SELECT query_id, id, CAST({HITS_OF} AS INT) AS overlap FROM ({V.MEMORIES}), q) SELECT query_id, id, overlap, row_number() OVER (PARTITION BY query_id ORDER BY m.overlap DESC, id) AS rank FROM m WHERE m.overlap > 0 QUALIFY rank <= 10")
+def top08_batch(s, d):
+    """Every benchmark text as a query over all turns, by posting lists."""
+    q = V.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return postings.overlap_batch(s, postings.build(V.memories(s, d), folder(s, "postings")), q).select("query_id", "id", "overlap", F.col("rank").cast("long").alias("rank"))
+
+
 @add("top10_token_budget", f"SELECT id, session_id, CAST(sum(length(content) // 4) OVER (PARTITION BY session_id ORDER BY nth ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM ({V.MEMORIES}) QUALIFY upto <= 400")
 def top10(s, d):
     return windows.within_budget(V.memories(s, d), "session_id", F.floor(F.length("content") / 4), 400, F.col("nth")).select("id", "session_id", "upto")
