@@ -1,10 +1,17 @@
-"""Task graphs.  tasks: (task, role, state); deps: (task, dep).  Chains and cycles are followed step by step, paths by recursive common table expressions."""
+"""Task graphs.  tasks: (task, role, state); deps: (task, dep).
+
+Chains of tasks with one dependency and one dependent are contracted by pointer
+doubling, so a long chain takes rounds by its logarithm; what is left is walked by
+frontiers, in which every task and dependency counts once.  Cycles are found as strongly
+connected components.  Rounds write their rows to the shared folder; the driver sees a
+number or two of each.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import held
@@ -30,23 +37,144 @@ def closure(deps: DataFrame) -> DataFrame:
             steps = [held(reduce(DataFrame.union, steps))]
 
 
+def _chains(edge: DataFrame) -> DataFrame | None:
+    """(task, next, dist): tasks with one dependency and one dependent, with the first task below that isn't such and the steps to it; None if there are none.  A cycle of such tasks is an error."""
+    one = edge.groupBy("task").agg(F.count("*").alias("n"), F.min("dep").alias("next")).filter("n = 1")
+    link = held(one.join(edge.groupBy(F.col("dep").alias("task")).agg(F.count("*").alias("m")).filter("m = 1"), "task").select("task", "next", F.lit(1).cast("long").alias("dist")))
+    n, rounds = link.count(), 0
+    while n:
+        ahead = link.select(F.col("task").alias("next"), F.col("next").alias("further"), F.col("dist").alias("more"))
+        moved = held(link.join(ahead, "next", "left").select("task", F.coalesce("further", "next").alias("next"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"), F.col("further").isNotNull().alias("moved")))
+        link, rounds = moved.select("task", "next", "dist"), rounds + 1
+        if not moved.agg(F.max("moved")).first()[0]:
+            return link
+        if 2 ** (rounds - 1) > n:
+            raise ValueError("the tasks depend on one another in a cycle")
+    return None
+
+
 def levels(tasks: DataFrame, deps: DataFrame) -> DataFrame:
-    """(task, level): the longest chain of known dependencies below a task.  A step per level, each with a task once at most; cycles are an error."""
-    known = held(deps.join(tasks.select(F.col("task").alias("dep")).distinct(), "dep").select("task", "dep").distinct())
-    now = tasks.select("task").distinct()
-    limit = now.count()
-    steps = [now.withColumn("level", F.lit(0))]
+    """(task, level): the longest chain of known dependencies below a task; cycles are an error.
+
+    Rounds grow with the depth of the graph once its chains are contracted, and with the
+    logarithm of the longest of these.
+    """
+    names = tasks.select("task").distinct()
+    edge = held(deps.join(names.select(F.col("task").alias("dep")), "dep").select("task", "dep").distinct())
+    nodes = names.union(edge.select("task")).distinct()
+    link = _chains(edge)
+    hubs, steps = nodes, edge.select("task", F.col("dep").alias("to"), F.lit(1).cast("long").alias("w"))
+    if link is not None:
+        hubs = nodes.join(link, "task", "left_anti")
+        beyond = link.select(F.col("task").alias("to"), "next", "dist")
+        steps = steps.join(link, "task", "left_anti").join(beyond, "to", "left").select("task", F.coalesce("next", "to").alias("to"), (F.col("w") + F.coalesce("dist", F.lit(0))).alias("w"))
+    steps = held(steps.groupBy("task", "to").agg(F.max("w").alias("w")))
+    need = held(hubs.join(steps.groupBy("task").agg(F.count("*").alias("need")), "task", "left").select("task", F.coalesce("need", F.lit(0)).alias("need")))
+    front = need.filter("need = 0").select("task", F.lit(0).cast("long").alias("level"))
+    done, waiting = [front], None
     while True:
-        now = held(known.join(now.select(F.col("task").alias("dep")), "dep").select("task").distinct())
-        if now.isEmpty():
-            return reduce(DataFrame.union, steps).groupBy("task").agg(F.max("level").alias("level"))
-        if len(steps) > limit:
-            raise ValueError("the tasks depend on one another in a cycle")
-        steps.append(now.withColumn("level", F.lit(len(steps))))
+        told = steps.join(front.select(F.col("task").alias("to"), "level"), "to").groupBy("task").agg(F.count("*").alias("got"), F.max(F.col("level") + F.col("w")).alias("level"))
+        if waiting is not None:
+            told = waiting.union(told).groupBy("task").agg(F.sum("got").alias("got"), F.max("level").alias("level"))
+        now = held(told.join(need, "task").select("task", "got", "level", (F.col("got") == F.col("need")).alias("full")))
+        front, waiting = now.filter("full").select("task", "level"), now.filter("not full").select("task", "got", "level")
+        if front.isEmpty():
+            break
+        done.append(front)
+    known = held(reduce(DataFrame.union, done))
+    if known.count() < need.count():
+        raise ValueError("the tasks depend on one another in a cycle")
+    if link is not None:
+        known = known.union(link.join(known.select(F.col("task").alias("next"), "level"), "next").select("task", (F.col("level") + F.col("dist")).alias("level")))
+    return known.select("task", F.col("level").cast("int").alias("level"))
+
+
+def _trimmed(edge: DataFrame, rounds: int = 3) -> DataFrame:
+    """Edges without some of those that begin or end at a task that nothing leads to or from: no cycle has them."""
+    for _ in range(rounds):
+        edge = edge.join(edge.select(F.col("dep").alias("task")).distinct(), "task", "left_semi")
+        edge = held(edge.join(edge.select(F.col("task").alias("dep")).distinct(), "dep", "left_semi").select("task", "dep"))
+    return edge
+
+
+def _spread_least(edge: DataFrame, colour: DataFrame) -> DataFrame:
+    """(task, colour): the least colour of all tasks that a task is reached from, its own included; only colours that fell are passed on."""
+    fresh = colour
+    while True:
+        told = edge.join(fresh, "task").select(F.col("dep").alias("task"), "colour").groupBy("task").agg(F.min("colour").alias("told"))
+        both = held(colour.join(told, "task", "left").select("task", F.least("colour", F.coalesce("told", "colour")).alias("colour"), (F.col("told") < F.col("colour")).alias("fell")))
+        colour, fresh = both.select("task", "colour"), both.filter("fell").select("task", "colour")
+        if fresh.isEmpty():
+            return colour
+
+
+def components(deps: DataFrame) -> DataFrame:
+    """(task, component): strongly connected tasks, those that lie on cycles, with the least task of their component.
+
+    Forward and backward colouring: every task takes the least task that reaches it;
+    those of one colour that also reach its task, walked backwards within the colour,
+    are a component.  The rest goes round again, and every colour yields a component a
+    round.  Tasks on no cycle have no row.
+    """
+    edge = held(deps.select("task", "dep").filter("task is not null and dep is not null").distinct())
+    found = [edge.filter("task = dep").select("task", F.col("task").alias("component"))]
+    edge = edge.filter("task <> dep")
+    while True:
+        edge = _trimmed(edge)
+        if edge.isEmpty():
+            break
+        nodes = edge.select("task").union(edge.select("dep")).distinct()
+        colour = held(_spread_least(edge, nodes.withColumn("colour", F.col("task"))))
+        inside = edge.join(colour, "task").join(colour.select(F.col("task").alias("dep"), F.col("colour").alias("other")), "dep").filter("colour = other")
+        back = held(inside.select(F.col("dep").alias("task"), F.col("task").alias("dep")))
+        reached = held(colour.filter("task = colour").select("task"))
+        fresh = reached
+        while True:
+            more = held(back.join(fresh, "task").select(F.col("dep").alias("task")).distinct().join(reached, "task", "left_anti"))
+            if more.isEmpty():
+                break
+            reached, fresh = held(reached.union(more)), more
+        own = held(colour.join(reached, "task").select("task", F.col("colour").alias("component")))
+        size = own.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component")
+        found.append(held(own.join(size, "component").select("task", "component")))
+        edge = held(edge.join(own.select("task"), "task", "left_anti").join(own.select(F.col("task").alias("dep")), "dep", "left_anti").select("task", "dep"))
+    return reduce(DataFrame.union, found).groupBy("task").agg(F.min("component").alias("component"))
+
+
+def shortest_cycles(deps: DataFrame) -> DataFrame:
+    """(component, path): a shortest cycle through each component's least task, in the order of its tasks; of several the least by its tasks from the end.
+
+    A search by breadth from all components at once: a task is reached once, by the least
+    task of the step before, so paths are no longer than the component and never multiply.
+    """
+    own = held(components(deps))
+    edge = deps.select("task", "dep").distinct().join(own, "task").join(own.select(F.col("task").alias("dep"), F.col("component").alias("other")), "dep").filter("component = other")
+    edge = held(edge.select("component", "task", "dep"))
+    start = own.filter("task = component").select("component", "task")
+    seen = held(start.select("component", "task", F.lit(None).cast(own.schema["task"].dataType).alias("before"), F.lit(0).alias("step")))
+    ends, fresh, step = [], seen, 0
+    while not fresh.isEmpty():
+        step += 1
+        told = held(edge.join(fresh.select("component", "task"), ["component", "task"]).groupBy("component", F.col("dep").alias("to")).agg(F.min("task").alias("before")))
+        closed = held(told.filter("to = component").select("component", F.col("before").alias("task"), F.lit(step).alias("length")))
+        ends.append(closed)
+        fresh = told.join(closed.select("component"), "component", "left_anti").join(seen.select("component", F.col("task").alias("to")), ["component", "to"], "left_anti").select("component", F.col("to").alias("task"), "before", F.lit(step).alias("step"))
+        for earlier in ends[:-1]:
+            fresh = fresh.join(earlier.select("component"), "component", "left_anti")
+        fresh = held(fresh)
+        seen = held(seen.union(fresh))
+    path = reduce(DataFrame.union, ends).select("component", "task", F.array("task").alias("path"), F.col("length").alias("left"))
+    out = [path.filter("left = 1")]
+    path = held(path.filter("left > 1"))
+    while not path.isEmpty():
+        path = held(path.join(seen.select("component", "task", "before"), ["component", "task"]).select("component", F.col("before").alias("task"), F.concat(F.array("before"), "path").alias("path"), (F.col("left") - 1).alias("left")))
+        out.append(path.filter("left = 1"))
+        path = path.filter("left > 1")
+    return reduce(DataFrame.union, out).select("component", "path")
 
 
 def cycles(deps: DataFrame) -> DataFrame:
-    """(start, path): simple cycles of any length, each once, beginning with its least task."""
+    """(start, path): all simple cycles of any length, each once, beginning with its least task.  A dense graph has exponentially many; components() and shortest_cycles() tell where cycles are."""
     edge = held(deps.select("task", "dep").distinct())
     now = edge.select(F.col("dep").alias("start"), F.col("dep").alias("last"), F.array("dep").alias("path")).distinct()
     found = [now.limit(0).select("start", "path")]
@@ -68,15 +196,20 @@ def ready(tasks: DataFrame, deps: DataFrame) -> DataFrame:
 
 
 def critical_path(tasks: DataFrame, deps: DataFrame) -> DataFrame:
-    """(task, nth) of a longest chain; in ties the least task at each step from the end."""
+    """(task, nth) of a longest chain; in ties the least task at each step from the end.
+
+    Which tasks lie below the last one is told by doubled steps: rounds grow with the
+    logarithm of the chain.
+    """
     level = held(levels(tasks, deps))
     edges = deps.join(level.select(F.col("task").alias("dep"), F.col("level").alias("below")), "dep").join(level, "task").filter("below = level - 1")
-    last = level.orderBy(F.desc("level"), "task").limit(1).select("task", "level")
-    step = edges.groupBy("task").agg(F.min("dep").alias("dep"))
-    return tasks.sparkSession.sql(
-        """WITH RECURSIVE walk(task, nth) AS (SELECT task, level FROM {last} UNION ALL SELECT s.dep, w.nth - 1 FROM walk w JOIN {step} s ON s.task = w.task) SELECT task, nth FROM walk""",
-        last=last, step=step,
-    )
+    on = held(level.orderBy(F.desc("level"), "task").limit(1).select("task", F.col("level").alias("nth")))
+    jump, left, length = held(edges.groupBy("task").agg(F.min("dep").alias("dep"))), on.agg(F.max("nth")).first()[0] or 0, 1
+    while length <= left:
+        on = held(on.union(on.join(jump, "task").select(F.col("dep").alias("task"), F.col("nth") - length)))
+        jump = held(jump.alias("a").join(jump.alias("b"), F.col("a.dep") == F.col("b.task")).select("a.task", "b.dep"))
+        length *= 2
+    return on
 
 
 def sorted_topologically(tasks: DataFrame, deps: DataFrame) -> DataFrame:
@@ -103,25 +236,36 @@ def suggestions(tasks: DataFrame, deps: DataFrame, most: int = 2) -> DataFrame:
     return deep.union(many)
 
 
-def scheduled(tasks: DataFrame, deps: DataFrame, capacity: dict[str, int], default: int = 1, most: int = 100_000) -> list[list]:
-    """Phases under a limit of tasks per role.  Each choice depends on the one before, so the driver walks the plan, of at most `most` tasks and dependencies; a larger one is an error.  Stops where no progress is possible."""
-    if tasks.count() > most or deps.count() > most:
-        raise ValueError(f"more than {most} tasks or dependencies")
-    role = {r.task: r.role for r in tasks.select("task", "role").collect()}
-    needs: dict = {t: set() for t in role}
-    for r in deps.collect():
-        needs.setdefault(r.task, set()).add(r.dep)
-    done: set = set()
-    out = []
-    while len(done) < len(role):
-        used: dict = {}
-        phase = []
-        for t in sorted(role.keys() - done, key=lambda t: (len(needs[t]), t)):
-            if needs[t] <= done and used.get(role[t], 0) < capacity.get(role[t], default):
-                used[role[t]] = used.get(role[t], 0) + 1
-                phase.append(t)
-        if not phase:
-            return out
-        out.append(phase)
-        done |= set(phase)
-    return out
+def bottlenecks(tasks: DataFrame, deps: DataFrame, dependents: int = 3, chain: int = 5) -> DataFrame:
+    """(type, task, n): high_fanout for tasks with more than `dependents` dependents, long_chain with the number of tasks of the longest chain if it has more than `chain`."""
+    fan = deps.groupBy(F.col("dep").alias("task")).agg(F.count("*").alias("n")).filter(F.col("n") > dependents).select(F.lit("high_fanout").alias("type"), "task", "n")
+    last = levels(tasks, deps).agg((F.max("level") + 1).cast("long").alias("n")).filter(F.col("n") > chain)
+    return fan.union(last.select(F.lit("long_chain"), F.lit(None).cast(deps.schema["dep"].dataType), "n"))
+
+
+def scheduled(tasks: DataFrame, deps: DataFrame, capacity: dict[str, int], default: int = 1, salts: int = 16) -> DataFrame:
+    """(phase, task): phases under a limit of tasks per role: of the tasks whose dependencies are done, each role's first ones by number of dependencies, then task.
+
+    Each phase depends on the one before, so there is a round for each; a round counts open
+    dependencies down by an aggregate and ranks the tasks that have none, each role in
+    parts first.  Ends where no progress is possible; a dependency on an unknown task is never done.
+    """
+    limits = F.coalesce(F.create_map(*(F.lit(x) for kv in capacity.items() for x in kv))[F.col("role")], F.lit(default)) if capacity else F.lit(default)
+    edge = held(deps.select("task", "dep").distinct())
+    needs = edge.groupBy("task").agg(F.count("*").alias("needs"))
+    first = tasks.groupBy("task").agg(F.min("role").alias("role")).join(needs, "task", "left").select("task", "role", F.coalesce("needs", F.lit(0)).alias("needs"))
+    now = held(first.select("task", "role", "needs", F.col("needs").alias("open"), limits.alias("most")))
+    phases = []
+    while True:
+        order = [F.col("needs"), F.col("task")]
+        part = F.pmod(F.xxhash64("task"), F.lit(salts))
+        ready = now.filter("open = 0").withColumn("part", part).withColumn("n", F.row_number().over(Window.partitionBy("role", "part").orderBy(*order))).filter("n <= most")
+        chosen = held(ready.withColumn("n", F.row_number().over(Window.partitionBy("role").orderBy(*order))).filter("n <= most").select("task"))
+        if chosen.isEmpty():
+            break
+        phases.append(chosen.select(F.lit(len(phases)).alias("phase"), "task"))
+        fewer = edge.join(chosen.select(F.col("task").alias("dep")), "dep").groupBy("task").agg(F.count("*").alias("fewer"))
+        now = held(now.join(chosen, "task", "left_anti").join(fewer, "task", "left").select("task", "role", "needs", (F.col("open") - F.coalesce("fewer", F.lit(0))).alias("open"), "most"))
+    if not phases:
+        return tasks.select(F.lit(0).alias("phase"), "task").limit(0)
+    return reduce(DataFrame.union, phases)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import composite, search
+from ..operators import composite, postings, search, vectors
+from ..operators.shared import folder
 from . import views as V
 from .retrieval import DIST, Q0, WORDS, _query, _vectors
 
@@ -63,6 +64,46 @@ def cq06(s, d):
     return composite.hybrid(_vectors(s, d), _query(s, d), texts, ASK).select("id", F.round("score", 6).alias("score"), "part")
 
 
+def _reasoned() -> str:
+    """Whether there is a reason to retrieve, of columns q and recent."""
+    from .texts import CONF, _complexity_sql
+
+    return f"({CONF} < 0.4 OR {_complexity_sql('q')} > 0.5 OR recent < 3)"
+
+
+ROUTED = f"""WITH q0 AS (SELECT item_id AS query_id, text || CASE WHEN item_id % 2 = 0 THEN '' ELSE ' and api vs maybe?' END AS q, item_id % 100 AS session_id, item_id % 7 AS recent, ['adaptive', 'hybrid', 'vectors', 'keywords', 'tiers'][item_id % 5 + 1] AS strategy FROM benchmark),
+ q AS (SELECT *, CASE WHEN strategy <> 'adaptive' THEN strategy WHEN {_reasoned()} THEN 'hybrid' ELSE 'none' END AS route, list_distinct(list_filter(string_split_regex(lower(q), '\\s+'), lambda w: w <> '')) AS own FROM q0),
+ n AS (SELECT query_id, e.vec_id AS id, list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: pow(e.embedding[i]::DOUBLE - v.embedding[i]::DOUBLE, 2))) AS distance FROM q JOIN embeddings v ON v.vec_id = query_id, embeddings e WHERE route IN ('hybrid', 'vectors')),
+ near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n.distance, id) AS r FROM n QUALIFY r <= 12),
+ w AS (SELECT query_id, doc_id AS id, len(list_intersect(own, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')))) AS overlap FROM q, documents WHERE route IN ('hybrid', 'keywords')),
+ words AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY w.overlap DESC, id) AS r FROM w WHERE w.overlap > 0 QUALIFY r <= 12),
+ h AS (SELECT query_id, id, (1 - distance / 2) * 0.7 AS score, 0 AS part FROM near UNION ALL SELECT query_id, id, 0.5 * 0.3::DOUBLE, 1 FROM words),
+ h1 AS (SELECT h.* FROM h JOIN q USING (query_id) WHERE route = 'hybrid' QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY h.score DESC, part) = 1),
+ m AS (SELECT session_id, id, list_distinct(list_filter(string_split_regex(lower(content), '\\s+'), lambda w: w <> '')) AS has, row_number() OVER (PARTITION BY session_id ORDER BY nth DESC) AS age FROM ({V.MEMORIES})),
+ t AS (SELECT query_id, id, age, len(list_intersect(own, has)) AS overlap FROM q JOIN m USING (session_id) WHERE route = 'tiers'),
+ t3 AS (SELECT query_id, id, 'working' AS layer, 0 AS p FROM t WHERE age <= 2 UNION ALL SELECT query_id, id, 'short_term', 1 FROM (SELECT * FROM t WHERE age BETWEEN 3 AND 4) UNION ALL SELECT query_id, id, 'long_term', 2 FROM t WHERE age > 4 AND overlap > 0),
+ a AS (SELECT query_id, id::VARCHAR AS id, h1.score AS score, NULL::VARCHAR AS layer, row_number() OVER (PARTITION BY query_id ORDER BY h1.score DESC, h1.id) AS rank FROM h1
+  UNION ALL SELECT query_id, id::VARCHAR, 1 - distance / 2, NULL, r FROM near JOIN q USING (query_id) WHERE route = 'vectors'
+  UNION ALL SELECT query_id, id::VARCHAR, overlap::DOUBLE, NULL, r FROM words JOIN q USING (query_id) WHERE route = 'keywords'
+  UNION ALL SELECT query_id, id, NULL::DOUBLE, layer, row_number() OVER (PARTITION BY query_id ORDER BY p, id) FROM t3)
+ SELECT query_id, route, a.id, round(a.score, 6) AS score, layer, rank FROM a JOIN q USING (query_id) WHERE rank <= 6"""
+
+
+@add("cq06_routed_queries", ROUTED)
+def cq06_routed(s, d):
+    """Every benchmark text as a query, by its strategy; adaptive ones decide for themselves."""
+    b = V.table(s, d, "benchmark")
+    e = _vectors(s, d)
+    q = b.join(e.select(F.col("id").alias("item_id"), F.col("vector").alias("query_vector")), "item_id", "left")
+    i = F.col("item_id")
+    text = F.concat("text", F.when(i % 2 == 0, "").otherwise(" and api vs maybe?"))
+    strategy = F.element_at(F.array(*map(F.lit, postings.STRATEGIES)), (i % 5 + 1).cast("int"))
+    q = q.select(i.alias("query_id"), text.alias("query"), "query_vector", (i % 100).alias("session_id"), strategy.alias("strategy"), F.lit(None).cast("double").alias("history"), (i % 7).alias("recent"))
+    docs = V.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    found = postings.retrieved(q, vectors.build(e, folder(s, "ivf")), postings.build(docs, folder(s, "postings")), V.memories(s, d), 6, 2, 2)
+    return found.select("query_id", "route", "id", F.round("score", 6).alias("score"), "layer", F.col("rank").cast("long").alias("rank"))
+
+
 NEAR1 = DIST.replace("q.v", "z.v")
 
 

@@ -276,15 +276,31 @@ def gr07(s, d):
     return graph.critical_path(V.tasks(s, d), V.deps(s, d))
 
 
+REACH = f"WITH RECURSIVE d AS ({V.DEPS}), e AS ({LOOPS}), c(task, dep) AS (SELECT task, dep FROM e UNION SELECT c.task, e.dep FROM c JOIN e ON c.dep = e.task)"
+
+
+def _looped(s, d):
+    return V.deps(s, d).union(s.createDataFrame([(2, 5), (1, 6), (7, 7)], "task long, dep long")).distinct()
+
+
+@add("gr04_components", REACH + " SELECT a.task, min(a.dep) AS component FROM c a JOIN c b ON a.task = b.dep AND a.dep = b.task GROUP BY a.task")
+def gr04_components(s, d):
+    return graph.components(_looped(s, d))
+
+
+@add("gr04_shortest_cycles", REACH + ", m AS (SELECT a.task, min(a.dep) AS component FROM c a JOIN c b ON a.task = b.dep AND a.dep = b.task GROUP BY a.task), walk(component, last, n) AS (SELECT component, task, 0 FROM m WHERE task = component UNION SELECT w.component, e.dep, w.n + 1 FROM walk w JOIN e ON e.task = w.last JOIN m ON m.task = e.dep AND m.component = w.component WHERE w.n < (SELECT count(*) FROM m) AND (w.n = 0 OR w.last <> w.component)) SELECT component, CAST(min(n) AS INT) AS length FROM walk WHERE n > 0 AND last = component GROUP BY component")
+def gr04_shortest(s, d):
+    return graph.shortest_cycles(_looped(s, d)).select("component", F.size("path").alias("length"))
+
+
 @add("gr08_capacity_phases")
 def gr08(s, d):
-    phases = graph.scheduled(V.tasks(s, d), V.deps(s, d), {"role0": 2, "role1": 3})
-    return s.createDataFrame([(k, t) for k, p in enumerate(phases) for t in p], "phase int, task long")
+    return graph.scheduled(V.tasks(s, d), V.deps(s, d), {"role0": 2, "role1": 3})
 
 
-@add("gr09_bottlenecks", f"SELECT dep AS task, count(*) AS dependents FROM ({V.DEPS}) GROUP BY dep HAVING count(*) > 3")
+@add("gr09_bottlenecks", LEVELS + " SELECT 'high_fanout' AS type, dep AS task, count(*) AS n FROM d GROUP BY dep HAVING count(*) > 3 UNION ALL SELECT 'long_chain', NULL, max(level) + 1 FROM l HAVING max(level) + 1 > 5")
 def gr09(s, d):
-    return V.deps(s, d).groupBy(F.col("dep").alias("task")).agg(F.count("*").alias("dependents")).filter("dependents > 3")
+    return graph.bottlenecks(V.tasks(s, d), V.deps(s, d))
 
 
 @add("gr10_suggestions", LEVELS + " SELECT 'agent_scaling' AS type, level AS phase, role, count(*) AS n FROM l JOIN t ON t.task = l.task GROUP BY level, role HAVING count(*) > 2 UNION ALL SELECT 'increase_parallelism', NULL, NULL, count(DISTINCT level) FROM l HAVING count(DISTINCT level) > count(*) / 2")

@@ -148,7 +148,7 @@ def test_graphs(spark):
     assert {tuple(r.path) for r in graph.cycles(deps).collect()} == {(1, 2, 3), (5,), (7, 8)}
     tasks = spark.createDataFrame([(k, "r", "pending") for k in (1, 9, 10)], "task long, role string, state string")
     assert [r.task for r in graph.ready(tasks, deps).collect()] == [10]
-    assert graph.scheduled(tasks, deps.filter("task = 9"), {"r": 1}) == [[1], [10]]
+    assert sorted(map(tuple, graph.scheduled(tasks, deps.filter("task = 9"), {"r": 1}).collect())) == [(0, 1), (1, 10)]
 
 
 def test_triples(spark):

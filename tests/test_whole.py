@@ -110,8 +110,6 @@ def test_capacity_phases_equal_a_plain_schedule(spark):
     from loomstone.plans import stats
 
     assert {r.task: r.phase for r in stats.gr08(spark, d).collect()} == phase
-    with pytest.raises(ValueError):
-        graph.scheduled(views.tasks(spark, d), views.deps(spark, d), {}, most=3)
 
 
 def test_extracted_triples(spark):
