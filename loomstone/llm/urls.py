@@ -34,7 +34,13 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(F.translate(host, UPPER, LOWER), F.lit("")), F.coalesce(path, F.lit(""))
 
 
+#: Signs of the keys that stand in a host are written as two others.
+ESCAPES = (("\x03", "\x03\x05"), (CLOSE, "\x03\x06"), (BEYOND, "\x03\x07"))
+
+
 def key_of(host: Column) -> Column:
+    for sign, pair in ESCAPES:
+        host = F.replace(host, F.lit(sign), F.lit(pair))
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), CLOSE), F.lit(CLOSE))
 
 

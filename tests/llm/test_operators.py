@@ -302,10 +302,10 @@ def test_word_count(spark):
 
 
 def test_urls_match_all_rules(spark):
-    hosts = ["example.com", "a.example.com", "EXAMPLE.com", "b.a.example.com", "notexample.com", "com", "x.net", "example.net", "org", "", "a..com", "example.com:80"]
+    hosts = ["example.com", "a.example.com", "EXAMPLE.com", "b.a.example.com", "notexample.com", "com", "x.net", "example.net", "org", "", "a..com", "example.com:80", "com\x01evil", "x.com\x01y", "b.x.com\x01y", "a\x01com", "com\x02", "\x03.com", "com\x03\x06evil", "a\x00.org"]
     paths = ["", "/", "/en/", "/en/7", "/en/71?x=/de/", "/de/8#f", "/de/", "/es/1", "/a?/en/"]
     rows = [(i, f"http://{h}{p}") for i, (h, p) in enumerate(itertools.product(hosts, paths))] + [(None, None), (7, "no scheme"), (7, "x://y://z/en/"), (9, "")] + [(10_000 + k, "http://hot.com/en/1") for k in range(300)]
-    rules = [*urls.RULES, ("block", "a.example.com", "/"), ("allow", "A.example.com", "/"), ("block", "com", None)]
+    rules = [*urls.RULES, ("block", "a.example.com", "/"), ("allow", "A.example.com", "/"), ("block", "com", None), ("block", "x.com\x01y", "/e")]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit(1))
     got = urls.judged(pages, urls.rules_table(spark, rules), parts=16).collect()
 
