@@ -1,16 +1,20 @@
 """Personal data, spelling variants and phrases against brute-force versions on small hostile tables."""
 
 import hashlib
+import os
 import random
 import re
+import resource
 import time
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomstone.llm import phrases, pii, queries, spelling
+from loomstone.llm import copies, phrases, pii, queries, spelling
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -251,7 +255,6 @@ def test_a_wide_sketch_drops_rare_runs_and_a_narrow_one_loses_none(spark):
         path = phrases.mounted(phrases.scratch(spark, "x")).rsplit("/", 1)[0]
     assert reached[16] == reached[24] and len(reached[16]) > 400
     import glob
-    import os
 
     narrow, wide = sorted(glob.glob(f"{path}/sketch-*"), key=os.path.getmtime)[-2:]
     passed = {}
@@ -260,3 +263,21 @@ def test_a_wide_sketch_drops_rare_runs_and_a_narrow_one_loses_none(spark):
         blocks = rows_.mapInArrow(real(at, bits), phrases.BLOCK).coalesce(1).sortWithinPartitions("shard")
         passed[bits] = blocks.mapInArrow(phrases._adding(1), phrases.COUNTS).filter("k > 0").select("lang", "phrase").distinct().count()
     assert len(reached[24]) <= passed[24] <= 1.01 * len(reached[24]) and passed[24] < passed[16]
+
+
+# near copies of the pipeline
+
+
+def test_near_copies_of_many_files_need_few_descriptors(tmp_path):
+    n, own = 700, np.arange(20, dtype=np.uint64)
+    for k in range(n):
+        own.tofile(f"{tmp_path}/f{k}")
+    rows = pa.RecordBatch.from_pydict({"cell": [k // 2 for k in range(n)], "i": [0] * n, "j": [0] * n, "node": list(range(n)), "file": [f"f{k}" for k in range(n)], "start": [0] * n, "size": [20] * n})
+    limits = resource.getrlimit(resource.RLIMIT_NOFILE)
+    used = max(map(int, os.listdir("/proc/self/fd")))
+    resource.setrlimit(resource.RLIMIT_NOFILE, (used + 40, limits[1]))
+    try:
+        edges = [(a, b) for out in copies.verified(str(tmp_path))(iter([rows])) for a, b in zip(out.column("a").to_pylist(), out.column("b").to_pylist())]
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, limits)
+    assert sorted(map(sorted, edges)) == [[2 * k, 2 * k + 1] for k in range(n // 2)]
