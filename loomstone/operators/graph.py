@@ -163,6 +163,8 @@ def shortest_cycles(deps: DataFrame) -> DataFrame:
             fresh = fresh.join(earlier.select("component"), "component", "left_anti")
         fresh = held(fresh)
         seen = held(seen.union(fresh))
+    if not ends:
+        return edge.select("component", F.array("task").alias("path"))
     path = reduce(DataFrame.union, ends).select("component", "task", F.array("task").alias("path"), F.col("length").alias("left"))
     out = [path.filter("left = 1")]
     path = held(path.filter("left > 1"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,6 +39,10 @@ def replaced(chunks: DataFrame, fresh: DataFrame, gone: DataFrame, path: str = "
     return chunks.join(out, path, "left_anti").unionByName(fresh)
 
 
+class Conflict(RuntimeError):
+    """Another writer's snapshot came between what was read and what is written."""
+
+
 class NoSnapshot(FileNotFoundError):
     """Nothing was written below a root yet."""
 
@@ -56,33 +61,58 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(int(n.removeprefix("current-")) for n in names if n.startswith("current-"))
 
 
-def write_snapshot(rows: DataFrame, root: str, partition_by: list[str] | None = None) -> str:
+def version(spark: SparkSession, root: str) -> int:
+    """Number of the last snapshot below root, 0 before the first."""
+    return max(_versions(spark, root.rstrip("/")), default=0)
+
+
+def write_snapshot(rows: DataFrame, root: str, partition_by: list[str] | None = None, base: int | None = None) -> str:
     """Writes a new snapshot below root and then a pointer to it with the next number; readers see the old or the new one whole.
 
-    Nothing is deleted or replaced, so at no time is there no pointer.  Of two
+    Nothing is deleted or replaced, so at no time is there no pointer.  base: the
+    version that the rows were made of; if another has come since, nothing changes
+    and Conflict is raised.  Without it the rows replace whatever is there.  Of two
     writers that take the same number one fails.  forget_snapshots() removes old ones.
     """
     root = root.rstrip("/")
     spark, name = rows.sparkSession, f"snapshot-{uuid.uuid4().hex}"
     rows.write.partitionBy(*(partition_by or [])).parquet(f"{root}/{name}")
     fs, path = _files(spark, root)
-    at = path(f"{root}/current-{max(_versions(spark, root), default=0) + 1:012d}")
+    last = version(spark, root)
+    if base is not None and last != base:
+        fs.delete(path(f"{root}/{name}"), True)
+        raise Conflict(f"{root} is at version {last}, not {base}")
+    at = path(f"{root}/current-{last + 1:012d}")
     held = path(f"{root}/.{uuid.uuid4().hex}")
     out = fs.create(held, True)
     out.write(bytearray(json.dumps({"snapshot": name}).encode()))
     out.close()
     if fs.exists(at) or not fs.rename(held, at):
-        raise RuntimeError(f"{at.toString()} was written meanwhile")
+        fs.delete(held, False)
+        fs.delete(path(f"{root}/{name}"), True)
+        raise Conflict(f"{at.toString()} was written meanwhile")
     return f"{root}/{name}"
 
 
-def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    """The last snapshot below root; NoSnapshot before the first."""
+def updated(spark: SparkSession, root: str, change: Callable[[DataFrame], DataFrame], partition_by: list[str] | None = None, tries: int = 8) -> str:
+    """Reads the last snapshot, writes what `change` makes of it as the next, and does both again if another writer came first, so no writer's change is lost; Conflict after so many tries."""
+    for k in range(tries):
+        base = version(spark, root)
+        try:
+            return write_snapshot(change(read_snapshot(spark, root, base)), root, partition_by, base)
+        except Conflict:
+            if k == tries - 1:
+                raise
+    raise ValueError("at least one try is needed")
+
+
+def read_snapshot(spark: SparkSession, root: str, number: int | None = None) -> DataFrame:
+    """The last snapshot below root, or that of a number; NoSnapshot before the first."""
     root = root.rstrip("/")
-    versions = _versions(spark, root)
-    if not versions:
+    number = version(spark, root) if number is None else number
+    if not number:
         raise NoSnapshot(root)
-    line = spark.read.text(f"{root}/current-{versions[-1]:012d}").first()[0]
+    line = spark.read.text(f"{root}/current-{number:012d}").first()[0]
     return spark.read.parquet(f"{root}/{json.loads(line)['snapshot']}")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,6 +123,17 @@ def snk05(s, d):
     return tables.read_snapshot(s, at)
 
 
+@add("snk06_concurrent_updates", f"SELECT id, memory_type, CAST(CASE WHEN memory_type IN ('error', 'view', 'click') THEN 1 ELSE 0 END AS INT) AS touched FROM ({V.ENTRIES})")
+def snk06_concurrent(s, d):
+    """Three writers at once, each with rows of its own to change in one table."""
+    at = folder(s, "updates")
+    tables.write_snapshot(V.entries(s, d).select("id", "memory_type", F.lit(0).alias("touched")), at)
+    change = lambda kind: lambda t: t.withColumn("touched", F.when(F.col("memory_type") == kind, F.col("touched") + 1).otherwise(F.col("touched")))
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda kind: tables.updated(s, at, change(kind)), ("error", "view", "click")))
+    return tables.read_snapshot(s, at)
+
+
 @add("snk01_append_partitioned", f"SELECT id, memory_type FROM ({V.ENTRIES}) WHERE memory_type = 'error'")
 def snk01(s, d):
     at = folder(s, "memories")
