@@ -151,3 +151,20 @@ def curriculum(rows: DataFrame, length: str, stages: int = 5, first: int = 512,
     i = F.col("stage")
     plan = plan.withColumns({"segment": F.least(segment * F.pow(F.lit(2), F.floor(i / 2)).cast("int"), F.lit(most)), "rate": F.round(rates[0] * (1 - i / steps) + rates[1] * (i / steps), 9)})
     return plan.join(F.broadcast(counts), "stage", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+
+
+def ema(rows: DataFrame, group: str, value: str, *order: Column, keep: float = 0.7) -> DataFrame:
+    """(group, ema): exponential moving average from 0 of each group's values in a total order; null values are left out.
+
+    n values x turn an average a into keep ** n * a + (1 - keep) * sum(keep ** (values after x) * x).
+    Such maps compose, so rows are sorted by ranges of (group, order), each range of a group
+    makes one map, and a group is composed of as many as it has ranges: one that
+    holds most rows is the work of many tasks.
+    """
+    own = rows.filter(F.col(value).isNotNull()).select(F.col(group).alias("__g"), F.col(value).cast("double").alias("__x"), *(c.alias(f"__o{k}") for k, c in enumerate(order)))
+    by = [F.col(f"__o{k}") for k in range(len(order))]
+    ranges = own.repartitionByRange(F.col("__g"), *by).withColumn("__p", F.spark_partition_id())
+    last = Window.partitionBy("__p", "__g").orderBy(*(c.desc() for c in by))
+    each = ranges.withColumn("__after", F.row_number().over(last) - 1).groupBy("__g", "__p").agg(F.count("*").alias("__n"), F.sum((1 - keep) * F.pow(F.lit(keep), F.col("__after")) * F.col("__x")).alias("__b"))
+    later = F.coalesce(F.sum("__n").over(Window.partitionBy("__g").orderBy(F.desc("__p")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return each.withColumn("__later", later).groupBy(F.col("__g").alias(group)).agg(F.sum(F.pow(F.lit(keep), F.col("__later")) * F.col("__b")).alias("ema"))

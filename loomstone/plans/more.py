@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import registered
 from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import chunks, composite, evaluate, graph, search, sessions, tables, triples, upkeep, windows
@@ -457,3 +458,18 @@ def ev07(s, d):
 @add("gr02_ancestors_of_one", WALK + " SELECT task, count(*) AS n FROM c GROUP BY task")
 def gr02(s, d):
     return graph.closure(V.deps(s, d)).groupBy("task").agg(F.count("*").alias("n"))
+
+
+@add("top10_budget_function", f"SELECT id, session_id, CAST(sum(length(content) // 4) OVER (PARTITION BY session_id ORDER BY nth ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM ({V.MEMORIES}) QUALIFY upto <= 400")
+def top10_function(s, d):
+    """The budget as a table function with a partition for each session."""
+    registered.register(s)
+    rows = V.memories(s, d).select("id", "session_id", "nth", F.floor(F.length("content") / 4).cast("long").alias("cost"))
+    return s.sql("SELECT id, session_id, upto FROM within_budget(TABLE({rows}) PARTITION BY (session_id) ORDER BY (nth), 'cost', 400)", rows=rows)
+
+
+@add("agg09_percentile_function", "SELECT event_type, list_sort(list(value))[least(count(*) - 1, CAST(floor(count(*) * 0.95) AS BIGINT)) + 1] AS p95 FROM events GROUP BY event_type")
+def agg09_function(s, d):
+    """A grouped aggregate for metrics of one's own."""
+    registered.register(s)
+    return s.sql("SELECT event_type, latency_at(value, 0.95D) AS p95 FROM {e} GROUP BY event_type", e=V.table(s, d, "events"))

@@ -90,8 +90,7 @@ def agg11(s, d):
 
 @add("agg12_latency_ema", "SELECT user_id, round(list_reduce(list_prepend(0.0::DOUBLE, list(value ORDER BY ts, event_id)), lambda a, x: 0.7 * a + 0.3 * x), 6) AS ema FROM events GROUP BY user_id")
 def agg12(s, d):
-    values = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"])
-    return V.table(s, d, "events").groupBy("user_id").agg(values.alias("v")).select("user_id", F.round(S.ema(F.col("v")), 6).alias("ema"))
+    return windows.ema(V.table(s, d, "events"), "user_id", "value", F.col("ts"), F.col("event_id")).select("user_id", F.round("ema", 6).alias("ema"))
 
 
 @add("agg13_layer_stats", f"SELECT session_id, count(*) AS size, round(count(*) / 50.0::DOUBLE, 6) AS utilisation, count(*) FILTER (length(content) > 9) AS compressed FROM ({V.ENTRIES}) GROUP BY session_id")
