@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions import text as T
-from ..operators import chunks, embed, windows
+from ..operators import bands, chunks, embed, windows
+from ..operators.shared import folder
 from . import views as V
 from .retrieval import KEYWORDS, TECH, sql_list
 
@@ -271,3 +272,16 @@ def prs06(s, d):
     item = F.concat(F.lit('{"subject": " u'), F.col("user_id"), F.lit('", "relation": "'), F.col("event_type"), F.lit('"'), F.when(F.col("event_id") % 3 != 0, F.concat(F.lit(', "object": "'), F.col("value").cast("string"), F.lit('"'))).otherwise(""), F.when(F.col("event_id") % 2 == 0, ', "confidence": 0.5').otherwise(""), F.lit("}"))
     reply = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('Here:\n```json\n{"triples": ['), item, F.lit("]}\n```"))).otherwise(F.concat(F.lit("["), item, F.lit("]")))
     return triples.parsed(V.table(s, d, "events").select(F.col("event_id").alias("id"), reply.alias("reply")), "id", "reply")
+
+
+CUT = "regexp_replace(text, '\\s*\\S+\\s*$', '')"
+BANDED = "x{k} AS (SELECT item_id, list_distinct(CASE WHEN len(w) < 3 THEN w ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS sh FROM (SELECT item_id, {plain} AS w FROM (SELECT item_id, {text} AS text FROM benchmark))), s{k} AS (SELECT item_id, sh, list_transform(range(0, 128), lambda i: list_min(list_transform(sh, lambda q: md5((i * 1000 + 12345) || ':' || q)))) AS sig FROM x{k}), b{k} AS (SELECT item_id, b, array_to_string(sig[b * 8 + 1:b * 8 + 8], ',') AS key FROM s{k}, (SELECT unnest(range(0, 16)) AS b))"
+
+
+@add("b08_banded_probe", f"WITH {BANDED.format(k=1, plain=PLAIN, text='text')}, {BANDED.format(k=2, plain=PLAIN, text=CUT)}, met AS (SELECT DISTINCT n.item_id AS id, o.item_id AS other FROM b2 n JOIN b1 o ON n.b = o.b AND n.key = o.key) SELECT m.id, m.other, round(len(list_intersect(n.sh, o.sh)) / len(list_distinct(list_concat(n.sh, o.sh)))::DOUBLE, 9) AS jaccard FROM met m JOIN s2 n ON n.item_id = m.id JOIN s1 o ON o.item_id = m.other WHERE len(list_intersect(n.sh, o.sh)) / len(list_distinct(list_concat(n.sh, o.sh)))::DOUBLE >= 0.6")
+def b08_probe(s, d):
+    """Benchmark texts without their last word, looked up among the whole ones."""
+    items = V.table(s, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("content"))
+    path = bands.add(items, folder(s, "bands"))
+    new = items.withColumn("content", F.regexp_replace("content", r"\s*\S+\s*$", ""))
+    return bands.probed(s, path, new, 0.6).select("id", "other", F.round("jaccard", 9).alias("jaccard"))
