@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +25,8 @@ def accessed(memories: DataFrame, log: DataFrame, id: str = "id", stamp: str = "
 
 
 def needs_retrieval(history: Column, confidence: Column, entropy: Column, threshold: float = 0.7) -> Column:
-    return F.when(history.isNotNull(), history < threshold).otherwise((confidence < 1 - threshold) | (entropy > 1.5))
+    least = float(1 - Decimal(str(threshold)))  # in doubles 1 - 0.7 is more than 0.3
+    return F.when(history.isNotNull(), history < threshold).otherwise((confidence < least) | (entropy > 1.5))
 
 
 def success_rate(good: Column, all_: Column) -> Column:
