@@ -14,27 +14,39 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import held
+from .shared import filed, folder, held
 from .windows import numbered
 
 
 def closure(deps: DataFrame) -> DataFrame:
     """Distinct (task, dep) with all direct and indirect dependencies; cycles end as pairs repeat.
 
-    A step follows only the pairs that the step before found.
+    A step follows only the pairs that the step before found; each writes its own beside
+    the others', which are read as one table.
     """
-    edge = held(deps.select("task", "dep").distinct())
-    fresh, steps = edge, [edge]
-    while True:
-        more = fresh.alias("a").join(edge.alias("b"), F.col("a.dep") == F.col("b.task")).select("a.task", "b.dep").distinct()
-        for known in steps:
-            more = more.join(known, ["task", "dep"], "left_anti")
-        fresh = held(more)
-        if fresh.isEmpty():
-            return reduce(DataFrame.union, steps)
-        steps.append(fresh)
-        if len(steps) > 8:  # fewer tables to compare with
-            steps = [held(reduce(DataFrame.union, steps))]
+    spark, at = deps.sparkSession, folder(deps.sparkSession, "closure")
+    edge = filed(deps.select("task", "dep").distinct(), f"{at}/step=0")
+    fresh, paths = edge, [f"{at}/step=0"]
+    while not fresh.isEmpty():
+        known = spark.read.schema(edge.schema).parquet(*paths)
+        more = fresh.select("task", F.col("dep").alias("via")).join(edge.select(F.col("task").alias("via"), "dep"), "via").select("task", "dep").distinct()
+        paths.append(f"{at}/step={len(paths)}")
+        fresh = filed(more.join(known, ["task", "dep"], "left_anti"), paths[-1])
+    return spark.read.schema(edge.schema).parquet(*paths)
+
+
+def dependents(roots: DataFrame, deps: DataFrame) -> DataFrame:
+    """(task): all tasks that depend, directly or not, on one of `roots` (task), each walked once; a root that depends on another is among them."""
+    spark, at = deps.sparkSession, folder(deps.sparkSession, "dependents")
+    edge = filed(deps.select("task", "dep").distinct(), f"{at}/edges")
+    fresh, paths = filed(roots.select("task").distinct(), f"{at}/roots"), []
+    while not fresh.isEmpty():
+        more = edge.join(fresh.select(F.col("task").alias("dep")), "dep").select("task").distinct()
+        if paths:
+            more = more.join(spark.read.schema(fresh.schema).parquet(*paths), "task", "left_anti")
+        paths.append(f"{at}/step={len(paths)}")
+        fresh = filed(more, paths[-1])
+    return spark.read.schema(fresh.schema).parquet(*paths) if paths else fresh
 
 
 def _chains(edge: DataFrame) -> DataFrame | None:
