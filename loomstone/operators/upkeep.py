@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import tables
+from . import graph, tables
 
 # Default policies.
 POLICIES = {
@@ -47,11 +47,8 @@ def early_stopped(metrics: DataFrame, run: str, step: str, loss: str, patience:
 
 def cancelled(tasks: DataFrame, deps: DataFrame) -> DataFrame:
     """Tasks that depend, directly or not, on a failed one."""
-    return tasks.sparkSession.sql(
-        """WITH RECURSIVE gone(task) AS (SELECT task FROM {tasks} WHERE state = 'failed' UNION ALL SELECT d.task FROM gone g JOIN {deps} d ON d.dep = g.task)
-           SELECT DISTINCT task FROM gone WHERE task NOT IN (SELECT task FROM {tasks} WHERE state = 'failed')""",
-        tasks=tasks.select("task", "state"), deps=deps,
-    )
+    failed = tasks.filter("state = 'failed'").select("task")
+    return graph.dependents(failed, deps).join(failed, "task", "left_anti")
 
 
 def merged_windows(rows: DataFrame, group: str, window: str, least: int = 4, fewest: int = 10) -> DataFrame:
