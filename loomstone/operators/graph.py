@@ -9,10 +9,14 @@ number or two of each.
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import filed, folder, held
 from .windows import numbered
@@ -257,29 +261,121 @@ def bottlenecks(tasks: DataFrame, deps: DataFrame, dependents: int = 3, chain: i
     return fan.union(last.select(F.lit("long_chain"), F.lit(None).cast(deps.schema["dep"].dataType), "n"))
 
 
+#: Rows and dependencies that a stretch of phases may hold, and rounds of unlocking that it looks ahead.
+STRETCH, AHEAD = 200_000, 32
+
+
+def _phases(first: int, count: int):
+    """For mapInArrow over one partition of (task, role, needs, open, most, deps): rows (phase, task) of up to `count` phases from `first`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, waiting, kind = {}, {}, None
+        for b in batches:
+            kind = b.schema.field("task").type
+            for task, role, needs, left, most, deps in zip(*(c.to_pylist() for c in b.columns)):
+                rows[task] = [role, needs, left, most]
+                for dep in deps or ():
+                    waiting.setdefault(dep, []).append(task)
+        if kind is None:
+            return
+        queues: dict = {}
+        push = lambda t: heapq.heappush(queues.setdefault(rows[t][0], []), (rows[t][1], t))
+        for t, (_, _, left, _) in rows.items():
+            if not left:
+                push(t)
+        out = []
+        for phase in range(first, first + count):
+            now = [heapq.heappop(q)[1] for q in queues.values() for _ in range(min(len(q), rows[q[0][1]][3] if q else 0))]
+            if not now:
+                break
+            out += [(phase, t) for t in now]
+            for t in now:
+                for u in waiting.get(t, ()):
+                    rows[u][2] -= 1
+                    if not rows[u][2]:
+                        push(u)
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([t for _, t in out], kind)], ["phase", "task"])
+
+    return run
+
+
+def _stretch(now: DataFrame, edge: DataFrame, first: DataFrame, count: int, at: str) -> tuple[DataFrame, int] | None:
+    """What can be chosen in the next `count` phases, with its dependencies among itself, and for how many phases that is certain; None if it is too much.
+
+    first: each role's first count * most ready tasks.  A role that has so many can't choose
+    a task behind them, whatever becomes ready meanwhile; of the others those count whose
+    open dependencies can all be chosen.
+    """
+    spark = now.sparkSession
+    full = first.groupBy("role").agg(F.max("n").alias("got"), F.max("most").alias("most"), F.max(F.struct("needs", "task")).alias("last")).filter(F.col("got") >= F.col("most") * count)
+    bound = filed(full.select(F.col("role").alias("of"), "last"), f"{at}/bound")
+    rest = now.filter("open > 0").join(bound, F.col("role").eqNullSafe(F.col("of")), "left").filter(F.col("last").isNull() | (F.struct("needs", "task") < F.col("last")))
+    columns = ["task", "role", "needs", "open", "most"]
+    rest = filed(rest.select(*columns), f"{at}/rest")
+    fresh, paths, told, depth = filed(first.select(*columns), f"{at}/0"), [f"{at}/0"], None, 0
+    size = fresh.count()
+    while depth < AHEAD:
+        if size > STRETCH:
+            return None
+        more = edge.join(fresh.select(F.col("task").alias("dep")), "dep").join(rest.select("task"), "task", "left_semi").groupBy("task").agg(F.count("*").alias("got"))
+        if told is not None:
+            more = told.union(more).groupBy("task").agg(F.sum("got").alias("got"))
+        now_told = filed(more.join(rest, "task"), f"{at}/told-{depth}")
+        depth += 1
+        paths.append(f"{at}/{depth}")
+        fresh = filed(now_told.filter("got = open").select(*columns), paths[-1])
+        told = now_told.filter("got < open").select("task", "got")
+        if not (n := fresh.count()):
+            depth = count
+            break
+        size += n
+    chosen = spark.read.schema(fresh.schema).parquet(*paths)
+    inner = filed(edge.join(chosen.select("task"), "task", "left_semi").join(chosen.select(F.col("task").alias("dep")), "dep", "left_semi"), f"{at}/inner")
+    if size + inner.count() > STRETCH:
+        return None
+    lists = inner.groupBy("task").agg(F.collect_list("dep").alias("deps"))
+    return chosen.join(lists, "task", "left").select(*columns, "deps"), min(count, depth)
+
+
 def scheduled(tasks: DataFrame, deps: DataFrame, capacity: dict[str, int], default: int = 1, salts: int = 16) -> DataFrame:
     """(phase, task): phases under a limit of tasks per role: of the tasks whose dependencies are done, each role's first ones by number of dependencies, then task.
 
-    Each phase depends on the one before, so there is a round for each; a round counts open
-    dependencies down by an aggregate and ranks the tasks that have none, each role in
-    parts first.  Ends where no progress is possible; a dependency on an unknown task is never done.
+    Each phase depends on the one before, but it takes few tasks: a round ranks the ready
+    tasks, each role in parts first, picks what the next phases can reach (STRETCH rows at most), and one
+    task walks those phases; then open dependencies are counted down by an aggregate.
+    A phase that is too large for that is a round of its own.  Ends where no progress
+    is possible; a dependency on an unknown task is never done.
     """
+    spark, at = tasks.sparkSession, folder(tasks.sparkSession, "phases")
     limits = F.coalesce(F.create_map(*(F.lit(x) for kv in capacity.items() for x in kv))[F.col("role")], F.lit(default)) if capacity else F.lit(default)
-    edge = held(deps.select("task", "dep").distinct())
+    edge = filed(deps.select("task", "dep").distinct(), f"{at}/edges")
     needs = edge.groupBy("task").agg(F.count("*").alias("needs"))
-    first = tasks.groupBy("task").agg(F.min("role").alias("role")).join(needs, "task", "left").select("task", "role", F.coalesce("needs", F.lit(0)).alias("needs"))
-    now = held(first.select("task", "role", "needs", F.col("needs").alias("open"), limits.alias("most")))
-    phases = []
+    first = tasks.filter("task is not null").groupBy("task").agg(F.min("role").alias("role")).join(needs, "task", "left").select("task", "role", F.coalesce("needs", F.lit(0)).alias("needs"))
+    now = filed(first.select("task", "role", "needs", F.col("needs").alias("open"), limits.cast("long").alias("most")), f"{at}/now-0")
+    paths, done, count, turn = [], 0, 64, 0
+    order = [F.col("needs"), F.col("task")]
     while True:
-        order = [F.col("needs"), F.col("task")]
+        turn += 1
         part = F.pmod(F.xxhash64("task"), F.lit(salts))
-        ready = now.filter("open = 0").withColumn("part", part).withColumn("n", F.row_number().over(Window.partitionBy("role", "part").orderBy(*order))).filter("n <= most")
-        chosen = held(ready.withColumn("n", F.row_number().over(Window.partitionBy("role").orderBy(*order))).filter("n <= most").select("task"))
-        if chosen.isEmpty():
+        ready = now.filter("open = 0 and most > 0").withColumn("part", part).withColumn("n", F.row_number().over(Window.partitionBy("role", "part").orderBy(*order))).filter(F.col("n") <= F.col("most") * count)
+        top = filed(ready.withColumn("n", F.row_number().over(Window.partitionBy("role").orderBy(*order))).filter(F.col("n") <= F.col("most") * count).drop("part"), f"{at}/top-{turn}")
+        if top.isEmpty():
             break
-        phases.append(chosen.select(F.lit(len(phases)).alias("phase"), "task"))
+        own = _stretch(now, edge, top, count, f"{at}/stretch-{turn}") if count > 1 else None
+        if own is None and count > 1:
+            count //= 4
+            continue
+        if own is None:
+            chosen, walked = top.select(F.lit(done).alias("phase"), "task"), 1
+        else:
+            rows, walked = own
+            chosen = rows.repartition(1).mapInArrow(_phases(done, walked), T.StructType([T.StructField("phase", T.IntegerType()), now.schema["task"]]))
+        paths.append(f"{at}/chosen-{turn}")
+        chosen = filed(chosen, paths[-1])
+        done += walked
         fewer = edge.join(chosen.select(F.col("task").alias("dep")), "dep").groupBy("task").agg(F.count("*").alias("fewer"))
-        now = held(now.join(chosen, "task", "left_anti").join(fewer, "task", "left").select("task", "role", "needs", (F.col("open") - F.coalesce("fewer", F.lit(0))).alias("open"), "most"))
-    if not phases:
+        now = filed(now.join(chosen.select("task"), "task", "left_anti").join(fewer, "task", "left").select("task", "role", "needs", (F.col("open") - F.coalesce("fewer", F.lit(0))).alias("open"), "most"), f"{at}/now-{turn}")
+        count = min(4 * count, 1 << 14)
+    if not paths:
         return tasks.select(F.lit(0).alias("phase"), "task").limit(0)
-    return reduce(DataFrame.union, phases)
+    return spark.read.schema(chosen.schema).parquet(*paths)
