@@ -172,12 +172,11 @@ def st10(s, d):
 
 @add("st11_consolidation_trigger", "SELECT unnest(range(1, count(*) // 100 + 1)) AS hundreds FROM events")
 def st11(s, d):
-    """The numbers of adds, in hundreds, for which consolidation has run: each run writes its own."""
+    """The numbers of adds, in hundreds, for which consolidation has run: a batch's run writes those it has completed."""
     at = folder(s, "adds")
     rows = V.table(s, d, "events").select("event_id")
-    n = rows.count()
-    rows.repartition(max(1, n // 60 + 1)).write.parquet(f"{at}/rows")
-    stream = s.readStream.schema("event_id long").option("maxFilesPerTrigger", max(1, n // 60 // 12)).parquet(f"{at}/rows")
-    run = lambda k: s.range(k, k + 1).withColumnRenamed("id", "hundreds").coalesce(1).write.mode("overwrite").parquet(f"{at}/runs/run={k}")
+    rows.repartition(37).write.parquet(f"{at}/rows")
+    stream = s.readStream.schema("event_id long").option("maxFilesPerTrigger", 3).parquet(f"{at}/rows")
+    run = lambda k, last: s.range(k, last + 1).withColumnRenamed("id", "hundreds").write.mode("overwrite").parquet(f"{at}/runs/run={k}")
     changes.consolidating(stream, f"{at}/state", f"{at}/checkpoint", run).awaitTermination()
     return s.read.schema("hundreds long").parquet(f"{at}/runs/*")

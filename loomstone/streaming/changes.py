@@ -82,12 +82,12 @@ def every(spark: SparkSession, job: Callable[[int], None], minutes: float = 60.0
     return ticks.writeStream.foreachBatch(lambda _, number: job(number)).trigger(processingTime=f"{max(1, int(minutes * 60))} seconds").start()
 
 
-def consolidating(stream: DataFrame, state: str, checkpoint: str, job: Callable[[int], None], adds: int = 100) -> StreamingQuery:
-    """Counts added rows over batches in snapshots below `state`, and runs `job` for every full hundred (`adds`) that a batch completes, with its number.
+def consolidating(stream: DataFrame, state: str, checkpoint: str, job: Callable[[int, int], None], adds: int = 100) -> StreamingQuery:
+    """Counts added rows over batches in snapshots below `state`, and runs `job` once for the full hundreds (`adds`) that a batch completes, with the first one's number and the last one's.
 
-    A batch that runs again counts once.  State is written after the jobs, so jobs of
-    a batch that was cut off run again with the same numbers: what a job writes
-    below its number is there once.
+    A batch that runs again counts once.  State is written after the job, so the job of
+    a batch that was cut off runs again with the same numbers: what it writes
+    below its first number is there once.
     """
     spark = stream.sparkSession
 
@@ -97,8 +97,8 @@ def consolidating(stream: DataFrame, state: str, checkpoint: str, job: Callable[
             return
         before = held.total if held is not None else 0
         total = before + rows.count()
-        for number_of in range(before // adds + 1, total // adds + 1):
-            job(number_of)
+        if total // adds > before // adds:
+            job(before // adds + 1, total // adds)
         tables.write_snapshot(spark.createDataFrame([(number, total)], "batch long, total long"), state)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
