@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import spread
+from .shared import lean, sliced, spread
 
 SIZE, OVERLAP = 512, 50
 STOPS = ".!?:\n"
@@ -76,10 +76,10 @@ def chunked(docs: DataFrame, id: str, text: str, kind: str, size: int = SIZE, ov
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "chunk_index", "text", "kind", "head"]
-        for b in batches:
+        for b in (part for batch in batches for part in sliced(batch, "text")):
             out = [(i, k, *p) for i, t, x in zip(range(b.num_rows), b.column("text").to_pylist(), b.column("kind").to_pylist()) for k, p in enumerate(pieces(t, x, size, overlap))]
             at, *rest = zip(*out) if out else [()] * 5
             kinds = (pa.int32(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(rest, kinds))], names)
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["id"], T.StructField("chunk_index", T.IntegerType()), *(T.StructField(n, T.StringType()) for n in ("text", "kind", "head"))]))
+    return rows.mapInArrow(lean(run), T.StructType([rows.schema["id"], T.StructField("chunk_index", T.IntegerType()), *(T.StructField(n, T.StringType()) for n in ("text", "kind", "head"))]))
