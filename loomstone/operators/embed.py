@@ -16,7 +16,7 @@ from pyspark.sql import types as K
 
 from ..functions import text as T
 from ..functions.words import EMBED_STOP
-from .shared import spread
+from .shared import lean, sliced, spread
 
 IDENTIFIER = re.compile("[a-z_][a-z0-9_]*")
 
@@ -27,7 +27,7 @@ def _unit(rows: DataFrame, value: Column) -> DataFrame:
     return rows.groupBy("id", "bucket").agg(F.sum(value).alias("v")).withColumn("n", F.sqrt(F.sum(F.col("v") * F.col("v")).over(own))).filter("v <> 0").select("id", "bucket", (F.col("v") / F.col("n")).alias("value"))
 
 
-def hashed_tf(docs: DataFrame, id: str, text: str, dim: int = 384, remembered: int = 1 << 18) -> DataFrame:
+def hashed_tf(docs: DataFrame, id: str, text: str, dim: int = 384, remembered: int = 1 << 16) -> DataFrame:
     """Term frequencies hashed into `dim` buckets; texts without tokens have no rows (the zero vector).
 
     A text's buckets depend on that text alone, so nothing is shuffled: texts are read
@@ -39,7 +39,7 @@ def hashed_tf(docs: DataFrame, id: str, text: str, dim: int = 384, remembered: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = lru_cache(remembered)(lambda token: int.from_bytes(hashlib.md5(token.encode()).digest()) % dim)
-        for b in batches:
+        for b in (part for batch in batches for part in sliced(batch, "text")):
             at, buckets, values = [], [np.zeros(0, np.int64)], [np.zeros(0)]
             for k, t in enumerate(b.column("text").to_pylist()):
                 counts = Counter(IDENTIFIER.findall(t))
@@ -51,7 +51,7 @@ def hashed_tf(docs: DataFrame, id: str, text: str, dim: int = 384, remembered: i
                     at += [k] * len(buckets[-1])
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at, pa.int64())), pa.array(np.concatenate(buckets)), pa.array(np.concatenate(values))], ["id", "bucket", "value"])
 
-    return rows.mapInArrow(run, K.StructType([rows.schema["id"], K.StructField("bucket", K.LongType()), K.StructField("value", K.DoubleType())]))
+    return rows.mapInArrow(lean(run), K.StructType([rows.schema["id"], K.StructField("bucket", K.LongType()), K.StructField("value", K.DoubleType())]))
 
 
 def hashed_grams(docs: DataFrame, id: str, text: str, dim: int = 384, low: int = 1, high: int = 2) -> DataFrame:
