@@ -14,6 +14,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import scoring as S
 from ..functions import text as X
+from .shared import lean
+from .vectors import best, matrix
 from .windows import numbered
 
 
@@ -29,30 +31,26 @@ def _block(rows: DataFrame, ids: list, vectors: np.ndarray, k: int, kind: T.Data
     squares = (vectors**2).sum(axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[tuple[np.ndarray, list]] = [(np.zeros(0), []) for _ in ids]
-        for b in batches:
-            own, v = b.column("id").to_pylist(), np.array(b.column("v").to_pylist(), float).reshape(b.num_rows, -1)
-            if not b.num_rows:
-                continue
+        schema = pa.schema([("q", pa.int32()), ("id", to_arrow_type(own_kind)), ("distance", pa.float64())])
+        found, step = schema.empty_table(), max(1, (1 << 20) // max(1, len(ids)))
+        for b in (batch.slice(lo, step) for batch in batches for lo in range(0, batch.num_rows, step)):
+            v = matrix(b.column("v"))
             rough = squares[:, None] + (v**2).sum(axis=1)[None, :] - 2 * vectors @ v.T
-            near = np.argpartition(rough, min(4 * k, b.num_rows) - 1, axis=1)[:, : 4 * k] if b.num_rows > 4 * k else np.tile(np.arange(b.num_rows), (len(ids), 1))
-            for q, at in enumerate(near):
-                # rounding may shuffle what is as near as the last one: take those too
-                if b.num_rows > len(at):
-                    at = np.flatnonzero(rough[q] <= rough[q][at].max() + 1e-9 * max(1.0, squares[q]))
-                exact = ((v[at] - vectors[q]) ** 2).sum(axis=1)
-                d, i = np.concatenate([best[q][0], exact]), [*best[q][1], *(own[x] for x in at.tolist())]
-                order = sorted(range(len(i)), key=lambda x: (d[x], i[x]))[:k]  # noqa: B023
-                best[q] = d[order], [i[x] for x in order]
-        rows_ = [(ids[q], i, float(d)) for q, (ds, own) in enumerate(best) for d, i in zip(ds, own)]
-        kinds = (to_arrow_type(kind), to_arrow_type(own_kind), pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows_) if rows_ else [()] * 3, kinds)], ["query_id", "id", "distance"])
+            if len(v) > k:  # rounding may shuffle what is as near as the last one: all of that is kept
+                edge = np.partition(rough, k - 1, axis=1)[:, k - 1]
+                q, r = np.nonzero(rough <= (edge + 1e-9 * np.maximum(1.0, np.abs(edge) + squares))[:, None])
+            else:
+                q, r = (x.ravel() for x in np.indices(rough.shape))
+            exact = np.concatenate([((v[r[lo : lo + 65_536]] - vectors[q[lo : lo + 65_536]]) ** 2).sum(axis=1) for lo in range(0, len(q), 65_536)])
+            found = best(pa.concat_tables([found, pa.table([pa.array(q.astype(np.int32)), b.column("id").take(pa.array(r)), pa.array(exact)], schema=schema)]), k)
+        who = pa.array(ids, to_arrow_type(kind)).take(found.column("q").combine_chunks())
+        yield from pa.table([who, found.column("id"), found.column("distance")], ["query_id", "id", "distance"]).combine_chunks().to_batches()
 
     own_kind = rows.schema["id"].dataType
-    return rows.mapInArrow(run, T.StructType([T.StructField("query_id", kind), T.StructField("id", own_kind), T.StructField("distance", T.DoubleType())]))
+    return rows.mapInArrow(lean(run), T.StructType([T.StructField("query_id", kind), T.StructField("id", own_kind), T.StructField("distance", T.DoubleType())]))
 
 
-def knn_batch(rows: DataFrame, queries: DataFrame, k: int = 5, id: str = "id", vector: str = "vector", block: int = 4096) -> DataFrame:
+def knn_batch(rows: DataFrame, queries: DataFrame, k: int = 5, id: str = "id", vector: str = "vector", block: int = 1024) -> DataFrame:
     """k nearest rows for every query (query_id, query_vector), ties by id: a stated query set against all rows, in blocks.
 
     A pass over the rows takes at most `block` queries, the only ones that the driver

@@ -33,13 +33,13 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import tables
-from .shared import held
+from .shared import held, lean
 from .windows import numbered
 
 MOST_CELLS = 16_384
 SAMPLE = 65_536
 BLOCK = 1024
-BUFFER = 1 << 20
+BUFFER = 1 << 18
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -70,13 +70,13 @@ def _assigned(rows: DataFrame, centroids: np.ndarray, vector: str) -> DataFrame:
         squares = (c**2).sum(axis=1)
         for b in batches:
             v, cell = matrix(b.column(vector)), np.zeros(b.num_rows, np.int32)
-            step = max(1, (1 << 22) // len(c))
+            step = max(1, (1 << 19) // len(c))
             for lo in range(0, len(v), step):
                 cell[lo : lo + step] = (squares[None, :] - 2 * v[lo : lo + step] @ c.T).argmin(axis=1)
             far = np.sqrt(((v - c[cell]) ** 2).sum(axis=1)) if len(v) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(far)], [*b.schema.names, "ivf_cell", "ivf_far"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("ivf_cell", T.IntegerType()), T.StructField("ivf_far", T.DoubleType())]))
+    return rows.mapInArrow(lean(run), T.StructType([*rows.schema.fields, T.StructField("ivf_cell", T.IntegerType()), T.StructField("ivf_far", T.DoubleType())]))
 
 
 CELLS = "batch string, cell int, n long, radius double"
@@ -145,7 +145,7 @@ class Index:
         return (far - self.radius[None, :] <= bound[:, None] + slack) & (self.n > 0)[None, :]
 
 
-def _best(found: pa.Table, k: int) -> pa.Table:
+def best(found: pa.Table, k: int) -> pa.Table:
     """The k rows of each query with the least distance, then id."""
     found = found.take(pc.sort_indices(found, [("q", "ascending"), ("distance", "ascending"), ("id", "ascending")]))
     q = found.column("q").to_numpy()
@@ -176,7 +176,7 @@ def _scan(rows: DataFrame, queries: np.ndarray, asks: np.ndarray, far: np.ndarra
         else:
             keep = np.ones(rough.shape, bool)
         a, r = np.nonzero(keep & np.isfinite(rough))
-        return who[a], r, ((v[r] - q[a]) ** 2).sum(axis=1)
+        return who[a], r, np.concatenate([np.zeros(0), *(((v[r[lo : lo + 65_536]] - q[a[lo : lo + 65_536]]) ** 2).sum(axis=1) for lo in range(0, len(a), 65_536))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         all_q, who, away, bounds = shared.value
@@ -192,18 +192,18 @@ def _scan(rows: DataFrame, queries: np.ndarray, asks: np.ndarray, far: np.ndarra
                 c = int(cell[order[lo]])
                 if c not in who:
                     continue
-                step = max(1, (1 << 22) // len(who[c]))
+                step = max(1, (1 << 19) // len(who[c]))
                 for at in range(lo, hi, step):
                     own = order[at : min(hi, at + step)]
                     q, r, d = of_cell(v[own], own_far[own], who[c], away[c], all_q, bounds)
                     parts.append(pa.table([pa.array(q.astype(np.int32)), b.column("id").take(pa.array(own[r])), pa.array(d)], schema=schema))
                     size += len(r)
                     if size > BUFFER:
-                        parts, size = [_best(pa.concat_tables(parts), k)], 0
-        yield from _best(pa.concat_tables(parts), k).combine_chunks().to_batches() or [pa.RecordBatch.from_pylist([], schema)]
+                        parts, size = [best(pa.concat_tables(parts), k)], 0
+        yield from best(pa.concat_tables(parts), k).combine_chunks().to_batches() or [pa.RecordBatch.from_pylist([], schema)]
 
     own = rows.filter(F.col("ivf_cell").isin([int(c) for c in cells])).select(F.col(id).alias("id"), F.col(vector).alias("v"), "ivf_cell", "ivf_far")
-    return own.mapInArrow(run, T.StructType([T.StructField("q", T.IntegerType()), T.StructField("id", kind), T.StructField("distance", T.DoubleType())])).select(*names)
+    return own.mapInArrow(lean(run), T.StructType([T.StructField("q", T.IntegerType()), T.StructField("id", kind), T.StructField("distance", T.DoubleType())])).select(*names)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
