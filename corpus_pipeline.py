@@ -29,7 +29,7 @@ def without_templates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that pairs at 0.8 or more of their five-word runs connect."""
+    """One document of each group that pairs at 0.8 or more of their five-word runs connect; SimHash and MinHash find the pairs."""
     return copies.one_each(docs)
 
 

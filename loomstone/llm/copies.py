@@ -1,8 +1,9 @@
-"""One document of each group of copies: MinHash bands, then the exact similarity of five-word shingles.
+"""One document of each group of copies: SimHash and MinHash bands, then the exact similarity of five-word shingles.
 
 Two texts are copies if the sets of their runs of SHINGLE words have a Jaccard
-similarity of SIMILAR or more; a shorter text is one run.  Candidates share a
-band, ROWS equal least hashes of BANDS * ROWS: a pair at similarity 0.8 shares
+similarity of SIMILAR or more; a shorter text is one run.  Candidates are linked by
+their SimHash fingerprints (simhash.near_duplicates, as op7 links them), or share a
+band, for most texts at SIMILAR differ in more bits than SimHash can tell: ROWS equal least hashes of BANDS * ROWS: a pair at similarity 0.8 shares
 none with a probability of (1 - 0.8 ** 4) ** 24, about 3 in a million, closer
 pairs more rarely.  Every candidate is verified on whole sets.
 
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from . import tokens as tk
 from .lm import mapped_bytes
 from .components import connected
@@ -158,9 +160,15 @@ def verified(path: str):
     return run
 
 
+def by_simhash(texts: DataFrame) -> DataFrame:
+    """(cell, node): a cell for each component of fingerprints that SimHash links; texts without words have no set and go below."""
+    prints = checkpointed(simhash.fingerprints(texts, ("__node",), "__text").distinct())
+    return simhash.near_duplicates(prints, "__node").select(F.xxhash64(F.lit("simhash"), "root").alias("cell"), F.col("__node").alias("node"))
+
+
 def links(texts: DataFrame, most: int = 512) -> DataFrame:
     """Edges (a, b) that connect every pair of candidates that are copies.  texts: __node (long), __text (bytes); equal nodes have equal words."""
-    cell = checkpointed(texts.mapInArrow(tk.lean(banded), "cell long, node long").distinct())
+    cell = checkpointed(texts.mapInArrow(tk.lean(banded), "cell long, node long").union(by_simhash(texts)).distinct())
     met = cell.groupBy("cell").count().filter("count > 1").select("cell", F.ceil(F.col("count") / most).cast("int").alias("blocks"))
     cell = checkpointed(cell.join(met, "cell"))
     path = mounted(scratch(texts.sparkSession, "copies"))
