@@ -184,7 +184,7 @@ def win01(s, d):
 
 @add("ev04_dcg", f"SELECT r.query_id, round(sum(coalesce(relevance, 0) / log2(rank + 1)), 6) AS dcg FROM ({V.RUNS}) r LEFT JOIN ({V.QRELS}) q ON q.query_id = r.query_id AND q.item_id = r.item_id GROUP BY 1")
 def ev04(s, d):
-    return evaluate.judged(V.runs(s, d), V.qrels(s, d)).groupBy("query_id").agg(F.round(F.sum(F.col("rel") / F.log2(F.col("rank") + 1)), 6).alias("dcg"))
+    return evaluate.judged(V.runs(s, d), V.qrels(s, d), by_query=True).groupBy("query_id").agg(F.round(F.sum(F.col("rel") / F.log2(F.col("rank") + 1)), 6).alias("dcg"))
 
 
 @add("win08_merge_decision", WINDOWS + """, c AS (SELECT session_id, id, count(*) OVER (PARTITION BY session_id, win) >= 4 AND count(*) OVER (PARTITION BY session_id) >= 10 AS merge FROM w) SELECT id, merge FROM c""")
