@@ -59,18 +59,24 @@ def query_words(queries: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def _compared(candidates: DataFrame, asked: DataFrame, texts: DataFrame) -> DataFrame:
-    """(query_id, id, overlap) of candidates (query_id, id), compared whole."""
-    return candidates.join(asked, "query_id").join(texts, "id").select("query_id", "id", F.size(F.array_intersect("own", "words")).alias("overlap"))
+    """(query_id, id, overlap) of candidates (query_id, id), compared by the numbers of all words that queries ask for."""
+    return candidates.join(asked, "query_id").join(texts, "id").select("query_id", "id", F.size(F.array_intersect("numbers", "own")).alias("overlap"))
+
+
+def _known(postings: DataFrame, words: DataFrame) -> DataFrame:
+    """(id, numbers): of every text its words among the queries' (word, number); sets of numbers are compared several times faster than sets of words."""
+    return postings.join(words, "word").groupBy("id").agg(F.collect_list("number").alias("numbers"))
 
 
 def overlap_batch(spark: SparkSession, path: str, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, id, overlap, rank): for every query (query_id, query) the k texts with most words in common, ties by id; texts without a common word are left out."""
     asked_all = held(query_words(queries, spark.read.parquet(f"{path}/words")))
-    texts = spark.read.parquet(f"{path}/texts")
+    numbers = held(asked_all.select("word").distinct().withColumn("number", F.monotonically_increasing_id()))
     buckets = [r.bucket for r in asked_all.select(_bucket()).distinct().collect()]
     # a partition filter: only buckets of the queries' words are read
     postings = _postings(spark, path).filter(F.col("bucket").isin(buckets)).select("word", "id")
-    asked = asked_all.groupBy("query_id").agg(F.collect_list("word").alias("own"))
+    asked = asked_all.join(numbers, "word").groupBy("query_id").agg(F.collect_list("number").alias("own"))
+    texts = held(_known(postings, numbers))
     first = asked_all.filter(F.col("met") < k)
     near = held(_compared(first.join(postings, "word").select("query_id", "id").distinct(), asked, texts))
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("overlap"), "id"))
